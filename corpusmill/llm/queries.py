@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, token_counts, token_output
+from corpusmill.llm import bpe, mixing, quality_rules, token_counts, token_output
 from corpusmill.session import scratch, table
 
 
@@ -19,6 +19,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality_rules.RESULT)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(*mixing.RESULT)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
@@ -31,8 +39,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
+    return {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op6_source_mixing": op6_source_mixing, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.oracle(), "op6_source_mixing": mixing.oracle()}
