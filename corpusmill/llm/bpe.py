@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +34,15 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
         for batch in batches:
             for part in slices(batch, "__text"):
                 out = []
-                for text in part.column("__text").to_pylist():
+                for text in part.column("__text"):
                     ids: list[int] = []
-                    for piece in safe_pieces(text):
+                    for piece in safe_pieces(text.as_py()):
                         ids += enc.encode_ordinary(piece)
-                    out.append(ids)
+                    out.append(np.asarray(ids, np.int32))
+                off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                coded = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out)))
                 cols = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.int32()))], names=[*keep, ids_col])
+                yield pa.RecordBatch.from_arrays([*cols, coded], names=[*keep, ids_col])
 
     return src.mapInArrow(run, schema)
 
@@ -50,7 +53,10 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", ou
     @F.arrow_udf(T.BinaryType())
     def raw(ids: pa.Array) -> pa.Array:
         enc = rank_encoder(rank_file, pattern)
-        return pa.array([enc.decode_bytes(x or []) for x in ids.to_pylist()], pa.binary())
+        # One row's ids at a time become Python numbers; a whole batch of them would take ten times its Arrow size.
+        off, flat = ids.offsets.to_numpy(), ids.values
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        return pa.array((b"" if none[i] else enc.decode_bytes(flat.slice(off[i], off[i + 1] - off[i]).to_numpy(zero_copy_only=False).tolist()) for i in range(len(ids))), pa.binary())
 
     return df.withColumn(out_col, raw(F.col(f"`{ids_col}`")))
 
