@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, mixing, quality_rules, token_counts, token_output
+from corpusmill.llm import bpe, mixing, ngram_join, quality_rules, token_counts, token_output
 from corpusmill.session import scratch, table
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality_rules.RESULT)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(*mixing.RESULT)
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op6_source_mixing": op6_source_mixing, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
+    return {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op6_source_mixing": op6_source_mixing, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
