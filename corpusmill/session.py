@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "corpusmill", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,4 +54,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` under the shared folder and read it back: the lineage ends at files every executor sees."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM drop what it no longer refers to; executors then delete the shuffle files of finished steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, right_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """Join with the right side broadcast if its measured size is under `limit`, else by shuffle."""
+    return left.join(F.broadcast(right) if right_bytes <= limit else right, on, how)
