@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words a process remembers before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 1_000_000
 #: Characters of a text encoded in one call where the text may be cut.
 PIECE_CHARS = 1 << 16
 #: A cut before white space that follows a letter or digit: byte-level patterns never match across it.
@@ -61,10 +61,24 @@ def _drops_space(spec: dict) -> bool:
     return not re.search(r"(?<!\[\^)\\s|\s", pattern)
 
 
+class _Memo(dict):
+    """Word to its number; an unknown word gets the next number and is noted as pending."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.pending.append(word)
+        return n
+
+
 class JsonTokenizer:
-    """A `tokenizers` file. Where white space is dropped, each distinct word of a batch is encoded by the library once.
+    """A `tokenizers` file. Where white space is dropped, each distinct word is encoded by the library once.
 
     ids(texts) gives for each text its ids as little-endian uint32 bytes, counts(texts) their number.
+    Words have numbers in a bounded memo; ids and counts of a text are gathered by number from flat arrays.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,32 +90,65 @@ class JsonTokenizer:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             self.by_word = _drops_space(json.load(f))
-        self.memo: dict[bytes, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo, self.size, self.flat, self.first = _Memo(), np.zeros(0, np.int32), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.encode().split() for t in texts]
-        memo = self._known(split)
-        return [b"".join([memo[w] for w in words]) for words in split]
+        number, cut = self._numbers(texts)
+        size = self.size[number]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.arange(ends[-1]) + np.repeat(self.first[number] - ends[:-1], size)
+        raw, edge = self.flat[at].tobytes(), (4 * ends[cut]).tolist()
+        return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_word:
             return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.encode().split() for t in texts]
-        memo = self._known(split)
-        return [sum([len(memo[w]) for w in words]) // 4 for words in split]
-
-    def _known(self, split: list[list[bytes]]) -> dict[bytes, bytes]:
-        missing = list(set().union(*split).difference(self.memo)) if split else []
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo = {}
-            missing = list(set().union(*split))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            coded = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memo.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-        return self.memo
+        number, cut = self._numbers(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.size[number], dtype=np.int64)])[cut]).tolist()
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, and where each text's begin."""
+        if len(self.memo) > MEMO_WORDS:
+            self._clear()
+        number: list[int] = []
+        cut = [0]
+        known = self.memo.__getitem__
+        for t in texts:
+            number += map(known, t.encode().split())
+            cut.append(len(number))
+        if self.memo.pending:
+            self._learn()
+        return np.asarray(number, np.int64), np.asarray(cut)
+
+    def _learn(self) -> None:
+        words, self.memo.pending = [w.decode() for w in self.memo.pending], []
+        sizes, flat = np.zeros(len(words), np.int32), [self.flat]
+        # Words with special strings or of great length go alone, others joined by spaces; offsets tell them apart again.
+        alone = [i for i, w in enumerate(words) if "<" in w or len(w) > 200]
+        rest = np.setdiff1d(np.arange(len(words)), alone)
+        groups = [rest[i : i + 400].tolist() for i in range(0, len(rest), 400)]
+        order: list[int] = []
+        for a in range(0, len(groups), 16):
+            part = groups[a : a + 16]
+            for g, e in zip(part, self.tok.encode_batch([" ".join([words[i] for i in g]) for g in part], add_special_tokens=False), strict=True):
+                starts = np.cumsum([0, *[len(words[i]) + 1 for i in g]])
+                at = np.fromiter((x[0] for x in e.offsets), np.int64, len(e.offsets))
+                sizes[g] = np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(g))
+                flat.append(np.asarray(e.ids, "<u4"))
+                order += g
+        for i in alone:
+            ids = self.tok.encode(words[i], add_special_tokens=False).ids
+            sizes[i] = len(ids)
+            flat.append(np.asarray(ids, "<u4"))
+            order.append(i)
+        first = np.zeros(len(words), np.int64)
+        first[order] = len(self.flat) + np.concatenate([[0], np.cumsum(sizes[order], dtype=np.int64)])[:-1]
+        self.flat, self.size, self.first = np.concatenate(flat), np.concatenate([self.size, sizes]), np.concatenate([self.first, first])
 
 
 class PieceTokenizer:
