@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, token_output
+from corpusmill.llm import bpe, fingerprints, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, token_output
 from corpusmill.session import scratch, table
 
 
@@ -31,6 +31,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(*mixing.RESULT)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), perms=128, size=5)
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
@@ -49,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op6_source_mixing": op6_source_mixing, "op8_suffix_dedup": op8_suffix_dedup, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
+    return {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op6_source_mixing": op6_source_mixing, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
