@@ -8,10 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, fingerprints, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, token_output
+from corpusmill.llm import bpe, fingerprints, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output, url_filter
 from corpusmill.session import scratch, table
 
 
+URL_RULES = (
+    url_filter.Rule("allow", "com/"),
+    url_filter.Rule("block", "example.com/en/"),
+    url_filter.Rule("allow", "www.example.com/en/"),
+    url_filter.Rule("block", "net/es/"),
+    url_filter.Rule("block", "net/fr/"),
+)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality_classifier.train(docs, labels.where(fold != 0), label_col="quality")
+    return quality_classifier.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +43,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables label no URLs, so the training URLs are labelled by seed terms in their hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.seed_labels(pages))
+    return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(*mixing.RESULT)
 
@@ -54,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op6_source_mixing": op6_source_mixing, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
+    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_url_filter": op5_url_filter, "op6_source_mixing": op6_source_mixing, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
