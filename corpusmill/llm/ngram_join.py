@@ -8,10 +8,12 @@ two sketches is at most the symmetric difference. By the pigeonhole, linked sets
 whole word: (band, place, word) is the join key. A set close to the next band's sizes
 is sketched for that band too, so pairs across a border meet there.
 
-Rows with equal keys are paired inside Arrow batches: groups are cut in blocks of BLOCK members, every
-pair of blocks is one bounded task unit, and a pair leaves only when the Hamming distance
-of the folded sketches permits a link. Candidates are then verified on the
-shingle sets, with integers: 100 * common >= percent * union.
+Rows with equal keys are paired inside Arrow batches, where a pair leaves only when the Hamming distance of the
+folded sketches permits a link; candidates are verified on the shingle sets, with integers: 100 * common >=
+percent * union. First every member of a key meets the first member it can link with (one pair a
+row at most), and verified links join components. Then all pairs of a key that still lie in different
+components are met, block by block of BLOCK members, so no link between components
+is lost while a large group of near copies costs its members, not their pairs.
 
 Equal sets are one class before anything is paired, so copies never meet each other
 in a group. Defined results: a text with fewer words than a shingle is one shingle; a text
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import slices
@@ -142,53 +144,69 @@ def sketch_words(h: np.ndarray, doc: np.ndarray, parts: np.ndarray) -> tuple[np.
     return out, start
 
 
-def pair_rows(group: np.ndarray, block: np.ndarray, own: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group that can link. Rows are sorted by group; own: both blocks are the same."""
-    outs_a, outs_b = [], []
-    d, live = 1, np.arange(len(group) - 1)
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows can link: by their sizes and the Hamming distance of the folded sketches."""
+    ok = np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])
+    ok[ok] = np.bitwise_count(sketch[a[ok]] ^ sketch[b[ok]]).sum(axis=1, dtype=np.int64) <= max_difference(n[a[ok]], n[b[ok]], percent)
+    return ok
+
+
+def first_partners(unit: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the first row of its unit that it can link with. Rows are sorted by unit."""
+    head = np.searchsorted(unit, unit)
+    out_a, out_b = [], []
+    place, open_rows = 0, np.arange(len(unit))
+    while len(open_rows):
+        open_rows = open_rows[head[open_rows] + place < open_rows]
+        a = head[open_rows] + place
+        ok = _near(a, open_rows, n, sketch, percent)
+        out_a.append(a[ok])
+        out_b.append(open_rows[ok])
+        open_rows, place = open_rows[~ok], place + 1
+    return np.concatenate(out_a) if out_a else np.zeros(0, np.int64), np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+
+
+def open_pairs(unit: np.ndarray, block: np.ndarray, own: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of a unit that can link and are in different components; own: the unit is one block with itself."""
+    out_a, out_b = [], []
+    d, live = 1, np.arange(max(len(unit) - 1, 0))
     while len(live):
-        live = live[live + d < len(group)]
-        live = live[group[live] == group[live + d]]
-        if not len(live):
-            break
+        live = live[live + d < len(unit)]
+        live = live[unit[live] == unit[live + d]]
         a, b = live, live + d
-        ok = own[a] | (block[a] != block[b])
-        ok &= np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])
+        ok = (comp[a] != comp[b]) & (own[a] | (block[a] != block[b]))
         a, b = a[ok], b[ok]
-        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= max_difference(n[a], n[b], percent)
-        outs_a.append(ids[a[near]])
-        outs_b.append(ids[b[near]])
+        near = _near(a, b, n, sketch, percent)
+        out_a.append(a[near])
+        out_b.append(b[near])
         d += 1
-    if not outs_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(outs_a), np.concatenate(outs_b)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.concatenate(out_a) if out_a else np.zeros(0, np.int64), np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
 
 
-def candidates(key_rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of class ids that share a key and whose folded sketches permit a link."""
-    from pyspark.sql import Window
-
+def shared_keys(key_rows: DataFrame) -> DataFrame:
+    """key, id and block of the members of every key with two members or more."""
     w = Window.partitionBy("key").orderBy("id")
     ranked = key_rows.select("key", "id", F.row_number().over(w).alias("rn"), F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
-    shared = written(ranked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "id", ((F.col("rn") - 1) / BLOCK).cast("int").alias("block")), "shared-keys")
-    blocks = shared.where(F.col("block") > 0).groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    rows = shared.join(sketches, "id").join(F.broadcast(blocks) if blocks.limit(100_001).count() <= 100_000 else blocks, "key", "left")
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "block", (F.col("block") == F.col("other")).alias("own"), "id", "n", "sketch"
-    )
-    n_out = max(int(key_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    clustered = dealt.repartition(n_out, "unit").sortWithinPartitions("unit", "block", "id")
+    return ranked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "id", ((F.col("rn") - 1) / BLOCK).cast("int").alias("block"))
+
+
+def _paired(rows: DataFrame, percent: int, pairing: str) -> DataFrame:
+    """Distinct (a, b), a < b, of the rows (unit, block, own, comp, id, n, sketch)."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    clustered = rows.repartition(parts, "unit").sortWithinPartitions("unit", "block", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            n = len(t)
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(n, FOLD)
-            own = np.asarray(t.column("own").to_numpy())
-            a, b = pair_rows(np.asarray(t.column("unit")), np.asarray(t.column("block")), own, np.asarray(t.column("id")), np.asarray(t.column("n")).astype(np.int64), sk, percent)
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            ids, unit, n = (np.asarray(t.column(c)) for c in ("id", "unit", "n"))
+            n = n.astype(np.int64)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), FOLD)
+            if pairing == "first":
+                a, b = first_partners(unit, n, sketch, percent)
+            else:
+                a, b = open_pairs(unit, np.asarray(t.column("block")), np.asarray(t.column("own").to_numpy()), np.asarray(t.column("comp")), n, sketch, percent)
+            pairs = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -208,6 +226,22 @@ def candidates(key_rows: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     return clustered.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
+def first_candidates(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Within every block of a key, each member with the first it can link: at most one pair a row."""
+    rows = shared.join(sketches, "id").select(F.xxhash64("key", "block").alias("unit"), "block", F.lit(True).alias("own"), F.lit(0).cast("long").alias("comp"), "id", "n", "sketch")
+    return _paired(rows, percent, "first")
+
+
+def open_candidates(shared: DataFrame, sketches: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of a key, in any blocks, that can link and that no verified link connects yet."""
+    labelled = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "block", F.coalesce("component", "id").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), (F.max("block") + 1).alias("blocks")).where("x < y").select("key", "blocks")
+    rows = labelled.join(mixed, "key").join(sketches, "id")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return _paired(dealt.select(unit.alias("unit"), "block", (F.col("block") == F.col("other")).alias("own"), "comp", "id", "n", "sketch"), percent, "open")
+
+
 #: Ids of candidate documents that are broadcast to the scan; more of them are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -226,7 +260,8 @@ def verify(pairs: DataFrame, src: DataFrame, percent: int, size: int) -> DataFra
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has id, n and class for every row; links are verified pairs of classes (a < b).
+    """(members, links): members has id, n and class for every row; links are verified pairs of classes (a < b) that connect
+    the same components as all linked pairs do.
 
     The class of equal sets is the smallest id among them; an empty set is a class of its own row.
     """
@@ -237,9 +272,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     # Empty sets link with nothing: each is a class by itself.
     members = written(filled.select("id", "n", "class").union(base.where("n = 0").select("id", "n", F.col("id").alias("class"))), "members")
     reps = filled.where("id = class").dropDuplicates(["n", "fp1", "fp2"])
-    key_rows = reps.select(F.explode("keys").alias("key"), "id")
-    pairs = written(candidates(key_rows, reps.select("id", "n", "sketch"), percent), "pairs")
-    return members, verify(pairs, src, percent, size)
+    sketches = written(reps.select("id", "n", "sketch"), "sketches")
+    shared = written(shared_keys(reps.select(F.explode("keys").alias("key"), "id")), "shared-keys")
+    first = written(verify(written(first_candidates(shared, sketches, percent), "pairs"), src, percent, size), "links")
+    comp = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    more = verify(written(open_candidates(shared, sketches, comp, percent), "open-pairs"), src, percent, size)
+    return members, first.union(more)
 
 
 def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
