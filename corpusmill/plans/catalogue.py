@@ -1,10 +1,455 @@
-"""Registered queries of the engine and their SQL oracles."""
+"""Registered queries of the engine and their SQL oracles. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusmill.functions import errors, html, requests, text, urls, vector
+from corpusmill.operators import search
+from corpusmill.operators.chunking import chunks
+from corpusmill.operators.crawl import crawl
+from corpusmill.operators.embed import HashEmbedding, embed
+from corpusmill.operators.filters import MetadataFilter, apply
+from corpusmill.plans import chat, pipeline
+from corpusmill.schema import ChunkConfig, CrawlConfig
+from corpusmill.session import scratch, table
+from corpusmill.sources import store
+from corpusmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# -- vectors -------------------------------------------------------------------
+_SQL_L2 = "round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 6)"
+_SQL_DOT = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
+_SQL_NORM = "sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE)))"
+_SQL_COS = f"round({_SQL_DOT} / ({_SQL_NORM.format('e.embedding')} * {_SQL_NORM.format('q.embedding')}), 6)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    """The table and the query vector: that of the least id (one row to the driver)."""
+    e = table(spark, sf_dir, "embeddings")
+    first = e.orderBy("vec_id").limit(1).first()
+    return e, [float(x) for x in first.embedding] if first else [0.0]
+
+
+def _topk(metric: str, filters: list[MetadataFilter] | None = None, k: int = 10):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, q = _vectors(spark, sf_dir)
+        return search.top_k(e, q, k, metric, filters, id_col="vec_id").select("vec_id", "label", "distance", "similarity", "score")
+
+    return run
+
+
+def _topk_sql(metric: str, where: str = "true", k: int = 10) -> str:
+    score, order = ("distance", "distance ASC") if metric == "l2" else ("similarity", "similarity DESC")
+    return f"""WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (SELECT vec_id, label, {_SQL_L2} AS distance, {_SQL_COS} AS similarity FROM embeddings e, q WHERE {where})
+SELECT vec_id, label, distance, similarity, {score} AS score FROM s ORDER BY {order}, vec_id LIMIT {k}"""
+
+
+for _name, _metric, _filters, _where in (
+    ("vector_topk_l2", "l2", None, "true"),
+    ("vector_topk_cosine", "cosine", None, "true"),
+    ("vector_topk_eq", "l2", [MetadataFilter("label", "eq", 3)], "label = 3"),
+    ("vector_topk_neq", "l2", [MetadataFilter("label", "neq", 3)], "label != 3"),
+    ("vector_topk_gt", "cosine", [MetadataFilter("label", "gt", 5)], "label > 5"),
+    ("vector_topk_lt", "cosine", [MetadataFilter("label", "lt", 4)], "label < 4"),
+    ("vector_topk_in", "l2", [MetadataFilter("label", "in", [1, 4, 7])], "label IN (1, 4, 7)"),
+    ("vector_topk_and", "l2", [MetadataFilter("label", "gt", 2), MetadataFilter("vec_id", "lt", 400)], "label > 2 AND vec_id < 400"),
+):
+    QUERIES[_name] = _topk(_metric, _filters)
+    ORACLES[_name] = _topk_sql(_metric, _where)
+
+
+@query("filter_contains", "SELECT doc_id, lang, source FROM documents WHERE source LIKE '%1%' AND text LIKE '%the%'")
+def filter_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = apply(table(spark, sf_dir, "documents"), [MetadataFilter("source", "contains", "1"), MetadataFilter("text", "contains", "the")])
+    return found.select("doc_id", "lang", "source")
+
+
+@query("vector_batch_topk", f"""WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, round({_SQL_DOT} / ({_SQL_NORM.format('e.embedding')} * {_SQL_NORM.format('q.embedding')}) + 1e-10, 6) AS score FROM embeddings e, embeddings q),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT qid, rank::INT AS rank, id, score FROM r WHERE rank <= 5""")
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return search.batch_top_k(e, e.withColumnRenamed("vec_id", "qid"), 5, "cosine", id_col="vec_id")
+
+
+@query("l2_normalize", f"SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INT AS pos, round(unnest(list_transform(embedding, lambda x: x::DOUBLE)) / {_SQL_NORM.format('embedding')}, 6) AS value FROM embeddings")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.l2_normalize(F.col("embedding"))).alias("pos", "value"))
+    return n.select("vec_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query("dim_check", "SELECT count(*) FILTER (WHERE len(embedding) = 64) AS good, count(*) FILTER (WHERE len(embedding) IS DISTINCT FROM 64) AS bad FROM embeddings")
+def dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = vector.has_dimension(F.col("embedding"), 64)
+    return table(spark, sf_dir, "embeddings").agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
+
+
+@query("dot_product", f"SELECT e.vec_id, round({_SQL_DOT}, 6) AS dot FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q")
+def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, q = _vectors(spark, sf_dir)
+    return e.select("vec_id", F.round(vector.dot(F.col("embedding"), vector.literal(q)), 6).alias("dot"))
+
+
+# -- chunks --------------------------------------------------------------------
+_SQL_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _windows_sql(size: int, overlap: int) -> str:
+    """CTEs d and w: the chunk windows of documents as (doc_id, s, e, piece), blank windows left out."""
+    return rf"""
+d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE trim(text, {_SQL_WHITE}) <> ''),
+st(doc_id, s, e, nxt) AS (
+  SELECT doc_id, -1, -1, 0 FROM d
+  UNION ALL
+  SELECT doc_id, s, e, CASE WHEN s < e - {overlap} AND e - {overlap} < n AND p > 0 THEN greatest(s + 1, e - {overlap} + 2 - p) WHEN e - {overlap} > s THEN e - {overlap} ELSE e END
+  FROM (SELECT *, CASE WHEN s < e - {overlap} AND e - {overlap} < n THEN strpos(reverse(substr(text, s + 2, e - {overlap} - s)), ' ') ELSE 0 END AS p
+  FROM (SELECT doc_id, text, n, s, CASE WHEN s + {size} >= n THEN n
+      WHEN strpos(z, chr(10) || chr(10)) > 0 THEN s + {size} - strpos(reverse(z), chr(10) || chr(10)) + 1
+      WHEN strpos(z, chr(10)) > 0 THEN s + {size} - strpos(reverse(z), chr(10)) + 1
+      WHEN length(regexp_extract(z, '(?s)^(.*[.!?])(?:\s.*)?$', 1)) > 0 THEN greatest(s, s + {size} - {overlap}) + length(regexp_extract(z, '(?s)^(.*[.!?])(?:\s.*)?$', 1))
+      WHEN strpos(z, ' ') > 0 THEN s + {size} - strpos(reverse(z), ' ') + 1
+      ELSE s + {size} END AS e
+    FROM (SELECT d.doc_id, d.text, d.n, st.nxt AS s, substr(d.text, greatest(st.nxt, st.nxt + {size} - {overlap}) + 1, least({size}, {overlap})) AS z FROM st JOIN d USING (doc_id) WHERE st.nxt < d.n)))),
+w AS (SELECT st.doc_id, s, e, trim(substr(text, s + 1, e - s), {_SQL_WHITE}) AS piece FROM st JOIN d USING (doc_id) WHERE s >= 0 AND trim(substr(text, s + 1, e - s), {_SQL_WHITE}) <> ''),
+c AS (SELECT doc_id, s, e, piece, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS i, (count(*) OVER (PARTITION BY doc_id))::INT AS n FROM w)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str, size: int, overlap: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return chunks(docs, ChunkConfig(size, overlap), text_col="text", key_cols=("doc_id", "source"), id_from="doc_id")
+
+
+def _chunk_query(size: int, overlap: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _chunks(spark, sf_dir, size, overlap).select("doc_id", "chunkIndex", "totalChunks", "startOffset", "endOffset", "content")
+
+    return run
+
+
+for _size, _overlap in ((1000, 200), (800, 150)):
+    QUERIES[f"chunk_{_size}_{_overlap}"] = _chunk_query(_size, _overlap)
+    ORACLES[f"chunk_{_size}_{_overlap}"] = f'WITH RECURSIVE {_windows_sql(_size, _overlap)} SELECT doc_id, i AS "chunkIndex", n AS "totalChunks", s::INT AS "startOffset", e::INT AS "endOffset", piece AS content FROM c'
+
+
+@query("chunk_counts", f"WITH RECURSIVE {_windows_sql(800, 150)} SELECT doc_id, count(*) AS chunks FROM c GROUP BY doc_id")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, 800, 150).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+@query("chunk_ids", f"WITH RECURSIVE {_windows_sql(800, 150)} SELECT doc_id, i AS \"chunkIndex\", sha256(doc_id || '|' || i || '|' || piece) AS id FROM c")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, 800, 150).select("doc_id", "chunkIndex", "id")
+
+
+# -- URLs and HTML -----------------------------------------------------------------
+def _norm_sql(u: str) -> str:
+    return rf"(CASE WHEN regexp_matches(regexp_replace({u}, '#.*$', ''), '^[a-z]+://[^/?]+$') THEN regexp_replace({u}, '#.*$', '') || '/' WHEN regexp_matches(regexp_replace({u}, '#.*$', ''), '^[a-z]+://[^/?]+/$') THEN regexp_replace({u}, '#.*$', '') ELSE regexp_replace(regexp_replace({u}, '#.*$', ''), '/$', '') END)"
+
+
+@query("url_normalize", f"SELECT page_id, {_norm_sql('url')} AS normalized FROM pages")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("normalized"))
+
+
+@query("url_dedup", f"SELECT {_norm_sql('url')} AS normalized, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1")
+def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(urls.normalize(F.col("url")).alias("normalized")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query("url_host", "SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_matches(lower(url), '^https?://') AS http, lower(regexp_extract(url, '://([^/?#]*)', 1)) = (SELECT lower(regexp_extract(min_by(url, page_id), '://([^/?#]*)', 1)) FROM pages) AS same_as_first FROM pages")
+def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    first = p.agg(F.min_by("url", "page_id").alias("first"))
+    return p.crossJoin(F.broadcast(first)).select("page_id", urls.host(F.col("url")).alias("host"), urls.is_http(F.col("url")).alias("http"), urls.same_domain(F.col("url"), F.col("first")).alias("same_as_first"))
+
+
+_SQL_LINKS = "SELECT page_id, url, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS link FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1) AS l FROM pages)"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(html.links(F.col("html"))).alias("pos", "link"))
+
+
+@query("link_extract", f"SELECT page_id, pos::INT AS pos, link FROM ({_SQL_LINKS})")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).select("page_id", "pos", "link")
+
+
+@query("link_resolve", f"SELECT page_id, pos::INT AS pos, {_norm_sql('target')} AS target FROM (SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]+') || link AS target FROM ({_SQL_LINKS}))")
+def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).select("page_id", "pos", urls.resolve(F.col("link"), F.col("url")).alias("target"))
+
+
+_LINK_CASES = [("a", " /x "), ("b", ""), ("c", "#top"), ("d", "javascript:void(0)"), ("e", ".html"), ("f", "a.html"), ("g", ".toolongext"), ("h", "   "), ("i", "mailto:x@y.z")]
+
+
+@query("link_reject", "SELECT k, trim(l) = '' OR starts_with(trim(l), '#') OR starts_with(trim(l), 'javascript:') OR regexp_matches(trim(l), '^\\.[a-zA-Z0-9]{1,5}$') AS rejected FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _LINK_CASES) + ") t(k, l)")
+def link_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_LINK_CASES, "k string, l string").select("k", urls.rejected_link(F.col("l")).alias("rejected"))
+
+
+@query("title_extract", "SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("html_to_text")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return p.select("page_id", html.title_or_default(html.title(F.col("html"))).alias("title"), html.to_text(F.col("url"), F.col("html")).alias("content")).where(text.long_enough(F.col("content")))
+
+
+_SQL_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' \n', chr(10), 'g'), '\n ', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_SQL_WHITE})"
+
+
+@query("clean_whitespace", f"SELECT doc_id, {_SQL_CLEAN} AS clean FROM documents")
+def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"))
+
+
+@query("min_chars", f"SELECT doc_id, length({_SQL_CLEAN}) AS n FROM documents WHERE length({_SQL_CLEAN}) >= 100")
+def min_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"))
+    return c.where(text.long_enough(F.col("clean"))).select("doc_id", F.char_length("clean").cast("long").alias("n"))
+
+
+# -- crawl ------------------------------------------------------------------------
+_B = "https://site.example"
+_NODES = ["/", "/a", "/b", "/c", "/d", "/e", "/f", "/g", "/h"]
+_EDGES = [("/", "/b", 0), ("/", "/a", 1), ("/", "/b", 2), ("/a", "/c", 0), ("/a", "/", 1), ("/b", "/d", 0), ("/b", "/c", 1), ("/b", "/gone", 2), ("/c", "/e", 0), ("/gone", "/f", 0), ("/d", "/f", 0), ("/e", "/g", 0), ("/f", "/h", 0)]
+
+
+def _graph(spark: SparkSession, limit: int, depth: int) -> DataFrame:
+    pages = spark.createDataFrame([(_B + n,) for n in _NODES], "url string")
+    edges = spark.createDataFrame([(_B + s, _B + d, p) for s, d, p in _EDGES], "src string, dst string, pos int")
+    return crawl(pages, edges, _B + "/", CrawlConfig(limit, depth)).select("url", "depth", "rank")
+
+
+def _crawl_sql(limit: int, depth: int) -> str:
+    return f"""WITH RECURSIVE nodes(url) AS (VALUES {", ".join(f"('{_B}{n}')" for n in _NODES)}),
+edges(src, dst, pos) AS (VALUES {", ".join(f"('{_B}{s}', '{_B}{d}', {p})" for s, d, p in _EDGES)}),
+walk(url, depth, path) AS (SELECT '{_B}/', 0, '' UNION ALL SELECT e.dst, w.depth + 1, w.path || lpad(e.pos::VARCHAR, 4, '0') FROM walk w JOIN nodes USING (url) JOIN edges e ON e.src = w.url WHERE w.depth < {depth}),
+best AS (SELECT url, min(depth) AS depth, min_by(path, (depth, path)) AS path FROM walk JOIN nodes USING (url) GROUP BY url)
+SELECT url, depth::INT AS depth, (row_number() OVER (ORDER BY depth, path))::INT AS rank FROM best ORDER BY depth, path LIMIT {limit}"""
+
+
+@query("crawl_bfs", _crawl_sql(20, 3))
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, 20, 3)
+
+
+@query("crawl_limit", _crawl_sql(4, 3))
+def crawl_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, 4, 3)
+
+
+# -- store ---------------------------------------------------------------------------
+def _as_store(e: DataFrame) -> DataFrame:
+    return e.select(F.col("vec_id").alias("id"), "label")
+
+
+def _updates(e: DataFrame) -> DataFrame:
+    """Two versions of some rows and new rows: ordinal 1 wins over 0."""
+    hit = e.where("vec_id % 3 = 0")
+    first = hit.select(F.col("vec_id").alias("id"), (F.col("label") + 100).alias("label"), F.lit(0).alias("ordinal"))
+    second = hit.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), (F.col("label") + 200).alias("label"), F.lit(1).alias("ordinal"))
+    new = e.select((F.col("vec_id") + 1_000_000).alias("id"), "label", F.lit(0).alias("ordinal"))
+    return first.union(second).union(new)
+
+
+@query("upsert_merge", "SELECT vec_id AS id, CASE WHEN vec_id % 6 = 0 THEN label + 200 WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return store.merge(_as_store(e), _updates(e), "ordinal")
+
+
+@query("upsert_dup_last_wins", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN label + 200 ELSE label + 100 END AS label FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 1000000, label FROM embeddings")
+def upsert_dup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.last_wins(_updates(table(spark, sf_dir, "embeddings")), "id", "ordinal").select("id", "label")
+
+
+@query("delete_filter", "SELECT vec_id AS id, label FROM embeddings WHERE NOT coalesce(label IN (1, 2, 3) AND vec_id > 10, false)")
+def delete_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _as_store(table(spark, sf_dir, "embeddings"))
+    return store.without(e, [MetadataFilter("label", "in", [1, 2, 3]), MetadataFilter("id", "gt", 10)])
+
+
+@query("store_count", "SELECT count(*) AS n, count(*) - count(*) FILTER (WHERE label = 1) AS after_delete, 0 AS after_clear FROM embeddings")
+def store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store.VectorStore(spark, scratch(spark, "store"), 64, T.StructType.fromDDL("id long, label int, embedding array<float>"))
+    s.initialize()
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), "embedding")
+    s.upsert(e)
+    s.upsert(e)
+    n = s.count()
+    s.delete([MetadataFilter("label", "eq", 1)])
+    left = s.count()
+    s.clear()
+    return spark.createDataFrame([(n, left, s.count())], "n long, after_delete long, after_clear int")
+
+
+# -- indexing ------------------------------------------------------------------------
+_BATCH = 50
+
+
+@query("batch_assign", f'WITH RECURSIVE {_windows_sql(800, 150)} SELECT doc_id, i AS "chunkIndex", ((row_number() OVER (ORDER BY doc_id, i) - 1) // {_BATCH} + 1)::INT AS batch FROM c')
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir, 800, 150).select("doc_id", "chunkIndex")
+    return pipeline.with_batches(rows, _BATCH, "doc_id", "chunkIndex").select("doc_id", "chunkIndex", "batch")
+
+
+def _page_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results and batched chunks of documents taken as pages; every batch whose number is a multiple of 7 fails."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"))
+    rows = pipeline.with_batches(_chunks(spark, sf_dir, 800, 150).select("doc_id", "chunkIndex"), _BATCH, "doc_id", "chunkIndex").withColumn("url", F.col("doc_id").cast("string"))
+    per_page = rows.groupBy("url").agg(F.count("*").cast("int").alias("chunks"))
+    base = docs.join(per_page, "url", "left").select("url", F.col("chunks").isNotNull().alias("success"), F.when(F.col("chunks").isNull(), "chunk").alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.lit(None).cast("string").alias("failureReason"))
+    failed = rows.select("batch").distinct().where("batch % 7 = 0").select("batch", F.lit("embed").alias("stage"), F.concat(F.lit("batch "), F.col("batch").cast("string")).alias("reason"))
+    return pipeline.mark_failures(base, rows, failed), rows
+
+
+_SQL_RESULTS = f"""WITH RECURSIVE {_windows_sql(800, 150)},
+b AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id, i) - 1) // {_BATCH} + 1)::INT AS batch FROM c),
+r AS (SELECT d0.doc_id::VARCHAR AS url, count(b.batch)::INT AS chunks, min(b.batch) FILTER (WHERE b.batch % 7 = 0) AS f FROM documents d0 LEFT JOIN b USING (doc_id) GROUP BY d0.doc_id),
+p AS (SELECT url, chunks > 0 AND f IS NULL AS success, CASE WHEN chunks = 0 THEN 'chunk' WHEN f IS NOT NULL THEN 'embed' END AS stage, chunks, CASE WHEN chunks > 0 AND f IS NOT NULL THEN 'batch ' || f END AS "failureReason" FROM r)"""
+
+
+@query("batch_failure_pages", _SQL_RESULTS + ' SELECT url, success, stage, chunks, "failureReason" FROM p')
+def batch_failure_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_results(spark, sf_dir)[0]
+
+
+@query("index_summary", _SQL_RESULTS + ' SELECT count(*) AS "pagesVisited", count(*) FILTER (WHERE success) AS "pagesIndexed", sum(chunks)::BIGINT AS "chunksCreated", (SELECT count(*) FROM b WHERE batch % 7 != 0) AS "chunksStored", count(*) - count(*) FILTER (WHERE success) AS "skippedPages" FROM p')
+def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, rows = _page_results(spark, sf_dir)
+    return pipeline.summarize(results, rows.where("batch % 7 != 0"))
+
+
+# -- embedding, retrieval, answers ----------------------------------------------------------
+DIM = 64
+
+
+@query("hash_embed", f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(trim(lower(text), {_SQL_WHITE}), '\\s+')) AS word FROM documents),
+f AS (SELECT doc_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % {DIM})::INT AS pos, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INT < 8 THEN 1.0 ELSE -1.0 END AS v FROM w WHERE word <> ''),
+s AS (SELECT doc_id, pos, sum(v)::DOUBLE AS v FROM f GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY doc_id)
+SELECT d.doc_id, p.pos::INT AS pos, round(coalesce(CASE WHEN n.norm > 0 THEN s.v / n.norm END, 0.0) + 1e-10, 6) AS value FROM documents d CROSS JOIN range({DIM}) p(pos) LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id AND s.pos = p.pos""")
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embed(F.col("text"), HashEmbedding(DIM))).alias("pos", "value"))
+    return v.select("doc_id", "pos", F.round(F.col("value") + 1e-10, 6).alias("value"))
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chunks(spark, sf_dir, 1000, 200)
+    return c.select(F.concat_ws("#", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunkIndex").cast("string"), 8, "0")).alias("id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), "content", "chunkIndex", "totalChunks", embed(F.col("content"), HashEmbedding(DIM)).alias("embedding"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns, one question each."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+
+
+_SQL_E2E = f"""WITH RECURSIVE {_windows_sql(1000, 200)},
+qs AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'),
+u AS (SELECT 'c' AS kind, lpad(doc_id::VARCHAR, 12, '0') || '#' || lpad(i::VARCHAR, 8, '0') AS k, piece AS t FROM c UNION ALL SELECT 'q', qid::VARCHAR, text FROM qs),
+uw AS (SELECT kind, k, unnest(string_split_regex(trim(lower(t), {_SQL_WHITE}), '\\s+')) AS word FROM u),
+uf AS (SELECT kind, k, ('0x' || substr(md5(word), 1, 8))::BIGINT % {DIM} AS pos, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INT < 8 THEN 1.0 ELSE -1.0 END AS v FROM uw WHERE word <> ''),
+us AS (SELECT kind, k, pos, sum(v)::DOUBLE AS v FROM uf GROUP BY ALL),
+un AS (SELECT kind, k, sqrt(sum(v * v)) AS norm FROM us GROUP BY ALL),
+dots AS (SELECT q.k AS qk, c.k AS ck, sum(q.v * c.v) AS dot FROM us q JOIN us c ON q.kind = 'q' AND c.kind = 'c' AND q.pos = c.pos GROUP BY ALL),
+allp AS (SELECT q.qid, c.k AS id, round(coalesce(CASE WHEN n1.norm * n2.norm > 0 THEN dots.dot / (n1.norm * n2.norm) END, 0.0) + 1e-10, 6) AS score
+  FROM qs q CROSS JOIN (SELECT k FROM u WHERE kind = 'c') c LEFT JOIN un n1 ON n1.kind = 'q' AND n1.k = q.qid::VARCHAR LEFT JOIN un n2 ON n2.kind = 'c' AND n2.k = c.k LEFT JOIN dots ON dots.qk = q.qid::VARCHAR AND dots.ck = c.k),
+top AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM allp QUALIFY rank <= 3),
+hit AS (SELECT top.qid, top.rank, top.score, 'doc:' || c.doc_id AS url, docs.source AS title, c.piece, c.i, c.n FROM top JOIN c ON top.id = lpad(c.doc_id::VARCHAR, 12, '0') || '#' || lpad(c.i::VARCHAR, 8, '0') JOIN documents docs ON docs.doc_id = c.doc_id)"""
+
+
+@query("retrieve_e2e", _SQL_E2E + ' SELECT qid, rank, url, title, (i + 1)::INT AS "chunkNumber", n AS "totalChunks", score AS distance FROM hit')
+def retrieve_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are cut and embedded, every question is answered with its three best chunks, cited."""
+    return chat.citations(chat.retrieve(_questions(spark, sf_dir), _embedded(spark, sf_dir), HashEmbedding(DIM)))
+
+
+def _lead_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a question; its own chunks, in order, are its sources."""
+    c = _chunks(spark, sf_dir, 1000, 200)
+    return c.select(F.col("doc_id").alias("qid"), (F.col("chunkIndex") + 1).alias("rank"), F.lit(0.5).alias("score"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), "content", "chunkIndex", "totalChunks")
+
+
+_SQL_PROMPT = "'" + chat.INSTRUCTIONS.replace("'", "''") + "' || chr(10) || chr(10) || '# Context' || chr(10) || chr(10)"
+
+
+@query("prompt_build", f"""WITH RECURSIVE {_windows_sql(1000, 200)},
+s AS (SELECT c.doc_id, string_agg('[Source ' || (i + 1) || ']' || chr(10) || 'Title: ' || source || chr(10) || 'URL: doc:' || c.doc_id || chr(10) || 'Chunk: ' || (i + 1) || ' of ' || n || chr(10) || chr(10) || piece, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS ctx FROM c JOIN documents USING (doc_id) GROUP BY c.doc_id)
+SELECT doc_id AS qid, md5({_SQL_PROMPT} || coalesce(ctx, '{chat.NO_CONTEXT}') || chr(10) || chr(10) || '# Question' || chr(10) || chr(10) || 'what does ' || source || ' say?' || chr(10) || chr(10) || '# Answer' || chr(10)) AS prompt_md5 FROM documents LEFT JOIN s USING (doc_id)""")
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.concat(F.lit("what does "), F.col("source"), F.lit(" say?")).alias("text"))
+    return chat.prompts(asked, _lead_chunks(spark, sf_dir)).select("qid", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@query("citations", f'WITH RECURSIVE {_windows_sql(1000, 200)} SELECT doc_id AS qid, (i + 1)::INT AS rank, source AS title, \'doc:\' || doc_id AS url, (i + 1)::INT AS "chunkNumber", n AS "totalChunks", 0.5::DOUBLE AS distance FROM c JOIN documents USING (doc_id)')
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.citations(_lead_chunks(spark, sf_dir))
+
+
+@query("chat_answers")
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.ask(_questions(spark, sf_dir), _embedded(spark, sf_dir), HashEmbedding(DIM))
+
+
+# -- requests and errors ------------------------------------------------------------------
+_REQUESTS = [(1, '{"message": "hi"}', None, 3), (2, '{"message": "  "}', "message", 3), (3, '{"message": "x", "topK": 5}', None, 5), (4, '{"message": "x", "topK": 0}', "topK", 0), (5, '{"message": "x", "temperature": 2.5}', "temperature", 3), (6, '{"message": "x", "maxOutputTokens": -1}', "maxOutputTokens", 3), (7, "{broken", "json", 3), (8, '{"message": 7}', "message", 3), (9, '{"message": "x", "topK": "5"}', "topK", 3), (10, '{"topK": 2}', "message", 2)]
+
+
+def _lit(v: object) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+
+
+@query("request_validate", "SELECT id::BIGINT AS id, error, top_k::INT AS top_k, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status FROM (VALUES " + ", ".join(f"({i}, {_lit(e)}, {k})" for i, _, e, k in _REQUESTS) + ") t(id, error, top_k)")
+def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = spark.createDataFrame([(i, b) for i, b, _, _ in _REQUESTS], "id long, body string")
+    return requests.validate_chat(r).select("id", "error", "top_k", requests.status(F.col("error")).alias("status"))
+
+
+_DELAYS = [(1, "Please retry in 12.5s.", None, 12.5), (2, "retry after 3 seconds", None, 3.0), (3, "retryInfo retryDelay: 7s", None, 7.0), (4, "no hint", None, None), (5, "retry in 9s", "40s", 40.0), (6, "", "x", None)]
+
+
+@query("retry_delay", "SELECT id::BIGINT AS id, seconds::DOUBLE AS seconds FROM (VALUES " + ", ".join(f"({i}, {_lit(s)})" for i, _, _, s in _DELAYS) + ") t(id, seconds)")
+def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(i, m, x) for i, m, x, _ in _DELAYS], "id long, message string, detail string")
+    return d.select("id", errors.retry_delay(F.col("message"), F.col("detail")).alias("seconds"))
+
+
+_FAILURES = [(1, 429, "slow down", "rate_limit", True), (2, None, "got 429", "rate_limit", False), (3, None, "fetch failed", "network", True), (4, 503, "busy", "server", True), (5, 501, "none", "server", False), (6, 400, "bad", "transient", False), (7, None, "ECONNREFUSED 1.2.3.4", "network", True), (8, None, "what", "transient", False)]
+
+
+@query("error_class", "SELECT id::BIGINT AS id, category, retryable FROM (VALUES " + ", ".join(f"({i}, {_lit(c)}, {str(r).lower()})" for i, _, _, c, r in _FAILURES) + ") t(id, category, retryable)")
+def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = spark.createDataFrame([(i, s, m) for i, s, m, _, _ in _FAILURES], "id long, status int, message string")
+    return f.select("id", errors.error_category(F.col("status"), F.col("message")).alias("category"), errors.is_retryable(F.col("status"), F.col("message")).alias("retryable"))
+
+
+# -- streaming -------------------------------------------------------------------------
+@query("stream_ingest")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a file stream into a fresh store; returns what the store then holds."""
+    s = store.VectorStore(spark, scratch(spark, "stream-store"), DIM)
+    pages = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/pages.parquet")
+    ingest.ingest(pages, s, HashEmbedding(DIM), scratch(spark, "stream-checkpoint")).awaitTermination()
+    return s.read().select("id", "url", "title", "chunkIndex", "totalChunks")
