@@ -13,9 +13,11 @@ chooses, and positions between are settled from it exactly:
    doubles until all ranks are unique or stand for strings past the threshold.
 3. A window of `length` bytes inside a run with a rank over the threshold is repeated. A window
    whose inner anchors span a run without a rank is unique. What remains are windows near the
-   ends of repeated stretches; those, and one representative of each rank
-   that could equal them, are compared by two 64-bit rolling hashes of all their bytes.
-   Windows without two anchors (periodic or odd text) always take this way.
+   ends of repeated stretches. Those, and one representative of each rank that could equal them, are settled eight
+   at a time: windows that start at most seven bytes before a place aligned to their first anchor share an
+   inner string (unique: so are all eight) and lie in an outer one (repeated: so are all eight).
+   Only starts between the two are compared one by one, by two 64-bit rolling hashes of all their bytes.
+   Windows with one anchor always take part; those without any (periodic or odd text) are compared one by one.
 
 Equal whole texts are one text throughout (with its number of copies), so the largest groups of
 copies cost one copy. Ranks met by very many positions pass through aggregations with
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.textbatch import buffers, mix
-from corpusmill.session import sized_join, written
+from corpusmill.session import discard, sized_join, written
 
 #: Mean distance of anchors.
 GAP = 48
@@ -103,13 +105,14 @@ def rerank(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(named, by).select(*_KEYS, "j", "b", "e", "r")
 
 
-def double(texts: DataFrame, length: int) -> DataFrame:
-    """Ranks of all levels: k1, k2, level, j, r, and rep (the position is the one its rank is named by)."""
+def double(texts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Ranks of all levels: k1, k2, level, j, r, and rep (the position is the one its rank is named by); and the tables behind them."""
     zipped = F.posexplode(F.arrays_zip("starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array("n")).alias("ends"), "names"))
     start = texts.select(*_KEYS, zipped.alias("j", "z")).select(*_KEYS, "j", F.col("z.starts").alias("b"), F.col("z.ends").alias("e"), F.col("z.names").alias("name"))
-    level, out = 0, None
+    level, out, tables = 0, None, []
     ranked = written(rerank(start, ["name"]), "ranks-0")
     while True:
+        tables.append(ranked)
         here = ranked.select(*_KEYS, F.lit(level).alias("level"), "j", "r", (F.col("r") == F.xxhash64(*_KEYS, "j")).alias("rep"))
         out = here if out is None else out.union(here)
         whole, ahead = Window.partitionBy(*_KEYS), Window.partitionBy(*_KEYS).orderBy("j").rangeBetween(1 << level, 1 << level)
@@ -119,7 +122,7 @@ def double(texts: DataFrame, length: int) -> DataFrame:
         level += 1
         ranked = written(rerank(pairs.withColumnRenamed("r", "r1"), ["r1", "r2"]), f"ranks-{level}")
         if ranked.limit(1).count() == 0:
-            return out
+            return out, [*tables, ranked]
 
 
 def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int):
@@ -158,13 +161,14 @@ def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray,
         key[at] = mix(mix(rank[x].view(np.uint64) + n_phr[at].astype(np.uint64)) ^ rank[y].view(np.uint64)) | np.uint64(1)
     sure, by_rep = np.cumsum(certain[:-1]) > 0, np.cumsum(rep[:-1]) > 0
     compare = possible & (~sure | by_rep)
-    return lo[sure], hi[sure], lo[compare], hi[compare], ~sure[compare], key[compare]
+    first_anchor = np.where(n_phr >= 0, ends[np.minimum(i1, m)], -1)
+    return lo[sure], hi[sure], lo[compare], hi[compare], ~sure[compare], key[compare], first_anchor[compare]
 
 
 def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
     """Per text: intervals of window starts surely repeated (sure), and runs of starts to compare (runs)."""
     per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.struct("level", "j", "r", "rep")).alias("ranks"))
-    rows = texts.select("id", *_KEYS, "n", "first", "starts").join(per_text, list(_KEYS), "left")
+    rows = texts.select("id", "copies", *_KEYS, "n", "first", "starts").join(per_text, list(_KEYS), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,16 +195,16 @@ def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
                 return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(cols, names=names))
 
             if len(batch):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *_KEYS)), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64], ["lo", "hi", "open", "key"])], names=["id", *_KEYS, "sure", "runs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", *_KEYS)), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64, np.int32], ["lo", "hi", "open", "key", "p"])], names=["id", "copies", *_KEYS, "sure", "runs"])
 
-    return rows.mapInArrow(run, "id long, k1 long, k2 long, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint>>")
+    return rows.mapInArrow(run, "id long, copies long, k1 long, k2 long, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint,p:int>>")
 
 
 class Roller:
     """Two rolling hashes of the windows of a byte range."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.powers = length, [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
+    def __init__(self) -> None:
+        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
 
     def _grow(self, n: int) -> None:
         for i, base in enumerate(_BASES):
@@ -208,60 +212,106 @@ class Roller:
                 size = max(n, 1 << 16)
                 self.powers[i] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
 
-    def windows(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows that start at lo..hi."""
-        part = data[lo : hi + self.length]
+    def at(self, data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the strings of `length` bytes at sorted starts; neighbours are rolled over together."""
+        h1, h2 = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        if not len(starts):
+            return h1, h2
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(starts) > length]))
+        tails = np.append(heads[1:], len(starts))
+        for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
+            for c in range(int(starts[a]), int(starts[b - 1]) + 1, _STEP):
+                d = min(c + _STEP, int(starts[b - 1]) + 1)
+                x, y = np.searchsorted(starts[a:b], [c, d]) + a
+                w1, w2 = self.windows(data, c, d - 1, length)
+                h1[x:y], h2[x:y] = w1[starts[x:y] - c], w2[starts[x:y] - c]
+        return h1, h2
+
+    def windows(self, data: np.ndarray, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the strings of `length` bytes that start at lo..hi."""
+        part = data[lo : hi + length]
         self._grow(len(part) + 1)
         out = []
         for (up, down), table in zip(self.powers, _ROLL, strict=True):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[part] * up[: len(part)], dtype=np.uint64)])
-            out.append(mix((total[self.length :] - total[: -self.length]) * down[: hi - lo + 1]))
+            out.append(mix((total[length:] - total[:-length]) * down[: hi - lo + 1]))
         return out[0], out[1]
 
 
-def compare(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) -> DataFrame:
-    """Hashes of the windows in `runs`: k1, k2, lo, hi, h1, h2, open. Rows without hashes are starts repeated in their own text."""
+#: Starts that are settled together.
+_GROUP = 8
+
+
+def _per_text(src: DataFrame, wanted: DataFrame, wanted_bytes: int, fields: list[str], schema: str, of) -> DataFrame:
+    """Run `of(data, *fields of the text's sorted runs)` over every wanted text; it gives one array a column of `schema` after k1 and k2."""
     rows = sized_join(src, wanted, ["id", *_KEYS], "inner", wanted_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(length)
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, off = buffers(part.column("text"))
                 runs = part.column("runs")
                 r_off = runs.offsets.to_numpy()
-                los, his, opens = (runs.values.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi", "open"))
+                values = [runs.values.field(x).to_numpy(zero_copy_only=False) for x in fields]
                 k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
+                made = []
                 for i in range(len(part)):
-                    data, at = raw[off[i] : off[i + 1]], slice(r_off[i], r_off[i + 1])
-                    order = np.argsort(los[at])
-                    lo, hi, is_open = los[at][order].astype(np.int64), his[at][order].astype(np.int64), opens[at][order].astype(bool)
-                    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-                    needed = np.repeat(is_open, hi - lo + 1)
-                    # Ranges that touch are rolled over together.
-                    heads = np.flatnonzero(np.concatenate([[True], (np.diff(starts) > length)]))
-                    tails = np.append(heads[1:], len(starts))
-                    h1, h2 = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-                    for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
-                        for c in range(int(starts[a]), int(starts[b - 1]) + 1, _STEP):
-                            d = min(c + _STEP, int(starts[b - 1]) + 1)
-                            x, y = np.searchsorted(starts[a:b], [c, d]) + a
-                            w1, w2 = roller.windows(data, c, d - 1)
-                            h1[x:y], h2[x:y] = w1[starts[x:y] - c], w2[starts[x:y] - c]
-                    _, one, back, count = np.unique(h1 ^ mix(h2), return_index=True, return_inverse=True, return_counts=True)
-                    # Repeated inside the text: settled here; one of them still stands for the others elsewhere.
-                    here = needed & (count > 1)[back]
-                    s, e = _intervals(starts[here])
-                    k = len(one)
-                    ask = needed[one] & (count == 1)
-                    size = k + len(s)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(size, k1[i])), pa.array(np.full(size, k2[i])), pa.array(np.concatenate([starts[one], s]).astype(np.int32)), pa.array(np.concatenate([starts[one], e]).astype(np.int32)),
-                         pa.array(np.concatenate([h1[one].view(np.int64), np.zeros(len(s), np.int64)]), mask=np.arange(size) >= k), pa.array(np.concatenate([h2[one].view(np.int64), np.zeros(len(s), np.int64)])), pa.array(np.concatenate([ask, np.zeros(len(s), bool)]))],
-                        names=["k1", "k2", "lo", "hi", "h1", "h2", "open"],
-                    )
-
-    return rows.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 long, k2 long, lo int, hi int, h1 long, h2 long, open boolean")
+                    own = [v[r_off[i] : r_off[i + 1]] for v in values]
+                    order = np.argsort(own[0], kind="stable")
+                    cols = of(raw[off[i] : off[i + 1]], *[v[order] for v in own])
+                    made.append((np.full(len(cols[0]), k1[i]), np.full(len(cols[0]), k2[i]), *cols))
+                if made:
+                    arrays = [np.concatenate(c) for c in zip(*made, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k1", "k2", *(f.split()[0] for f in schema.split(", "))])
+
+    return rows.select("k1", "k2", "text", "runs").mapInArrow(run, f"k1 long, k2 long, {schema}")
+
+
+def grouped(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) -> DataFrame:
+    """Groups of _GROUP starts of the runs that have an anchor p: at (the last start), inner and outer hash, open (any start is)."""
+    roller = Roller()
+
+    def of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, is_open: np.ndarray, p: np.ndarray):
+        some = p >= 0
+        lo, hi, is_open, p = lo[some].astype(np.int64), hi[some].astype(np.int64), is_open[some].astype(bool), p[some].astype(np.int64)
+        near, far = (p - hi) // _GROUP, (p - lo) // _GROUP
+        count = far - near + 1
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(p - _GROUP * near, count) - _GROUP * step
+        places, back = np.unique(at, return_inverse=True)
+        opened = np.zeros(len(places), bool)
+        np.logical_or.at(opened, back, np.repeat(is_open, count))
+        inner, _ = roller.at(data, places, length - _GROUP + 1)
+        fits = (places >= _GROUP - 1) & (places + length <= len(data))
+        outer = np.zeros(len(places), np.uint64)
+        outer[fits] = roller.at(data, places[fits] - _GROUP + 1, length + _GROUP - 1)[1] | np.uint64(1)
+        return places.astype(np.int32), inner.view(np.int64), outer.view(np.int64), opened
+
+    return _per_text(src, wanted, wanted_bytes, ["lo", "hi", "open", "p"], "at int, inner long, outer long, open boolean", of)
+
+
+def single(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) -> DataFrame:
+    """Hashes of the windows that start in the runs: lo, hi, h1, h2, open. Rows with hashed = false are starts repeated in their own text."""
+    roller = Roller()
+
+    def of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, is_open: np.ndarray):
+        lo, hi = np.maximum(lo.astype(np.int64), 0), np.minimum(hi.astype(np.int64), len(data) - length)
+        count = np.maximum(hi - lo + 1, 0)
+        every = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts, back = np.unique(every, return_inverse=True)
+        needed = np.zeros(len(starts), bool)
+        np.logical_or.at(needed, back, np.repeat(is_open.astype(bool), count))
+        h1, h2 = roller.at(data, starts, length)
+        _, one, back, times = np.unique(h1 ^ mix(h2), return_index=True, return_inverse=True, return_counts=True)
+        # Repeated inside the text: settled here; one of them still stands for the others elsewhere.
+        s, e = _intervals(starts[needed & (times > 1)[back]])
+        none = np.zeros(len(s), np.int64)
+        return (
+            np.concatenate([starts[one], s]).astype(np.int32), np.concatenate([starts[one], e]).astype(np.int32), np.concatenate([h1[one].view(np.int64), none]), np.concatenate([h2[one].view(np.int64), none]),
+            np.concatenate([needed[one] & (times == 1), none.astype(bool)]), np.concatenate([np.ones(len(one), bool), none.astype(bool)]),
+        )
+
+    return _per_text(src, wanted, wanted_bytes, ["lo", "hi", "open"], "lo int, hi int, h1 long, h2 long, open boolean, hashed boolean", of)
 
 
 def _intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,23 +326,47 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     """Per distinct text with something to remove: k1, k2, copies, and the intervals of starts of repeated windows."""
     found = phrases(src, length)
     texts = written(found.groupBy(*_KEYS).agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "starts", "names")]), "phrases")
-    settled = written(settle(texts, double(texts, length), length), "settled")
-    runs = settled.select("id", *_KEYS, F.explode("runs").alias("x")).select("id", *_KEYS, "x.*")
-    place = F.xxhash64(*_KEYS, "lo")
-    asked = runs.where("key != 0").groupBy("key").agg(F.max("open").alias("some"), F.min(place).alias("p"), F.max(place).alias("q")).where("some AND p < q").select("key")
-    kept = runs.where("key != 0").join(asked, "key", "left_semi").select("id", *_KEYS, "lo", "hi", "open")
-    kept = kept.union(runs.where("key = 0").select("id", *_KEYS, "lo", "hi", "open"))
-    wanted = written(kept.groupBy("id", *_KEYS).agg(F.collect_list(F.struct("lo", "hi", "open")).alias("runs")), "to-compare")
-    weigh = wanted.agg(F.sum(F.size("runs") * 16 + 64).alias("b")).first()["b"] or 0
-    hashed = written(compare(src, wanted, weigh, length), "windows")
+    ranks, tables = double(texts, length)
+    settled = written(settle(texts, ranks, length), "settled")
+    discard(texts, *tables)
     spot = F.xxhash64(*_KEYS, "lo")
-    again = hashed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(spot).alias("p"), F.max(spot).alias("q"), F.max("open").alias("some")).where("some AND p < q").select("h1", "h2")
-    elsewhere = hashed.where("open AND h1 IS NOT NULL").join(again, ["h1", "h2"], "left_semi").select(*_KEYS, "lo", "hi")
-    inside = hashed.where("h1 IS NULL").select(*_KEYS, "lo", "hi")
+    run = F.struct("lo", "hi", "open", "p")
+    runs = settled.select("id", *_KEYS, F.explode("runs").alias("x")).select("id", *_KEYS, "x.*")
+    asked = runs.where("key != 0").groupBy("key").agg(F.max("open").alias("some"), F.min(spot).alias("first"), F.max(spot).alias("last")).where("some AND first < last").select("key")
+    kept = runs.where("key != 0").join(asked, "key", "left_semi").select("id", *_KEYS, run.alias("run"))
+    kept = kept.union(runs.where("key = 0").select("id", *_KEYS, run.alias("run")))
+    wanted, weigh = _gathered(kept, "to-group")
+    groups = written(grouped(src, wanted, weigh, length), "groups")
+    place = F.xxhash64(*_KEYS, "at")
+    twice = lambda by: groups.groupBy(by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(by)
+    outer = groups.where("outer != 0 AND open").join(twice("outer").where("outer != 0"), "outer", "left_semi").select(*_KEYS, "at")
+    outer = written(outer, "outer-groups")
+    left = written(groups.where("open").select(*_KEYS, "at", "inner").join(outer, [*_KEYS, "at"], "left_anti").join(twice("inner"), "inner", "left_semi"), "open-groups")
+    # Every group with the inner string of an open one takes part; only open ones ask.
+    part = groups.join(left.select("inner").distinct(), "inner", "left_semi").select(*_KEYS, "at")
+    part = part.join(left.select(*_KEYS, "at", F.lit(True).alias("open")), [*_KEYS, "at"], "left").select(*_KEYS, "at", F.coalesce("open", F.lit(False)).alias("open"))
+    ids = settled.select("id", *_KEYS)
+    last = F.col("at")
+    alone = part.join(ids, list(_KEYS)).select("id", *_KEYS, F.struct((last - (_GROUP - 1)).alias("lo"), last.alias("hi"), "open", F.lit(-1).alias("p")).alias("run"))
+    bare = kept.where("run.p < 0").select("id", *_KEYS, "run")
+    wanted_one, weigh_one = _gathered(alone.union(bare), "to-compare")
+    hashed = written(single(src, wanted_one, weigh_one, length), "windows")
+    again = hashed.where("hashed").groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.max("open").alias("some")).where("some AND first < last").select("h1", "h2")
+    elsewhere = hashed.where("open AND hashed").join(again, ["h1", "h2"], "left_semi").select(*_KEYS, "lo", "hi")
+    inside = hashed.where("NOT hashed").select(*_KEYS, "lo", "hi")
     sure = settled.select(*_KEYS, F.explode("sure").alias("x")).select(*_KEYS, "x.*")
-    marks = sure.union(elsewhere).union(inside).groupBy(*_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    out = texts.select(*_KEYS, "copies").join(marks, list(_KEYS), "left").where("copies > 1 OR marks IS NOT NULL")
-    return written(out.select(*_KEYS, "copies", F.when(F.col("copies") < 2, F.col("marks")).alias("marks")), "marks")
+    whole = outer.select(*_KEYS, (last - (_GROUP - 1)).alias("lo"), last.alias("hi"))
+    marks = sure.union(elsewhere).union(inside).union(whole).groupBy(*_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    out = settled.select(*_KEYS, "copies").join(marks, list(_KEYS), "left").where("copies > 1 OR marks IS NOT NULL")
+    result = written(out.select(*_KEYS, "copies", F.when(F.col("copies") < 2, F.col("marks")).alias("marks")), "marks")
+    discard(settled, wanted, groups, outer, left, wanted_one, hashed)
+    return result
+
+
+def _gathered(runs: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Runs per text, written, and their size in bytes."""
+    out = written(runs.groupBy("id", *_KEYS).agg(F.collect_list("run").alias("runs")), label)
+    return out, out.agg(F.sum(F.size("runs") * 16 + 64).alias("b")).first()["b"] or 0
 
 
 def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", kept_col: str = "kept") -> DataFrame:
