@@ -55,8 +55,10 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
         if len(block) == QUERY_BLOCK:
             parts.append(_block(rows, block, k, metric, schema))
             block = []
-    if block or not parts:
+    if block:
         parts.append(_block(rows, block, k, metric, schema))
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema).select("qid", F.lit(0).alias("rank"), "id", "score")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -73,7 +75,7 @@ def _block(rows: DataFrame, block: list, k: int, metric: str, schema: str) -> Da
         best: list[tuple[np.ndarray, list]] = [(np.zeros(0), [])] * len(ids)
         qn = np.sqrt((mat**2).sum(axis=1))
         for batch in batches:
-            if not len(batch) or not ids:
+            if not len(batch):
                 continue
             own = batch.column("id").to_pylist()
             x = np.asarray(batch.column("v").to_pylist(), np.float64)
@@ -96,6 +98,7 @@ def _block(rows: DataFrame, block: list, k: int, metric: str, schema: str) -> Da
                 best[i] = (both_s[order], [both[j] for j in order])
         sign = -1.0 if metric == "cosine" else 1.0
         flat = [(ids[i], d, float(sign * a) + 0.0) for i, (s, own) in enumerate(best) for a, d in zip(s, own, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat]), pa.array([f[1] for f in flat]), pa.array([f[2] for f in flat], pa.float64())], names=["qid", "id", "score"]) if flat else pa.RecordBatch.from_pylist([], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat]), pa.array([f[1] for f in flat]), pa.array([f[2] for f in flat], pa.float64())], names=["qid", "id", "score"])
 
     return rows.mapInArrow(run, schema)

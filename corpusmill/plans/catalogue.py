@@ -450,6 +450,7 @@ def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a file stream into a fresh store; returns what the store then holds."""
     s = store.VectorStore(spark, scratch(spark, "stream-store"), DIM)
-    pages = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/pages.parquet")
+    # A pattern, as a table may be one file or a folder of files; a plain path must be a folder for a file stream.
+    pages = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/pages.parque[t]")
     ingest.ingest(pages, s, HashEmbedding(DIM), scratch(spark, "stream-checkpoint")).awaitTermination()
     return s.read().select("id", "url", "title", "chunkIndex", "totalChunks")
