@@ -57,6 +57,11 @@ def max_difference(a, b, percent: int):
     return a + b - 2 * common
 
 
+def band_difference(top, percent: int):
+    """Largest symmetric difference of any linked sets no larger than `top`. max_difference itself is not monotone in the sizes."""
+    return 2 * top * (100 - percent) // (100 + percent)
+
+
 _SIGNED = "id long, n int, fp1 long, fp2 long, keys array<bigint>, sketch binary"
 
 
@@ -97,7 +102,7 @@ def _keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, band: np.ndarray, who:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     pick = who[doc]
     b = band[some]
-    parts = max_difference(tops[b], tops[b], percent) + 1
+    parts = band_difference(tops[b], percent) + 1
     words, start = sketch_words(h[pick], (np.cumsum(who) - 1)[doc[pick]], parts)
     owner = np.repeat(np.arange(len(some)), parts)
     place = np.arange(len(words)) - start[owner]
