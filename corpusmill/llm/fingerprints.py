@@ -5,9 +5,8 @@ half) over the word shingles, one (a, b) each. The share of equal components of
 signatures estimates the Jaccard similarity of the shingle sets. All of it is vectorised numpy over Arrow
 batches; a batch's shingles are hashed once and each permutation is one pass over them.
 
-Near duplicates: bands of rows of the signature are join keys. Equal sets collapse to one class
-first; within a key every member is linked to candidates by a sorted chain of blocks (see
-`near_duplicates`), and candidates are verified on the shingle sets.
+Near duplicates: bands of rows of the signature are join keys. Equal sets collapse to one class first, members of
+a key are paired as in the n-gram join, and candidates are verified on the shingle sets.
 
 Defined results: texts with fewer words than a shingle are one shingle; a text without words has the signature of
 the empty set (all components at their top value), equal to that of every such text and to
@@ -24,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm import ngram_join
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.components import components
-from corpusmill.llm.ngram_join import hashed_sets
 from corpusmill.llm.textbatch import Words, buffers, shingles, steps
 from corpusmill.session import written
 
@@ -75,34 +74,27 @@ def banding(threshold: float, perms: int = PERMS) -> int:
     return max(r for r in range(1, 33) if perms % r == 0 and 1 - (1 - threshold**r) ** (perms // r) >= 0.999)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, perms: int = PERMS, size: int = SHINGLE) -> DataFrame:
-    """id, component_id and links per row: bands joined in Spark, Jaccard verified on the shingle sets.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, perms: int = PERMS, size: int = SHINGLE) -> DataFrame:
+    """id and component_id per row: bands joined in Spark, Jaccard (100 * common >= percent * union) verified on the shingle sets.
 
-    Equal signatures are one class. In every band, classes with the key are chained: each is a candidate with the
-    class before it and the least one (two rows a member, never all pairs of a group); verified
-    candidates merge, and bands are met again by the merged groups' other members through their own chains.
-    A pair that no chain of any band connects is not found; the recall of groups is measured in the tests.
+    Equal sets are one class. Within a band's key first every class meets the first it can link with, then all classes that
+    verified links do not connect yet, block by block: a pair with a band in common is never lost, and a
+    large group of near copies costs its members, not their pairs. Bands find a pair at the threshold with probability 0.999.
     """
-    from pyspark.sql import Window
-
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    signed = written(minhash(src, perms=perms, size=size).select("id", "signature"), "signatures")
-    cls = signed.groupBy("signature").agg(F.min("id").alias("class"))
-    members = written(signed.join(cls, "signature").select("id", "class", "signature"), "signature-classes")
-    rows = banding(threshold, perms)
-    reps = members.where("id = class AND signature != unhex(repeat('FF', %d))" % (4 * perms)).dropDuplicates(["id"])
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(perms // rows - 1)), lambda i: F.xxhash64(i, F.expr("signature").substr(i * (4 * rows) + 1, F.lit(4 * rows)))))
-    keyed = reps.select(F.col("id"), band.alias("key"))
-    w = Window.partitionBy("key").orderBy("id")
-    near = keyed.select("id", F.lag("id").over(w).alias("before"), F.min("id").over(Window.partitionBy("key")).alias("least"))
-    pairs = near.where("before IS NOT NULL").select(F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("id").alias("b")), F.struct(F.col("least").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    pairs = written(pairs, "signature-pairs")
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(hashed_sets(src.join(need, "id", "left_semi"), size), "signature-sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("c"))
-    links = both.where(F.col("c") >= F.lit(threshold) * (F.col("n") - F.col("c"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = components(links).withColumnRenamed("node", "class")
+    base = written(ngram_join.signed(src, percent, size).select("id", "n", "fp1", "fp2", "sketch"), "print-sets")
+    cls = base.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("class"))
+    filled = base.where("n > 0").join(cls, ["n", "fp1", "fp2"])
+    members = written(filled.select("id", "class").union(base.where("n = 0").select("id", F.col("id").alias("class"))), "print-members")
+    reps = written(filled.where("id = class").dropDuplicates(["id"]).select("id", "n", "sketch"), "print-sketches")
+    signed = minhash(src, perms=perms, size=size).select("id", "signature").dropDuplicates(["id"]).join(reps.select("id"), "id")
+    rows = banding(percent / 100, perms)
+    band = F.transform(F.sequence(F.lit(0), F.lit(perms // rows - 1)), lambda i: F.xxhash64(i, F.col("signature").substr(i * (4 * rows) + 1, F.lit(4 * rows))))
+    shared = written(ngram_join.shared_keys(signed.select(F.explode(band).alias("key"), "id")), "print-keys")
+    first = written(ngram_join.verify(written(ngram_join.first_candidates(shared, reps, percent), "print-pairs"), src, percent, size), "print-links")
+    comp = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    more = ngram_join.verify(written(ngram_join.open_candidates(shared, reps, comp, percent), "print-open"), src, percent, size)
+    comp = components(first.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "class")
     return members.join(comp, "class", "left").select(F.col("id").alias(id_col), F.coalesce("component", "class").alias("component_id"))
 
 
