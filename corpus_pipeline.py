@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import bpe, mixing, ngram_join, quality_rules, suffix_dedup
-from corpusmill.session import table, written
+from corpusmill.session import sized_join, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group stays, that of the smallest id; rows that repeat this id stay with it."""
     groups = ngram_join.linked_components(docs, size=3, percent=90)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(written(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    # Ids of the documents that go; broadcast only while they are few, so that texts need not be shuffled.
+    return sized_join(docs.select(*COLUMNS), gone, ["doc_id"], "left_anti", 16 * gone.count()).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
