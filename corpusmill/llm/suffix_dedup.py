@@ -5,8 +5,8 @@ document or at another place of the same one) goes. Naming every byte position w
 many times over, so the doubling runs on a sample of positions that the text itself
 chooses, and positions between are settled from it exactly:
 
-1. An anchor is a position whose next 8 bytes hash under a bound (one in GAP). Equal strings have equal
-   anchors. Anchors (and the ends of the text) cut a text into phrases, named by content.
+1. An anchor is a position whose next 16 bytes hash under a bound (one in GAP). Equal strings have equal
+   anchors. Anchors (and the ends of the text) cut a text into phrases, named by their bytes and the 16 that follow.
 2. Prefix doubling: position j has the rank of its first 2^k phrases. Spark brings equal pairs
    (rank of j, rank of j + 2^k) together, gives each repeated pair one new rank (the
    least position that has it) and drops positions whose pair is unique; the offset
@@ -46,7 +46,7 @@ from corpusmill.session import discard, sized_join, written
 
 #: Mean distance of anchors.
 GAP = 48
-_CONTEXT = 8
+_CONTEXT = 16
 _ROLL = np.random.default_rng(20240229).integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: Positions whose windows are hashed in one numpy step.
@@ -54,12 +54,13 @@ _STEP = 1 << 20
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
-    """Positions whose next 8 bytes hash under the bound."""
+    """Positions whose next 16 bytes hash under the bound."""
     if len(data) < _CONTEXT:
         return np.zeros(0, np.int64)
     raw = data.tobytes()
-    eight = np.ndarray((len(raw) - _CONTEXT + 1,), dtype="<u8", buffer=raw, strides=(1,))
-    return np.flatnonzero((eight * np.uint64(_BASES[0])) >> np.uint64(32) < np.uint64((1 << 32) // GAP))
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,)) * np.uint64(_BASES[0])
+    both = (eight[:-8] ^ (eight[8:] >> np.uint64(29))) * np.uint64(_BASES[1])
+    return np.flatnonzero(both >> np.uint64(32) < np.uint64((1 << 32) // GAP))
 
 
 _KEYS = ("k1", "k2")
@@ -86,7 +87,7 @@ def phrases(src: DataFrame, length: int) -> DataFrame:
                     at = np.concatenate([np.zeros(true, np.int64), at])
                     body = data.tobytes()
                     ends = [*at[1:].tolist(), b - a]
-                    names.append(np.fromiter((xxhash.xxh3_64_intdigest(body[s:e]) for s, e in zip(at.tolist(), ends, strict=True)), np.uint64, len(at)))
+                    names.append(np.fromiter((xxhash.xxh3_64_intdigest(body[s : e + _CONTEXT]) for s, e in zip(at.tolist(), ends, strict=True)), np.uint64, len(at)))
                     starts.append(at)
                     first.append(true)
                 cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32))
@@ -252,7 +253,9 @@ def _per_text(src: DataFrame, wanted: DataFrame, wanted_bytes: int, fields: list
                 raw, off = buffers(part.column("text"))
                 runs = part.column("runs")
                 r_off = runs.offsets.to_numpy()
-                values = [runs.values.field(x).to_numpy(zero_copy_only=False) for x in fields]
+                where, what = runs.values.to_numpy(zero_copy_only=False), part.column("about").values.to_numpy(zero_copy_only=False)
+                unpacked = {"lo": where >> 32, "hi": where & 0xFFFFFFFF, "open": (what & 1).astype(bool), "p": what >> 1}
+                values = [unpacked[x] for x in fields]
                 k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
                 made = []
                 for i in range(len(part)):
@@ -264,7 +267,7 @@ def _per_text(src: DataFrame, wanted: DataFrame, wanted_bytes: int, fields: list
                     arrays = [np.concatenate(c) for c in zip(*made, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k1", "k2", *(f.split()[0] for f in schema.split(", "))])
 
-    return rows.select("k1", "k2", "text", "runs").mapInArrow(run, f"k1 long, k2 long, {schema}")
+    return rows.select("k1", "k2", "text", "runs", "about").mapInArrow(run, f"k1 long, k2 long, {schema}")
 
 
 def grouped(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) -> DataFrame:
@@ -323,7 +326,7 @@ def _intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_starts(src: DataFrame, length: int) -> DataFrame:
-    """Per distinct text with something to remove: k1, k2, copies, and the intervals of starts of repeated windows."""
+    """Per distinct text with something to remove: k1, k2, copies, and the byte ranges (null where the whole text goes)."""
     found = phrases(src, length)
     texts = written(found.groupBy(*_KEYS).agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "starts", "names")]), "phrases")
     ranks, tables = double(texts, length)
@@ -356,47 +359,64 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     inside = hashed.where("NOT hashed").select(*_KEYS, "lo", "hi")
     sure = settled.select(*_KEYS, F.explode("sure").alias("x")).select(*_KEYS, "x.*")
     whole = outer.select(*_KEYS, (last - (_GROUP - 1)).alias("lo"), last.alias("hi"))
-    marks = sure.union(elsewhere).union(inside).union(whole).groupBy(*_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+    marks = sure.union(elsewhere).union(inside).union(whole).groupBy(*_KEYS).agg(F.collect_list(packed).alias("marks"))
     out = settled.select(*_KEYS, "copies").join(marks, list(_KEYS), "left").where("copies > 1 OR marks IS NOT NULL")
-    result = written(out.select(*_KEYS, "copies", F.when(F.col("copies") < 2, F.col("marks")).alias("marks")), "marks")
+    result = written(_spans(out.select(*_KEYS, "copies", F.when(F.col("copies") < 2, F.col("marks")).alias("marks")), length), "spans")
     discard(settled, wanted, groups, outer, left, wanted_one, hashed)
     return result
 
 
 def _gathered(runs: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Runs per text, written, and their size in bytes."""
-    out = written(runs.groupBy("id", *_KEYS).agg(F.collect_list("run").alias("runs")), label)
-    return out, out.agg(F.sum(F.size("runs") * 16 + 64).alias("b")).first()["b"] or 0
+    """Runs per text, packed in two arrays of long (place: lo, hi; about: p, open), written, and their size in bytes."""
+    place = F.shiftleft(F.col("run.lo").cast("long"), 32).bitwiseOR(F.col("run.hi").cast("long"))
+    about = F.shiftleft(F.col("run.p").cast("long"), 1).bitwiseOR(F.col("run.open").cast("long"))
+    out = written(runs.groupBy("id", *_KEYS).agg(F.collect_list(place).alias("runs"), F.collect_list(about).alias("about")), label)
+    return out, out.agg(F.sum(F.size("runs") * 16 + 96).alias("b")).first()["b"] or 0
+
+
+def _spans(marks: DataFrame, length: int) -> DataFrame:
+    """marks (starts lo..hi of repeated windows) merged into maximal byte ranges, packed as start and stop in one long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("marks")
+            off, packed, none = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False), col.is_null().to_numpy(zero_copy_only=False)
+            out = []
+            for i in range(len(batch)):
+                x = np.sort(packed[off[i] : off[i + 1]])
+                if none[i] or not len(x):
+                    out.append(None)
+                    continue
+                lo, stop = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF) + length
+                new = np.flatnonzero(lo[1:] > stop[:-1]) + 1
+                out.append((lo[np.concatenate([[0], new])] << 32) | stop[np.concatenate([new - 1, [len(lo) - 1]])])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_KEYS, "copies")), pa.array(out, pa.list_(pa.int64()))], names=[*_KEYS, "copies", "spans"])
+
+    return marks.select(*_KEYS, "copies", "marks").mapInArrow(run, "k1 long, k2 long, copies long, spans array<bigint>")
 
 
 def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", kept_col: str = "kept") -> DataFrame:
     """The table with `spans_col`, the maximal removed byte ranges [start, stop), and `kept_col`, the remaining bytes."""
     marks = repeated_starts(_source(df, id_col, text_col), length)
-    weigh = marks.agg(F.sum(F.coalesce(F.size("marks"), F.lit(0)) * 8 + 64).alias("b")).first()["b"] or 0
+    weigh = marks.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 8 + 64).alias("b")).first()["b"] or 0
     keep = [c for c in df.columns if c not in (spans_col, kept_col)]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Only struct fields, so that no column of the table can clash with ours.
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    rows = sized_join(rows, marks, list(_KEYS), "left", weigh).select("row", "text", "copies", "marks")
+    rows = sized_join(rows, marks, list(_KEYS), "left", weigh).select("row", "text", "copies", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                copies, marks = part.column("copies").to_pylist(), part.column("marks")
+                copies, ranges = part.column("copies").to_pylist(), part.column("spans").to_pylist()
                 spans, kept = [], []
                 for i, text in enumerate(part.column("text")):
-                    data = text.as_buffer().to_pybytes() if len(text.as_py()) else b""
+                    data = text.as_py().encode()
                     if (copies[i] or 0) > 1:
                         cut = [(0, len(data))]
-                    elif copies[i]:
-                        x = marks[i].values
-                        lo, hi = x.field("lo").to_numpy(), x.field("hi").to_numpy()
-                        order = np.argsort(lo)
-                        lo, stop = lo[order].astype(np.int64), np.maximum.accumulate(hi[order].astype(np.int64)) + length
-                        new = np.flatnonzero(lo[1:] > stop[:-1]) + 1
-                        cut = list(zip(lo[np.concatenate([[0], new])].tolist(), stop[np.concatenate([new - 1, [len(lo) - 1]])].tolist(), strict=True))
                     else:
-                        cut = []
+                        cut = [(x >> 32, x & 0xFFFFFFFF) for x in ranges[i] or []]
                     spans.append([{"start": a, "stop": b} for a, b in cut])
                     edges = [0, *[x for s in cut for x in s], len(data)]
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
