@@ -279,7 +279,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     reps = filled.where("id = class").dropDuplicates(["n", "fp1", "fp2"])
     sketches = written(reps.select("id", "n", "sketch"), "sketches")
     shared = written(shared_keys(reps.select(F.explode("keys").alias("key"), "id")), "shared-keys")
-    first = written(verify(written(first_candidates(shared, sketches, percent), "pairs"), src, percent, size), "links")
+    # Two partners a member are enough to connect most of a group; the next round meets whatever stays apart.
+    ends = first_candidates(shared, sketches, percent).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
+    first = written(verify(written(ends.select(F.explode("a").alias("a"), "b"), "pairs"), src, percent, size), "links")
     comp = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     more = verify(written(open_candidates(shared, sketches, comp, percent), "open-pairs"), src, percent, size)
     return members, first.union(more)
