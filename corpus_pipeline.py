@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group stays, that of the smallest id; rows that repeat this id stay with it."""
-    groups = ngram_join.linked_components(docs, size=3, percent=90)
+    """One document of each group linked at 5 words and 0.8 stays, that of the smallest id; rows that repeat this id stay with it."""
+    groups = ngram_join.linked_components(docs, size=5, percent=80)
     gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
     # Ids of the documents that go; broadcast only while they are few, so that texts need not be shuffled.
     return sized_join(docs.select(*COLUMNS), gone, ["doc_id"], "left_anti", 16 * gone.count()).select(*COLUMNS)
