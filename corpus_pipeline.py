@@ -26,11 +26,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 5 words and 0.8 stays, that of the smallest id; rows that repeat this id stay with it."""
+    """One row of each group linked at 5 words and 0.8 stays, that of the smallest id (null last)."""
+    docs = docs.select(*COLUMNS)
+    again = written(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "repeated-ids")
+    n = again.count()
+    if n:
+        return _near_copies_of_repeated_ids(docs, again, n)
     groups = ngram_join.linked_components(docs, size=5, percent=80)
-    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    gone = written(groups.where("doc_id != component_id").select("doc_id"), "near-copies")
     # Ids of the documents that go; broadcast only while they are few, so that texts need not be shuffled.
-    return sized_join(docs.select(*COLUMNS), gone, ["doc_id"], "left_anti", 16 * gone.count()).select(*COLUMNS)
+    return sized_join(docs, gone, ["doc_id"], "left_anti", 16 * gone.count()).select(*COLUMNS)
+
+
+def _near_copies_of_repeated_ids(docs: DataFrame, again: DataFrame, n: int) -> DataFrame:
+    """near_copies where ids are null or repeat. Such rows go by a 64-bit hash of id and text, so other texts of an id are other documents."""
+    again = again.select("id", F.lit(True).alias("again"))
+    with_again = docs.join(F.broadcast(again) if n <= ngram_join.BROADCAST_IDS else again, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    keyed = with_again.select(*COLUMNS, F.coalesce("again", F.lit(False)).alias("again"), F.when(F.col("again"), hashed).otherwise(F.col("doc_id")).alias("row"))
+    # Equal rows have equal keys; one of them stays.
+    one = keyed.where("again").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*", "row")
+    rows = written(keyed.where("NOT again").select(*COLUMNS, "row").union(one), "rows")
+    groups = ngram_join.linked_components(rows, id_col="row", size=5, percent=80).withColumnRenamed("doc_id", "row")
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(by_id).getField("row").alias("row"))
+    gone = written(groups.select("row").join(first, "row", "left_anti"), "near-copies")
+    return sized_join(rows, gone, ["row"], "left_anti", 16 * gone.count()).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

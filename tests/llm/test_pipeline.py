@@ -22,3 +22,17 @@ def test_near_copies_equal_brute_force_at_five_words(spark):
     at_three = {i: c for i, (_, c) in brute_components(rows, 3, 90).items()}
     assert got == sorted(i for i, c in at_five.items() if i == c)
     assert at_five[241] == 240 and at_three[241] == 241
+
+
+def test_repeated_rows_stay_once_through_stages_two_and_three(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(80))
+    near = text("e").replace("eword70", "other")
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (2, text("c")), (3, text("d")), (None, text("f")), (None, text("f")), (None, text("d"))]
+    rows += [(5, text("e")), (4, near), (4, near), (6, ""), (6, ""), (6, None)]
+    kept = corpus_pipeline.near_copies(spark, frame(spark, rows), "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (3, text("d")), (4, near), (None, text("f"))]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((x for x in got if x[1]), key=str) == sorted(want, key=str)
+    assert [(i, t or "") for i, t in got if not t] == [(6, "")]
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, kept, "").collect()), key=str) == sorted(want, key=str)
