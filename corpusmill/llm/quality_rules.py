@@ -49,7 +49,7 @@ DEFAULT_RULES = (
     Rule("symbols", "symbol_ratio", most=0.1),
     Rule("exclamations", "bang_ratio", most=0.1),
     Rule("stop_words", "stop_ratio", least=0.02),
-    Rule("duplicate_lines", "dup_line_ratio", most=0.3),
+    Rule("duplicate_lines", "dup_line_ratio", most=0.5),
     Rule("repeated_windows", "repeat_ratio", most=0.5),
 )
 

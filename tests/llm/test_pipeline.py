@@ -5,6 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from tests.llm.test_duplicates import brute_components, near_rows
 
+from corpusmill.llm import quality_rules
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -36,3 +38,9 @@ def test_repeated_rows_stay_once_through_stages_two_and_three(spark):
     assert sorted((x for x in got if x[1]), key=str) == sorted(want, key=str)
     assert [(i, t or "") for i, t in got if not t] == [(6, "")]
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, kept, "").collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_few_repeated_lines_are_no_junk(spark):
+    lines = [" ".join(f"the word{i}x{j} of and tree{i}x{j}" for j in range(4)) for i in range(8)]
+    rows = [(1, "\n".join([*lines, *["the menu"] * 5])), (2, "\n".join([*lines, *["the menu"] * 12]))]  # 4 of 13 and 11 of 20 lines repeat one
+    assert {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, rows)).select("doc_id", "kept").collect()} == {1: True, 2: False}
