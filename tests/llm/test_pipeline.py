@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+
 import corpus_pipeline
-from tests.llm.test_duplicates import brute_components, near_rows
+import public_tokenizers
+import tiktoken
+from tests.llm.test_duplicates import brute_components, brute_repeats, near_rows
+from tests.llm.test_text_operators import WORDS, brute_quality, brute_targets
+from tiktoken.load import load_tiktoken_bpe
 
 from corpusmill.llm import quality_rules
 
@@ -44,3 +52,46 @@ def test_a_few_repeated_lines_are_no_junk(spark):
     lines = [" ".join(f"the word{i}x{j} of and tree{i}x{j}" for j in range(4)) for i in range(8)]
     rows = [(1, "\n".join([*lines, *["the menu"] * 5])), (2, "\n".join([*lines, *["the menu"] * 12]))]  # 4 of 13 and 11 of 20 lines repeat one
     assert {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, rows)).select("doc_id", "kept").collect()} == {1: True, 2: False}
+
+
+def brute_kept(text):
+    n, chars, symbols, dup, repeated, failed = brute_quality(text)
+    lines = len([x for x in (text or "").split("\n") if WORDS.search(x)])
+    stops = {w for x in quality_rules.STOP_WORDS.values() for w in x.split()}
+    stop = sum(w.lower() in stops for w in WORDS.findall(text or ""))
+    return not failed and 3 <= chars / n <= 12 and symbols / n <= 0.1 and text.count("!") / n <= 0.1 and stop / n >= 0.02 and dup / lines <= 0.5 and repeated / n <= 0.5
+
+
+def brute_mix(rows):
+    """(doc_id, source, text) of (doc_id, source, text) as often as the mix takes them."""
+    names = sorted({s for _, s, _ in rows})
+    words = lambda t: len(WORDS.findall(t))
+    sizes = [sum(words(t) for _, x, t in rows if x == s) for s in names]
+    out = []
+    for s, size, target in zip(names, sizes, brute_targets(sizes, [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], 1.5, 2.0), strict=True):
+        whole, left = divmod(int(target + 1e-9), size)
+        for i, _, t in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()):
+            part = min(words(t), left)
+            left -= part
+            copies, rest = divmod(whole * words(t) + part, words(t))
+            out += [(i, s, t)] * copies + [(i, s, "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)[:rest]))] * (rest > 0)
+    return out
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["the", "of", "und", f"wört{rng.randrange(10**6)}", f"w{rng.randrange(10**6)}"]) for _ in range(n))
+    base, passage = text(200).split(" "), text(90)
+    edited = [f"x{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(base)]
+    texts = [text(rng.choice([20, 60, 90, 150, 400])) for _ in range(25)] + [" ".join(base), " ".join(edited), " ".join(base), "### " * 80, "", None]
+    texts += [f"{text(60)} {passage} {text(70)}", f"{text(80)} {passage}", "\n".join([text(30), text(30), "the menu", "the menu"])]
+    docs = frame(spark, list(enumerate(texts)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [(i, t) for i, t in enumerate(texts) if brute_kept(t)]
+    near = {i: c for i, (_, c) in brute_components(kept, 5, 80).items()}
+    alone = [(i, t) for i, t in kept if near[i] == i]
+    cut = [(i, f"s{i % 3}", b.decode("utf-8", "ignore")) for (i, _), (_, b) in zip(alone, brute_repeats([t for _, t in alone], 400), strict=True)]
+    assert len(texts) > len(kept) > len(alone) and sum(t != c for (_, t), (_, _, c) in zip(alone, cut, strict=True)) == 2
+    coder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = [(i, s, len(ids := coder.encode_ordinary(t)), ids, hashlib.sha256(t.encode()).hexdigest()) for i, s, t in brute_mix([r for r in cut if r[2]])]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
