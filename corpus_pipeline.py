@@ -9,12 +9,11 @@ strings) and the last (BPE) have no SQL form; tests hold the stages against brut
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.llm import bpe, mixing, ngram_join, quality_rules, suffix_dedup
+from corpusmill.llm.textbatch import bounded_batches
 from corpusmill.session import sized_join, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,11 +21,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    bounded_batches(spark)
     return quality_rules.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked at 5 words and 0.8 stays, that of the smallest id (null last)."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     again = written(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "repeated-ids")
     n = again.count()
@@ -40,9 +41,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_copies_of_repeated_ids(docs: DataFrame, again: DataFrame, n: int) -> DataFrame:
     """near_copies where ids are null or repeat. Such rows go by a 64-bit hash of id and text, so other texts of an id are other documents."""
-    again = again.select("id", F.lit(True).alias("again"))
-    with_again = docs.join(F.broadcast(again) if n <= ngram_join.BROADCAST_IDS else again, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    again = again.select(name("id").alias("name"), F.lit(True).alias("again"))
+    with_again = sized_join(docs.withColumn("name", name("doc_id")), again, ["name"], "left", 32 * n)
+    hashed = F.xxhash64("name", F.coalesce("text", F.lit("")))
     keyed = with_again.select(*COLUMNS, F.coalesce("again", F.lit(False)).alias("again"), F.when(F.col("again"), hashed).otherwise(F.col("doc_id")).alias("row"))
     # Equal rows have equal keys; one of them stays.
     one = keyed.where("again").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*", "row")
@@ -56,24 +58,22 @@ def _near_copies_of_repeated_ids(docs: DataFrame, again: DataFrame, n: int) -> D
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 400 bytes that occur twice go; a character that loses a byte goes whole. A text with nothing left goes."""
+    bounded_batches(spark)
     out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=400)
-
-    @F.arrow_udf(T.StringType())
-    def text_of(kept: pa.Array) -> pa.Array:
-        return pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())
-
-    cut = out.select("doc_id", F.when(F.size("removed") > 0, text_of("kept")).otherwise(F.col("text")).alias("text"), "lang", "source")
+    cut = out.select("doc_id", F.when(F.size("removed") > 0, suffix_dedup.as_text("kept")).otherwise(F.col("text")).alias("text"), "lang", "source")
     return cut.where("text != ''").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one document a source takes in part is cut after its last word taken."""
+    bounded_batches(spark)
     mixed = mixing.materialise(mixing.mix(docs.select(*COLUMNS)))
     return mixed.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with digests of the ids and of the bytes they decode to."""
+    bounded_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path, pattern).drop("text"), path, pattern)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.textbatch import STEP_BYTES
+from corpusmill.llm.textbatch import STEP_BYTES, tidy
 from corpusmill.llm.tokenizing import rank_encoder, safe_pieces
 
 
@@ -44,7 +44,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
                 cols = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, coded], names=[*keep, ids_col])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

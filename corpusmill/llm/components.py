@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import written
+from corpusmill.session import discard, written
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
@@ -14,8 +14,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     Alternating large-star and small-star steps: every round rewrites edges so that nodes
     hang on ever smaller neighbours; a star forest is the fixed point, reached in
     logarithmically many rounds in practice. Each round is one table written to the shared
-    folder, so a lost executor costs one round. Nothing but a count comes to the driver.
+    folder, so a lost executor costs one round, and deleted when the next one is. Nothing but a count comes to the driver.
     A hub's edges meet in aggregations with partial sums and in joins AQE can split.
+
+    Defined results: edges with a null end, loops and repeated edges add nothing; a node without an edge is not in the
+    result; an empty table gives an empty one. Further columns are not read.
     """
     e = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
     e = written(e, "edges")
@@ -31,10 +34,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         # Done when every node has one edge and no root hangs on another node.
         stats = nxt.groupBy("u").agg(F.count("*").alias("c")).agg(F.max("c").alias("c")).first()
         deeper = nxt.join(nxt.select(F.col("u").alias("r")), F.col("v") == F.col("r"), "left_semi").limit(1).count()
+        discard(e)
         e = nxt
         if (stats["c"] or 0) <= 1 and not deeper:
             break
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    discard(e)
+    return out

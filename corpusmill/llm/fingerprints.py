@@ -5,8 +5,9 @@ half) over the word shingles, one (a, b) each. The share of equal components of
 signatures estimates the Jaccard similarity of the shingle sets. All of it is vectorised numpy over Arrow
 batches; a batch's shingles are hashed once and each permutation is one pass over them.
 
-Near duplicates: bands of rows of the signature are join keys. Equal sets collapse to one class first, members of
-a key are paired as in the n-gram join, and candidates are verified on the shingle sets.
+Near duplicates: bands of rows of the signature are join keys in Spark. Equal sets collapse to one class first, members
+of a key are paired as in the n-gram join, and candidates are verified on the shingle sets. A pair without a band in
+common is not found; at the threshold that has the probability that `banding` bounds, and less above it.
 
 Defined results: texts with fewer words than a shingle are one shingle; a text without words has the signature of
 the empty set (all components at their top value), equal to that of every such text and to
@@ -25,9 +26,7 @@ from pyspark.sql import types as T
 
 from corpusmill.llm import ngram_join
 from corpusmill.llm.bpe import slices
-from corpusmill.llm.components import components
-from corpusmill.llm.textbatch import Words, buffers, shingles, steps
-from corpusmill.session import written
+from corpusmill.llm.textbatch import Words, buffers, mix, shingles, steps, tidy
 
 SHINGLE = 5
 PERMS = 128
@@ -42,7 +41,12 @@ def signatures(texts: pa.Array, perms: int = PERMS, size: int = SHINGLE) -> np.n
     """Rows of `perms` uint32 for the texts of a null-free string array."""
     raw, off = buffers(texts)
     h, first = shingles(Words(raw, off), size)
-    out = np.full((len(off) - 1, perms), np.uint32(0xFFFFFFFF), np.uint32)
+    return _least(h, first, perms)
+
+
+def _least(h: np.ndarray, first: np.ndarray, perms: int) -> np.ndarray:
+    """Signatures of the rows whose hashes begin at `first`."""
+    out = np.full((len(first) - 1, perms), np.uint32(0xFFFFFFFF), np.uint32)
     full = np.flatnonzero(np.diff(first))
     if not len(full):
         return out
@@ -54,6 +58,21 @@ def signatures(texts: pa.Array, perms: int = PERMS, size: int = SHINGLE) -> np.n
     return out
 
 
+def band_keys(percent: int, perms: int = PERMS) -> ngram_join.KeyMaker:
+    """Keys of the bands of the signatures of all sets that are not empty."""
+    rows = banding(percent / 100, perms)
+
+    def make(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(n)
+        sig = _least(h, np.concatenate([[0], np.cumsum(n)]), perms)[some].reshape(len(some), -1, rows).astype(np.uint64)
+        key = np.broadcast_to(mix(np.arange(perms // rows, dtype=np.uint64) + np.uint64(1)), sig.shape[:2])
+        for r in range(rows):
+            key = mix(key ^ mix(sig[:, :, r] + np.uint64(r)))
+        return np.repeat(some, perms // rows), key.ravel()
+
+    return make
+
+
 def minhash(df: DataFrame, text_col: str = "text", out_col: str = "signature", perms: int = PERMS, size: int = SHINGLE) -> DataFrame:
     """Add the signature as binary (little-endian uint32 components)."""
 
@@ -75,27 +94,9 @@ def banding(threshold: float, perms: int = PERMS) -> int:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, perms: int = PERMS, size: int = SHINGLE) -> DataFrame:
-    """id and component_id per row: bands joined in Spark, Jaccard (100 * common >= percent * union) verified on the shingle sets.
-
-    Equal sets are one class. Within a band's key first every class meets the first it can link with, then all classes that
-    verified links do not connect yet, block by block: a pair with a band in common is never lost, and a
-    large group of near copies costs its members, not their pairs. Bands find a pair at the threshold with probability 0.999.
-    """
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    base = written(ngram_join.signed(src, percent, size).select("id", "n", "fp1", "fp2", "sketch"), "print-sets")
-    cls = base.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("class"))
-    filled = base.where("n > 0").join(cls, ["n", "fp1", "fp2"])
-    members = written(filled.select("id", "class").union(base.where("n = 0").select("id", F.col("id").alias("class"))), "print-members")
-    reps = written(filled.where("id = class").dropDuplicates(["id"]).select("id", "n", "sketch"), "print-sketches")
-    signed = minhash(src, perms=perms, size=size).select("id", "signature").dropDuplicates(["id"]).join(reps.select("id"), "id")
-    rows = banding(percent / 100, perms)
-    band = F.transform(F.sequence(F.lit(0), F.lit(perms // rows - 1)), lambda i: F.xxhash64(i, F.col("signature").substr(i * (4 * rows) + 1, F.lit(4 * rows))))
-    shared = written(ngram_join.shared_keys(signed.select(F.explode(band).alias("key"), "id")), "print-keys")
-    first = written(ngram_join.verify(written(ngram_join.first_candidates(shared, reps, percent), "print-pairs"), src, percent, size), "print-links")
-    comp = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    more = ngram_join.verify(written(ngram_join.open_candidates(shared, reps, comp, percent), "print-open"), src, percent, size)
-    comp = components(first.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "class")
-    return members.join(comp, "class", "left").select(F.col("id").alias(id_col), F.coalesce("component", "class").alias("component_id"))
+    """id and component_id per row: bands joined in Spark, Jaccard (100 * common >= percent * union) verified on the shingle sets."""
+    out = ngram_join.grouped(ngram_join._source(df, id_col, text_col), percent, size, band_keys(percent, perms))
+    return out.select(F.col("id").alias(id_col), "component_id")
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -160,4 +161,4 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    return with_next(df, id_col, text_col).mapInArrow(run, schema)
+    return with_next(df, id_col, text_col).mapInArrow(tidy(run), schema)

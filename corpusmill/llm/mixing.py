@@ -9,12 +9,14 @@ Sampling. A source with target t and size s repeats every document floor(t / s)
 remainder is taken from the documents in a seeded order until it is used up, the last
 one in part. So each source's taken words are its target rounded down, no document
 exceeds max_epochs times its size, and a rerun gives the same rows.
-The running sum within a source is cut into hash buckets of the seeded order (a sum of
-buckets before, and a sum within), so a source with a third of all rows is spread over BUCKETS tasks.
+The order is that of a hash of the id. A source's sums by hash bucket (BUCKETS of them) tell in which bucket the
+remainder ends; only that bucket's rows are ordered one by one, and the place where it ends (one
+row a source) then decides for every row. Texts are never shuffled or sorted, however large a source is. What is
+one row a source or bucket passes through windows of one task: some hundred bytes a source.
 
 Built-in DataFrame functions only. Defined results: null text has size 0; a size-0 document takes 0 words; null is a
-source of its own, last; an empty table gives an empty table; repeated ids are ordered by size and text.
-Columns of the table named like an added one are replaced.
+source of its own, last; an empty table gives an empty table; repeated ids are ordered by size and text, and rows equal
+in all three are taken alike. Columns of the table named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import sized_join, written
+
 #: Buckets of the seeded order in each source: three hexadecimal digits.
 BUCKETS = 16**3
 WEIGHTS = (3, 1, 2)
@@ -49,31 +53,57 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: str = SEED, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The table with size, source_size, target and taken. `keep` names the columns to carry (all by default)."""
+    """The table with size, source_size, target and taken. `keep` names the columns to carry (all by default).
+
+    No row is shuffled: bucket sums give each source the bucket in which its remainder ends, the rows of that
+    bucket alone are put in order, and one cut a source then decides for every row by its own values.
+    """
     cols = [c for c in (keep if keep is not None else df.columns) if c not in ADDED]
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
-    # A row of the carried table: the bucket key, the seeded order, the size.
+    # Carried columns lie in a struct, so that none of them can clash with ours; a null source is a key of its own.
     rows = df.select(
-        *[F.col(f"`{c}`") for c in cols],
-        F.col(f"`{source_col}`").alias("__source"),
+        (F.struct(*[F.col(f"`{c}`") for c in cols]) if cols else F.lit(None)).alias("row"),
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("key"),
+        rank.alias("rank"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
-        rank.alias("__rank"),
-        (F.xxhash64(F.col(f"`{text_col}`")) if text_col in cols else F.lit(0).cast("long")).alias("__tie"),
-    ).withColumn("__bucket", F.substring("__rank", 1, 3))
-    buckets = rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("n"))
-    in_source = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("__source", "__bucket", F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("__start"), F.sum("n").over(Window.partitionBy("__source")).alias("n"))
-    by_source = buckets.groupBy("__source").agg(F.sum("n").alias("source_size")).withColumnRenamed("__source", "source")
-    aims = targets(by_source, weights, share, max_epochs)
-    table = starts.join(aims, starts["__source"].eqNullSafe(aims["source"])).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__start", "source_size", "target")
-    joined = rows.join(table, rows["__source"].eqNullSafe(table["__s"]) & (rows["__bucket"] == table["__b"]))
-    order = Window.partitionBy("__source", "__bucket").orderBy("__rank", "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__start") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    aim = F.floor("target").cast("long")
+        F.coalesce(F.xxhash64(F.col(f"`{text_col}`")), F.lit(0)).alias("tie"),
+    ).withColumn("bucket", F.substring("rank", 1, 3))
+    if text_col not in cols:
+        rows = written(rows, "mix-sizes")  # narrow, so that texts are read once
+    buckets = written(rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
+    cuts = written(_cuts(rows, buckets, weights, share, max_epochs), "mix-cuts")
+    weigh = cuts.agg(F.sum(F.octet_length("key") + 120).alias("b")).first()["b"] or 0
+    joined = sized_join(rows, cuts, ["key"], "inner", weigh)
+    place, cut = F.struct("rank", "size", "tie"), F.struct("cut_rank", "cut_size", "cut_tie")
+    extra = F.when(F.col("cut_rank").isNull(), 0).when(place < cut, F.col("size")).when(place == cut, F.col("cut_share")).otherwise(0)
+    taken = (F.col("whole") * F.col("size") + extra).cast("long")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in cols], "size", "source_size", "target", taken.alias("taken"))
+
+
+def _cuts(rows: DataFrame, buckets: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """Per source key: source_size, target, whole repetitions, and the place in the seeded order at which its remainder ends."""
+    name = F.when(F.col("key") != "", F.substr("key", F.lit(2))).alias("source")
+    by_source = buckets.groupBy("key").agg(F.sum("n").alias("source_size")).select(name, "source_size")
+    aims = targets(by_source, weights, share, max_epochs).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     whole = F.coalesce(F.expr("try_divide(floor(target) - floor(target) % source_size, source_size)").cast("long"), F.lit(0))
-    left = aim - whole * F.col("source_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - before))
-    return joined.select(*cols, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    aims = aims.select("key", "source_size", "target", whole.alias("whole"), (F.floor("target").cast("long") - whole * F.col("source_size")).alias("left"))
+    in_source = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.select("key", "bucket", "n", F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("start"))
+    ends_in = starts.join(aims, "key").where("start <= left AND left < start + n").select("key", "bucket", (F.col("left") - F.col("start")).alias("left"))
+    # One bucket a source: a part in BUCKETS of its rows.
+    near = rows.select("key", "bucket", "rank", "size", "tie").join(F.broadcast(ends_in) if _few(ends_in) else ends_in, ["key", "bucket"])
+    equal = near.groupBy("key", "left", "rank", "size", "tie").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("key").orderBy("rank", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = equal.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("times")).over(order), F.lit(0)))
+    at = placed.where("before <= left AND left < before + size * times")
+    # Equal rows at the cut share what is left evenly; rounding down leaves less than a word a row.
+    at = at.select("key", F.col("rank").alias("cut_rank"), F.col("size").alias("cut_size"), F.col("tie").alias("cut_tie"), F.expr("(left - before) div times").alias("cut_share"))
+    return aims.join(at, "key", "left").select("key", "source_size", "target", "whole", "cut_rank", "cut_size", "cut_tie", "cut_share")
+
+
+def _few(per_source: DataFrame, most: int = 100_000) -> bool:
+    """Whether a table of one row a source at most may be broadcast."""
+    return per_source.limit(most + 1).count() <= most
 
 
 def materialise(mixed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -85,10 +115,10 @@ def materialise(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    text = F.col(f"`{text_col}`")
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("__part"), F.lit(0))), "")
-    out = mixed.withColumn("__part", F.explode(parts))
-    return out.select(*[F.when(F.col("__part") < 0, text).otherwise(head).alias(c) if c == text_col else F.col(f"`{c}`") for c in cols])
+    out = mixed.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.explode(parts).alias("part"))
+    text, value = F.col("row").getField(text_col), lambda c: F.col("row").getField(c)
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("part"), F.lit(0))), "")
+    return out.select(*[(F.when(F.col("part") < 0, text).otherwise(head) if c == text_col else value(c)).alias(c) for c in cols])
 
 
 RESULT = ("doc_id", *ADDED)

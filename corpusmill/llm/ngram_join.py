@@ -2,28 +2,31 @@
 
 A document's set is its distinct word shingles (64-bit hashes). Sets are put in size bands. In a
 band with largest size h, linked sets (Jaccard >= t) differ in at most D = (1 - t) / (1 + t) * 2h
-shingles. The sketch has D + 1 words of 64 bits; a shingle's hash picks a word
-and flips one of its bits, so equal shingles cancel and the Hamming distance of
-two sketches is at most the symmetric difference. By the pigeonhole, linked sets agree in a
-whole word: (band, place, word) is the join key. A set close to the next band's sizes
-is sketched for that band too, so pairs across a border meet there.
+shingles. The sketch has P = D + 1 + e places; a shingle's hash picks a place and is XORed into its
+64-bit word, so equal shingles cancel, and the places in which two sketches differ are at most as many as the
+symmetric difference. By the pigeonhole, linked sets agree in 1 + e places: (band, place, word) is the join key.
+Whole hashes are XORed, so words of places with a shingle do not agree by chance. Empty places would; a set with at
+most e of them leaves them out (one agreeing place stays), any other set is sketched again under another seed, too,
+and only a set with more under all SEEDS keeps its empty places as keys. A set close to the next band's
+sizes is sketched for that band too, so pairs across a border meet there.
 
 Rows with equal keys are paired inside Arrow batches, where a pair leaves only when the Hamming distance of the
-folded sketches permits a link; candidates are verified on the shingle sets, with integers: 100 * common >=
-percent * union. First every member of a key meets the first member it can link with (one pair a
-row at most), and verified links join components. Then all pairs of a key that still lie in different
-components are met, block by block of BLOCK members, so no link between components
-is lost while a large group of near copies costs its members, not their pairs.
-
-Equal sets are one class before anything is paired, so copies never meet each other
-in a group. Defined results: a text with fewer words than a shingle is one shingle; a text
-without words (or null) has an empty set, links with nothing and is its own component.
-Rows with a repeated id form one class per set and id; an empty table gives an empty table.
+folded bit sketches (one bit flipped a shingle; again at most the symmetric difference) permits a link; candidates are
+verified on the shingle sets, with integers: 100 * common >= percent * union. First every member of a key meets the
+first members it can link with, and verified links join components; then one member of each component that a
+key holds does the same. Last, all pairs of a key that still lie in different components are met, block by block, so no
+link between components is lost while a large group of near copies costs its members, not their pairs.
+
+Equal sets are one class (numbered by a row of it) before anything is paired, so copies never meet each other in a group,
+and ids may be null or repeat. Defined results: a text with fewer words than a shingle is one shingle; a text
+without words (or null) has an empty set, links with nothing and is its own component; a component's id is the
+least one in it, null if all are; rows of an empty set with a null id have a null component; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,17 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.components import components
-from corpusmill.llm.textbatch import Words, buffers, mix, shingles
-from corpusmill.session import written
+from corpusmill.llm.textbatch import Words, buffers, mix, shingles, tidy
+from corpusmill.session import discard, sized_join, written
 
 #: Sizes of neighbouring bands differ by this factor.
 BAND_RATIO = 1.4
 #: Members of one key that are paired at once; a larger group is paired block by block.
 BLOCK = 256
+#: Hash seeds under which a set with many empty places is sketched.
+SEEDS = 4
+#: One class in SAMPLE tells which keys have so many members that they are dealt to blocks before they are gathered.
+SAMPLE = 64
 #: Words of the folded sketch that a candidate carries.
 FOLD = 16
 
@@ -62,55 +69,93 @@ def band_difference(top, percent: int):
     return 2 * top * (100 - percent) // (100 + percent)
 
 
-_SIGNED = "id long, n int, fp1 long, fp2 long, keys array<bigint>, sketch binary"
+def places(top, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per band (by its largest size): places of a sketch, and how many of them may be empty and left out."""
+    top = np.asarray(top, np.int64)
+    least = band_difference(top, percent) + 1
+    # About as many as are empty in the smaller sets of the band, and one.
+    spare = np.where(least > 1, np.ceil(least * np.exp(-top / BAND_RATIO / least)).astype(np.int64) + 1, 0)
+    return least + spare, spare
+
+
+#: Makes (row, key) from the shingle hashes, the row of each, and the rows' set sizes.
+KeyMaker = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+_SIGNED = "id long, k1 long, n int, fp1 long, fp2 long, keys array<bigint>, sketch binary"
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("k1"), text.alias("text"))
 
 
-def signed(src: DataFrame, percent: int, size: int) -> DataFrame:
-    """One pass over the texts: set size, a 128-bit fingerprint of the set, its join keys and its folded sketch."""
+def signed(src: DataFrame, size: int, make: KeyMaker) -> DataFrame:
+    """One pass over the texts: set size, a 128-bit fingerprint of the set, its join keys and its folded bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = band_tops()
         for batch in batches:
             for part in slices(batch, "text"):
                 h, off, doc = distinct_sets(part.column("text"), size)
                 n = np.diff(off)
                 fp1 = _sums(h, off) + mix(n.astype(np.uint64))
                 fp2 = _sums(mix(h), off)
-                band = np.searchsorted(tops, n)
-                # The next band as well, if its smallest set can link with this one.
-                reach = (n > 0) & (100 * n >= percent * (tops[band] + 1))
-                made = [_keys(h, doc, n, band + add, who, percent, tops) for add, who in ((0, n > 0), (1, reach))]
-                owner = np.concatenate([m[0] for m in made])
+                owner, key = make(h, doc, n)
                 order = np.argsort(owner, kind="stable")
                 key_off = np.searchsorted(owner[order], np.arange(len(n) + 1)).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(key_off), pa.array(np.concatenate([m[1] for m in made])[order].view(np.int64)))
-                fold, _ = sketch_words(h, doc, np.full(len(n), FOLD, np.int64))
-                data = pa.array([x.tobytes() for x in fold.reshape(-1, FOLD)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int32)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), keys, data], names=["id", "n", "fp1", "fp2", "keys", "sketch"])
+                keys = pa.ListArray.from_arrays(pa.array(key_off), pa.array(key[order].view(np.int64)))
+                fold = bit_sketch(h, doc, len(n))
+                data = pa.array([x.tobytes() for x in fold], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k1"), pa.array(n.astype(np.int32)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), keys, data], names=["id", "k1", "n", "fp1", "fp2", "keys", "sketch"])
+
+    return src.mapInArrow(tidy(run), _SIGNED)
 
-    return src.mapInArrow(run, _SIGNED)
 
+def parity_keys(percent: int) -> KeyMaker:
+    """Keys of the parity sketches of a set's own band and, where it can link into it, of the next band."""
 
-def _keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, band: np.ndarray, who: np.ndarray, percent: int, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every word of the sketches that the rows in `who` have for `band`."""
-    some = np.flatnonzero(who)
-    if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    pick = who[doc]
-    b = band[some]
-    parts = band_difference(tops[b], percent) + 1
-    words, start = sketch_words(h[pick], (np.cumsum(who) - 1)[doc[pick]], parts)
-    owner = np.repeat(np.arange(len(some)), parts)
-    place = np.arange(len(words)) - start[owner]
-    return some[owner], mix(mix(words ^ mix((b[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64))) + np.uint64(1))
+    def make(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tops = band_tops()
+        count, spare = places(tops, percent)
+        band = np.searchsorted(tops, n)
+        # The next band as well, if its smallest set can link with this one.
+        reach = (n > 0) & (100 * n >= percent * (tops[band] + 1))
+        made = [_band_keys(h, doc, band + add, who, count, spare) for add, who in ((0, n > 0), (1, reach))]
+        return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+
+    return make
+
+
+def _band_keys(h: np.ndarray, doc: np.ndarray, band: np.ndarray, who: np.ndarray, count: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the places of the sketches that the rows in `who` have for `band`."""
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for seed in range(SEEDS):
+        some = np.flatnonzero(who)
+        if not len(some):
+            break
+        pick = who[doc]
+        own = (np.cumsum(who) - 1)[doc[pick]]
+        parts = count[band[some]]
+        start = np.concatenate([[0], np.cumsum(parts)])
+        mine = mix(h[pick] + np.uint64(seed))
+        at = start[own] + (((mine >> np.uint64(32)) * parts.astype(np.uint64)[own]) >> np.uint64(32)).astype(np.int64)
+        words = np.zeros(start[-1], np.uint64)
+        np.bitwise_xor.at(words, at, mine)
+        full = np.bincount(at, minlength=start[-1]) > 0
+        owner = np.repeat(np.arange(len(some)), parts)
+        many = np.bincount(owner[~full], minlength=len(some)) > spare[band[some]]
+        emit = full | (many[owner] if seed == SEEDS - 1 else False)
+        place = (np.arange(start[-1]) - start[owner])[emit]
+        owner, words = owner[emit], words[emit]
+        where = (band[some][owner].astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(3)) + np.uint64(seed)
+        rows.append(some[owner])
+        keys.append(mix(mix(words ^ mix(where)) + np.uint64(1)))
+        who = np.zeros(len(who), bool)
+        who[some[many]] = True
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def hashed_sets(src: DataFrame, size: int) -> DataFrame:
-    """id, n and the sorted distinct shingle hashes."""
+    """id, n and the sorted distinct shingle hashes of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +164,7 @@ def hashed_sets(src: DataFrame, size: int) -> DataFrame:
                 hashes = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off).astype(np.int32)), hashes], names=["id", "n", "hashes"])
 
-    return src.mapInArrow(run, "id long, n int, hashes array<bigint>")
+    return src.select("id", "text").mapInArrow(tidy(run), "id long, n int, hashes array<bigint>")
 
 
 def distinct_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,13 +185,12 @@ def _sums(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def sketch_words(h: np.ndarray, doc: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parity sketches: words of all documents one after another, and where each document's begin."""
-    start = np.concatenate([[0], np.cumsum(parts)])
-    place = ((mix(h) >> np.uint64(32)) * parts.astype(np.uint64)[doc]) >> np.uint64(32)
-    out = np.zeros(start[-1], np.uint64)
-    np.bitwise_xor.at(out, start[doc] + place.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out, start
+def bit_sketch(h: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of FOLD words; every shingle flips one of their bits."""
+    out = np.zeros((rows, FOLD), np.uint64)
+    place = (mix(h) >> np.uint64(32)) * np.uint64(FOLD) >> np.uint64(32)
+    np.bitwise_xor.at(out.reshape(-1), doc * FOLD + place.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out
 
 
 def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
@@ -189,10 +233,25 @@ def open_pairs(unit: np.ndarray, block: np.ndarray, own: np.ndarray, comp: np.nd
 
 
 def shared_keys(key_rows: DataFrame) -> DataFrame:
-    """key, id and block of the members of every key with two members or more."""
+    """key, id and block of the members of every key with two members or more.
+
+    Keys that look large in a sample of the ids are dealt to blocks beforehand, so that no task gathers a large group;
+    the sample decides about the dealing only, and what a key's members are does not depend on it.
+    """
+    large = written(key_rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").count().where(F.col("count") >= SAMPLE).select("key", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks")), "large-keys")
+    n = large.count()
+    if n:
+        dealt = sized_join(key_rows, large, ["key"], "left", 16 * n)
+        # Another dealing for each key, so that blocks of one key tie those of others together.
+        dealt = dealt.withColumn("deal", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).cast("int"))
+        split = dealt.where("deal IS NOT NULL").select("key", "id", F.col("deal").alias("block"))
+        key_rows = dealt.where("deal IS NULL").select("key", "id")
     w = Window.partitionBy("key").orderBy("id")
     ranked = key_rows.select("key", "id", F.row_number().over(w).alias("rn"), F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
-    return ranked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "id", ((F.col("rn") - 1) / BLOCK).cast("int").alias("block"))
+    out = ranked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "id", ((F.col("rn") - 1) / BLOCK).cast("int").alias("block"))
+    out = written(out.union(split) if n else out, "shared-keys")
+    discard(large)
+    return out
 
 
 def _paired(rows: DataFrame, percent: int, pairing: str) -> DataFrame:
@@ -228,68 +287,110 @@ def _paired(rows: DataFrame, percent: int, pairing: str) -> DataFrame:
         if held is not None and len(held):
             yield flush(held)
 
-    return clustered.mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return clustered.mapInArrow(tidy(run), "a long, b long").where("a < b").distinct()
+
+
+def _with_sketches(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    return rows.join(sketches, "id")
 
 
 def first_candidates(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Within every block of a key, each member with the first it can link: at most one pair a row."""
-    rows = shared.join(sketches, "id").select(F.xxhash64("key", "block").alias("unit"), "block", F.lit(True).alias("own"), F.lit(0).cast("long").alias("comp"), "id", "n", "sketch")
-    return _paired(rows, percent, "first")
+    """Within every block of a key, each member b with the first members a it can link, two at most: they are enough to connect
+    most of a group, and the rounds after meet whatever stays apart."""
+    rows = _with_sketches(shared, sketches).select(F.xxhash64("key", "block").alias("unit"), "block", F.lit(True).alias("own"), F.lit(0).cast("long").alias("comp"), "id", "n", "sketch")
+    ends = _paired(rows, percent, "first").groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
+    return ends.select(F.explode("a").alias("a"), "b")
 
 
-def open_candidates(shared: DataFrame, sketches: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a key, in any blocks, that can link and that no verified link connects yet."""
+def _open(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, id, block, comp and blocks of the keys whose members lie in different components."""
     labelled = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "block", F.coalesce("component", "id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), (F.max("block") + 1).alias("blocks")).where("x < y").select("key", "blocks")
-    rows = labelled.join(mixed, "key").join(sketches, "id")
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return labelled.join(mixed, "key")
+
+
+def component_candidates(opened: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """One member of each component that an open key holds, with the first such members it can link."""
+    heads = opened.groupBy("key", "comp").agg(F.min("id").alias("id")).select("key", "id")
+    w = Window.partitionBy("key").orderBy("id")
+    return first_candidates(heads.select("key", "id", ((F.row_number().over(w) - 1) / BLOCK).cast("int").alias("block")), sketches, percent)
+
+
+def open_candidates(opened: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of a key, in any blocks, that can link and that no verified link connects yet."""
+    dealt = _with_sketches(opened, sketches).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     return _paired(dealt.select(unit.alias("unit"), "block", (F.col("block") == F.col("other")).alias("own"), "comp", "id", "n", "sketch"), percent, "open")
 
 
-#: Ids of candidate documents that are broadcast to the scan; more of them are joined by shuffle.
-BROADCAST_IDS = 4_000_000
-
+def verify(pairs: DataFrame, src: DataFrame, where: DataFrame, percent: int, size: int, label: str) -> DataFrame:
+    """Pairs (a < b) of classes whose sets have 100 * common >= percent * union, written.
 
-def verify(pairs: DataFrame, src: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs whose sets have 100 * common >= percent * union. Only texts of candidates are hashed again."""
-    members = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "candidates")
-    few = members.count() <= BROADCAST_IDS
-    hashed = written(hashed_sets(src.join(F.broadcast(members) if few else members, "id", "left_semi"), size).dropDuplicates(["id", "hashes"]), "candidate-sets")
+    Only texts of candidates are hashed again; `where` names a row of each class by its id and text hash.
+    """
+    pairs = written(pairs, f"{label}-pairs")
+    members = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    asked = written(where.join(members, "class", "left_semi").select("class", F.col("rid").alias("id"), "k1"), f"{label}-candidates")
+    known = src.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    texts = sized_join(known, asked, ["id", "k1"], "inner", 32 * asked.count())
+    hashed = written(hashed_sets(texts.select(F.col("class").alias("id"), "text"), size).dropDuplicates(["id"]), f"{label}-sets")
     left = hashed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = hashed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
     # Joined one side after the other; each is an equi-join that AQE can split at a hub.
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common", "na", "nb").distinct()
+    out = written(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common"), f"{label}-links")
+    discard(pairs, asked, hashed)
+    return out
+
+
+#: Stands for a null id where rows are looked up.
+_NO_ID = -(2**63)
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has id, n and class for every row; links are verified pairs of classes (a < b) that connect
-    the same components as all linked pairs do.
+def link(src: DataFrame, percent: int, size: int, make: KeyMaker) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links) of the rows (id, k1, text).
 
-    The class of equal sets is the smallest id among them; an empty set is a class of its own row.
+    rows: id, n, fp1, fp2 of every row. classes: n, fp1, fp2, class (a number), least (the smallest id) and times (rows) of every distinct
+    set that is not empty. links: verified pairs a < b of classes, and their common size, that connect the same components as all linked pairs do.
     """
-    src = _source(df, id_col, text_col)
-    base = written(signed(src, percent, size), "sets")
-    cls = base.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("class"))
-    filled = base.where("n > 0").join(cls, ["n", "fp1", "fp2"])
-    # Empty sets link with nothing: each is a class by itself.
-    members = written(filled.select("id", "n", "class").union(base.where("n = 0").select("id", "n", F.col("id").alias("class"))), "members")
-    reps = filled.where("id = class").dropDuplicates(["n", "fp1", "fp2"])
+    # The number of a row is fixed by being written.
+    base = written(signed(src, size, make).withColumn("row", F.monotonically_increasing_id()), "sets")
+    one = F.min(F.struct("row", F.coalesce("id", F.lit(_NO_ID)).alias("rid"), "k1"))
+    classes = base.where("n > 0").groupBy("n", "fp1", "fp2").agg(one.alias("one"), F.min("id").alias("least"), F.count("*").alias("times"))
+    classes = written(classes.select("n", "fp1", "fp2", F.col("one.row").alias("class"), "least", "times", F.col("one.rid").alias("rid"), F.col("one.k1").alias("k1")), "classes")
+    reps = sized_join(base.select(F.col("row").alias("id"), "n", "keys", "sketch"), classes.select(F.col("class").alias("id")), ["id"], "left_semi", 16 * classes.count())
     sketches = written(reps.select("id", "n", "sketch"), "sketches")
-    shared = written(shared_keys(reps.select(F.explode("keys").alias("key"), "id")), "shared-keys")
-    # Two partners a member are enough to connect most of a group; the next round meets whatever stays apart.
-    ends = first_candidates(shared, sketches, percent).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
-    first = written(verify(written(ends.select(F.explode("a").alias("a"), "b"), "pairs"), src, percent, size), "links")
-    comp = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    more = verify(written(open_candidates(shared, sketches, comp, percent), "open-pairs"), src, percent, size)
-    return members, first.union(more)
+    shared = shared_keys(reps.select(F.explode("keys").alias("key"), "id"))
+    rows = written(base.select("id", "n", "fp1", "fp2"), "members")
+    discard(base)
+    links = verify(first_candidates(shared, sketches, percent), src, classes, percent, size, "first")
+    for label, candidates in (("heads", component_candidates), ("open", open_candidates)):
+        comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        opened = written(_open(shared, comp), "open-keys")
+        discard(comp)
+        if opened.limit(1).count():
+            found = verify(candidates(opened, sketches, percent), src, classes, percent, size, label)
+            links = found.union(links)
+        discard(opened)
+    discard(sketches, shared)
+    return rows, classes, links
+
+
+def grouped(src: DataFrame, percent: int, size: int, make: KeyMaker) -> DataFrame:
+    """id, n and component_id (the smallest id that links reach) of the rows (id, k1, text)."""
+    rows, classes, links = link(src, percent, size, make)
+    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rooted = written(classes.join(comp.withColumnRenamed("node", "class"), "class", "left").select("n", "fp1", "fp2", "least", F.coalesce("component", "class").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join with the rows can be split at a large class.
+    named = written(rooted.join(least, "root").select("n", "fp1", "fp2", "component_id"), "components")
+    discard(comp, rooted, classes)
+    out = rows.join(named, ["n", "fp1", "fp2"], "left")
+    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) for every row."""
-    members, links = link(df, id_col, text_col, size, percent)
-    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    out = members.join(comp.withColumnRenamed("node", "class"), "class", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    out = grouped(_source(df, id_col, text_col), percent, size, parity_keys(percent))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")

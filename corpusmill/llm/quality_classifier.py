@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.bpe import slices
-from corpusmill.llm.textbatch import Words, buffers, mix, shingles, steps
+from corpusmill.llm.textbatch import Words, buffers, mix, shingles, steps, tidy
 
 PASSAGE_WORDS = 64
 #: Most labelled documents that a model is fitted on, taken in the order of a hash of their id.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x, first = encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], names=["id", "y", "x"])
 
-    got = sorted(rows.select("__id", "__y", "text").mapInArrow(run, "id long, y double, x binary").collect(), key=lambda r: (r.id, bytes(r.x)))
+    got = sorted(rows.select("__id", "__y", "text").mapInArrow(tidy(run), "id long, y double, x binary").collect(), key=lambda r: (r.id, bytes(r.x)))
     y = np.asarray([r.y for r in got])
     if len(set(y)) < 2:
         return Model(float(y.mean()) if len(y) else 0.5)

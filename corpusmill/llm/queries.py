@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, fingerprints, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output, url_filter
-from corpusmill.session import scratch, table
+from corpusmill.llm.textbatch import bounded_batches
+from corpusmill.session import scratch, sized_join, table, written
 
 
 URL_RULES = (
@@ -55,14 +57,21 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), perms=128, size=5)
-    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+    """near_group: the smallest doc_id that verified likeness of 0.8 reaches, from the signatures' bands."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    near = fingerprints.near_duplicates(docs, percent=80, perms=128, size=5).groupBy("doc_id").agg(F.min("component_id").alias("near_group"))
+    near = written(near, "near-groups")
+    out = fingerprints.compare_with_next(docs, perms=128, size=5)
+    out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return sized_join(out, near, ["doc_id"], "left", 16 * near.count())
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    return out.select("doc_id", (F.octet_length("kept") + lost).cast("long").alias("n_bytes"), lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = ((F.octet_length("kept") + lost).cast("long").alias("n_bytes"), lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # Beyond the digests: bytes kept, and the text that is left (a character that loses a byte goes whole).
+    return out.select("doc_id", *digest, F.octet_length("kept").cast("long").alias("n_kept"), F.when(lost > 0, suffix_dedup.as_text("kept")).otherwise(F.coalesce("text", F.lit(""))).alias("kept_text"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +85,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+_ALL = (op1_quality_classifier, op2_bpe, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_source_mixing, op7_minhash, op8_suffix_dedup, op9_token_files, op10_token_counts)
+
+
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_url_filter": op5_url_filter, "op6_source_mixing": op6_source_mixing, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup, "op9_token_files": op9_token_files, "op10_token_counts": op10_token_counts}
+    return {q.__name__: _bounded(q) for q in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,8 +25,8 @@ partial results and joins AQE can split. Every step is a table in the shared fol
 
 Defined results: null text is empty, has no bytes and loses none; texts under `length` bytes lose none; rows repeated in
 whole count as copies; other columns pass through; an empty table gives an empty table.
-Names (phrases, window classes) are hashes: 64 bits for a phrase, where an error needs equal
-neighbours too, and 128 bits for windows and texts.
+Names are hashes: 64 bits for a phrase, where an error needs equal neighbours too (or two phrases of `length`
+bytes, which are rare), 127 bits for the groups of eight and 128 bits for windows and texts.
 """
 
 from __future__ import annotations
@@ -35,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.bpe import slices
-from corpusmill.llm.textbatch import buffers, mix
+from corpusmill.llm.textbatch import buffers, mix, steps, tidy
 from corpusmill.session import discard, sized_join, written
 
 #: Mean distance of anchors.
@@ -50,17 +51,18 @@ _CONTEXT = 16
 _ROLL = np.random.default_rng(20240229).integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: Positions whose windows are hashed in one numpy step.
-_STEP = 1 << 20
+_STEP = 1 << 17
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
     """Positions whose next 16 bytes hash under the bound."""
-    if len(data) < _CONTEXT:
-        return np.zeros(0, np.int64)
-    raw = data.tobytes()
-    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,)) * np.uint64(_BASES[0])
-    both = (eight[:-8] ^ (eight[8:] >> np.uint64(29))) * np.uint64(_BASES[1])
-    return np.flatnonzero(both >> np.uint64(32) < np.uint64((1 << 32) // GAP))
+    found = [np.zeros(0, np.int64)]
+    for a in range(0, len(data) - _CONTEXT + 1, _STEP):
+        raw = data[a : a + _STEP + _CONTEXT - 1].tobytes()
+        eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,)) * np.uint64(_BASES[0])
+        both = (eight[:-8] ^ (eight[8:] >> np.uint64(29))) * np.uint64(_BASES[1])
+        found.append(np.flatnonzero(both >> np.uint64(32) < np.uint64((1 << 32) // GAP)) + a)
+    return np.concatenate(found)
 
 
 _KEYS = ("k1", "k2")
@@ -96,7 +98,7 @@ def phrases(src: DataFrame, length: int) -> DataFrame:
                     names=["id", *_KEYS, "n", "first", "starts", "names"],
                 )
 
-    return src.where(F.octet_length("text") >= length).mapInArrow(run, "id long, k1 long, k2 long, n int, first int, starts array<int>, names array<bigint>")
+    return src.where(F.octet_length("text") >= length).mapInArrow(tidy(run), "id long, k1 long, k2 long, n int, first int, starts array<int>, names array<bigint>")
 
 
 def rerank(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -166,17 +168,30 @@ def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray,
     return lo[sure], hi[sure], lo[compare], hi[compare], ~sure[compare], key[compare], first_anchor[compare]
 
 
+#: Entries of nested lists that one numpy step works on.
+_ENTRIES = 1 << 17
+
+
+def _nested(batch: pa.RecordBatch, *cols: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose list columns hold about _ENTRIES entries each."""
+    size = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in cols)
+    for a, b in steps(size, _ENTRIES):
+        yield batch.slice(a, b - a)
+
+
 def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
     """Per text: intervals of window starts surely repeated (sure), and runs of starts to compare (runs)."""
     per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.struct("level", "j", "r", "rep")).alias("ranks"))
     rows = texts.select("id", "copies", *_KEYS, "n", "first", "starts").join(per_text, list(_KEYS), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _nested(whole, "starts", "ranks")):
             starts, ranks_col = batch.column("starts"), batch.column("ranks")
-            s_off, s_val = starts.offsets.to_numpy(), starts.values.to_numpy().astype(np.int64)
-            r_off = ranks_col.offsets.to_numpy()
-            level, j, r, rep = (ranks_col.values.field(x).to_numpy(zero_copy_only=False) for x in ("level", "j", "r", "rep"))
+            s_off, s_val = starts.offsets.to_numpy(), starts.flatten().to_numpy().astype(np.int64)
+            s_off = s_off - s_off[0]
+            r_off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ranks_col), 0).to_numpy())])
+            entries = ranks_col.flatten()
+            level, j, r, rep = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("level", "j", "r", "rep"))
             ns, firsts = batch.column("n").to_numpy(), batch.column("first").to_numpy()
             sure, runs = [], []
             for i in range(len(batch)):
@@ -198,7 +213,7 @@ def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
             if len(batch):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", *_KEYS)), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64, np.int32], ["lo", "hi", "open", "key", "p"])], names=["id", "copies", *_KEYS, "sure", "runs"])
 
-    return rows.mapInArrow(run, "id long, copies long, k1 long, k2 long, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint,p:int>>")
+    return rows.mapInArrow(tidy(run), "id long, copies long, k1 long, k2 long, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint,p:int>>")
 
 
 class Roller:
@@ -267,7 +282,7 @@ def _per_text(src: DataFrame, wanted: DataFrame, wanted_bytes: int, fields: list
                     arrays = [np.concatenate(c) for c in zip(*made, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k1", "k2", *(f.split()[0] for f in schema.split(", "))])
 
-    return rows.select("k1", "k2", "text", "runs", "about").mapInArrow(run, f"k1 long, k2 long, {schema}")
+    return rows.select("k1", "k2", "text", "runs", "about").mapInArrow(tidy(run), f"k1 long, k2 long, {schema}")
 
 
 def grouped(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) -> DataFrame:
@@ -341,10 +356,12 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     wanted, weigh = _gathered(kept, "to-group")
     groups = written(grouped(src, wanted, weigh, length), "groups")
     place = F.xxhash64(*_KEYS, "at")
-    twice = lambda by: groups.groupBy(by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(by)
-    outer = groups.where("outer != 0 AND open").join(twice("outer").where("outer != 0"), "outer", "left_semi").select(*_KEYS, "at")
+    twice = lambda rows, *by: rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*by)
+    # Equal outer strings have equal inner ones, so 127 bits of hash have to agree.
+    both = twice(groups.where("outer != 0"), "outer", "inner")
+    outer = groups.where("outer != 0 AND open").join(both, ["outer", "inner"], "left_semi").select(*_KEYS, "at")
     outer = written(outer, "outer-groups")
-    left = written(groups.where("open").select(*_KEYS, "at", "inner").join(outer, [*_KEYS, "at"], "left_anti").join(twice("inner"), "inner", "left_semi"), "open-groups")
+    left = written(groups.where("open").select(*_KEYS, "at", "inner").join(outer, [*_KEYS, "at"], "left_anti").join(twice(groups, "inner"), "inner", "left_semi"), "open-groups")
     # Every group with the inner string of an open one takes part; only open ones ask.
     part = groups.join(left.select("inner").distinct(), "inner", "left_semi").select(*_KEYS, "at")
     part = part.join(left.select(*_KEYS, "at", F.lit(True).alias("open")), [*_KEYS, "at"], "left").select(*_KEYS, "at", F.coalesce("open", F.lit(False)).alias("open"))
@@ -379,9 +396,10 @@ def _spans(marks: DataFrame, length: int) -> DataFrame:
     """marks (starts lo..hi of repeated windows) merged into maximal byte ranges, packed as start and stop in one long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _nested(whole, "marks")):
             col = batch.column("marks")
-            off, packed, none = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False), col.is_null().to_numpy(zero_copy_only=False)
+            off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())])
+            packed, none = col.flatten().to_numpy(zero_copy_only=False), col.is_null().to_numpy(zero_copy_only=False)
             out = []
             for i in range(len(batch)):
                 x = np.sort(packed[off[i] : off[i + 1]])
@@ -393,7 +411,7 @@ def _spans(marks: DataFrame, length: int) -> DataFrame:
                 out.append((lo[np.concatenate([[0], new])] << 32) | stop[np.concatenate([new - 1, [len(lo) - 1]])])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_KEYS, "copies")), pa.array(out, pa.list_(pa.int64()))], names=[*_KEYS, "copies", "spans"])
 
-    return marks.select(*_KEYS, "copies", "marks").mapInArrow(run, "k1 long, k2 long, copies long, spans array<bigint>")
+    return marks.select(*_KEYS, "copies", "marks").mapInArrow(tidy(run), "k1 long, k2 long, copies long, spans array<bigint>")
 
 
 def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", kept_col: str = "kept") -> DataFrame:
@@ -424,5 +442,15 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("spans").alias(spans_col), F.col("kept").alias(kept_col))
+
+
+def as_text(kept: str) -> Column:
+    """The bytes of a binary column as a string; what an incomplete character has left goes."""
+
+    @F.arrow_udf(T.StringType())
+    def text_of(column: pa.Array) -> pa.Array:
+        return pa.array((None if x is None else x.decode("utf-8", "ignore") for x in (y.as_py() for y in column)), pa.string())
+
+    return text_of(F.col(f"`{kept}`"))

@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 2 << 20
 
+
+
+#: Rows of an Arrow batch; the session's default of 10000 long texts would not fit a task's memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the rows of an Arrow batch to BATCH_ROWS, unless the session has chosen a number itself."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that gives freed memory back to the system when a task ends.
+
+    Python workers stay for the tasks to come; without this an idle one keeps the peak of what it last did.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return whole
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

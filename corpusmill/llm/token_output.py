@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import slices
+from corpusmill.llm.textbatch import tidy
 from corpusmill.llm.tokenizing import tokenizer
 
 MAGIC = b"CMTP"
@@ -127,7 +128,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, out: str, id_col: str = "do
         if docs:
             yield segment()
 
-    ordered.mapInArrow(run, _SEGMENT_SCHEMA).write.mode("errorifexists").parquet(out)
+    ordered.mapInArrow(tidy(run), _SEGMENT_SCHEMA).write.mode("errorifexists").parquet(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -157,5 +158,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["shard", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
 
-    docs = files.select("shard", "segment", "doc_ids", "doc_tokens", "data").mapInArrow(run, "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = files.select("shard", "segment", "doc_ids", "doc_tokens", "data").mapInArrow(tidy(run), "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(base, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
