@@ -73,8 +73,12 @@ def places(top, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Per band (by its largest size): places of a sketch, and how many of them may be empty and left out."""
     top = np.asarray(top, np.int64)
     least = band_difference(top, percent) + 1
-    # About as many as are empty in the smaller sets of the band, and one.
-    spare = np.where(least > 1, np.ceil(least * np.exp(-top / BAND_RATIO / least)).astype(np.int64) + 1, 0)
+    # The smallest sets sketched for a band are those that reach into it from the one below.
+    smallest = np.maximum(percent * np.append(0, top[:-1]) // 100, 1)
+    spare = np.zeros(len(top), np.int64)
+    for _ in range(3):  # more places leave more of them empty
+        mean = (least + spare) * np.exp(-smallest / (least + spare))
+        spare = np.where(least > 1, np.ceil(mean + 1.5 * np.sqrt(mean)).astype(np.int64), 0)
     return least + spare, spare
 
 
@@ -302,11 +306,14 @@ def first_candidates(shared: DataFrame, sketches: DataFrame, percent: int) -> Da
     return ends.select(F.explode("a").alias("a"), "b")
 
 
-def _open(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """key, id, block, comp and blocks of the keys whose members lie in different components."""
+def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """key, id, block, comp and blocks of the keys whose members the links leave in different components, written."""
+    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labelled = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "block", F.coalesce("component", "id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), (F.max("block") + 1).alias("blocks")).where("x < y").select("key", "blocks")
-    return labelled.join(mixed, "key")
+    out = written(labelled.join(mixed, "key"), "open-keys")
+    discard(comp)
+    return out
 
 
 def component_candidates(opened: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -365,14 +372,15 @@ def link(src: DataFrame, percent: int, size: int, make: KeyMaker) -> tuple[DataF
     rows = written(base.select("id", "n", "fp1", "fp2"), "members")
     discard(base)
     links = verify(first_candidates(shared, sketches, percent), src, classes, percent, size, "first")
-    for label, candidates in (("heads", component_candidates), ("open", open_candidates)):
-        comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        opened = written(_open(shared, comp), "open-keys")
-        discard(comp)
-        if opened.limit(1).count():
-            found = verify(candidates(opened, sketches, percent), src, classes, percent, size, label)
+    opened = _open(shared, links)
+    if opened.limit(1).count():
+        found = verify(component_candidates(opened, sketches, percent), src, classes, percent, size, "heads")
+        if found.limit(1).count():
             links = found.union(links)
-        discard(opened)
+            discard(opened)
+            opened = _open(shared, links)
+        links = verify(open_candidates(opened, sketches, percent), src, classes, percent, size, "open").union(links)
+    discard(opened)
     discard(sketches, shared)
     return rows, classes, links
 
