@@ -237,7 +237,7 @@ def open_pairs(unit: np.ndarray, block: np.ndarray, own: np.ndarray, comp: np.nd
 
 
 def shared_keys(key_rows: DataFrame) -> DataFrame:
-    """key, id and block of the members of every key with two members or more.
+    """key, id and block of the members of every key with two members or more; of keys with the same members, one.
 
     Keys that look large in a sample of the ids are dealt to blocks beforehand, so that no task gathers a large group;
     the sample decides about the dealing only, and what a key's members are does not depend on it.
@@ -250,11 +250,18 @@ def shared_keys(key_rows: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("deal", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).cast("int"))
         split = dealt.where("deal IS NOT NULL").select("key", "id", F.col("deal").alias("block"))
         key_rows = dealt.where("deal IS NULL").select("key", "id")
-    w = Window.partitionBy("key").orderBy("id")
+    whole = Window.partitionBy("key")
+    w = whole.orderBy("id")
     ranked = key_rows.select("key", "id", F.row_number().over(w).alias("rn"), F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
-    out = ranked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "id", ((F.col("rn") - 1) / BLOCK).cast("int").alias("block"))
+    ranked = ranked.where(F.col("before").isNotNull() | F.col("after").isNotNull())
+    # Close sets agree in many places, so many keys have the same members (by count and 128 bits): one of them says it all.
+    print_of = lambda seed: F.when(F.col("rn") == 1, F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(whole))
+    ranked = ranked.select("key", "id", ((F.col("rn") - 1) / BLOCK).cast("int").alias("block"), print_of(1).alias("p1"), print_of(2).alias("p2"), F.when(F.col("rn") == 1, F.count("*").over(whole)).alias("members"))
+    every = written(ranked, "repeated-keys")
+    one = every.where("members IS NOT NULL").groupBy("members", "p1", "p2").agg(F.min("key").alias("key")).select("key")
+    out = every.select("key", "id", "block").join(one, "key", "left_semi")
     out = written(out.union(split) if n else out, "shared-keys")
-    discard(large)
+    discard(large, every)
     return out
 
 

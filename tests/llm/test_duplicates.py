@@ -100,9 +100,9 @@ def test_linked_sets_share_a_key(percent):
 def test_large_keys_are_dealt_to_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     monkeypatch.setattr(ngram_join, "SAMPLE", 3)
-    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 7), (2, 9), (3, 5)], "key long, id long")
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 7), (2, 9), (3, 5), (4, 9), (4, 7), (5, 7), (5, 9), (5, 11)], "key long, id long")
     got = ngram_join.shared_keys(rows).collect()
-    assert sorted((r.key, r.id) for r in got) == [(1, i) for i in range(500)] + [(2, 7), (2, 9)]
+    assert sorted((r.key, r.id) for r in got) == [(1, i) for i in range(500)] + [(2, 7), (2, 9), (5, 7), (5, 9), (5, 11)]
     sizes = Counter(r.block for r in got if r.key == 1)
     assert len(sizes) > 12 and max(sizes.values()) < 60
 
