@@ -11,12 +11,17 @@ NETWORK_PHRASES = ("fetch failed", "timeout", "econnrefused", "network error")
 DEFAULT_DELAY = 30.0
 
 
+_NUMBER = r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+#: When to come back, as a small grammar: the word retry, how the wait is put, an optional colon, a number, and seconds as its unit.
+_WAIT = rf"(?i)retry[ _-]*(?:in|after|delay)\b\s*:?\s*{_NUMBER}\s*s"
+
+
 def retry_delay(message: Column, detail: Column | None = None) -> Column:
     """Seconds to wait: from a structured detail like `12s`, else from the message, else null."""
-    number = r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
-    found = [] if detail is None else [F.regexp_extract(detail, rf"^\s*{number}", 1)]
-    found += [F.regexp_extract(message, p, 1) for p in (r"(?i)retry in ([\d.]+)\s*s(?:econds?)?", r"(?i)retry after ([\d.]+)\s*s(?:econds?)?", r"(?i)retryInfo\s*retryDelay:\s*([\d.]+)s")]
-    return F.coalesce(*[F.regexp_extract(x, rf"^{number}", 1).try_cast("double") for x in found])
+    in_message = F.regexp_extract(message, _WAIT, 1).try_cast("double")
+    if detail is None:
+        return in_message
+    return F.coalesce(F.regexp_extract(detail, rf"^\s*{_NUMBER}", 1).try_cast("double"), in_message)
 
 
 def is_network_failure(message: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,6 +36,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("")
         self.open = [self.root]
+        self.count: Counter = Counter()  # open elements by tag, so that no start tag searches a deep stack in vain
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _ENDS_P:
@@ -44,6 +47,7 @@ class _Tree(HTMLParser):
         self.open[-1].parts.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -52,8 +56,11 @@ class _Tree(HTMLParser):
         self._close(tag, stop=())
 
     def _close(self, tag: str, stop: tuple[str, ...]) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
+                self.count.subtract(x.tag for x in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i].tag in stop:
@@ -80,16 +87,43 @@ def _find(node: _Node, tag: str) -> _Node | None:
     return None
 
 
+def _walk(node: _Node) -> Iterator[_Node | str]:
+    """Everything below a node in document order. An explicit stack: pages may nest as deep as they like."""
+    stack = list(reversed(node.parts))
+    while stack:
+        x = stack.pop()
+        yield x
+        if isinstance(x, _Node):
+            stack.extend(reversed(x.parts))
+
+
 def _inner(node: _Node) -> str:
-    return "".join(p if isinstance(p, str) else _inner(p) for p in node.parts)
+    return "".join(x for x in _walk(node) if isinstance(x, str))
 
 
-def render(node: _Node, inside_pre: bool = False) -> str:
+def render(root: _Node) -> str:
     """Text with the structure of headings, paragraphs, lists and code. Children are joined without a separator."""
-    inner = "".join(p if isinstance(p, str) else render(p, node.tag == "pre") for p in node.parts if isinstance(p, str) or p.tag not in NOISE)
-    match node.tag:
+    frames: list[tuple[_Node, bool, Iterator, list[str]]] = [(root, False, iter(root.parts), [])]
+    while True:
+        node, inside_pre, parts, made = frames[-1]
+        for p in parts:
+            if isinstance(p, str):
+                made.append(p)
+            elif p.tag not in NOISE:
+                frames.append((p, node.tag == "pre", iter(p.parts), []))
+                break
+        else:
+            frames.pop()
+            text = _framed(node.tag, "".join(made), inside_pre)
+            if not frames:
+                return text
+            frames[-1][3].append(text)
+
+
+def _framed(tag: str, inner: str, inside_pre: bool) -> str:
+    match tag:
         case "h1" | "h2" | "h3":
-            return f"\n\n{'#' * int(node.tag[1])} {inner.strip(WHITE)}\n\n"
+            return f"\n\n{'#' * int(tag[1])} {inner.strip(WHITE)}\n\n"
         case "h4" | "h5" | "h6":
             return f"\n\n#### {inner.strip(WHITE)}\n\n"
         case "p":
@@ -139,17 +173,8 @@ def title_one(html: str | None) -> str:
 
 
 def links_one(html: str | None) -> list[str]:
-    out: list[str] = []
-
-    def walk(node: _Node) -> None:
-        for p in node.parts:
-            if isinstance(p, _Node):
-                if p.tag == "a" and (p.attrs.get("href") or "").strip(WHITE):
-                    out.append(p.attrs["href"].strip(WHITE))
-                walk(p)
-
-    walk(parse(html or ""))
-    return out
+    hrefs = ((x.attrs.get("href") or "").strip(WHITE) for x in _walk(parse(html or "")) if isinstance(x, _Node) and x.tag == "a")
+    return [h for h in hrefs if h]
 
 
 @F.arrow_udf(T.StringType())

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import WHITE
+from corpusmill.functions.text import WHITE, trim
 
 
 def normalize(url: Column) -> Column:
@@ -40,16 +40,18 @@ def is_http(url: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#]+"), F.lit(False))
 
 
-_BARE_EXTENSION = re.compile(r"\.[A-Za-z0-9]{1,5}\Z")
-_HAS_EXTENSION = re.compile(r"\.[A-Za-z0-9]+\Z")
+#: Trimmed links that lead nowhere. Valid for Python and the JVM alike.
+NOWHERE = {"empty": "^$", "fragment": "^#", "script": "^javascript:", "bare extension": r"^\.[a-zA-Z0-9]{1,5}$"}
+_NOWHERE = "|".join(NOWHERE.values())
+_leads_nowhere = re.compile(_NOWHERE).search
+_is_bare = re.compile(NOWHERE["bare extension"]).search
+#: Fixed value: a last path segment that names a file.
+_is_file = re.compile(r"\.[A-Za-z0-9]+\Z").search
 
 
 def rejected_link(link: Column) -> Column:
     """Links that lead nowhere: empty, fragments, scripts, and bare extensions."""
-    from corpusmill.functions.text import trim
-
-    t = trim(link)
-    return F.coalesce((t == "") | F.startswith(t, F.lit("#")) | F.startswith(t, F.lit("javascript:")) | t.rlike(r"^\.[a-zA-Z0-9]{1,5}$"), F.lit(True))
+    return F.coalesce(trim(link).rlike(_NOWHERE), F.lit(True))
 
 
 def normalize_one(url: str) -> str | None:
@@ -62,24 +64,27 @@ def normalize_one(url: str) -> str | None:
     return out[:-1] if out.endswith("/") and (parts.path or "/") != "/" else out
 
 
-def resolve_one(link: str | None, base: str | None) -> str | None:
-    """The absolute, normalised URL of a link on a page, or None where it leads nowhere.
+def _leaf(path: str) -> str:
+    return path.rpartition("/")[2]
 
-    A base whose last segment has no extension is a directory.
-    """
-    if link is None or base is None:
-        return None
-    t = link.strip(WHITE)
-    if not t or t.startswith(("#", "javascript:")) or _BARE_EXTENSION.fullmatch(t):
+
+def as_directory(page: str) -> str:
+    """The page's URL as links are read against it: with a slash at the end, unless its last segment names a file."""
+    at = urlsplit(page)
+    if not (at.scheme and at.netloc) or at.path.endswith("/") or _is_file(_leaf(at.path)):
+        return page
+    return at._replace(path=f"{at.path}/").geturl()
+
+
+def resolve_one(link: str | None, base: str | None) -> str | None:
+    """The absolute, normalised URL of a link on a page, or None where it leads nowhere."""
+    wanted = None if link is None or base is None else link.strip(WHITE)
+    if wanted is None or _leads_nowhere(wanted):
         return None
     try:
-        page = urlsplit(base)
-        if page.scheme and page.netloc and not page.path.endswith("/") and not _HAS_EXTENSION.search(page.path.rpartition("/")[2]):
-            base = page._replace(path=page.path + "/").geturl()
-        target = urlsplit(urljoin(base, t))
-        if _BARE_EXTENSION.fullmatch(target.path.rpartition("/")[2]) or target.scheme.lower() not in ("http", "https"):
-            return None
-        return normalize_one(target.geturl())
+        found = urljoin(as_directory(base), wanted)
+        at = urlsplit(found)
+        return normalize_one(found) if at.scheme.lower() in ("http", "https") and not _is_bare(_leaf(at.path)) else None
     except ValueError:
         return None
 

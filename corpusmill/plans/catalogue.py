@@ -427,22 +427,22 @@ def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.validate_chat(r).select("id", "error", "top_k", requests.status(F.col("error")).alias("status"))
 
 
-_DELAYS = [(1, "Please retry in 12.5s.", None, 12.5), (2, "retry after 3 seconds", None, 3.0), (3, "retryInfo retryDelay: 7s", None, 7.0), (4, "no hint", None, None), (5, "retry in 9s", "40s", 40.0), (6, "", "x", None)]
-
-
-@query("retry_delay", "SELECT id::BIGINT AS id, seconds::DOUBLE AS seconds FROM (VALUES " + ", ".join(f"({i}, {_lit(s)})" for i, _, _, s in _DELAYS) + ") t(id, seconds)")
+# Messages made of the events, so that the oracle computes the wait from the numbers and never reads the message.
+@query("retry_delay", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN (event_id % 11)::DOUBLE WHEN event_id % 5 = 0 THEN event_id % 90 + 0.5 WHEN event_id % 5 < 3 THEN (event_id % 90)::DOUBLE END::DOUBLE AS seconds FROM events""")
 def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(i, m, x) for i, m, x, _ in _DELAYS], "id long, message string, detail string")
-    return d.select("id", errors.retry_delay(F.col("message"), F.col("detail")).alias("seconds"))
-
-
-_FAILURES = [(1, 429, "slow down", "rate_limit", True), (2, None, "got 429", "rate_limit", False), (3, None, "fetch failed", "network", True), (4, 503, "busy", "server", True), (5, 501, "none", "server", False), (6, 400, "bad", "transient", False), (7, None, "ECONNREFUSED 1.2.3.4", "network", True), (8, None, "what", "transient", False)]
+    n = (F.col("event_id") % 90).cast("string")
+    text = F.get(F.array(F.concat(F.lit("The server is full, retry in "), n, F.lit(".5 s please")), F.concat(F.lit("RETRY AFTER "), n, F.lit(" seconds")), F.concat(F.lit("{retryDelay: "), n, F.lit("s}")), F.lit("no word of waiting, 12 s"), F.lit(None).cast("string")), (F.col("event_id") % 5).cast("int"))
+    detail = F.when(F.col("event_id") % 7 == 0, F.concat((F.col("event_id") % 11).cast("string"), F.lit("s")))
+    return table(spark, sf_dir, "events").select("event_id", errors.retry_delay(text, detail).alias("seconds"))
 
 
-@query("error_class", "SELECT id::BIGINT AS id, category, retryable FROM (VALUES " + ", ".join(f"({i}, {_lit(c)}, {str(r).lower()})" for i, _, _, c, r in _FAILURES) + ") t(id, category, retryable)")
+@query("error_class", """WITH f AS (SELECT event_id, event_id % 4 AS kind, CASE WHEN event_id % 3 > 0 THEN 395 + event_id % 230 END AS status FROM events)
+SELECT event_id, CASE WHEN status = 429 OR kind = 1 THEN 'rate_limit' WHEN kind = 0 THEN 'network' WHEN status >= 500 AND status < 600 THEN 'server' ELSE 'transient' END AS category,
+CASE WHEN status IS NULL THEN kind = 0 ELSE status = 429 OR status = 500 OR (status >= 502 AND status <= 504) END AS retryable FROM f""")
 def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(i, s, m) for i, s, m, _, _ in _FAILURES], "id long, status int, message string")
-    return f.select("id", errors.error_category(F.col("status"), F.col("message")).alias("category"), errors.is_retryable(F.col("status"), F.col("message")).alias("retryable"))
+    status = F.when(F.col("event_id") % 3 > 0, F.lit(395) + F.col("event_id") % 230)
+    text = F.get(F.array(F.lit("Fetch FAILED at the host"), F.lit("it said 429"), F.lit("fine"), F.lit(None).cast("string")), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", errors.error_category(status, text).alias("category"), errors.is_retryable(status, text).alias("retryable"))
 
 
 # -- streaming -------------------------------------------------------------------------

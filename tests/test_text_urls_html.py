@@ -121,3 +121,18 @@ def test_index_requests(spark):
     assert requests.validate_index(df).collect()[4].error == "json"
     out = df.limit(1).select(requests.response(F.lit("bad"), F.struct(F.lit(1).alias("a"))), requests.response(F.lit(None).cast("string"), F.struct(F.lit(1).alias("a")))).first()
     assert tuple(out) == ('{"error":"bad"}', '{"a":1}')
+
+
+def test_deeply_nested_pages_give_a_row(spark):
+    deep = "<title>x</title>" + "<div>" * 100_000 + "<a href='/l'>in</a><p>text" + "</div>" * 100_000
+    mixed = "<ul><li><b>" * 5_000 + "end"
+    df = spark.createDataFrame([("http://h/", deep), ("http://h/", mixed), ("http://h/", "</p></div>" * 1000), (None, None)], "url string, html string")
+    got = df.select(html.title(F.col("html")).alias("t"), html.links(F.col("html")).alias("l"), html.to_text(F.col("url"), F.col("html")).alias("x")).collect()
+    assert got[0].t == "x" and got[0].l == ["/l"] and got[0].x.split() == ["xin", "text"]  # children are joined without a separator
+    assert got[1].x.endswith("end") and got[2].x == got[3].x == ""
+
+
+def test_waits_in_messages(spark):
+    said = {"please retry in 4 s": 4.0, "Retry after 2.5seconds": 2.5, "retry_delay: 7s": 7.0, "retry in a minute": None, "retry in 5 minutes": None, "retrying 3 s": None, None: None}
+    df = spark.createDataFrame([(m,) for m in said], "m string")
+    assert [r[0] for r in df.select(errors.retry_delay(F.col("m"))).collect()] == list(said.values())
