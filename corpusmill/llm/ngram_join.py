@@ -11,8 +11,8 @@ and only a set with more under all SEEDS keeps its empty places as keys. A set c
 sizes is sketched for that band too, so pairs across a border meet there.
 
 Rows with equal keys are paired inside Arrow batches, where a pair leaves only when the Hamming distance of the
-folded bit sketches (one bit flipped a shingle; again at most the symmetric difference) permits a link; candidates are
-verified on the shingle sets, with integers: 100 * common >= percent * union. First every member of a key meets the
+folded bit sketches (one bit flipped a shingle; again at most the symmetric difference) permits a link, first with a
+sketch of one width, then with one as wide as the set is large; candidates are verified on the shingle sets, with integers: 100 * common >= percent * union. First every member of a key meets the
 first members it can link with, and verified links join components; then one member of each component that a
 key holds does the same. Last, all pairs of a key that still lie in different components are met, block by block, so no
 link between components is lost while a large group of near copies costs its members, not their pairs.
@@ -159,16 +159,50 @@ def _band_keys(h: np.ndarray, doc: np.ndarray, band: np.ndarray, who: np.ndarray
 
 
 def hashed_sets(src: DataFrame, size: int) -> DataFrame:
-    """id, n and the sorted distinct shingle hashes of the texts."""
+    """id, n, the sorted distinct shingle hashes and a bit sketch as wide as the set is large of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, off, _ = distinct_sets(part.column("text"), size)
                 hashes = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off).astype(np.int32)), hashes], names=["id", "n", "hashes"])
+                wide = pa.array([wide_sketch(h[x:y]).tobytes() for x, y in zip(off, off[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off).astype(np.int32)), hashes, wide], names=["id", "n", "hashes", "wide"])
 
-    return src.select("id", "text").mapInArrow(tidy(run), "id long, n int, hashes array<bigint>")
+    return src.select("id", "text").mapInArrow(tidy(run), "id long, n int, hashes array<bigint>, wide binary")
+
+
+def wide_sketch(h: np.ndarray) -> np.ndarray:
+    """Every shingle of one set flips one of two to four times as many bits; the words are a power of two."""
+    words = 1 << max(0, (2 * len(h) - 1) // 64).bit_length()
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, ((mix(h) >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two wide sketches, the wider one folded: at most the symmetric difference of the sets."""
+    while len(x) > len(y):
+        x = x[::2] ^ x[1::2]
+    while len(y) > len(x):
+        y = y[::2] ^ y[1::2]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and wide sketches permit to link: hashes, many times as large, are sent for these only."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = max_difference(batch.column("na").to_numpy().astype(np.int64), batch.column("nb").to_numpy().astype(np.int64), percent)
+            words = (np.frombuffer(memoryview(v.as_buffer()), np.uint64) for pair in zip(batch.column("x"), batch.column("y"), strict=True) for v in pair)
+            near = pa.array([distance(x, y) <= m for x, y, m in zip(words, words, most.tolist(), strict=False)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(near)
+
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def distinct_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,24 +371,27 @@ def open_candidates(opened: DataFrame, sketches: DataFrame, percent: int) -> Dat
     return _paired(dealt.select(unit.alias("unit"), "block", (F.col("block") == F.col("other")).alias("own"), "comp", "id", "n", "sketch"), percent, "open")
 
 
-def verify(pairs: DataFrame, src: DataFrame, where: DataFrame, percent: int, size: int, label: str) -> DataFrame:
+def verify(pairs: DataFrame, src: DataFrame, where: DataFrame, percent: int, size: int, label: str, again: bool) -> DataFrame:
     """Pairs (a < b) of classes whose sets have 100 * common >= percent * union, written.
 
-    Only texts of candidates are hashed again; `where` names a row of each class by its id and text hash.
+    Only texts of candidates are hashed again; `where` names a row of each class by its id and text hash, and `again` tells
+    whether any row comes twice.
     """
     pairs = written(pairs, f"{label}-pairs")
     members = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     asked = written(where.join(members, "class", "left_semi").select("class", F.col("rid").alias("id"), "k1"), f"{label}-candidates")
     known = src.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     texts = sized_join(known, asked, ["id", "k1"], "inner", 32 * asked.count())
-    hashed = written(hashed_sets(texts.select(F.col("class").alias("id"), "text"), size).dropDuplicates(["id"]), f"{label}-sets")
+    sets = hashed_sets(texts.select(F.col("class").alias("id"), "text"), size)
+    hashed = written(sets.dropDuplicates(["id"]) if again else sets, f"{label}-sets")
+    close = written(close_pairs(pairs, hashed, percent), f"{label}-close")
     left = hashed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = hashed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
     # Joined one side after the other; each is an equi-join that AQE can split at a hub.
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
+    both = close.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
     out = written(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common"), f"{label}-links")
-    discard(pairs, asked, hashed)
+    discard(pairs, asked, hashed, close)
     return out
 
 
@@ -376,17 +413,18 @@ def link(src: DataFrame, percent: int, size: int, make: KeyMaker) -> tuple[DataF
     reps = sized_join(base.select(F.col("row").alias("id"), "n", "keys", "sketch"), classes.select(F.col("class").alias("id")), ["id"], "left_semi", 16 * classes.count())
     sketches = written(reps.select("id", "n", "sketch"), "sketches")
     shared = shared_keys(reps.select(F.explode("keys").alias("key"), "id"))
+    again = base.groupBy("id", "k1").count().where("count > 1").limit(1).count() > 0
     rows = written(base.select("id", "n", "fp1", "fp2"), "members")
     discard(base)
-    links = verify(first_candidates(shared, sketches, percent), src, classes, percent, size, "first")
+    links = verify(first_candidates(shared, sketches, percent), src, classes, percent, size, "first", again)
     opened = _open(shared, links)
     if opened.limit(1).count():
-        found = verify(component_candidates(opened, sketches, percent), src, classes, percent, size, "heads")
+        found = verify(component_candidates(opened, sketches, percent), src, classes, percent, size, "heads", again)
         if found.limit(1).count():
             links = found.union(links)
             discard(opened)
             opened = _open(shared, links)
-        links = verify(open_candidates(opened, sketches, percent), src, classes, percent, size, "open").union(links)
+        links = verify(open_candidates(opened, sketches, percent), src, classes, percent, size, "open", again).union(links)
     discard(opened)
     discard(sketches, shared)
     return rows, classes, links

@@ -80,7 +80,10 @@ def test_sketch_distance_is_a_lower_bound():
         b = np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 10, dtype=np.uint64)])
         h, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
         words = ngram_join.bit_sketch(h, doc, 2)
-        assert np.bitwise_count(words[0] ^ words[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        assert np.bitwise_count(words[0] ^ words[1]).sum() <= differ
+        assert ngram_join.distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)) <= differ
+        assert ngram_join.distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(a[:9])) <= len(a) - 9
 
 
 @pytest.mark.parametrize("percent", [80, 90])
