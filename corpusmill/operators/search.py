@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vector
 from corpusmill.operators.filters import MetadataFilter, apply
+from corpusmill.session import written
 
-#: Query vectors that one pass over the table answers; more are answered block after block.
-QUERY_BLOCK = 4096
+#: Vectors of one packed block: a pair of blocks is one matrix product of QUERY_BLOCK x ROW_BLOCK doubles.
+QUERY_BLOCK = 1024
+ROW_BLOCK = 4096
+#: Packed query blocks up to this many bytes in all, as measured, are broadcast; beyond it the blocks are paired by tasks.
+BROADCAST_BLOCKS = 64 << 20
 
 
 def scored(df: DataFrame, query: list[float], metric: str = "l2", vec_col: str = "embedding") -> DataFrame:
@@ -41,64 +45,83 @@ def top_k(df: DataFrame, query: list[float], k: int, metric: str = "l2", filters
 def batch_top_k(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", query_id: str = "qid", query_vec: str = "embedding") -> DataFrame:
     """(qid, rank, id, score) for every query against all rows.
 
-    Queries go to the executors in blocks of QUERY_BLOCK vectors (a bounded closure); a task multiplies its
-    rows with the block batch by batch and keeps k rows a query, so what is
-    shuffled is k rows per query and task, whatever the table's size.
+    Both sides are packed into blocks of vectors inside their partitions, and every query block meets every row
+    block once; nothing passes through the driver. A task keeps the k best scores of each query it has seen, so
+    of the later blocks only rows that can still be among the k best are emitted. Null ids and vectors are left out.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    schema = f"qid {queries.schema[query_id].dataType.simpleString()}, id {df.schema[id_col].dataType.simpleString()}, score double"
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
-    parts, block = [], []
-    for q in queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v")).orderBy("q").toLocalIterator():
-        block.append((q.q, q.v))
-        if len(block) == QUERY_BLOCK:
-            parts.append(_block(rows, block, k, metric, schema))
-            block = []
-    if block:
-        parts.append(_block(rows, block, k, metric, schema))
-    if not parts:
-        return df.sparkSession.createDataFrame([], schema).select("qid", F.lit(0).alias("rank"), "id", "score")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    if k <= 0:
+        raise ValueError("k must be over 0")
+    qid, rid = queries.schema[query_id].dataType.simpleString(), df.schema[id_col].dataType.simpleString()
+    asked = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    asked = written(asked.mapInArrow(_packer(QUERY_BLOCK), f"ids array<{qid}>, m binary").select(F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "query-blocks")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("qm")), F.lit(0))).first()[0]
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(_packer(ROW_BLOCK), f"ids array<{rid}>, m binary")
+    # Pairs of blocks, not of rows: the queries are a stated set, and each has to meet all rows.
+    pairs = rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BLOCKS else written(rows, "row-blocks").crossJoin(asked)
+    found = pairs.mapInArrow(_best_of(k, metric), f"qid {qid}, id {rid}, score double")
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")))
     return ranked.where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 
 
-def _block(rows: DataFrame, block: list, k: int, metric: str, schema: str) -> DataFrame:
-    ids = [q for q, _ in block]
-    mat = np.asarray([v for _, v in block], np.float64).reshape(len(block), -1)
+def _packer(size: int):
+    """Rows (id, v) to blocks (ids, m): up to `size` vectors as one matrix of doubles, ids in ascending order."""
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).sort_by("id")
+        m = np.asarray(t.column("v").to_pylist(), np.float64)
+        ids = t.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), [])] * len(ids)
-        qn = np.sqrt((mat**2).sum(axis=1))
+        held, n = [], 0
+        for batch in batches:
+            while len(batch):
+                part = batch.slice(0, size - n)
+                held.append(part)
+                n, batch = n + len(part), batch.slice(len(part))
+                if n == size:
+                    yield block(held)
+                    held, n = [], 0
+        if n:
+            yield block(held)
+
+    return run
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Queries by rows, less is better, rounded to 6 places."""
+    if metric == "l2":
+        out = np.empty((len(q), len(x)))
+        for i, v in enumerate(q):
+            out[i] = ((x - v) ** 2).sum(axis=1)
+        return np.round(out + 1e-10, 6)
+    size = np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
+    return -np.round(np.divide(q @ x.T, size, out=np.zeros(size.shape), where=size > 0) + 1e-10, 6)
+
+
+def _best_of(k: int, metric: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}  # per query block the k best scores so far: k doubles a query
         for batch in batches:
-            if not len(batch):
-                continue
-            own = batch.column("id").to_pylist()
-            x = np.asarray(batch.column("v").to_pylist(), np.float64)
-            if metric == "cosine":
-                size = qn[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
-                s = np.divide(mat @ x.T, size, out=np.zeros((len(ids), len(x))), where=size > 0)
-                s = -np.round(s + 1e-10, 6)
-            else:
-                s = np.round(np.stack([((x - q) ** 2).sum(axis=1) for q in mat]) + 1e-10, 6)
-            tie = np.argsort(np.argsort(np.asarray(own, dtype=object), kind="stable"))
-            for i in range(len(ids)):
-                keep = np.arange(len(own))
-                if len(own) > k:
-                    bound = np.partition(s[i], k - 1)[k - 1]
-                    keep = np.flatnonzero(s[i] <= bound)
-                keep = keep[np.lexsort((tie[keep], s[i][keep]))][:k]
-                old_s, old = best[i]
-                both_s, both = np.concatenate([old_s, s[i][keep]]), old + [own[j] for j in keep]
-                order = sorted(range(len(both)), key=lambda j: (both_s[j], both[j]))[:k]
-                best[i] = (both_s[order], [both[j] for j in order])
-        sign = -1.0 if metric == "cosine" else 1.0
-        flat = [(ids[i], d, float(sign * a) + 0.0) for i, (s, own) in enumerate(best) for a, d in zip(s, own, strict=True)]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat]), pa.array([f[1] for f in flat]), pa.array([f[2] for f in flat], pa.float64())], names=["qid", "id", "score"])
-
-    return rows.mapInArrow(run, schema)
+            for at in range(len(batch)):
+                row = {n: batch.column(n)[at] for n in ("ids", "m", "block", "qids", "qm")}
+                qids, ids, name = row["qids"].values, row["ids"].values, row["block"].as_py()
+                q = np.frombuffer(row["qm"].as_buffer(), np.float64).reshape(len(qids), -1)
+                s = _scores(q, np.frombuffer(row["m"].as_buffer(), np.float64).reshape(len(ids), -1), metric)
+                own = np.partition(s, k - 1, axis=1)[:, :k] if s.shape[1] > k else s
+                best = np.concatenate([seen[name], own], axis=1) if name in seen else own
+                seen[name] = best = np.partition(best, k - 1, axis=1)[:, :k] if best.shape[1] > k else best
+                bound = best.max(axis=1) if best.shape[1] == k else np.full(len(q), np.inf)
+                i, j = np.nonzero(s <= bound[:, None])
+                order = np.lexsort((j, s[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i, "left")
+                keep = np.arange(len(i)) - first < k
+                i, j = i[keep], j[keep]
+                score = (s[i, j] if metric == "l2" else -s[i, j]) + 0.0
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)], names=["qid", "id", "score"])
+
+    return run

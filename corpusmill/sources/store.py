@@ -1,13 +1,17 @@
-"""A versioned vector table on any Hadoop filesystem.
+"""A versioned vector table on any Hadoop filesystem: parts, and manifests that list them.
 
-Every change writes a new version directory; the version exists once Spark's committer has put its success
-marker there, and readers take the highest complete version. A failed or concurrent
-write leaves the current version untouched: two writers of the same number cannot both
-create the directory.
+An upsert writes one part with its own rows, a delete one part with the ids that go; neither rewrites the table.
+A version is a manifest of parts, oldest first, and a later part overrides the ids of the earlier ones. The manifest is
+created exclusively, so of two writers of one version number one fails and changes nothing; a manifest that was
+cut off while being written does not parse and is passed over. Once FAN parts follow those that are far larger,
+they are merged into one, so a row is rewritten a logarithmic number of times and a read joins few parts.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,12 @@ from corpusmill.operators import search
 from corpusmill.operators.filters import MetadataFilter, compile_filters
 from corpusmill.schema import VECTOR_ROW
 
-_COUNT = "embedding"
+#: Parts that may follow a part before they are merged, and how much larger than all of them a part is that stays out of it.
+FAN, LARGER = 8, 4
+
+
+class Conflict(RuntimeError):
+    """Another writer has published the version first; nothing of this call took effect."""
 
 
 class VectorStore:
@@ -31,61 +40,131 @@ class VectorStore:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
 
+    def _names(self, start: str) -> list[str]:
+        _, fs, root = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(n for n in names if n.startswith(start))
+
+    def _manifest(self, version: int) -> list[dict] | None:
+        """The parts of a version, or None where its manifest is not complete."""
+        jvm, fs, _ = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/m-{version:010d}"))
+        try:
+            return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())["parts"]
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
     def versions(self) -> list[int]:
-        jvm, fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        found = [int(n[2:]) for n in self._names("m-")]
+        return [v for v in found if self._manifest(v) is not None]
 
-    def _next(self) -> str:
-        jvm, fs, root = self._fs()
-        taken = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v-")] if fs.exists(root) else []
-        return f"{self.path}/v-{max(taken, default=0) + 1:010d}"
+    def _current(self) -> list[dict]:
+        for n in reversed(self._names("m-")):
+            parts = self._manifest(int(n[2:]))
+            if parts is not None:
+                return parts
+        raise RuntimeError("the store is not initialized")
 
-    def _commit(self, rows: DataFrame) -> None:
-        rows.select(*self.schema.fieldNames()).write.mode("errorifexists").parquet(self._next())
+    def _publish(self, parts: list[dict], after: int) -> None:
+        jvm, fs, _ = self._fs()
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/m-{after + 1:010d}"), False)
+        except Exception as e:
+            raise Conflict(f"version {after + 1} exists") from e
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.close()
+
+    def _last(self) -> int:
+        """The number of the newest manifest, complete or not."""
+        return max((int(n[2:]) for n in self._names("m-")), default=0)
+
+    # -- parts ------------------------------------------------------------
+    def _write(self, rows: DataFrame, gone: bool = False) -> dict:
+        """A new part: rows of the table, or ids that go."""
+        name = f"p-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return {"name": name, "gone": gone, "rows": self.spark.read.parquet(f"{self.path}/{name}").count()}
+
+    def _open(self, part: dict) -> DataFrame:
+        schema = self.schema["id"].dataType.simpleString()
+        reader = self.spark.read.schema(f"id {schema}" if part["gone"] else self.schema)
+        return reader.parquet(f"{self.path}/{part['name']}")
+
+    def _view(self, parts: list[dict]) -> DataFrame:
+        """Rows of the parts, each id from the newest part that has it."""
+        rows, newer = self.spark.createDataFrame([], self.schema), None
+        for part in reversed(parts):
+            own = self._open(part)
+            if not part["gone"]:
+                left = own if newer is None else own.join(newer, "id", "left_anti")
+                rows = rows.unionByName(left.select(*self.schema.fieldNames()))
+            newer = own.select("id") if newer is None else newer.union(own.select("id"))
+        return rows
+
+    def _merged(self, parts: list[dict]) -> list[dict]:
+        """The parts, with the last ones merged where more than FAN follow a part that is far larger."""
+        at = 0
+        while at < len(parts) and parts[at]["rows"] > LARGER * sum(p["rows"] for p in parts[at + 1 :]):
+            at += 1
+        if len(parts) - at <= FAN:
+            return parts
+        tail, out = parts[at:], list(parts[:at])
+        if at and any(p["gone"] for p in tail):  # what goes has to go from the older parts too
+            ids = self._open(tail[0]).select("id")
+            for p in tail[1:]:
+                ids = ids.union(self._open(p).select("id"))
+            gone = ids.distinct().join(self._view(tail).select("id"), "id", "left_anti")
+            out.append(self._write(gone, gone=True))
+        return [*out, self._write(self._view(tail))]
+
+    def _add(self, rows: DataFrame, gone: bool = False) -> None:
+        last, parts = self._last(), self._current()
+        part = self._write(rows, gone)
+        self._publish(self._merged([*parts, part]) if part["rows"] else parts, last)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the last versions."""
+        """Delete all but the last versions, and the parts that none of them lists. Not while another writer is at work."""
         jvm, fs, _ = self._fs()
-        for v in self.versions()[:-keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{v:010d}"), True)
+        kept = self.versions()[-keep:]
+        used = {p["name"] for v in kept for p in self._manifest(v)}
+        old = [n for n in self._names("m-") if int(n[2:]) not in kept]
+        for n in [*old, *(n for n in self._names("p-") if n not in used)]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)
 
     # -- contract -----------------------------------------------------------
     def initialize(self) -> None:
         """Create an empty first version where there is none."""
         if not self.versions():
-            self._commit(self.spark.createDataFrame([], self.schema))
+            self._publish([], self._last())
 
     def validate(self) -> bool:
         """Whether a version can be read and all vectors have the right length."""
         return bool(self.versions()) and self.read().where(~vector.has_dimension(F.col("embedding"), self.dimension)).limit(1).count() == 0
 
     def read(self, version: int | None = None) -> DataFrame:
-        v = version if version is not None else max(self.versions(), default=None)
-        if v is None:
-            raise RuntimeError("the store is not initialized")
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v-{v:010d}")
+        parts = self._current() if version is None else self._manifest(version)
+        if parts is None:
+            raise RuntimeError(f"version {version} is not complete")
+        return self._view(parts)
 
     def upsert(self, rows: DataFrame, ordinal: str | None = None) -> None:
         """Replace by id or insert; of rows with one id in the call the last by `ordinal` (or input order) wins. All or nothing."""
-        base = self.read()
-        good = rows.withColumn("embedding", vector.require_dimension(F.col("embedding"), self.dimension))
-        self._commit(merge(base, good, ordinal).select(*[F.col(f.name).cast(f.dataType) for f in self.schema]))
+        good = last_wins(rows.withColumn("embedding", vector.require_dimension(F.col("embedding"), self.dimension)), "id", ordinal)
+        self._add(good.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]))
 
     def delete(self, filters: list[MetadataFilter]) -> None:
-        """Remove rows that match all filters; no filter is an error."""
+        """Remove rows that match all filters; no filter is an error. Rows for which the filters are null stay."""
         if not filters:
             raise ValueError("delete needs a filter")
-        self._commit(without(self.read(), filters))
+        self._add(self.read().where(compile_filters(filters, self.schema)).select("id"), gone=True)
 
     def count(self) -> int:
         return self.read().count()
 
     def clear(self) -> None:
-        self._commit(self.spark.createDataFrame([], self.schema))
+        self._publish([], self._last())
 
     def capabilities(self) -> dict[str, bool]:
         return {"metadata_filters": True, "upsert": True, "delete": True}
