@@ -40,3 +40,8 @@ def error_category(status: Column, message: Column) -> Column:
 def is_retryable(status: Column, message: Column) -> Column:
     """By status where there is one, else by the message."""
     return F.when(status.isNotNull(), status.isin(*RETRY_STATUS)).otherwise(is_network_failure(message))
+
+
+def retryable_one(status: int | None, message: str | None) -> bool:
+    """is_retryable for one failure, for providers that run inside a task."""
+    return status in RETRY_STATUS if status is not None else any(p in (message or "").lower() for p in NETWORK_PHRASES)

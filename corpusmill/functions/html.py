@@ -159,24 +159,44 @@ def _main(root: _Node) -> _Node | None:
     return _find(root, "article") or _find(root, "main")
 
 
-def extract_one(url: str | None, html: str | None, mode: str = "full_page") -> str:
-    root = parse(html or "")
+def _text_of(root: _Node, url: str | None, mode: str) -> str:
     start = _find(root, "body") or root
     if mode == "main_content" and not is_bypassed(url):
         start = _main(root) or start
     return clean(render(start))
 
 
-def title_one(html: str | None) -> str:
-    node = _find(parse(html or ""), "title")
+def _title_of(root: _Node) -> str:
+    node = _find(root, "title")
     return (_inner(node).strip(WHITE) if node else "") or UNTITLED
 
 
-def links_one(html: str | None) -> list[str]:
-    hrefs = ((x.attrs.get("href") or "").strip(WHITE) for x in _walk(parse(html or "")) if isinstance(x, _Node) and x.tag == "a")
+def _links_of(root: _Node) -> list[str]:
+    hrefs = ((x.attrs.get("href") or "").strip(WHITE) for x in _walk(root) if isinstance(x, _Node) and x.tag == "a")
     return [h for h in hrefs if h]
 
 
+def extract_one(url: str | None, html: str | None, mode: str = "full_page") -> str:
+    return _text_of(parse(html or ""), url, mode)
+
+
+def title_one(html: str | None) -> str:
+    return _title_of(parse(html or ""))
+
+
+def links_one(html: str | None) -> list[str]:
+    return _links_of(parse(html or ""))
+
+
+def page_one(url: str | None, html: str | None, mode: str = "full_page") -> dict:
+    """Title, text and links from one parse; a page that cannot be read has nulls and the reason in `error`."""
+    try:
+        root = parse(html or "")
+        return {"title": _title_of(root), "content": _text_of(root, url, mode), "links": _links_of(root), "error": None}
+    except Exception as e:  # a page that fails is a row, not the end of the run
+        return {"title": None, "content": None, "links": [], "error": f"{type(e).__name__}: {e}"}
+
+
 @F.arrow_udf(T.StringType())
 def _title(html: pa.Array) -> pa.Array:
     return pa.array([title_one(h.as_py()) for h in html], pa.string())
@@ -197,6 +217,20 @@ def links(html: Column) -> Column:
     return _links(html)
 
 
+def page(url: Column, html: Column, mode: str = "full_page") -> Column:
+    """Struct of title, content, links and error, the page parsed once."""
+    if mode not in ("full_page", "main_content"):
+        raise ValueError(f"unknown mode {mode!r}")
+    text, texts = T.StringType(), T.ArrayType(T.StringType())
+
+    @F.arrow_udf(T.StructType([T.StructField("title", text), T.StructField("content", text), T.StructField("links", texts), T.StructField("error", text)]))
+    def run(u: pa.Array, h: pa.Array) -> pa.Array:
+        out = [page_one(a.as_py(), b.as_py(), mode) for a, b in zip(u, h, strict=True)]
+        return pa.array(out, pa.struct([("title", pa.string()), ("content", pa.string()), ("links", pa.list_(pa.string())), ("error", pa.string())]))
+
+    return run(url, html)
+
+
 def to_text(url: Column, html: Column, mode: str = "full_page") -> Column:
     """Structured plain text. mode main_content starts at the article or main element where there is one."""
     if mode not in ("full_page", "main_content"):

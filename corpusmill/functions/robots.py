@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
@@ -12,14 +13,19 @@ from pyspark.sql import types as T
 from corpusmill.functions.urls import host
 
 
+@lru_cache(maxsize=256)
+def _parsed(rules: str) -> RobotFileParser:
+    parser = RobotFileParser()
+    parser.parse(rules.splitlines())
+    return parser
+
+
 def allowed_one(url: str | None, rules: str | None, agent: str) -> bool:
     """True without rules or where they cannot be read."""
     if url is None or not rules:
         return True
     try:
-        parser = RobotFileParser()
-        parser.parse(rules.splitlines())
-        return parser.can_fetch(agent, url)
+        return _parsed(rules).can_fetch(agent, url)
     except Exception:
         return True
 

@@ -9,7 +9,9 @@ written table, so the lineage stays short.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import is_http, same_domain
@@ -17,6 +19,32 @@ from corpusmill.schema import CrawlConfig
 from corpusmill.session import written
 
 
+class Crawler(Protocol):
+    """Finds the pages of a site: url, title, html, depth and rank of those that could be fetched."""
+
+    def crawl(self, start: str, config: CrawlConfig) -> DataFrame: ...
+
+
+class TableCrawler:
+    """Crawls a table of pages by its own links; robots: (host, rules, ok)."""
+
+    def __init__(self, pages: DataFrame, robots: DataFrame | None = None) -> None:
+        self.pages, self.robots = pages, robots
+
+    def crawl(self, start: str, config: CrawlConfig) -> DataFrame:
+        return crawl_pages(self.pages, start, config, self.robots)
+
+
+def fetch_failure(pages: DataFrame) -> Column:
+    """Why a page could not be fetched, or null: from its columns status, contentType and fetchError, as far as it has them."""
+    has = lambda name, test: test(F.col(name)) if name in pages.columns else F.lit(False)
+    return (
+        F.when(has("fetchError", lambda c: c.isNotNull()), "network")
+        .when(has("status", lambda c: ~F.coalesce(c.between(200, 299), F.lit(False))), "status")
+        .when(has("contentType", lambda c: ~F.coalesce(F.lower(c).contains("text/html"), F.lit(False))), "contentType")
+    )
+
+
 def edges_of(pages: DataFrame) -> DataFrame:
     """(src, dst, pos) of all resolvable links of pages (url, html)."""
     from corpusmill.functions import html, urls
@@ -56,10 +84,10 @@ def crawl(pages: DataFrame, edges: DataFrame, start: str, config: CrawlConfig |
 
 
 def crawl_pages(pages: DataFrame, start: str, config: CrawlConfig | None = None, robots: DataFrame | None = None) -> DataFrame:
-    """Crawl a table of pages (url, html) by its own links."""
+    """Crawl a table of pages (url, html) by its own links. Pages whose fetch failed are visited, but neither count nor are expanded."""
     from corpusmill.functions.robots import with_verdict
 
-    blocked = None
+    pages, blocked = pages.where(fetch_failure(pages).isNull()), None
     edges = edges_of(pages)
     if robots is not None:
         seen = pages.select("url").union(edges.select(F.col("dst").alias("url"))).distinct()

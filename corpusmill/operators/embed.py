@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections.abc import Callable
 from functools import lru_cache
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.errors import DEFAULT_DELAY
+from corpusmill.functions.errors import DEFAULT_DELAY, retryable_one
 from corpusmill.functions.text import WHITE
 
 
+R = TypeVar("R")
+
+
 class EmbeddingProvider(Protocol):
     """Anything that turns texts into vectors; it is sent to executors, so it has to pickle."""
 
@@ -63,6 +67,50 @@ class RateLimited(Exception):
         self.delay = delay
 
 
+class ProviderError(Exception):
+    """A provider's call failed; `status` is the HTTP status where there was a response."""
+
+    def __init__(self, message: str, status: int | None = None) -> None:
+        super().__init__(message)
+        self.status = status
+
+
+def with_backoff(call: Callable[[], R], most: int = 3, first: float = 1.0, sleep: Callable[[float], None] = time.sleep, waits_itself: tuple[type[Exception], ...] = ()) -> R:
+    """The result of `call`, tried again up to `most` times after failures that may pass, each wait twice the one before.
+
+    Exceptions of `waits_itself` go to the caller at once, as do those that a retry cannot mend.
+    """
+    wait = first
+    for left in range(most, -1, -1):
+        try:
+            return call()
+        except waits_itself:
+            raise
+        except Exception as e:
+            limited = isinstance(e, RateLimited)
+            if not left or not (limited or retryable_one(getattr(e, "status", None), str(e))):
+                raise
+        sleep(wait)
+        wait *= 2
+    raise AssertionError("unreachable")
+
+
+class BackingOff:
+    """Wraps an embedding provider: broken connections and server errors are tried again; a rate limit is left to Retrying."""
+
+    def __init__(self, provider: EmbeddingProvider, most: int = 3, first: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.provider, self.most, self.first, self.sleep = provider, most, first, sleep
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return with_backoff(lambda: self.provider.embed_batch(texts), self.most, self.first, self.sleep, (RateLimited,))
+
+    def model_name(self) -> str:
+        return self.provider.model_name()
+
+    def dimensions(self) -> int:
+        return self.provider.dimensions()
+
+
 class Retrying:
     """Wraps a provider: waits out rate limits, `most` times and `total` seconds a batch at most."""
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions import errors, html, requests, text, urls, vector
+from corpusmill.functions import errors, html, requests, robots, text, urls, vector
 from corpusmill.operators import search
 from corpusmill.operators.chunking import chunks
-from corpusmill.operators.crawl import crawl
+from corpusmill.operators.crawl import TableCrawler, crawl
 from corpusmill.operators.embed import HashEmbedding, embed
 from corpusmill.operators.filters import MetadataFilter, apply
 from corpusmill.plans import chat, pipeline
-from corpusmill.schema import ChunkConfig, CrawlConfig
+from corpusmill.schema import ChunkConfig, CrawlConfig, IndexConfig
 from corpusmill.session import scratch, table
 from corpusmill.sources import store
 from corpusmill.streaming import ingest
@@ -71,7 +71,7 @@ for _name, _metric, _filters, _where in (
     ("vector_topk_gt", "cosine", [MetadataFilter("label", "gt", 5)], "label > 5"),
     ("vector_topk_lt", "cosine", [MetadataFilter("label", "lt", 4)], "label < 4"),
     ("vector_topk_in", "l2", [MetadataFilter("label", "in", [1, 4, 7])], "label IN (1, 4, 7)"),
-    ("vector_topk_and", "l2", [MetadataFilter("label", "gt", 2), MetadataFilter("vec_id", "lt", 400)], "label > 2 AND vec_id < 400"),
+    ("vector_topk_and", "l2", [MetadataFilter("label", "gt", 2), MetadataFilter("label", "neq", 5)], "label > 2 AND label != 5"),
 ):
     QUERIES[_name] = _topk(_metric, _filters)
     ORACLES[_name] = _topk_sql(_metric, _where)
@@ -83,6 +83,20 @@ def filter_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source")
 
 
+@query("filter_ilike", "SELECT doc_id, source FROM documents WHERE source ILIKE '%SRC1%' AND text ILIKE '%THE%'")
+def filter_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = apply(table(spark, sf_dir, "documents"), [MetadataFilter("source", "contains", "SRC1"), MetadataFilter("text", "contains", "THE")], contains="ilike")
+    return found.select("doc_id", "source")
+
+
+@query("filter_like", "SELECT doc_id, n_chars FROM documents WHERE source LIKE '%s_c1%' AND (n_chars = 300 OR lang = 'en')")
+def filter_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contains as LIKE, where `_` is a wildcard; on numbers contains is equality."""
+    named = apply(table(spark, sf_dir, "documents"), [MetadataFilter("source", "contains", "s_c1")], contains="like")
+    equal = apply(named, [MetadataFilter("n_chars", "contains", 300)])
+    return equal.unionByName(named.where("n_chars != 300 AND lang = 'en'")).select("doc_id", "n_chars")
+
+
 @query("vector_batch_topk", f"""WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, round({_SQL_DOT} / ({_SQL_NORM.format('e.embedding')} * {_SQL_NORM.format('q.embedding')}) + 1e-10, 6) AS score FROM embeddings e, embeddings q),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT qid, rank::INT AS rank, id, score FROM r WHERE rank <= 5""")
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +220,36 @@ def link_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_LINK_CASES, "k string, l string").select("k", urls.rejected_link(F.col("l")).alias("rejected"))
 
 
+# A link by the remainder of the page's id: to a file beside the page, to a bare extension, or to a directory.
+@query("link_directory", r"""WITH p AS (SELECT page_id, page_id % 3 AS kind, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+d AS (SELECT *, site || CASE WHEN path LIKE '%/' OR regexp_matches(path, '/[^/]*\.[A-Za-z0-9]+$') THEN regexp_replace(path, '[^/]*$', '') ELSE path || '/' END AS dir FROM p)
+SELECT page_id, CASE kind WHEN 0 THEN dir || 'leaf.html' WHEN 2 THEN dir || 'sub' END AS target FROM d""")
+def link_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    link = F.get(F.array(F.lit("leaf.html"), F.lit("docs/.pdf"), F.lit("sub/")), (F.col("page_id") % 3).cast("int"))
+    return p.select("page_id", urls.resolve(link, F.col("url")).alias("target"))
+
+
+# Rules by the length of the host: some forbid /en/, some were not served, some hosts have none.
+@query("robots_verdict", r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, NOT (length(host) % 3 = 0 AND starts_with(path, '/en/')) AS allowed FROM p""")
+def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    kind = F.char_length("host") % 3
+    hosts = p.select(urls.host(F.col("url")).alias("host")).distinct().where(kind < 2)
+    rules = hosts.select("host", F.when(kind == 0, "User-agent: *\nDisallow: /en/").otherwise("User-agent: *\nDisallow: /").alias("rules"), (kind == 0).alias("ok"))
+    return robots.with_verdict(p, rules).select("page_id", "allowed")
+
+
+# Pages with an article beside other text, made of the documents; a host or path that speaks of a team or of being about something keeps all.
+@query("main_content", r"""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'aside' || chr(10) || chr(10) ELSE '' END || '# ' || source || chr(10) || chr(10) || lang || ' ' || n_chars AS content FROM documents""")
+def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    url = F.get(F.array(F.lit("http://team.example/x"), F.lit("http://h.example/ABOUT-us"), F.lit("http://h.example/x"), F.lit("http://h.example/y")), (F.col("doc_id") % 4).cast("int"))
+    body = F.concat(F.lit("<html><body><nav>menu</nav><p>aside</p><article><h1>"), "source", F.lit("</h1><p>"), "lang", F.lit("  "), F.col("n_chars").cast("string"), F.lit("</p></article><footer>end</footer></body></html>"))
+    return d.select("doc_id", html.page(url, body, "main_content")["content"].alias("content"))
+
+
 @query("title_extract", "SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
@@ -261,6 +305,28 @@ def crawl_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, 4, 3)
 
 
+# A site of the customers: page n links to 2n and 2n + 1, to its parent and twice to the first page; a page whose number is a multiple of 7 was not found,
+# of 11 is no HTML, of 13 broke off. Breadth first is then the order of the numbers of pages whose ancestors could all be fetched.
+_SITE = "http://site.example/p"
+
+
+@query("crawl_pages", f"""WITH RECURSIVE n AS (SELECT c_custkey + 1 AS n FROM customer), walk(n, depth) AS (SELECT 1::BIGINT, 0 FROM n WHERE n = 1
+UNION ALL SELECT c.n, w.depth + 1 FROM walk w JOIN n c ON c.n // 2 = w.n AND c.n > 1 WHERE w.depth < 8 AND c.n % 7 != 0 AND c.n % 11 != 0 AND c.n % 13 != 0)
+SELECT '{_SITE}' || n AS url, depth::INT AS depth, (row_number() OVER (ORDER BY n))::INT AS rank FROM walk ORDER BY n LIMIT 100""")
+def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _site(spark, sf_dir)
+    return TableCrawler(pages).crawl(_SITE + "1", CrawlConfig(100, 8)).select("url", "depth", "rank")
+
+
+def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("n"), F.col("c_name").alias("name"))
+    to = lambda c: F.concat(F.lit("<a href='/p"), c.cast("string"), F.lit("'>x</a>"))
+    num = F.col("n")
+    text = F.when(num % 5 > 0, F.repeat(F.concat(F.lit("word "), num.cast("string"), F.lit(" ")), 60)).otherwise(F.lit("short"))
+    body = F.concat(to(num * 2), to(num * 2 + 1), to(F.floor(num / 2)), to(F.lit(1)), to(F.lit(1)), F.lit("<p>"), text, F.lit("</p>"))
+    return n.select(F.concat(F.lit(_SITE), num.cast("string")).alias("url"), F.concat(F.lit("Page "), num.cast("string")).alias("title"), body.alias("html"), F.when(num % 7 == 0, 404).otherwise(200).alias("status"), F.when(num % 11 == 0, "image/png").otherwise("text/html; charset=utf-8").alias("contentType"), F.when(num % 13 == 0, "reset").alias("fetchError"))
+
+
 # -- store ---------------------------------------------------------------------------
 def _as_store(e: DataFrame) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), "label")
@@ -343,6 +409,24 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.summarize(results, rows.where("batch % 7 != 0"))
 
 
+@query("index_site", f"""WITH RECURSIVE n AS (SELECT c_custkey + 1 AS n FROM customer), walk(n, depth) AS (SELECT 1::BIGINT, 0 FROM n WHERE n = 1
+UNION ALL SELECT c.n, w.depth + 1 FROM walk w JOIN n c ON c.n // 2 = w.n AND c.n > 1 WHERE w.depth < 6 AND c.n % 7 != 0 AND c.n % 11 != 0 AND c.n % 13 != 0),
+f AS (SELECT n FROM walk ORDER BY n LIMIT 60)
+SELECT '{_SITE}' || n AS url, n % 5 != 0 AS success, CASE WHEN n % 5 = 0 THEN 'extract' END AS stage, CASE WHEN n % 5 = 0 THEN 'too little text' END AS "failureReason" FROM f""")
+def index_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run from a start URL: crawl, extract, cut, embed and store; one row a page."""
+    s = store.VectorStore(spark, scratch(spark, "site-store"), DIM)
+    results, _ = pipeline.index_site(_SITE + "1", TableCrawler(_site(spark, sf_dir)), s, HashEmbedding(DIM), IndexConfig(max_pages=60, max_depth=6))
+    return results.select("url", "success", "stage", "failureReason")
+
+
+@query("sse_frames", """SELECT event_id AS seq, 'data: {"type":"progress","stage":"' || event_type || '","message":"event ' || event_id || '","details":{"user":"' || user_id || '"}}' || chr(10) || chr(10) AS frame FROM events""")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("details"))
+    return pipeline.sse_frames(rows)
+
+
 # -- embedding, retrieval, answers ----------------------------------------------------------
 DIM = 64
 
@@ -414,17 +498,41 @@ def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- requests and errors ------------------------------------------------------------------
-_REQUESTS = [(1, '{"message": "hi"}', None, 3), (2, '{"message": "  "}', "message", 3), (3, '{"message": "x", "topK": 5}', None, 5), (4, '{"message": "x", "topK": 0}', "topK", 0), (5, '{"message": "x", "temperature": 2.5}', "temperature", 3), (6, '{"message": "x", "maxOutputTokens": -1}', "maxOutputTokens", 3), (7, "{broken", "json", 3), (8, '{"message": 7}', "message", 3), (9, '{"message": "x", "topK": "5"}', "topK", 3), (10, '{"topK": 2}', "message", 2)]
+# Bodies made of the turns of conversations: the kind of body goes by the turn's number, so the oracle never reads the JSON.
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(10)).cast("int").alias("kind"), F.to_json(F.struct(F.col("text").alias("message"))).alias("head"), "text")
+    more = F.get(F.array(*[F.lit(x) for x in ("", ',"topK":5', ',"topK":0', ',"topK":"5"', ',"temperature":2.5', ',"temperature":0.5,"maxOutputTokens":100', ',"maxOutputTokens":-1', ',"topK":null')]), F.col("kind"))
+    good = F.concat(F.expr("left(head, length(head) - 1)"), more, F.lit("}"))
+    return c.select("conv_id", "turn", F.when(F.col("kind") == 8, F.lit("{broken")).when(F.col("kind") == 9, F.lit('{"message":7,"note":{"topK":1}}')).otherwise(good).alias("body"))
 
 
-def _lit(v: object) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+_SQL_KINDS = f"""WITH k AS (SELECT conv_id, turn, text, (conv_id * 3 + turn) % 10 AS kind FROM conversations),
+e AS (SELECT *, CASE WHEN kind = 8 THEN 'json' WHEN kind = 9 OR trim(coalesce(text, ''), {_SQL_WHITE}) = '' THEN 'message' WHEN kind IN (2, 3, 7) THEN 'topK' WHEN kind = 4 THEN 'temperature' WHEN kind = 6 THEN 'maxOutputTokens' END AS error,
+CASE kind WHEN 1 THEN 5 WHEN 2 THEN 0 ELSE 3 END AS top_k FROM k)"""
 
 
-@query("request_validate", "SELECT id::BIGINT AS id, error, top_k::INT AS top_k, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status FROM (VALUES " + ", ".join(f"({i}, {_lit(e)}, {k})" for i, _, e, k in _REQUESTS) + ") t(id, error, top_k)")
+@query("request_validate", _SQL_KINDS + " SELECT conv_id, turn, error, top_k::INT AS top_k, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status FROM e")
 def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.createDataFrame([(i, b) for i, b, _, _ in _REQUESTS], "id long, body string")
-    return requests.validate_chat(r).select("id", "error", "top_k", requests.status(F.col("error")).alias("status"))
+    return requests.validate_chat(_bodies(spark, sf_dir)).select("conv_id", "turn", "error", "top_k", requests.status(F.col("error")).alias("status"))
+
+
+@query("chat_response", _SQL_KINDS + """ SELECT conv_id, turn, CASE WHEN error IS NOT NULL THEN 400 WHEN conv_id % 5 = 0 THEN 500 ELSE 200 END AS status,
+CASE WHEN error IS NOT NULL THEN '{"error":"' || error || '"}' WHEN conv_id % 5 = 0 THEN '{"error":"provider"}' ELSE '{"answer":"turn ' || turn || '","topK":' || top_k || '}' END AS body FROM e""")
+def chat_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to the requests; answering fails for every fifth conversation."""
+    r = requests.validate_chat(_bodies(spark, sf_dir))
+    failure = F.when(F.col("conv_id") % 5 == 0, F.lit("provider"))
+    payload = F.struct(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("answer"), F.col("top_k").alias("topK"))
+    return r.select("conv_id", "turn", requests.status(F.col("error"), failure).alias("status"), requests.response(F.col("error"), payload, failure).alias("body"))
+
+
+@query("index_validate", """SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'url' WHEN page_id % 6 IN (2, 3) THEN 'maxPages' END AS error, CASE WHEN page_id % 6 != 5 THEN url END AS url,
+CASE page_id % 6 WHEN 1 THEN 25 WHEN 2 THEN 0 WHEN 3 THEN NULL WHEN 4 THEN 3 ELSE 10 END::DOUBLE AS max_pages FROM pages""")
+def index_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = (F.col("page_id") % 6).cast("int")
+    more = F.get(F.array(*[F.lit(x) for x in ("", ',"maxPages":25', ',"maxPages":0', ',"maxPages":"many"', ',"maxPages":"3"', "")]), kind)
+    body = F.when(kind == 5, F.lit('{"url":["x"]}')).otherwise(F.concat(F.expr("left(to_json(struct(url)), length(to_json(struct(url))) - 1)"), more, F.lit("}")))
+    return requests.validate_index(table(spark, sf_dir, "pages").select("page_id", body.alias("body"))).select("page_id", "error", "url", "max_pages")
 
 
 # Messages made of the events, so that the oracle computes the wait from the numbers and never reads the message.

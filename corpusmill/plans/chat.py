@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators import search
-from corpusmill.operators.embed import EmbeddingProvider, embed
+from corpusmill.operators.embed import EmbeddingProvider, embed, with_backoff
 from corpusmill.session import written
 
 OUT_OF_SCOPE = "The indexed pages do not answer this question."
@@ -39,6 +41,16 @@ class ExtractiveChat:
         return f"{body[: max_output_tokens or 400]} [Source 1]"
 
 
+class BackingOffChat:
+    """Wraps a chat provider: rate limits, broken connections and server errors are tried again, each wait twice the one before."""
+
+    def __init__(self, provider: ChatProvider, most: int = 3, first: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.provider, self.most, self.first, self.sleep = provider, most, first, sleep
+
+    def generate(self, prompt: str, temperature: float | None = None, max_output_tokens: int | None = None) -> str:
+        return with_backoff(lambda: self.provider.generate(prompt, temperature, max_output_tokens), self.most, self.first, self.sleep)
+
+
 def source_block(rank: Column, title: Column, url: Column, index: Column, total: Column, content: Column) -> Column:
     s = lambda c: c.cast("string")
     return F.concat(F.lit("[Source "), s(rank), F.lit("]\nTitle: "), title, F.lit("\nURL: "), url, F.lit("\nChunk: "), s(index + 1), F.lit(" of "), s(total), F.lit("\n\n"), content)

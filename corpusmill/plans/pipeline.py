@@ -6,18 +6,23 @@ any chunk in a failed batch counts as failed, while its chunks of other batches
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions import html
+from corpusmill.functions import html, vector
 from corpusmill.operators.chunking import chunks
+from corpusmill.operators.crawl import Crawler
 from corpusmill.operators.embed import EmbeddingProvider
-from corpusmill.schema import EVENT_STAGES, PROGRESS_EVENT, IndexConfig
+from corpusmill.schema import EVENT_STAGES, PROGRESS_EVENT, CrawlConfig, IndexConfig
 from corpusmill.session import written
 from corpusmill.sources.store import VectorStore
 
@@ -51,7 +56,7 @@ def summarize(results: DataFrame, stored: DataFrame) -> DataFrame:
 
 @dataclass
 class Progress:
-    """Collects progress events; optional callback; `cancelled` is looked at between stages."""
+    """Collects progress events; optional callback; `cancelled` is looked at between stages and, while jobs run, once a second."""
 
     callback: object = None
     cancelled: object = None
@@ -82,73 +87,124 @@ class Cancelled(Exception):
     pass
 
 
+@contextmanager
+def cancellable(spark: SparkSession, progress: Progress, tick: float = 1.0):
+    """Jobs inside run under a tag of their own; each tick asks for a cancel, which then interrupts them, batches and waits included."""
+    if not progress.cancelled:
+        yield
+        return
+    tag, done = f"corpusmill-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        while not done.wait(tick):
+            if progress.stopped():
+                spark.interruptTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    spark.addTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        if progress.stopped() and not isinstance(e, Cancelled):
+            progress.emit("cancel", "stopped on request")
+            raise Cancelled from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        spark.removeTag(tag)
+
+
 def extract_pages(pages: DataFrame, min_chars: int = 100, mode: str = "full_page") -> DataFrame:
-    """(url, title, content, long_enough) of pages (url, title, html)."""
-    text = html.to_text(F.col("url"), F.col("html"), mode)
-    return pages.select("url", html.title_or_default(F.col("title")).alias("title"), text.alias("content")).withColumn("long_enough", F.char_length("content") >= min_chars)
-
-
-def embed_batches(rows: DataFrame, provider: EmbeddingProvider, size: int) -> DataFrame:
-    """Add embedding and error; a batch whose provider call fails has errors instead of vectors. Batches are given in `batch`."""
-
-    @F.arrow_udf(T.StructType([T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]))
-    def run(texts: pa.Array, batch: pa.Array) -> pa.Array:
-        out: list = [None] * len(texts)
-        groups: dict[int, list[int]] = {}
-        for i, b in enumerate(batch.to_pylist()):
-            groups.setdefault(b, []).append(i)
-        values = texts.to_pylist()
-        for at in groups.values():
-            for a in range(0, len(at), size):
-                part = at[a : a + size]
-                try:
-                    vectors = provider.embed_batch([values[i] for i in part])
-                    made = [{"v": v, "error": None} for v in vectors]
-                except Exception as e:  # a failed batch is a row, not the end of the run
-                    made = [{"v": None, "error": f"{type(e).__name__}: {e}"}] * len(part)
-                for i, m in zip(part, made, strict=True):
-                    out[i] = m
-        return pa.array(out, pa.struct([("v", pa.list_(pa.float32())), ("error", pa.string())]))
-
-    done = rows.withColumn("__e", run(F.col("content"), F.col("batch")))
-    return done.withColumns({"embedding": F.col("__e.v"), "error": F.col("__e.error")}).drop("__e")
+    """(url, title, content, long_enough, error) of pages (url, html and, where they have one, title), each parsed once."""
+    got = pages.withColumn("__p", html.page(F.col("url"), F.col("html"), mode))
+    titles = [F.col(c) for c in ("title", "__p.title") if c != "title" or c in pages.columns]
+    return got.select("url", html.title_or_default(*titles).alias("title"), F.col("__p.content").alias("content"), F.coalesce(F.char_length("__p.content") >= min_chars, F.lit(False)).alias("long_enough"), F.col("__p.error").alias("error"))
+
+
+def embed_batches(rows: DataFrame, provider: EmbeddingProvider) -> DataFrame:
+    """Add embedding and error. All rows of one `batch` meet in one call of the provider; a call that fails gives errors instead of vectors."""
+    schema = T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+
+    def run(batch: pa.Table) -> pa.Table:
+        n, error, vectors = len(batch), None, None
+        try:
+            vectors = provider.embed_batch(batch.column("content").to_pylist())
+            if len(vectors) != n:
+                raise ValueError(f"{len(vectors)} vectors for {n} texts")
+        except Exception as e:  # a failed batch is a row, not the end of the run
+            vectors, error = [None] * n, f"{type(e).__name__}: {e}"
+        return batch.append_column("embedding", pa.array(vectors, pa.list_(pa.float32()))).append_column("error", pa.array([error] * n, pa.string()))
+
+    return rows.groupBy("batch").applyInArrow(run, schema)
 
 
 def index(pages: DataFrame, store: VectorStore, provider: EmbeddingProvider, config: IndexConfig | None = None, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, summary) of indexing the pages (url, title, html) into the store."""
-    c, p = config or IndexConfig(), progress or Progress()
-    marks = [time.monotonic()]
+    return _run(lambda: pages, "", store, provider, config or IndexConfig(), progress or Progress())
+
+
+def index_site(start: str, crawler: Crawler, store: VectorStore, provider: EmbeddingProvider, config: IndexConfig | None = None, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, summary) of crawling a site from its start URL, within max_pages and max_depth, and indexing what is found."""
+    c = config or IndexConfig()
+    at = CrawlConfig(c.max_pages, c.max_depth)
+    return _run(lambda: written(crawler.crawl(start, at), "crawled"), start, store, provider, c, progress or Progress())
+
+
+#: Columns of the summary that hold the milliseconds of stages, and the events that begin them.
+DURATIONS = {"crawl": "crawlDuration", "extract": "extractionDuration", "chunk": "chunkingDuration", "embed": "embeddingDuration", "store": "storageDuration"}
+
+
+def _run(find: Callable[[], DataFrame], start: str, store: VectorStore, provider: EmbeddingProvider, c: IndexConfig, p: Progress) -> tuple[DataFrame, DataFrame]:
+    spark, marks = store.spark, []
 
     def step(stage: str, message: str, **details: object) -> None:
         if p.stopped():
             p.emit("cancel", "stopped on request")
             raise Cancelled
         p.emit(stage, message, **details)
-        marks.append(time.monotonic())
-
-    step("initialize", "opening the store")
-    store.initialize()
-    step("validate", "checking the store")
-    if not store.validate():
-        raise RuntimeError("the store does not validate")
-    if c.clear_existing:
-        store.clear()
-    step("extract", "extracting text")
-    texts = written(extract_pages(pages, c.min_chars), "texts")
-    step("chunk", "cutting chunks")
-    cut = written(chunks(texts.where("long_enough"), c.chunk), "chunks")
-    per_page = cut.groupBy("url").agg(F.count("*").cast("int").alias("chunks"))
-    stage = F.when(~F.coalesce("long_enough", F.lit(False)), "extract").when(F.col("chunks").isNull(), "chunk")
-    reason = F.when(stage == "extract", "too little text").when(stage == "chunk", "no chunks")
-    results = texts.join(per_page, "url", "left").select("url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
-    step("embed", "embedding chunks")
-    vectors = written(embed_batches(with_batches(cut, c.batch_size, "url", "chunkIndex"), provider, c.batch_size), "vectors")
-    failed = vectors.where("error IS NOT NULL").groupBy("batch").agg(F.lit("embed").alias("stage"), F.first("error").alias("reason"))
-    results = written(mark_failures(results, vectors, failed), "page-results")
-    step("store", "storing vectors")
-    good = vectors.where("error IS NULL")
-    store.upsert(good.drop("row", "batch", "error"))
-    out = summarize(results, good)
-    seconds = [round(b - a, 3) for a, b in zip(marks, [*marks[1:], time.monotonic()], strict=False)]
-    p.emit("complete", "done", seconds=sum(seconds))
+        marks.append((stage, time.monotonic()))
+
+    with cancellable(spark, p):
+        step("initialize", "opening the store")
+        store.initialize()
+        step("validate", "checking the store")
+        if not store.validate():
+            raise RuntimeError("the store does not validate")
+        if c.clear_existing:
+            store.clear()
+        step("crawl", f"finding the pages of {start}" if start else "taking the pages as given", maxPages=c.max_pages, maxDepth=c.max_depth)
+        pages = find()
+        step("extract", "extracting text")
+        texts = written(extract_pages(pages, c.min_chars), "texts")
+        step("chunk", "cutting chunks")
+        cut = written(chunks(texts.where("long_enough"), c.chunk), "chunks")
+        per_page = cut.groupBy("url").agg(F.count("*").cast("int").alias("chunks"))
+        stage = F.when(~F.col("long_enough"), "extract").when(F.col("chunks").isNull(), "chunk")
+        reason = F.coalesce("error", F.when(stage == "extract", "too little text").when(stage == "chunk", "no chunks"))
+        results = texts.join(per_page, "url", "left").select("url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
+        step("embed", "embedding chunks")
+        vectors = written(embed_batches(with_batches(cut, c.batch_size, "url", "chunkIndex"), provider), "vectors")
+        step("store", "storing vectors")
+        # A vector that the store would refuse fails its batch, not the others.
+        misfit = F.when(~vector.has_dimension(F.col("embedding"), store.dimension), F.concat(F.lit("vectors of "), F.size("embedding").cast("string"), F.lit(" components")))
+        problem = F.when(F.col("error").isNotNull(), F.struct(F.lit("embed").alias("stage"), F.col("error").alias("reason"))).when(misfit.isNotNull(), F.struct(F.lit("store").alias("stage"), misfit.alias("reason")))
+        failed = written(vectors.select("batch", problem.alias("f")).where("f IS NOT NULL").groupBy("batch").agg(F.min("f").alias("f")).select("batch", "f.*"), "failed-batches")
+        good = vectors.join(failed.select("batch"), "batch", "left_anti")
+        try:
+            store.upsert(good.drop("row", "batch", "error"))
+        except Exception as e:  # the upsert is all or nothing: every batch that was left fails in this stage
+            if p.stopped():
+                raise
+            failed = failed.union(good.select("batch").distinct().select("batch", F.lit("store"), F.lit(f"{type(e).__name__}: {e}"[:500])))
+            good = good.limit(0)
+        results = written(mark_failures(results, vectors, failed), "page-results")
+        ended = [*(t for _, t in marks[1:]), time.monotonic()]
+        took = {s: 1000 * (b - a) for (s, a), b in zip(marks, ended, strict=True)}
+        counts = summarize(results, good)
+        total = 1000 * (ended[-1] - marks[0][1])
+        # One row: the average cost of a chunk's vector goes with the six durations.
+        out = counts.withColumns({name: F.lit(round(took[s], 3)) for s, name in DURATIONS.items()} | {"totalDuration": F.lit(round(total, 3)), "embeddingMsPerChunk": F.round(F.lit(took["embed"]) / F.nullif(F.col("chunksCreated"), F.lit(0)), 3)})
+        p.emit("complete", "done", **{n: round(took[s], 3) for s, n in DURATIONS.items()}, totalDuration=round(total, 3))
     return results, out

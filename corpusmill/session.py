@@ -33,13 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, local mode) a folder under the
-    warehouse is used and installed as checkpoint folder.
+    In local mode a folder under the warehouse stands in where the setting is absent; a cluster without it is refused,
+    as other machines would not see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.corpusmill.root", None)
         if not root:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
             root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusmill-shared"
             spark.conf.set("spark.corpusmill.root", root)
     return root.rstrip("/")

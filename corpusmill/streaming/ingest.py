@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.functions import html
 from corpusmill.operators.chunking import chunks
 from corpusmill.operators.embed import EmbeddingProvider, embed
 from corpusmill.plans.pipeline import extract_pages
@@ -27,10 +26,9 @@ def ingest(stream: DataFrame, store: VectorStore, provider: EmbeddingProvider, c
     """Start the query. stream: pages with url and html (title is read from the html where absent)."""
     store.initialize()
     cfg = chunk or ChunkConfig(800, 150)
-    titled = stream if "title" in stream.columns else stream.withColumn("title", html.title(F.col("html")))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(to_vectors(batch.select("url", "title", "html"), provider, cfg))
+        store.upsert(to_vectors(batch.select([c for c in ("url", "title", "html") if c in batch.columns]), provider, cfg))
 
-    writer = titled.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
