@@ -93,15 +93,16 @@ def cancellable(spark: SparkSession, progress: Progress, tick: float = 1.0):
     if not progress.cancelled:
         yield
         return
-    tag, done = f"corpusmill-{uuid.uuid4().hex}", threading.Event()
+    # Tags of the context, as those of a session belong to the thread that set them.
+    sc, tag, done = spark.sparkContext, f"corpusmill-{uuid.uuid4().hex}", threading.Event()
 
     def watch() -> None:
         while not done.wait(tick):
             if progress.stopped():
-                spark.interruptTag(tag)
+                sc.cancelJobsWithTag(tag)
 
     watcher = threading.Thread(target=watch, daemon=True)
-    spark.addTag(tag)
+    sc.addJobTag(tag)
     watcher.start()
     try:
         yield
@@ -113,7 +114,7 @@ def cancellable(spark: SparkSession, progress: Progress, tick: float = 1.0):
     finally:
         done.set()
         watcher.join()
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)
 
 
 def extract_pages(pages: DataFrame, min_chars: int = 100, mode: str = "full_page") -> DataFrame:
