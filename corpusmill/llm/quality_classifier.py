@@ -148,8 +148,9 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Model:
-    """Fit on at most `most` labelled documents; `labels` holds only rows that may be learned from."""
-    picked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit("fit"), F.col("__id")), "__id").limit(most)
+    """Fit on at most `most` labelled documents; `labels` holds only rows that may be learned from. Labels of one document that differ count as their mean."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    picked = known.groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("__y")).orderBy(F.xxhash64(F.lit("fit"), F.col("__id")), "__id").limit(most)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,10 +24,11 @@ URL_RULES = (
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without doc_id is not held out; a label without one is not learned from."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = quality_classifier.train(docs, labels.where(fold != 0), label_col="quality")
-    return quality_classifier.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality_classifier.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
