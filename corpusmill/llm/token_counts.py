@@ -1,10 +1,8 @@
 """Token counts by a tokenizer file, without keeping the ids.
 
-An Arrow function takes a batch of texts, deals them into groups balanced by
-bytes and returns lengths only. Where the tokenizer drops white space, texts
-are split at white space (a safe boundary at any length) and each distinct
-word is encoded by the library once; a byte-level tokenizer that keeps
-white space gets long texts in pieces cut at safe boundaries; sentencepiece gets whole texts.
+An Arrow function cuts long texts at safe boundaries (sentencepiece gets whole texts), deals the pieces of a
+batch into groups of about equal bytes, has the library encode group after group, and returns lengths
+only. So a text of any length costs one group's encodings at a time.
 
 Defined results: null or empty text counts 0; special strings inside texts count as the
 library's default has it; no truncation or padding; repeated rows count each.
@@ -12,17 +10,37 @@ library's default has it; no truncation or padding; repeated rows count each.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.textbatch import STEP_BYTES, steps
 from corpusmill.llm.tokenizing import safe_pieces, tokenizer
 
+#: Characters of pieces that the library encodes in one call; a longer piece is a call of its own.
+GROUP_CHARS = 1 << 19
+
+
+def groups(texts: pa.Array, cut: bool, most: int = GROUP_CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces of the texts and the row of each, in groups of about `most` characters; cut: long texts may be cut."""
+    rows: list[int] = []
+    pieces: list[str] = []
+    total = 0
+    for i, text in enumerate(texts):
+        whole = text.as_py()
+        for piece in safe_pieces(whole) if cut else [whole]:
+            if rows and total + len(piece) > most:
+                yield rows, pieces
+                rows, pieces, total = [], [], 0
+            rows.append(i)
+            pieces.append(piece)
+            total += len(piece)
+    if rows:
+        yield rows, pieces
+
 
 def token_count(text: Column, path: str) -> Column:
     """Number of tokens of a string column, as long."""
@@ -30,19 +48,10 @@ def token_count(text: Column, path: str) -> Column:
     @F.arrow_udf(T.LongType())
     def count(texts: pa.Array) -> pa.Array:
         tok = tokenizer(path)
-        whole = path.endswith(".model") or getattr(tok, "by_word", False)
-        out: list[int] = []
-        for a, b in steps(pc.binary_length(texts).to_numpy(zero_copy_only=False), STEP_BYTES):
-            part = texts.slice(a, b - a).to_pylist()
-            if whole:
-                out += tok.counts(part)
-                continue
-            pieces = [safe_pieces(t) for t in part]
-            each = tok.counts([p for x in pieces for p in x])
-            total = [0, *accumulate(each)]
-            ends = [0, *accumulate(len(x) for x in pieces)]
-            out += [total[e] - total[s] for s, e in zip(ends, ends[1:], strict=False)]
-        return pa.array(out, pa.int64())
+        out = np.zeros(len(texts), np.int64)
+        for rows, pieces in groups(texts, cut=not path.endswith(".model")):
+            np.add.at(out, rows, tok.counts(pieces))
+        return pa.array(out)
 
     return count(F.coalesce(text, F.lit("")))
 

@@ -22,7 +22,8 @@ def safe_pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
 
     Patterns of the ` ?\\p{L}+|...|\\s+` family have no match that holds white space
     after another character, and no look-behind, so matches left and right
-    of such a cut are those of the whole text. A stretch without a cut stays whole.
+    of such a cut are those of the whole text; so are those of patterns that drop white space.
+    A stretch without a cut stays whole.
     """
     if len(text) <= most:
         return [text]
@@ -75,9 +76,10 @@ class _Memo(dict):
 
 
 class JsonTokenizer:
-    """A `tokenizers` file. Where white space is dropped, each distinct word is encoded by the library once.
+    """A `tokenizers` file. counts(texts) gives the number of ids of each text, by the library's batch encoding.
 
-    ids(texts) gives for each text its ids as little-endian uint32 bytes, counts(texts) their number.
+    ids(texts) gives for each text its ids as little-endian uint32 bytes; where white space is dropped, each distinct word is
+    encoded by the library once.
     Words have numbers in a bounded memo; ids and counts of a text are gathered by number from flat arrays.
     """
 
@@ -106,10 +108,7 @@ class JsonTokenizer:
         return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        if not self.by_word:
-            return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        number, cut = self._numbers(texts)
-        return np.diff(np.concatenate([[0], np.cumsum(self.size[number], dtype=np.int64)])[cut]).tolist()
+        return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words, and where each text's begin."""

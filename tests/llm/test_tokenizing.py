@@ -4,6 +4,7 @@ import base64
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -83,3 +84,16 @@ def test_token_files_hold_every_document_in_order(spark, tmp_path):
     empty = str(tmp_path / "none")
     token_output.write_tokens(awkward.frame(spark, empty=True), WORDS, empty)
     assert token_output.read_tokens(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_texts_are_counted_in_bounded_groups(spark, name):
+    text = "It's café <|endoftext|> ΣΑΣ 42x\r\n\x0b é A9\n " * 12000
+    texts = pa.array([text, "", "one", text[:70000]])
+    sizes = [sum(map(len, pieces)) for _, pieces in token_counts.groups(texts, cut=True, most=100000)]
+    assert len(sizes) > 3 and max(sizes) <= 100000
+    rows = [(row, piece) for g in token_counts.groups(texts, cut=True) for row, piece in zip(*g, strict=True)]
+    assert ["".join(p for r, p in rows if r == i) for i in range(4)] == texts.to_pylist()
+    got = token_counts.count_tokens(spark.createDataFrame([(t,) for t in texts.to_pylist()], "text string"), P.path(name)).select("n_tokens").collect()
+    library = Tokenizer.from_file(P.path(name))
+    assert [r.n_tokens for r in got] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts.to_pylist()]
