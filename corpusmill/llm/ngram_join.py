@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.components import components
+from corpusmill.llm.hot_keys import counted, dealt_join
 from corpusmill.llm.textbatch import Words, buffers, mix, shingles, tidy
 from corpusmill.session import discard, sized_join, written
 
@@ -434,13 +435,15 @@ def grouped(src: DataFrame, percent: int, size: int, make: KeyMaker) -> DataFram
     """id, n and component_id (the smallest id that links reach) of the rows (id, k1, text)."""
     rows, classes, links = link(src, percent, size, make)
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rooted = written(classes.join(comp.withColumnRenamed("node", "class"), "class", "left").select("n", "fp1", "fp2", "least", F.coalesce("component", "class").alias("root")), "rooted")
+    rooted = written(classes.join(comp.withColumnRenamed("node", "class"), "class", "left").select("n", "fp1", "fp2", "least", "times", F.coalesce("component", "class").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Written, so that the join with the rows can be split at a large class.
     named = written(rooted.join(least, "root").select("n", "fp1", "fp2", "component_id"), "components")
+    # Classes of very many rows are known by their counts.
+    large = counted(rooted, ["n", "fp1", "fp2"], "times")
     discard(comp, rooted, classes)
-    out = rows.join(named, ["n", "fp1", "fp2"], "left")
-    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    with_set = dealt_join(rows.where("n > 0").withColumn("deal_by", F.monotonically_increasing_id()), named, ["n", "fp1", "fp2"], "left", large, F.col("deal_by"))
+    # Rows of the empty set, however many, are not joined at all.
+    return with_set.select("id", "n", "component_id").union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
 
 
 def linked_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm import awkward
 
-from corpusmill.llm import components, fingerprints, ngram_join, suffix_dedup
+from corpusmill.llm import components, fingerprints, hot_keys, ngram_join, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -179,6 +179,33 @@ def test_repeats_of_other_lengths(spark):
     assert got == dict(enumerate(brute_repeats(texts, 150)))
 
 
+@pytest.fixture
+def every_key_large(monkeypatch):
+    """Keys of three rows are large, and their rows are dealt to blocks of two."""
+    for name, value in (("SAMPLE", 1), ("LARGE", 3), ("BLOCK_ROWS", 2)):
+        monkeypatch.setattr(hot_keys, name, value)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_dealt_join_equals_a_join(spark, every_key_large, how):
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(4 * k)], "k long, i long")
+    keys = spark.createDataFrame([(k, f"v{k}") for k in (1, 3, 4, 9)], "k long, v string")
+    large = hot_keys.sampled(rows, ["k"], F.xxhash64("i"))
+    assert {(r.k, r.blocks) for r in large.collect()} == {(k, 2 * k) for k in range(1, 5)}
+    got = hot_keys.dealt_join(rows, keys, ["k"], how, large, F.xxhash64("i"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(keys, "k", how).collect()), key=str)
+
+
+def test_results_do_not_depend_on_the_dealing(spark, every_key_large):
+    texts = repeat_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ([(s.start, s.stop) for s in r.removed], bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 400)))
+    copies = [(i, t) for i, t in enumerate(near_rows()[:60] * 2 + [None, "", " "] * 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert got == brute_components(copies)
+
+
 def test_next_document_and_likeness(spark):
     df = awkward.frame(spark)
     rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
