@@ -20,8 +20,8 @@ chooses, and positions between are settled from it exactly:
    Windows with one anchor always take part; those without any (periodic or odd text) are compared one by one.
 
 Equal whole texts are one text throughout (with its number of copies), so the largest groups of
-copies cost one copy. Ranks and windows met by very many positions pass through aggregations with
-partial results, and joins deal their rows to blocks. Every step is a table in the shared folder.
+copies cost one copy. Ranks met by very many positions pass through aggregations with partial results and joins
+that deal their rows to blocks. Every step is a table in the shared folder.
 
 Defined results: null text is empty, has no bytes and loses none; texts under `length` bytes lose none; rows repeated in
 whole count as copies; other columns pass through; an empty table gives an empty table.
@@ -102,19 +102,16 @@ def phrases(src: DataFrame, length: int) -> DataFrame:
     return src.where(F.octet_length("text") >= length).mapInArrow(tidy(run), "id long, k1 long, k2 long, n int, first int, starts array<int>, names array<bigint>")
 
 
-def _dealt(rows: DataFrame, keys: DataFrame, by: list[str], how: str, place: str, spare: list[DataFrame]) -> DataFrame:
-    """Join with one row a key; a key met in very many texts is dealt by text and place. The table behind the dealing joins `spare`."""
-    large = sampled(rows, by, F.col("k1"))
-    spare.append(large)
-    return dealt_join(rows, keys, by, how, large, F.xxhash64(*_KEYS, place))
-
-
 def rerank(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    """Rows whose `by` values occur at two positions or more, with their common rank r: the least position; written."""
-    pos, spare = F.xxhash64(*_KEYS, "j"), []
+    """Rows whose `by` values occur at two positions or more, with their common rank r: the least position; written.
+
+    Values met in very many texts are dealt by position, so that no task gets all rows of a common passage.
+    """
+    pos = F.xxhash64(*_KEYS, "j")
     named = rows.groupBy(*by).agg(F.min(pos).alias("r"), F.max(pos).alias("last")).where("r < last").drop("last")
-    out = written(_dealt(rows, named, by, "inner", "j", spare).select(*_KEYS, "j", "b", "e", "r"), label)
-    discard(*spare)
+    large = sampled(rows, by, F.col("k1"))
+    out = written(dealt_join(rows, named, by, "inner", large, pos).select(*_KEYS, "j", "b", "e", "r"), label)
+    discard(large)
     return out
 
 
@@ -357,11 +354,11 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     ranks, tables = double(texts, length)
     settled = written(settle(texts, ranks, length), "settled")
     discard(texts, *tables)
-    spot, spare = F.xxhash64(*_KEYS, "lo"), []
+    spot = F.xxhash64(*_KEYS, "lo")
     run = F.struct("lo", "hi", "open", "p")
     runs = settled.select("id", *_KEYS, F.explode("runs").alias("x")).select("id", *_KEYS, "x.*")
     asked = runs.where("key != 0").groupBy("key").agg(F.max("open").alias("some"), F.min(spot).alias("first"), F.max(spot).alias("last")).where("some AND first < last").select("key")
-    kept = _dealt(runs.where("key != 0"), asked, ["key"], "left_semi", "lo", spare).select("id", *_KEYS, run.alias("run"))
+    kept = runs.where("key != 0").join(asked, "key", "left_semi").select("id", *_KEYS, run.alias("run"))
     kept = kept.union(runs.where("key = 0").select("id", *_KEYS, run.alias("run")))
     wanted, weigh = _gathered(kept, "to-group")
     groups = written(grouped(src, wanted, weigh, length), "groups")
@@ -369,12 +366,12 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     twice = lambda rows, *by: rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*by)
     # Equal outer strings have equal inner ones, so 127 bits of hash have to agree.
     both = twice(groups.where("outer != 0"), "outer", "inner")
-    outer = _dealt(groups.where("outer != 0 AND open"), both, ["outer", "inner"], "left_semi", "at", spare).select(*_KEYS, "at")
+    outer = groups.where("outer != 0 AND open").join(both, ["outer", "inner"], "left_semi").select(*_KEYS, "at")
     outer = written(outer, "outer-groups")
     open_groups = groups.where("open").select(*_KEYS, "at", "inner").join(outer, [*_KEYS, "at"], "left_anti")
-    left = written(_dealt(open_groups, twice(groups, "inner"), ["inner"], "left_semi", "at", spare), "open-groups")
+    left = written(open_groups.join(twice(groups, "inner"), "inner", "left_semi"), "open-groups")
     # Every group with the inner string of an open one takes part; only open ones ask.
-    part = _dealt(groups, left.select("inner").distinct(), ["inner"], "left_semi", "at", spare).select(*_KEYS, "at")
+    part = groups.join(left.select("inner").distinct(), "inner", "left_semi").select(*_KEYS, "at")
     part = part.join(left.select(*_KEYS, "at", F.lit(True).alias("open")), [*_KEYS, "at"], "left").select(*_KEYS, "at", F.coalesce("open", F.lit(False)).alias("open"))
     ids = settled.select("id", *_KEYS)
     last = F.col("at")
@@ -383,7 +380,7 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     wanted_one, weigh_one = _gathered(alone.union(bare), "to-compare")
     hashed = written(single(src, wanted_one, weigh_one, length), "windows")
     again = hashed.where("hashed").groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.max("open").alias("some")).where("some AND first < last").select("h1", "h2")
-    elsewhere = _dealt(hashed.where("open AND hashed"), again, ["h1", "h2"], "left_semi", "lo", spare).select(*_KEYS, "lo", "hi")
+    elsewhere = hashed.where("open AND hashed").join(again, ["h1", "h2"], "left_semi").select(*_KEYS, "lo", "hi")
     inside = hashed.where("NOT hashed").select(*_KEYS, "lo", "hi")
     sure = settled.select(*_KEYS, F.explode("sure").alias("x")).select(*_KEYS, "x.*")
     whole = outer.select(*_KEYS, (last - (_GROUP - 1)).alias("lo"), last.alias("hi"))
@@ -391,7 +388,7 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     marks = sure.union(elsewhere).union(inside).union(whole).groupBy(*_KEYS).agg(F.collect_list(packed).alias("marks"))
     out = settled.select(*_KEYS, "copies").join(marks, list(_KEYS), "left").where("copies > 1 OR marks IS NOT NULL")
     result = written(_spans(out.select(*_KEYS, "copies", F.when(F.col("copies") < 2, F.col("marks")).alias("marks")), length), "spans")
-    discard(settled, wanted, groups, outer, left, wanted_one, hashed, *spare)
+    discard(settled, wanted, groups, outer, left, wanted_one, hashed)
     return result
 
 
