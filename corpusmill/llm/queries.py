@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, fingerprints, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output, url_filter
+from corpusmill.llm import bpe, conversation_repair, fingerprints, language_id, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_counts, token_output, url_filter
 from corpusmill.llm.textbatch import bounded_batches
 from corpusmill.session import scratch, sized_join, table, written
 
@@ -86,7 +86,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-_ALL = (op1_quality_classifier, op2_bpe, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_source_mixing, op7_minhash, op8_suffix_dedup, op9_token_files, op10_token_counts)
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without doc_id is not held out, nor learned from."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = language_id.train(docs.where(fold != 0))
+    out = language_id.label(docs.select("doc_id", "text"), model, spans=False)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation of which no turn is left has zeros, no edits and the digest of nothing."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.report(conversation_repair.damage(turns)).withColumnRenamed("conv_id", "id")
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(b""), 256)}
+    return out.select("conv_id", *[F.coalesce(c, nothing.get(c, F.lit(0))).alias(c) for c in conversation_repair.REPORT])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = periodic_runs.collapse(docs.withColumn("text", periodic_runs.plant(F.col("text"), F.col("doc_id"))))
+    best = periodic_runs.strongest(F.col("runs"))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), periodic_runs.listed(F.col("runs")).alias("listed"), "collapsed")
+    digests = (F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.*", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), *digests)
+
+
+_ALL = (op1_quality_classifier, op2_bpe, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_source_mixing, op7_minhash, op8_suffix_dedup, op9_token_files, op10_token_counts, op11_language_id, op12_conversation_repair, op13_periodic_runs)
 
 
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
