@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from corpusmill.functions.text import WHITE
 from corpusmill.schema import UNTITLED
 
+R = TypeVar("R")
 #: Elements whose subtree is no content.
 NOISE = frozenset("nav footer header script style noscript aside".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -66,6 +68,13 @@ class _Tree(HTMLParser):
             if self.open[i].tag in stop:
                 return
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections are comments that end at the next `>`, whatever they say; a broken one takes the rest."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
+
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
 
@@ -154,9 +163,84 @@ def is_bypassed(url: str | None) -> bool:
     return "about" in low or "team" in low
 
 
+#: Elements that hold running text, and those that may hold a page's content.
+_PROSE = frozenset("p pre blockquote td dd".split())
+_HOLDERS = frozenset("article main section div td body blockquote".split())
+#: What a class or id says about an element: words that raise and lower its score.
+_RAISES = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
+_LOWERS = re.compile(r"ad-|advert|banner|comment|crumb|foot|menu|nav|promo|related|share|sidebar|social|sponsor|widget", re.I)
+#: Characters that a piece of prose has to have to count, and that the chosen content has to have.
+PROSE_CHARS, CONTENT_CHARS = 25, 140
+
+
+class _Weights:
+    """Sums over an element's subtree: characters of text, of them inside links, and the scores of its prose."""
+
+    __slots__ = ("chars", "commas", "linked", "score")
+
+    def __init__(self) -> None:
+        self.chars = self.commas = self.linked = 0
+        self.score = 0.0
+
+
+def _weigh(root: _Node) -> dict[int, _Weights]:
+    """Weights of all elements by identity, from one pass from the leaves up; noise weighs nothing.
+
+    A piece of prose earns a point, one for each comma and one for each 100 characters up to three, less the share of its text that is
+    links. All goes to the holder around it, half to that one's holder, and less than half if the name of the first lowers its score.
+    """
+    out: dict[int, _Weights] = {}
+    frames: list[tuple[_Node, Iterator, _Weights, list[_Node]]] = [(root, iter(root.parts), _Weights(), [])]
+    while frames:
+        node, parts, w, holders = frames[-1]
+        for p in parts:
+            if isinstance(p, str):
+                text = p.strip(WHITE)
+                w.chars += len(text)
+                w.commas += text.count(",")
+            elif p.tag not in NOISE:
+                inner = [*holders[-1:], node] if node.tag in _HOLDERS else holders
+                frames.append((p, iter(p.parts), _Weights(), inner))
+                break
+        else:
+            frames.pop()
+            # A holder's prose may have put points here before the holder is done.
+            earned = out.get(id(node))
+            w.score += earned.score if earned else 0.0
+            out[id(node)] = w
+            if node.tag == "a":
+                w.linked = w.chars
+            if node.tag in _PROSE and w.chars >= PROSE_CHARS:
+                points = (1 + w.commas + min(w.chars / 100, 3)) * (1 - w.linked / w.chars)
+                share = 1.0
+                for at in reversed(holders[-2:]):
+                    out.setdefault(id(at), _Weights()).score += points * share
+                    share = min(1.0, _named(at)) / 2
+            if frames:
+                up = frames[-1][2]
+                up.chars, up.commas, up.linked = up.chars + w.chars, up.commas + w.commas, up.linked + w.linked
+    return out
+
+
+def _named(node: _Node) -> float:
+    name = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}"
+    factor = 1.25 if node.tag in ("article", "main") else 1.0
+    return factor * (1.25 if _RAISES.search(name) else 1.0) * (0.4 if _LOWERS.search(name) else 1.0)
+
+
 def _main(root: _Node) -> _Node | None:
-    """Heuristic stand-in for a readability parser: <article> or <main>, else nothing."""
-    return _find(root, "article") or _find(root, "main")
+    """The element with the best score for its prose: weighed by its name and by the share of its text that is not links; the first of equal ones.
+
+    None where no element has enough text of its own to go by: the page is taken whole then.
+    """
+    weights, best, most = _weigh(root), None, 0.0
+    for node in _walk(root):
+        if isinstance(node, _Node) and node.tag in _HOLDERS and id(node) in weights:
+            w = weights[id(node)]
+            score = w.score * _named(node) * (1 - w.linked / w.chars) if w.chars >= CONTENT_CHARS else 0.0
+            if score > most:
+                best, most = node, score
+    return best or _find(root, "article") or _find(root, "main")
 
 
 def _text_of(root: _Node, url: str | None, mode: str) -> str:
@@ -176,16 +260,24 @@ def _links_of(root: _Node) -> list[str]:
     return [h for h in hrefs if h]
 
 
-def extract_one(url: str | None, html: str | None, mode: str = "full_page") -> str:
-    return _text_of(parse(html or ""), url, mode)
+def _read(html: str | None, of: Callable[[_Node], R], failed: R) -> R:
+    """What `of` finds in a page; `failed` for a page that cannot be read, so that one page never ends a job."""
+    try:
+        return of(parse(html or ""))
+    except Exception:
+        return failed
+
+
+def extract_one(url: str | None, html: str | None, mode: str = "full_page") -> str | None:
+    return _read(html, lambda root: _text_of(root, url, mode), None)
 
 
 def title_one(html: str | None) -> str:
-    return _title_of(parse(html or ""))
+    return _read(html, _title_of, UNTITLED)
 
 
 def links_one(html: str | None) -> list[str]:
-    return _links_of(parse(html or ""))
+    return _read(html, _links_of, [])
 
 
 def page_one(url: str | None, html: str | None, mode: str = "full_page") -> dict:
@@ -232,7 +324,7 @@ def page(url: Column, html: Column, mode: str = "full_page") -> Column:
 
 
 def to_text(url: Column, html: Column, mode: str = "full_page") -> Column:
-    """Structured plain text. mode main_content starts at the article or main element where there is one."""
+    """Structured plain text, null for a page that cannot be read. mode main_content takes the element that scores best for its prose, else the article or main element, else the page."""
     if mode not in ("full_page", "main_content"):
         raise ValueError(f"unknown mode {mode!r}")
 

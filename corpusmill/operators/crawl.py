@@ -4,19 +4,21 @@ Equal to a first-in-first-out queue: within a level pages are visited in the ord
 the link), a URL counts where it is first met, blocked and missing pages stay visited but do not
 count, pages at the depth limit are fetched but not expanded, and the first `max_pages` fetched
 pages of the whole order are the result. One round of joins a level; every level is a
-written table, so the lineage stays short.
+written table, so the lineage stays short. Only the pages of a level are parsed, and only its URLs are judged by robots
+rules; levels are held to what can still count, so the work follows max_pages and not the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import is_http, same_domain
 from corpusmill.schema import CrawlConfig
-from corpusmill.session import written
+from corpusmill.session import sized_join, written
 
 
 class Crawler(Protocol):
@@ -45,51 +47,82 @@ def fetch_failure(pages: DataFrame) -> Column:
     )
 
 
-def edges_of(pages: DataFrame) -> DataFrame:
-    """(src, dst, pos) of all resolvable links of pages (url, html)."""
+def edges_of(pages: DataFrame, src: Column | None = None) -> DataFrame:
+    """(src, dst, pos) of all resolvable links of pages (url, html); src names the page, by its url unless another column is given."""
     from corpusmill.functions import html, urls
 
-    raw = pages.select(F.col("url").alias("src"), F.posexplode(html.links(F.col("html"))).alias("pos", "link"))
-    return raw.select("src", urls.resolve(F.col("link"), F.col("src")).alias("dst"), "pos").where("dst IS NOT NULL")
+    name = F.col("url") if src is None else src
+    raw = pages.select(name.alias("src"), "url", F.posexplode(html.links(F.col("html"))).alias("pos", "link"))
+    return raw.select("src", urls.resolve(F.col("link"), F.col("url")).alias("dst"), "pos").where("dst IS NOT NULL")
 
 
-def crawl(pages: DataFrame, edges: DataFrame, start: str, config: CrawlConfig | None = None, blocked: DataFrame | None = None) -> DataFrame:
-    """Fetched pages with rank (from 1) and depth. pages: url and any columns (those that can be fetched); edges: src, dst, pos."""
-    c = config or CrawlConfig()
-    if c.max_pages <= 0 or c.max_depth < 0:
+def walk(start: str, config: CrawlConfig, fetch: Callable[[DataFrame, int], DataFrame], expand: Callable[[DataFrame], DataFrame], spark: SparkSession) -> DataFrame:
+    """(url, depth, rank) of the pages that count, in breadth-first order, rank from 1.
+
+    fetch: of the URLs met (url, depth, ord, pos) those that can be fetched, in the order of ord and pos as many at least as are asked for, where there are so many. expand: of a level (url, depth, ord) its links as (url, ord, pos).
+    """
+    if config.max_pages <= 0 or config.max_depth < 0:
         raise ValueError("max_pages must be over 0 and max_depth 0 or more")
-    spark = pages.sparkSession
-    urls = pages.select("url").distinct()
-    allowed = edges.where(same_domain(F.col("dst"), F.lit(start)) & is_http(F.col("dst")))
     front = spark.createDataFrame([(start, 0, 0, 0)], "url string, depth int, ord long, pos int")
     visited = written(front.select("url"), "crawl-visited")
     found, total = None, 0
-    for depth in range(c.max_depth + 1):
-        reach = front if blocked is None else front.join(blocked.select("url"), "url", "left_anti")
-        got = reach.join(urls, "url", "left_semi")
-        # A level's order number: sorted by range partitions, so no single task holds the level.
-        level = written(got.orderBy("ord", "pos").select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")), "crawl-level")
+    for depth in range(config.max_depth + 1):
+        # A level's order number: sorted by range partitions, so no single task holds the level; of a long level only the first pages can count.
+        got = fetch(front, config.max_pages - total).select("url", "ord", "pos").orderBy("ord", "pos").limit(config.max_pages - total)
+        level = written(got.select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")), "crawl-level")
         n = level.count()
         found = level if found is None else found.union(level)
         total += n
-        if not n or total >= c.max_pages or depth == c.max_depth:
+        if not n or total >= config.max_pages or depth == config.max_depth:
             break
-        links = level.join(allowed, level["url"] == allowed["src"]).select(F.col("dst").alias("url"), "ord", "pos")
+        links = expand(level).where(same_domain(F.col("url"), F.lit(start)) & is_http(F.col("url")))
         first = links.groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("at")).select("url", F.lit(depth + 1).alias("depth"), "at.ord", "at.pos")
         front = written(first.join(visited, "url", "left_anti"), "crawl-front")
         visited = visited.union(front.select("url"))
-    best = found.orderBy("depth", "ord").limit(c.max_pages)
-    ranked = best.select("url", "depth", F.row_number().over(Window.orderBy("depth", "ord")).cast("int").alias("rank"))
-    return pages.join(F.broadcast(ranked) if c.max_pages <= 1_000_000 else ranked, "url")
+    best = found.orderBy("depth", "ord").limit(config.max_pages)
+    return best.select("url", "depth", F.row_number().over(Window.orderBy("depth", "ord")).cast("int").alias("rank"))
+
+
+def _with_pages(pages: DataFrame, ranked: DataFrame, config: CrawlConfig) -> DataFrame:
+    return pages.join(F.broadcast(ranked) if config.max_pages <= 1_000_000 else ranked, "url")
+
+
+def crawl(pages: DataFrame, edges: DataFrame, start: str, config: CrawlConfig | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """Fetched pages with rank (from 1) and depth. pages: url and any columns (those that can be fetched); edges: src, dst, pos."""
+    c = config or CrawlConfig()
+    urls = pages.select("url").distinct()
+
+    def fetch(front: DataFrame, wanted: int) -> DataFrame:
+        reach = front if blocked is None else front.join(blocked.select("url"), "url", "left_anti")
+        return reach.join(urls, "url", "left_semi")
+
+    def expand(level: DataFrame) -> DataFrame:
+        return level.join(edges, level["url"] == edges["src"]).select(F.col("dst").alias("url"), "ord", "pos")
+
+    return _with_pages(pages, walk(start, c, fetch, expand, pages.sparkSession), c)
+
+
+#: Bytes of one URL of a level, for the check of a broadcast.
+_URL_BYTES = 256
 
 
 def crawl_pages(pages: DataFrame, start: str, config: CrawlConfig | None = None, robots: DataFrame | None = None) -> DataFrame:
-    """Crawl a table of pages (url, html) by its own links. Pages whose fetch failed are visited, but neither count nor are expanded."""
+    """Crawl a table of pages (url, html) by its own links. Pages whose fetch failed are visited, but neither count nor are expanded.
+
+    A level meets the table's URLs, then the HTML of those of its pages that count, each time by a broadcast behind a check of its size; only these pages are parsed.
+    """
     from corpusmill.functions.robots import with_verdict
 
-    pages, blocked = pages.where(fetch_failure(pages).isNull()), None
-    edges = edges_of(pages)
-    if robots is not None:
-        seen = pages.select("url").union(edges.select(F.col("dst").alias("url"))).distinct()
-        blocked = with_verdict(seen, robots, agent=(config or CrawlConfig()).user_agent).where("NOT allowed")
-    return crawl(pages, edges, start, config, blocked)
+    c = config or CrawlConfig()
+    pages = pages.where(fetch_failure(pages).isNull())
+
+    def fetch(front: DataFrame, wanted: int) -> DataFrame:
+        if robots is not None:
+            front = written(with_verdict(front, robots, agent=c.user_agent).where("allowed").drop("allowed"), "crawl-allowed")
+        return sized_join(pages.select("url"), front, ["url"], "inner", _URL_BYTES * front.count()).distinct()
+
+    def expand(level: DataFrame) -> DataFrame:
+        held = sized_join(pages.select("url", "html"), level, ["url"], "inner", _URL_BYTES * level.count())
+        return edges_of(held, F.col("ord")).select(F.col("dst").alias("url"), F.col("src").alias("ord"), "pos")
+
+    return _with_pages(pages, walk(start, c, fetch, expand, pages.sparkSession), c)

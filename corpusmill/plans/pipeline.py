@@ -41,17 +41,22 @@ def with_batches(chunk_rows: DataFrame, size: int, *order: str) -> DataFrame:
     return numbered(chunk_rows, *order).withColumn("batch", (F.floor(F.col("row") / size) + 1).cast("int"))
 
 
-def mark_failures(results: DataFrame, chunk_rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """Results after batches failed. failed: (batch, stage, reason); of a page's failed batches the first counts; earlier failures stay."""
-    hit = chunk_rows.select("url", "batch").distinct().join(failed, "batch").groupBy("url").agg(F.min(F.struct("batch", "stage", "reason")).alias("f"))
+def mark_failures(results: DataFrame, chunk_rows: DataFrame, failed: DataFrame, page: str = "url") -> DataFrame:
+    """Results after batches failed. failed: (batch, stage, reason); of a page's failed batches the first counts; earlier failures stay. `page` names a page in both tables; null names one."""
+    hit = chunk_rows.select(F.col(page).alias("__page"), "batch").distinct().join(failed, "batch").groupBy("__page").agg(F.min(F.struct("batch", "stage", "reason")).alias("f"))
     now = F.col("success") & F.col("f").isNotNull()
-    return results.join(hit, "url", "left").select("url", (F.col("success") & ~now).alias("success"), F.when(now, F.col("f.stage")).otherwise(F.col("stage")).alias("stage"), "chunks", F.when(now, F.col("f.reason")).otherwise(F.col("failureReason")).alias("failureReason"))
+    kept = [page, "url"] if page != "url" else ["url"]
+    return results.join(hit, F.col(page).eqNullSafe(F.col("__page")), "left").select(*kept, (F.col("success") & ~now).alias("success"), F.when(now, F.col("f.stage")).otherwise(F.col("stage")).alias("stage"), "chunks", F.when(now, F.col("f.reason")).otherwise(F.col("failureReason")).alias("failureReason"))
 
 
-def summarize(results: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row of counters. results: one row a page; stored: rows with url, one a stored chunk."""
+def summarize(results: DataFrame, stored: DataFrame | int) -> DataFrame:
+    """One row of counters. results: one row a page; stored: rows, one a stored chunk, or their number."""
     counts = results.agg(F.count("*").alias("pagesVisited"), F.count_if("success").alias("pagesIndexed"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunksCreated"))
-    return counts.crossJoin(stored.agg(F.count("*").alias("chunksStored"))).withColumn("skippedPages", F.col("pagesVisited") - F.col("pagesIndexed"))
+    if isinstance(stored, int):
+        counts = counts.withColumn("chunksStored", F.lit(stored).cast("long"))
+    else:
+        counts = counts.crossJoin(stored.agg(F.count("*").alias("chunksStored")))
+    return counts.withColumn("skippedPages", F.col("pagesVisited") - F.col("pagesIndexed"))
 
 
 @dataclass
@@ -118,10 +123,10 @@ def cancellable(spark: SparkSession, progress: Progress, tick: float = 1.0):
 
 
 def extract_pages(pages: DataFrame, min_chars: int = 100, mode: str = "full_page") -> DataFrame:
-    """(url, title, content, long_enough, error) of pages (url, html and, where they have one, title), each parsed once."""
+    """(url, title, content, long_enough, error, and the pages' rank where they have one) of pages (url, html, perhaps title), each parsed once."""
     got = pages.withColumn("__p", html.page(F.col("url"), F.col("html"), mode))
     titles = [F.col(c) for c in ("title", "__p.title") if c != "title" or c in pages.columns]
-    return got.select("url", html.title_or_default(*titles).alias("title"), F.col("__p.content").alias("content"), F.coalesce(F.char_length("__p.content") >= min_chars, F.lit(False)).alias("long_enough"), F.col("__p.error").alias("error"))
+    return got.select("url", *[c for c in ("rank",) if c in pages.columns], html.title_or_default(*titles).alias("title"), F.col("__p.content").alias("content"), F.coalesce(F.char_length("__p.content") >= min_chars, F.lit(False)).alias("long_enough"), F.col("__p.error").alias("error"))
 
 
 def embed_batches(rows: DataFrame, provider: EmbeddingProvider) -> DataFrame:
@@ -142,7 +147,10 @@ def embed_batches(rows: DataFrame, provider: EmbeddingProvider) -> DataFrame:
 
 
 def index(pages: DataFrame, store: VectorStore, provider: EmbeddingProvider, config: IndexConfig | None = None, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, summary) of indexing the pages (url, title, html) into the store."""
+    """(results, summary) of indexing the pages (url, title, html) into the store, in the order of their rank, where they have one, else of url and text.
+
+    One result a page: a URL that is given twice is two pages, and a null URL is one. Equal chunks of a URL are one row of the store, and chunksStored counts rows.
+    """
     return _run(lambda: pages, "", store, provider, config or IndexConfig(), progress or Progress())
 
 
@@ -178,32 +186,37 @@ def _run(find: Callable[[], DataFrame], start: str, store: VectorStore, provider
         step("crawl", f"finding the pages of {start}" if start else "taking the pages as given", maxPages=c.max_pages, maxDepth=c.max_depth)
         pages = find()
         step("extract", "extracting text")
-        texts = written(extract_pages(pages, c.min_chars), "texts")
+        found = extract_pages(pages, c.min_chars)
+        order = ["rank"] if "rank" in found.columns else ["url", "title", "content"]
+        texts = written(numbered(found, *order).withColumnRenamed("row", "page"), "texts")
         step("chunk", "cutting chunks")
-        cut = written(chunks(texts.where("long_enough"), c.chunk), "chunks")
-        per_page = cut.groupBy("url").agg(F.count("*").cast("int").alias("chunks"))
+        cut = written(chunks(texts.where("long_enough"), c.chunk, key_cols=("page", "url", "title")), "chunks")
+        per_page = cut.groupBy("page").agg(F.count("*").cast("int").alias("chunks"))
         stage = F.when(~F.col("long_enough"), "extract").when(F.col("chunks").isNull(), "chunk")
         reason = F.coalesce("error", F.when(stage == "extract", "too little text").when(stage == "chunk", "no chunks"))
-        results = texts.join(per_page, "url", "left").select("url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
+        results = texts.join(per_page, "page", "left").select("page", "url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
         step("embed", "embedding chunks")
-        vectors = written(embed_batches(with_batches(cut, c.batch_size, "url", "chunkIndex"), provider), "vectors")
+        vectors = written(embed_batches(with_batches(cut, c.batch_size, "page", "chunkIndex"), provider), "vectors")
         step("store", "storing vectors")
         # A vector that the store would refuse fails its batch, not the others.
         misfit = F.when(~vector.has_dimension(F.col("embedding"), store.dimension), F.concat(F.lit("vectors of "), F.size("embedding").cast("string"), F.lit(" components")))
         problem = F.when(F.col("error").isNotNull(), F.struct(F.lit("embed").alias("stage"), F.col("error").alias("reason"))).when(misfit.isNotNull(), F.struct(F.lit("store").alias("stage"), misfit.alias("reason")))
         failed = written(vectors.select("batch", problem.alias("f")).where("f IS NOT NULL").groupBy("batch").agg(F.min("f").alias("f")).select("batch", "f.*"), "failed-batches")
         good = vectors.join(failed.select("batch"), "batch", "left_anti")
+        rows, stored = good.drop("page", "row", "batch", "error"), 0
         try:
-            store.upsert(good.drop("row", "batch", "error"))
+            # Pages that lost a batch keep what they had; the others' old chunks go in the version that brings the new ones.
+            lost = vectors.join(failed.select("batch"), "batch", "left_semi").select("url").distinct().withColumnRenamed("url", "__lost")
+            keys = texts.where("long_enough").select("url").distinct().join(lost, F.col("url").eqNullSafe(F.col("__lost")), "left_anti")
+            stored = store.replace(rows, keys, spread=False) if c.replace_pages else store.upsert(rows)
         except Exception as e:  # the upsert is all or nothing: every batch that was left fails in this stage
             if p.stopped():
                 raise
             failed = failed.union(good.select("batch").distinct().select("batch", F.lit("store"), F.lit(f"{type(e).__name__}: {e}"[:500])))
-            good = good.limit(0)
-        results = written(mark_failures(results, vectors, failed), "page-results")
+        results = written(mark_failures(results, vectors, failed, "page").orderBy("page").drop("page"), "page-results")
         ended = [*(t for _, t in marks[1:]), time.monotonic()]
         took = {s: 1000 * (b - a) for (s, a), b in zip(marks, ended, strict=True)}
-        counts = summarize(results, good)
+        counts = summarize(results, stored)
         total = 1000 * (ended[-1] - marks[0][1])
         # One row: the average cost of a chunk's vector goes with the six durations.
         out = counts.withColumns({name: F.lit(round(took[s], 3)) for s, name in DURATIONS.items()} | {"totalDuration": F.lit(round(total, 3)), "embeddingMsPerChunk": F.round(F.lit(took["embed"]) / F.nullif(F.col("chunksCreated"), F.lit(0)), 3)})

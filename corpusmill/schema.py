@@ -55,7 +55,7 @@ class ChunkConfig:
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """Limits of an indexing run. max_depth is honoured by the crawl."""
+    """Limits of an indexing run. max_depth is honoured by the crawl. replace_pages: a page's stored chunks go when it is indexed again, in one version with the new ones."""
 
     max_pages: int = 10
     max_depth: int = 3
@@ -63,6 +63,7 @@ class IndexConfig:
     batch_size: int = 50
     min_chars: int = 100
     clear_existing: bool = False
+    replace_pages: bool = False
 
     def __post_init__(self) -> None:
         if self.max_pages <= 0:
