@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin, urlsplit
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions import weburl
 from corpusmill.functions.text import WHITE, trim
 
 
-def normalize(url: Column) -> Column:
-    """Scheme and host in lower case, default port and fragment dropped, one trailing slash dropped unless the path is `/`. Null where there is no scheme and host."""
+#: URLs that are written as they are normalised, but for case of the host, port and fragment: no escapes, dots, users or names to convert.
+_PLAIN = r"^https?://(?:[A-Za-z0-9-]+\.)*(?:[A-Wa-wYyZz][A-Za-z0-9-]*)(?::[1-9][0-9]{0,3})?(?:/(?!\.{1,2}(?:[/?#]|$))[A-Za-z0-9_~!$&()*+,;=:@.-]*)*(?:\?[A-Za-z0-9_~!$&()*+,;=:@/.-]*)?(?:#.*)?\z"
+
+
+def _normalized(url: Column) -> Column:
+    """normalize() as an expression, for URLs that need no more than case, port, fragment and slash."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     head = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+)", 1))
     head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
@@ -24,6 +29,15 @@ def normalize(url: Column) -> Column:
     return F.when(head != "", F.concat(head, cut))
 
 
+def normalize(url: Column) -> Column:
+    """One spelling of an http or https URL: as browsers write it (weburl), without fragment, and without a last slash unless the path is `/`. Null for what is no URL.
+
+    Plain URLs stay in the JVM; only the others pass through Python.
+    """
+    plain = F.coalesce(url.rlike(_PLAIN), F.lit(False))
+    return F.when(plain, _normalized(url)).otherwise(_normalize(F.when(~plain, url)))
+
+
 def host(url: Column) -> Column:
     """Host with a port that is not the scheme's own, in lower case; null where the URL has none."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
@@ -54,26 +68,28 @@ def rejected_link(link: Column) -> Column:
     return F.coalesce(trim(link).rlike(_NOWHERE), F.lit(True))
 
 
-def normalize_one(url: str) -> str | None:
-    parts = urlsplit(url)
-    if not parts.scheme or not parts.netloc:
-        return None
-    scheme, where = parts.scheme.lower(), parts.netloc.lower()
-    default = {"http": ":80", "https": ":443"}.get(scheme, "\0")
-    out = f"{scheme}://{where.removesuffix(default)}{parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
-    return out[:-1] if out.endswith("/") and (parts.path or "/") != "/" else out
+def _spelled(at: weburl.WebUrl) -> str:
+    out = str(replace(at, fragment=None))
+    return out[:-1] if out.endswith("/") and at.path != "/" else out
+
+
+def normalize_one(url: str | None) -> str | None:
+    at = None if url is None else weburl.parse(url)
+    return _spelled(at) if at else None
+
+
+@F.arrow_udf(T.StringType())
+def _normalize(url: pa.Array) -> pa.Array:
+    return pa.array([normalize_one(u) for u in url.to_pylist()], pa.string())
 
 
 def _leaf(path: str) -> str:
     return path.rpartition("/")[2]
 
 
-def as_directory(page: str) -> str:
+def as_directory(at: weburl.WebUrl) -> weburl.WebUrl:
     """The page's URL as links are read against it: with a slash at the end, unless its last segment names a file."""
-    at = urlsplit(page)
-    if not (at.scheme and at.netloc) or at.path.endswith("/") or _is_file(_leaf(at.path)):
-        return page
-    return at._replace(path=f"{at.path}/").geturl()
+    return at if at.path.endswith("/") or _is_file(_leaf(at.path)) else replace(at, path=f"{at.path}/")
 
 
 def resolve_one(link: str | None, base: str | None) -> str | None:
@@ -81,12 +97,9 @@ def resolve_one(link: str | None, base: str | None) -> str | None:
     wanted = None if link is None or base is None else link.strip(WHITE)
     if wanted is None or _leads_nowhere(wanted):
         return None
-    try:
-        found = urljoin(as_directory(base), wanted)
-        at = urlsplit(found)
-        return normalize_one(found) if at.scheme.lower() in ("http", "https") and not _is_bare(_leaf(at.path)) else None
-    except ValueError:
-        return None
+    page = weburl.parse(base)
+    found = weburl.parse(wanted, as_directory(page)) if page else None
+    return _spelled(found) if found and not _is_bare(_leaf(found.path)) else None
 
 
 @F.arrow_udf(T.StringType())

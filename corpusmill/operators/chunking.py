@@ -7,6 +7,7 @@ reached the end; drop_suffix_chunks leaves them out. Offsets are code points and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,11 +58,22 @@ def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]
         start = following if following > start else end
 
 
-def chunks(df: DataFrame, config: ChunkConfig | None = None, text_col: str = "content", key_cols: tuple[str, ...] = ("url", "title"), id_from: str = "url", drop_suffix_chunks: bool = False) -> DataFrame:
+def _wide(text: str) -> list[int]:
+    """Places of characters that take two UTF-16 units; an offset has moved by as many as come before it."""
+    return [] if text.isascii() else [m.start() for m in _ASTRAL.finditer(text)]
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def chunks(df: DataFrame, config: ChunkConfig | None = None, text_col: str = "content", key_cols: tuple[str, ...] = ("url", "title"), id_from: str = "url", drop_suffix_chunks: bool = False, units: str = "code_points") -> DataFrame:
     """One row a chunk: id, the key columns, content, chunkIndex, totalChunks, startOffset, endOffset.
 
-    The id is a hash of key, position and content, so indexing the same text again gives the same ids.
+    The id is a hash of key, position and content, so indexing the same text again gives the same ids. units: what offsets count,
+    code points, or utf16 code units as other platforms count them; windows are cut the same way in either.
     """
+    if units not in ("code_points", "utf16"):
+        raise ValueError(f"unknown units {units!r}")
     c = config or ChunkConfig()
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())])))
@@ -70,8 +82,10 @@ def chunks(df: DataFrame, config: ChunkConfig | None = None, text_col: str = "co
         for t in texts:
             text = t.as_py() or ""
             rows = []
+            wide = _wide(text) if units == "utf16" else None
             for s, e, piece in windows(text, c.size, c.overlap):
-                rows.append({"s": s, "e": e, "t": piece})
+                extra = (bisect_left(wide, s), bisect_left(wide, e)) if wide else (0, 0)
+                rows.append({"s": s + extra[0], "e": e + extra[1], "t": piece})
                 if drop_suffix_chunks and e == len(text):
                     break
             out.append(rows)

@@ -188,6 +188,20 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, 800, 150).groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
+# Documents whose full stops and e's are symbols beyond the 16-bit range; the oracle counts them before each offset.
+_SQL_SYMBOLS = "replace(replace(text, 'e', chr(128512)), '.', chr(119070) || '.')"
+_SQL_MOVED = "length(substr(text, 1, {0})) - length(translate(substr(text, 1, {0}), chr(128512) || chr(119070), ''))"
+
+
+@query("chunk_utf16", f"""WITH RECURSIVE t AS (SELECT doc_id, {_SQL_SYMBOLS} AS text FROM documents), {_windows_sql(800, 150, "t")}
+SELECT c.doc_id, i AS "chunkIndex", (s + {_SQL_MOVED.format("s")})::INT AS "startOffset", (e + {_SQL_MOVED.format("e")})::INT AS "endOffset", piece AS content FROM c JOIN t USING (doc_id)""")
+def chunk_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = F.replace(F.replace("text", F.lit("e"), F.lit("\U0001f600")), F.lit("."), F.lit("\U0001d11e."))
+    docs = table(spark, sf_dir, "documents").select("doc_id", symbols.alias("text"))
+    out = chunks(docs, ChunkConfig(800, 150), text_col="text", key_cols=("doc_id",), id_from="doc_id", units="utf16")
+    return out.select("doc_id", "chunkIndex", "startOffset", "endOffset", "content")
+
+
 @query("chunk_ids", f"WITH RECURSIVE {_windows_sql(800, 150)} SELECT doc_id, i AS \"chunkIndex\", sha256(doc_id || '|' || i || '|' || piece) AS id FROM c")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, 800, 150).select("doc_id", "chunkIndex", "id")
@@ -203,6 +217,26 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("normalized"))
 
 
+# Other spellings of the pages' URLs, by the remainder of the id; the oracle says what each stands for.
+@query("url_spelling", f"""WITH p AS (SELECT page_id, page_id % 8 AS kind, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)
+SELECT page_id, scheme || '://' || CASE kind WHEN 3 THEN 'xn--' || 'tdp-sna' || '.' || host WHEN 5 THEN '192.2.0.1' ELSE host END || CASE WHEN kind = 4 THEN ':8080' ELSE '' END || '/' || page_id || CASE kind
+  WHEN 0 THEN '/c' WHEN 1 THEN '/%C3%A9%20x' WHEN 2 THEN '/a/b' WHEN 6 THEN '?q=%27%C3%BC%27' ELSE '' END AS spelled FROM p""")
+def url_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.col("page_id").cast("string").alias("n"))
+    at = F.concat("scheme", F.lit("://"), "host", F.lit("/"), "n")
+    forms = [
+        F.concat(at, F.lit("/a/./b/../../c")),
+        F.concat(at, F.lit("/é x#top")),
+        F.concat(F.lit(" "), F.replace(at, F.lit("/"), F.lit("\\")), F.lit("\\a\\b\t")),
+        F.concat("scheme", F.lit("://TÖDP."), "host", F.lit("/"), "n"),
+        F.concat("scheme", F.lit("://"), F.upper("host"), F.lit(":08080/%2e/"), "n", F.lit("/")),
+        F.concat("scheme", F.lit("://0xC0.2.1/"), "n"),
+        F.concat(at, F.lit("?q='ü'")),
+        F.concat("scheme", F.lit(":"), "host", F.when(F.col("scheme") == "http", F.lit(":80")).otherwise(F.lit(":443")), F.lit("/../"), "n"),
+    ]
+    return p.select("page_id", urls.normalize(F.get(F.array(*forms), (F.col("page_id") % 8).cast("int"))).alias("spelled"))
+
+
 @query("url_dedup", f"SELECT {_norm_sql('url')} AS normalized, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1")
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(urls.normalize(F.col("url")).alias("normalized")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
@@ -227,7 +261,10 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("page_id", "pos", "link")
 
 
-@query("link_resolve", f"SELECT page_id, pos::INT AS pos, {_norm_sql('target')} AS target FROM (SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]+') || link AS target FROM ({_SQL_LINKS}))")
+_SQL_ESCAPED = "array_to_string(list_transform(string_split(link, ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), '')"
+
+
+@query("link_resolve", f"SELECT page_id, pos::INT AS pos, {_norm_sql('target')} AS target FROM (SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]+') || {_SQL_ESCAPED} AS target FROM ({_SQL_LINKS}))")
 def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("page_id", "pos", urls.resolve(F.col("link"), F.col("url")).alias("target"))
 

@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,16 +49,24 @@ def mark_failures(results: DataFrame, chunk_rows: DataFrame, failed: DataFrame,
     return results.join(hit, F.col(page).eqNullSafe(F.col("__page")), "left").select(*kept, (F.col("success") & ~now).alias("success"), F.when(now, F.col("f.stage")).otherwise(F.col("stage")).alias("stage"), "chunks", F.when(now, F.col("f.reason")).otherwise(F.col("failureReason")).alias("failureReason"))
 
 
-def summarize(results: DataFrame, stored: DataFrame | int) -> DataFrame:
-    """One row of counters. results: one row a page; stored: rows, one a stored chunk, or their number."""
-    counts = results.agg(F.count("*").alias("pagesVisited"), F.count_if("success").alias("pagesIndexed"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunksCreated"))
-    if isinstance(stored, int):
-        counts = counts.withColumn("chunksStored", F.lit(stored).cast("long"))
-    else:
-        counts = counts.crossJoin(stored.agg(F.count("*").alias("chunksStored")))
+def _counters() -> list[Column]:
+    return [F.count("*").alias("pagesVisited"), F.coalesce(F.count_if("success"), F.lit(0)).alias("pagesIndexed"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunksCreated")]
+
+
+def summarize(results: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row of counters. results: one row a page; stored: rows, one a stored chunk."""
+    counts = results.agg(*_counters()).crossJoin(stored.agg(F.count("*").alias("chunksStored")))
     return counts.withColumn("skippedPages", F.col("pagesVisited") - F.col("pagesIndexed"))
 
 
+def written_and_counted(results: DataFrame, stored: int, label: str) -> tuple[DataFrame, dict[str, int]]:
+    """The results, written, and their counters, observed while they are written."""
+    seen = Observation(label)
+    out = written(results.observe(seen, *_counters()), label)
+    counts = seen.get
+    return out, {**counts, "chunksStored": stored, "skippedPages": counts["pagesVisited"] - counts["pagesIndexed"]}
+
+
 @dataclass
 class Progress:
     """Collects progress events; optional callback; `cancelled` is looked at between stages and, while jobs run, once a second."""
@@ -213,12 +221,14 @@ def _run(find: Callable[[], DataFrame], start: str, store: VectorStore, provider
             if p.stopped():
                 raise
             failed = failed.union(good.select("batch").distinct().select("batch", F.lit("store"), F.lit(f"{type(e).__name__}: {e}"[:500])))
-        results = written(mark_failures(results, vectors, failed, "page").orderBy("page").drop("page"), "page-results")
+        results, counts = written_and_counted(mark_failures(results, vectors, failed, "page").drop("page"), stored, "page-results")
         ended = [*(t for _, t in marks[1:]), time.monotonic()]
         took = {s: 1000 * (b - a) for (s, a), b in zip(marks, ended, strict=True)}
-        counts = summarize(results, stored)
         total = 1000 * (ended[-1] - marks[0][1])
         # One row: the average cost of a chunk's vector goes with the six durations.
-        out = counts.withColumns({name: F.lit(round(took[s], 3)) for s, name in DURATIONS.items()} | {"totalDuration": F.lit(round(total, 3)), "embeddingMsPerChunk": F.round(F.lit(took["embed"]) / F.nullif(F.col("chunksCreated"), F.lit(0)), 3)})
+        each = round(took["embed"] / counts["chunksCreated"], 3) if counts["chunksCreated"] else None
+        row = {**counts, **{name: round(took[s], 3) for s, name in DURATIONS.items()}, "totalDuration": round(total, 3), "embeddingMsPerChunk": each}
+        schema = T.StructType([T.StructField(n, T.LongType() if n in counts else T.DoubleType()) for n in row])
+        out = spark.createDataFrame([tuple(row.values())], schema)
         p.emit("complete", "done", **{n: round(took[s], 3) for s, n in DURATIONS.items()}, totalDuration=round(total, 3))
     return results, out
