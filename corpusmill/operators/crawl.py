@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import is_http, same_domain
 from corpusmill.schema import CrawlConfig
-from corpusmill.session import sized_join, written
+from corpusmill.session import sized_join, written_rows
 
 
 class Crawler(Protocol):
@@ -56,28 +56,28 @@ def edges_of(pages: DataFrame, src: Column | None = None) -> DataFrame:
     return raw.select("src", urls.resolve(F.col("link"), F.col("url")).alias("dst"), "pos").where("dst IS NOT NULL")
 
 
-def walk(start: str, config: CrawlConfig, fetch: Callable[[DataFrame, int], DataFrame], expand: Callable[[DataFrame], DataFrame], spark: SparkSession) -> DataFrame:
+def walk(start: str, config: CrawlConfig, fetch: Callable[[DataFrame, int, int], DataFrame], expand: Callable[[DataFrame, int], DataFrame], spark: SparkSession) -> DataFrame:
     """(url, depth, rank) of the pages that count, in breadth-first order, rank from 1.
 
-    fetch: of the URLs met (url, depth, ord, pos) those that can be fetched, in the order of ord and pos as many at least as are asked for, where there are so many. expand: of a level (url, depth, ord) its links as (url, ord, pos).
+    fetch: of the URLs met (url, depth, ord, pos; their number) those that can be fetched, in the order of ord and pos as many at least as are asked for, where there
+    are so many. expand: of a level (url, depth, ord; its number of pages) its links as (url, ord, pos).
     """
     if config.max_pages <= 0 or config.max_depth < 0:
         raise ValueError("max_pages must be over 0 and max_depth 0 or more")
     front = spark.createDataFrame([(start, 0, 0, 0)], "url string, depth int, ord long, pos int")
-    visited = written(front.select("url"), "crawl-visited")
+    visited, met = front.select("url"), 1
     found, total = None, 0
     for depth in range(config.max_depth + 1):
         # A level's order number: sorted by range partitions, so no single task holds the level; of a long level only the first pages can count.
-        got = fetch(front, config.max_pages - total).select("url", "ord", "pos").orderBy("ord", "pos").limit(config.max_pages - total)
-        level = written(got.select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")), "crawl-level")
-        n = level.count()
+        got = fetch(front, met, config.max_pages - total).select("url", "ord", "pos").orderBy("ord", "pos").limit(config.max_pages - total)
+        level, n = written_rows(got.select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")), "crawl-level")
         found = level if found is None else found.union(level)
         total += n
         if not n or total >= config.max_pages or depth == config.max_depth:
             break
-        links = expand(level).where(same_domain(F.col("url"), F.lit(start)) & is_http(F.col("url")))
+        links = expand(level, n).where(same_domain(F.col("url"), F.lit(start)) & is_http(F.col("url")))
         first = links.groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("at")).select("url", F.lit(depth + 1).alias("depth"), "at.ord", "at.pos")
-        front = written(first.join(visited, "url", "left_anti"), "crawl-front")
+        front, met = written_rows(first.join(visited, "url", "left_anti"), "crawl-front")
         visited = visited.union(front.select("url"))
     best = found.orderBy("depth", "ord").limit(config.max_pages)
     return best.select("url", "depth", F.row_number().over(Window.orderBy("depth", "ord")).cast("int").alias("rank"))
@@ -92,11 +92,11 @@ def crawl(pages: DataFrame, edges: DataFrame, start: str, config: CrawlConfig |
     c = config or CrawlConfig()
     urls = pages.select("url").distinct()
 
-    def fetch(front: DataFrame, wanted: int) -> DataFrame:
+    def fetch(front: DataFrame, met: int, wanted: int) -> DataFrame:
         reach = front if blocked is None else front.join(blocked.select("url"), "url", "left_anti")
         return reach.join(urls, "url", "left_semi")
 
-    def expand(level: DataFrame) -> DataFrame:
+    def expand(level: DataFrame, n: int) -> DataFrame:
         return level.join(edges, level["url"] == edges["src"]).select(F.col("dst").alias("url"), "ord", "pos")
 
     return _with_pages(pages, walk(start, c, fetch, expand, pages.sparkSession), c)
@@ -116,13 +116,13 @@ def crawl_pages(pages: DataFrame, start: str, config: CrawlConfig | None = None,
     c = config or CrawlConfig()
     pages = pages.where(fetch_failure(pages).isNull())
 
-    def fetch(front: DataFrame, wanted: int) -> DataFrame:
+    def fetch(front: DataFrame, met: int, wanted: int) -> DataFrame:
         if robots is not None:
-            front = written(with_verdict(front, robots, agent=c.user_agent).where("allowed").drop("allowed"), "crawl-allowed")
-        return sized_join(pages.select("url"), front, ["url"], "inner", _URL_BYTES * front.count()).distinct()
+            front = with_verdict(front, robots, agent=c.user_agent).where("allowed").drop("allowed")
+        return sized_join(pages.select("url"), front, ["url"], "inner", _URL_BYTES * met).distinct()
 
-    def expand(level: DataFrame) -> DataFrame:
-        held = sized_join(pages.select("url", "html"), level, ["url"], "inner", _URL_BYTES * level.count())
+    def expand(level: DataFrame, n: int) -> DataFrame:
+        held = sized_join(pages.select("url", "html"), level, ["url"], "inner", _URL_BYTES * n)
         return edges_of(held, F.col("ord")).select(F.col("dst").alias("url"), F.col("src").alias("ord"), "pos")
 
     return _with_pages(pages, walk(start, c, fetch, expand, pages.sparkSession), c)

@@ -348,19 +348,18 @@ def content_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", html.page(F.lit("http://h.example/x"), body, "main_content")["content"].alias("content"))
 
 
-@query("title_extract", "SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+_SQL_TITLE = "replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("title_extract", f"SELECT page_id, {_SQL_TITLE} AS title FROM pages")
 def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query("html_to_text")
-def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    got = p.select("page_id", html.page(F.col("url"), F.col("html")).alias("p"))
-    return got.select("page_id", html.title_or_default(F.col("p.title")).alias("title"), F.col("p.content").alias("content")).where(text.long_enough(F.col("content")))
+_SQL_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' \n', chr(10), 'g'), '\n ', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_SQL_WHITE})"
 
 
-_SQL_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' \n', chr(10), 'g'), '\n ', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_SQL_WHITE})"
+ORACLES["content_scoring"] = ORACLES["content_scoring"].format(_SQL_CLEAN)
 
 
 @query("clean_whitespace", f"SELECT doc_id, {_SQL_CLEAN} AS clean FROM documents")
@@ -368,7 +367,16 @@ def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("clean"))
 
 
-ORACLES["content_scoring"] = ORACLES["content_scoring"].format(_SQL_CLEAN)
+# The pages' grammar is small: noise goes, a heading has its mark, paragraphs and breaks are lines, all other tags go.
+_SQL_PAGE = r"""regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|<(nav|script|style|footer|header|aside|noscript)[ >].*?</(nav|script|style|footer|header|aside|noscript)>', '', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g')"""
+_SQL_RENDERED = rf"""replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({_SQL_PAGE}, '<br>', chr(10), 'g'), '</?p>|</h1>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&quot;', '"'), '&gt;', '>'), '&amp;', '&')"""
+
+
+@query("html_to_text", f"SELECT page_id, {_SQL_TITLE} AS title, {_SQL_CLEAN} AS content FROM (SELECT page_id, html, {_SQL_RENDERED} AS text FROM pages) WHERE length({_SQL_CLEAN}) >= 100")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    got = p.select("page_id", html.page(F.col("url"), F.col("html")).alias("p"))
+    return got.select("page_id", html.title_or_default(F.col("p.title")).alias("title"), F.col("p.content").alias("content")).where(text.long_enough(F.col("content")))
 
 
 @query("min_chars", f"SELECT doc_id, length({_SQL_CLEAN}) AS n FROM documents WHERE length({_SQL_CLEAN}) >= 100")
@@ -650,9 +658,12 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.citations(_lead_chunks(spark, sf_dir))
 
 
-@query("chat_answers")
+@query("chat_answers", _SQL_E2E + """ SELECT qid, min(left(split_part(piece, chr(10), 1), 400)) FILTER (WHERE rank = 1) || ' [Source 1]' AS answer,
+string_agg(rank || ' ' || title || ' ' || url || ' ' || (i + 1) || ' of ' || n, '; ' ORDER BY rank) AS cited FROM hit GROUP BY qid""")
 def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.ask(_questions(spark, sf_dir), _embedded(spark, sf_dir), HashEmbedding(DIM))
+    a = chat.ask(_questions(spark, sf_dir), _embedded(spark, sf_dir), HashEmbedding(DIM))
+    cite = lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["title"], x["url"], x["chunkNumber"].cast("string"), F.lit("of"), x["totalChunks"].cast("string"))
+    return a.select("qid", "answer", F.array_join(F.transform("sources", cite), "; ").alias("cited"))
 
 
 # -- requests and errors ------------------------------------------------------------------

@@ -34,7 +34,8 @@ class ExtractiveChat:
     """Offline stand-in: the first line of the first source's content, or the out-of-scope reply."""
 
     def generate(self, prompt: str, temperature: float | None = None, max_output_tokens: int | None = None) -> str:
-        head, found, rest = prompt.partition("[Source 1]")
+        # The instructions speak of sources, too: only the context's first one counts.
+        _, found, rest = prompt.partition("\n\n# Context\n\n[Source 1]\n")
         if not found:
             return OUT_OF_SCOPE
         body = rest.split("\n\n", 1)[-1].strip().split("\n", 1)[0]

@@ -196,7 +196,8 @@ def _run(find: Callable[[], DataFrame], start: str, store: VectorStore, provider
         step("extract", "extracting text")
         found = extract_pages(pages, c.min_chars)
         order = ["rank"] if "rank" in found.columns else ["url", "title", "content"]
-        texts = written(numbered(found, *order).withColumnRenamed("row", "page"), "texts")
+        # A number for every page, ascending in that order: places inside range partitions.
+        texts = written(found.orderBy(*order).withColumn("page", F.monotonically_increasing_id()), "texts")
         step("chunk", "cutting chunks")
         cut = written(chunks(texts.where("long_enough"), c.chunk, key_cols=("page", "url", "title")), "chunks")
         per_page = cut.groupBy("page").agg(F.count("*").cast("int").alias("chunks"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def written_rows(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """`written` and the number of rows, observed while they are written. For steps that shuffle little: nothing is released."""
+    seen, path = Observation(label), scratch(df.sparkSession, label)
+    df.observe(seen, F.count("*").alias("rows")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out, seen.get["rows"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written intermediate tables once everything made from them is itself written."""
     for t in tables:

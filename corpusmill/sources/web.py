@@ -30,7 +30,7 @@ from corpusmill.functions.robots import allowed_one
 from corpusmill.functions.urls import host
 from corpusmill.operators.crawl import edges_of, fetch_failure, walk
 from corpusmill.schema import CrawlConfig
-from corpusmill.session import sized_join, written
+from corpusmill.session import sized_join, written_rows
 
 FETCHED = T.StructType([T.StructField(n, t) for n, t in (("url", T.StringType()), ("html", T.StringType()), ("status", T.IntegerType()), ("contentType", T.StringType()), ("fetchError", T.StringType()), ("allowed", T.BooleanType()))])
 #: URLs that the data source takes as an option; longer lists are tables for `fetched`.
@@ -204,23 +204,24 @@ class WebCrawler:
         asked = self.config or FetchConfig(user_agent=config.user_agent)
         pages: DataFrame | None = None
 
-        def fetch(front: DataFrame, wanted: int) -> DataFrame:
+        def fetch(front: DataFrame, met: int, wanted: int) -> DataFrame:
             nonlocal pages
             left, found = front, None
             while True:
-                wave = written(left.orderBy("ord", "pos").limit(wanted), "fetch-wave")
-                got = written(fetched(wave, asked), "fetched")
+                wave, n = written_rows(left.orderBy("ord", "pos").limit(wanted), "fetch-wave")
+                got, _ = written_rows(fetched(wave, asked), "fetched")
                 got = got.where(F.col("allowed") & fetch_failure(got).isNull())
                 pages = got if pages is None else pages.union(got)
                 hits = got.select("url").join(wave, "url")
                 found = hits if found is None else found.union(hits)
+                met -= n
                 wanted -= hits.count()
-                left = left.join(wave.select("url"), "url", "left_anti")
-                if wanted <= 0 or left.isEmpty():
+                if wanted <= 0 or met <= 0:
                     return found
+                left = left.join(wave.select("url"), "url", "left_anti")
 
-        def expand(level: DataFrame) -> DataFrame:
-            held = sized_join(pages.select("url", "html"), level, ["url"], "inner", 256 * level.count())
+        def expand(level: DataFrame, n: int) -> DataFrame:
+            held = sized_join(pages.select("url", "html"), level, ["url"], "inner", 256 * n)
             return edges_of(held, F.col("ord")).select(F.col("dst").alias("url"), F.col("src").alias("ord"), "pos")
 
         ranked = walk(start, config, fetch, expand, self.spark)
