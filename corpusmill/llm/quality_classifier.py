@@ -51,12 +51,13 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, N_FEATURES), np.float32)
     if not len(doc):
         return out, first
-    # A passage's bytes reach from its first word to the next passage's.
+    # A passage's bytes reach from its first word to the next passage's, or to the end of its text: no other text of the batch counts.
     head = np.flatnonzero(at % PASSAGE_WORDS == 0)
     edge = words.start[head]
-    size = np.diff(np.append(edge, len(raw)))
-    of_byte = np.repeat(passage[head], size)
-    kinds = np.bincount(of_byte * len(_CLASSES) + _LUT[raw[edge[0] :]], minlength=n * len(_CLASSES)).reshape(n, -1)
+    size = np.minimum(np.append(edge[1:], len(raw)), off[1:][doc[head]]) - edge
+    before = np.cumsum(size) - size
+    byte = raw[np.arange(size.sum()) + np.repeat(edge - before, size)]
+    kinds = np.bincount(np.repeat(passage[head], size) * len(_CLASSES) + _LUT[byte], minlength=n * len(_CLASSES)).reshape(n, -1)
     out[:, : len(_CLASSES)] = kinds / np.maximum(kinds.sum(axis=1, keepdims=True), 1)
     k = len(_CLASSES)
     in_passage = np.bincount(passage, minlength=n)

@@ -61,7 +61,7 @@ def pack(ids: np.ndarray, planes: str = "byte", block_ids: int = BLOCK_IDS, leve
     return b"".join([_HEAD.pack(MAGIC, n_planes, 4, 0, block_ids, len(ids), len(index)), *index, *payload])
 
 
-def blocks(segment: bytes) -> list[tuple[int, int, tuple[int, ...]]]:
+def blocks(segment: bytes | pa.Buffer) -> list[tuple[int, int, tuple[int, ...]]]:
     """The chunk index: ids, offset in the segment, and plane lengths of each block."""
     magic, n_planes, _, _, _, _, n = _HEAD.unpack_from(segment)
     if magic != MAGIC:
@@ -71,9 +71,9 @@ def blocks(segment: bytes) -> list[tuple[int, int, tuple[int, ...]]]:
     return [(x[0], base + x[1], x[2:]) for x in (entry.unpack_from(segment, _HEAD.size + i * entry.size) for i in range(n))]
 
 
-def unpack(segment: bytes, only: range | None = None) -> np.ndarray:
+def unpack(segment: bytes | pa.Buffer, only: range | None = None) -> np.ndarray:
     """The ids of a segment, or of the blocks in `only`."""
-    decomp = zstandard.ZstdDecompressor()
+    decomp, view = zstandard.ZstdDecompressor(), memoryview(segment)
     out = []
     for n, at, lengths in (x for i, x in enumerate(blocks(segment)) if only is None or i in only):
         rows = []
@@ -145,16 +145,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(row["data"])
-                counts = np.asarray(row["doc_tokens"], np.int64)
+            # One segment at a time, its index columns and ids as arrays: the batch's other segments stay as Arrow has them.
+            shards, segments, doc_ids, tokens, data = (batch.column(c) for c in ("shard", "segment", "doc_ids", "doc_tokens", "data"))
+            for i in range(len(batch)):
+                counts = tokens[i].values.to_numpy()
                 ends = np.cumsum(counts)
                 starts = ends - counts
-                raw = ids.tobytes()
+                raw = memoryview(unpack(data[i].as_buffer()).view(np.uint8))
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 k = len(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * k, pa.int32()), pa.array([row["segment"]] * k, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())],
+                    [pa.repeat(shards[i], k), pa.repeat(segments[i], k), doc_ids[i].values, pa.array(starts), tokens[i].values, pa.array(crc, pa.int64())],
                     names=["shard", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
 

@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the other URLs.
 
-Features: lengths of URL, host, path and query, path depth, dots, digit and hyphen ratio, character entropy of
-the host and the path, parameter count, and suffix statistics (the smoothed share of blocked URLs
+Features: lengths of URL, host, path and query, path depth, dots, hyphens, digit ratio and parameter count, by Spark's own functions;
+byte entropy of the host and the path, by numpy over a batch; and suffix statistics (the smoothed share of blocked URLs
 among the training URLs with the same last label, last two and last three labels of the host).
 Trees are fitted to labelled URLs by histogram splits on the logistic loss. The sample
 is bounded by TRAIN_URLS; model and statistics go to the executors with the function.
@@ -15,7 +15,6 @@ the model like any other; without training labels of both kinds the model allows
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.textbatch import buffers
+
 TRAIN_URLS = 20_000
 
 
@@ -62,56 +63,61 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+#: Features that Spark's own functions give, and those that the function below adds.
+COUNTED = ("url_length", "host_length", "path_length", "query_length", "depth", "dots", "hyphens", "digit_ratio", "host_digits", "parameters", "fragment", "longest_label")
+SUFFIXES = ("tld", "domain", "label")
+FEATURES = (*COUNTED, "host_entropy", "path_entropy", *(f"{s}_share" for s in SUFFIXES))
 
 
-_PARTS = re.compile(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?")
-FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "dots", "hyphens", "digit_ratio", "host_digits", "host_entropy", "path_entropy", "parameters", "fragment", "longest_label", "tld_share", "domain_share", "label_share")
+def lexical(url: Column) -> Column:
+    """Struct of the COUNTED features, host, path and suffixes (the last one, two and three labels of the host) of a URL."""
+    url = F.coalesce(url, F.lit(""))
+    part = lambda i: F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?", i)
+    host, path, query = F.lower(part(1)), part(2), part(3)
+    count = lambda c, kind: (F.char_length(c) - F.char_length(F.regexp_replace(c, kind, ""))).cast("double")
+    length = lambda c: F.char_length(c).cast("double")
+    values = {
+        "url_length": length(url), "host_length": length(host), "path_length": length(path), "query_length": length(query),
+        "depth": count(path, "/"), "dots": count(host, r"\."), "hyphens": count(host, "-"), "digit_ratio": count(url, "[0-9]") / F.greatest(length(url), F.lit(1.0)), "host_digits": count(host, "[0-9]"),
+        "parameters": count(query, "="), "fragment": length(part(4)), "longest_label": F.array_max(F.transform(F.split(host, r"\."), F.char_length)).cast("double"),
+    }
+    ends = [F.substring_index(host, ".", -k).alias(s) for k, s in enumerate(SUFFIXES, 1)]
+    return F.struct(*[v.alias(n) for n, v in values.items()], host.alias("host"), path.alias("path"), *ends)
 
 
-class Lexical:
-    """Features of URLs; suffix shares come from the training URLs."""
+def entropies(texts: pa.Array) -> np.ndarray:
+    """Entropy in bits of the bytes of each text of a null-free string array, 0 of an empty one."""
+    raw, off = buffers(texts)
+    n = np.diff(off)
+    keys, times = np.unique(np.repeat(np.arange(len(n)), n) * 256 + raw, return_counts=True)
+    doc = keys // 256
+    share = times / n[doc]
+    return np.bincount(doc, -share * np.log2(share), len(n))
 
-    def __init__(self) -> None:
-        self.shares: dict[str, dict[str, float]] = {"tld": {}, "domain": {}, "label": {}}
-        self.prior = 0.5
 
-    @staticmethod
-    def parts(url: str | None) -> tuple[str, str, str, str]:
-        m = _PARTS.match(url or "")
-        host, path, query, fragment = (m.group(i) or "" for i in range(1, 5)) if m else ("", "", "", "")
-        return host.lower(), path, query, fragment
+class Suffixes:
+    """Smoothed shares of blocked URLs by the suffixes of hosts, from the training URLs."""
 
-    @staticmethod
-    def suffixes(host: str) -> dict[str, str]:
-        labels = host.split(".")
-        return {"tld": labels[-1], "domain": ".".join(labels[-2:]), "label": ".".join(labels[-3:])}
+    def __init__(self) -> None:
+        self.shares: dict[str, dict[str, float]] = {s: {} for s in SUFFIXES}
+        self.prior = 0.5
 
-    def learn(self, urls: list[str | None], y: np.ndarray, smooth: float = 20.0) -> Lexical:
+    def learn(self, rows: pa.StructArray, y: np.ndarray, smooth: float = 20.0) -> Suffixes:
         self.prior = float(y.mean())
-        for kind in self.shares:
-            total: Counter = Counter()
-            blocked: Counter = Counter()
-            for u, b in zip(urls, y.tolist(), strict=True):
-                s = self.suffixes(self.parts(u)[0])[kind]
-                total[s] += 1
-                blocked[s] += b
-            self.shares[kind] = {s: (blocked[s] + smooth * self.prior) / (n + smooth) for s, n in total.items()}
+        for kind in SUFFIXES:
+            ends = rows.field(kind).dictionary_encode()
+            total, blocked = np.bincount(ends.indices, minlength=len(ends.dictionary)), np.bincount(ends.indices, y, len(ends.dictionary))
+            self.shares[kind] = dict(zip(ends.dictionary.to_pylist(), ((blocked + smooth * self.prior) / (total + smooth)).tolist(), strict=True))
         return self
 
-    def matrix(self, urls: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(urls), len(FEATURES)))
-        for i, u in enumerate(urls):
-            host, path, query, fragment = self.parts(u)
-            s = self.suffixes(host)
-            digits = sum(c.isdigit() for c in u or "")
-            out[i] = (
-                len(u or ""), len(host), len(path), len(query), path.count("/"), host.count("."), host.count("-"), digits / max(len(u or ""), 1), sum(c.isdigit() for c in host), _entropy(host), _entropy(path),
-                query.count("=") , len(fragment), max(map(len, host.split("."))), *(self.shares[k].get(s[k], self.prior) for k in ("tld", "domain", "label")),
-            )
-        return out
+    def matrix(self, rows: pa.StructArray) -> np.ndarray:
+        """FEATURES of rows of `lexical`. Distinct suffixes are looked up once a batch."""
+        out = [rows.field(c).to_numpy(zero_copy_only=False) for c in COUNTED] + [entropies(rows.field("host")), entropies(rows.field("path"))]
+        for kind in SUFFIXES:
+            ends = rows.field(kind).dictionary_encode()
+            known = np.asarray([self.shares[kind].get(e, self.prior) for e in ends.dictionary.to_pylist()])
+            out.append(known[ends.indices.to_numpy()] if len(rows) else np.zeros(0))
+        return np.stack(out, axis=1)
 
 
 class BoostedTrees:
@@ -169,13 +175,14 @@ class BoostedTrees:
 
 @dataclass
 class UrlModel:
-    lexical: Lexical
+    suffixes: Suffixes
     trees: BoostedTrees | None
 
-    def block_score(self, urls: list[str | None]) -> np.ndarray:
+    def block_score(self, rows: pa.StructArray) -> np.ndarray:
+        """Scores of rows of `lexical`."""
         if self.trees is None:
-            return np.zeros(len(urls))
-        return self.trees.predict(self.lexical.matrix(urls))
+            return np.zeros(len(rows))
+        return self.trees.predict(self.suffixes.matrix(rows))
 
 
 #: Words of host names that mark the training URLs as blocked where no other labels are given: gambling, adult matter, spam, medicine and loan sellers, advertising.
@@ -191,16 +198,17 @@ def seed_labels(urls: DataFrame, url_col: str = "url", terms: tuple[str, ...] =
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", most: int = TRAIN_URLS) -> UrlModel:
     """Fit on at most `most` labelled URLs (label 1: block), taken in the order of a hash of the URL."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).distinct()
-    got = sorted(map(tuple, rows.orderBy(F.xxhash64(F.lit("fit"), F.col("u")), "u", "y").limit(most).collect()))
-    y = np.asarray([r[1] for r in got], float)
-    lexical = Lexical()
+    picked = rows.orderBy(F.xxhash64(F.lit("fit"), F.col("u")), "u", "y").limit(most)
+    got = picked.select("u", "y", lexical(F.col("u")).alias("x")).toArrow().sort_by([("u", "ascending"), ("y", "ascending")]).combine_chunks()
+    y = got.column("y").to_numpy().astype(float)
+    suffixes = Suffixes()
     if len(set(y.tolist())) < 2:
-        return UrlModel(lexical, None)
-    urls = [r[0] for r in got]
+        return UrlModel(suffixes, None)
+    x = pa.concat_arrays(got.column("x").chunks)
     # Half of the sample gives the suffix shares, the other half the trees: a share then says as little about its own row as about others.
-    half = np.arange(len(urls)) % 2 == 0
-    lexical.learn([u for u, h in zip(urls, half, strict=True) if h], y[half])
-    return UrlModel(lexical, BoostedTrees().fit(lexical.matrix([u for u, h in zip(urls, half, strict=True) if not h]), y[~half]))
+    half = np.arange(len(y)) % 2 == 0
+    suffixes.learn(x.filter(pa.array(half)), y[half])
+    return UrlModel(suffixes, BoostedTrees().fit(suffixes.matrix(x.filter(pa.array(~half))), y[~half]))
 
 
 def held_out_by_host(labelled: DataFrame, folds: int = 5, url_col: str = "url", label_col: str = "blocked", most: int = TRAIN_URLS, threshold: float = 0.5) -> dict[str, int]:
@@ -223,11 +231,11 @@ def judge(df: DataFrame, model: UrlModel, rules: tuple[Rule, ...], url_col: str
     """Add host, path, rule, block_score and verdict: the rule's where one fits, else the model's."""
 
     @F.arrow_udf(T.DoubleType())
-    def block_score(urls: pa.Array) -> pa.Array:
-        return pa.array(model.block_score(urls.to_pylist()))
+    def block_score(rows: pa.Array) -> pa.Array:
+        return pa.array(model.block_score(rows))
 
     url = F.col(f"`{url_col}`")
-    out = df.withColumns({"host": host_of(url), "path": path_of(url), "block_score": block_score(url)})
+    out = df.withColumns({"host": host_of(url), "path": path_of(url), "block_score": block_score(lexical(url))})
     out = out.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
     by_rule = F.coalesce(*[F.when(F.col("rule") == r.pattern, F.lit(r.verdict)) for r in rules], F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
     return out.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))))

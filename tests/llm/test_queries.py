@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
 from urllib.parse import urlsplit
@@ -19,7 +21,7 @@ from tests.llm import awkward
 from tests.llm.test_duplicates import brute_components, brute_repeats, near_rows, repeat_texts
 from tokenizers import Tokenizer
 
-from corpusmill.llm import queries, quality_classifier, url_filter
+from corpusmill.llm import fingerprints, queries, quality_classifier, textbatch, url_filter
 
 URLS = [None, "", "no scheme", "http://H.example.COM/en/x?q=1", "http://www.example.com/en/", "https://a.net/es/1#top", "https://b.net/fr/1", "https://b.net/de/1", "ftp://example.com", "https://example.org/x", "https://free-casino.example.org/x"]
 
@@ -65,6 +67,22 @@ def test_op1(spark, sf, docs):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
 
 
+def test_op1_scores_of_the_query(spark, sf, docs, monkeypatch):
+    """The query's scores are those of its model, document by document, and the model has seen no held-out label."""
+    made = []
+    real = quality_classifier.train
+
+    def train(rows, labels, **more):
+        assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in labels.collect())
+        made.append(real(rows, labels, **more))
+        return made[-1]
+
+    monkeypatch.setattr(quality_classifier, "train", train)
+    got = run(spark, sf, "op1_quality_classifier")
+    for i, t in docs.items():
+        assert got[i].score == pytest.approx(float(made[0].score(*quality_classifier.encode(pa.array([t or ""])))[0]), abs=1e-9)
+
+
 def test_op1_score_by_hand():
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
     x, first = quality_classifier.encode(pa.array(["one two " * 200, "", "x ### y", "z " * 65]))
@@ -116,6 +134,43 @@ def test_op5(spark, sf):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def plain_features(url: str | None, shares: dict, prior: float) -> list[float]:
+    u = url or ""
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?", u)
+    host, path, query, fragment = (m.group(k) or "" for k in range(1, 5)) if m else ("", "", "", "")
+    host = host.lower()
+    digits = lambda t: sum(c in "0123456789" for c in t)
+
+    def entropy(t):
+        b = t.encode()
+        return -sum(b.count(c) / len(b) * math.log2(b.count(c) / len(b)) for c in set(b))
+
+    labels = host.split(".")
+    counted = [len(u), len(host), len(path), len(query), path.count("/"), host.count("."), host.count("-"), digits(u) / max(len(u), 1), digits(host), query.count("="), len(fragment), max(map(len, labels))]
+    return [*counted, entropy(host), entropy(path), *(shares[s].get(".".join(labels[-k:]), prior) for k, s in enumerate(("tld", "domain", "label"), 1))]
+
+
+def test_op5_model_by_hand(spark, sf):
+    """The scores of the query from features and trees walked one URL at a time."""
+    rng = random.Random(3)
+    labelled = [(u, 0) for u in URLS[2:]] + [(f"http://{'ads' if b else 'sea'}{rng.randrange(30)}.{rng.choice(['com', 'org'])}/{'x' * rng.randrange(40)}?q={rng.randrange(99)}{'#é' * (b)}", b) for b in [0, 1] * 200]
+    model = url_filter.train(spark.createDataFrame(labelled, "url string, blocked int"))
+    seen = {s: set(v) for s, v in model.suffixes.shares.items()}
+    assert "com" in seen["tld"] and all(0 < p < 1 for v in model.suffixes.shares.values() for p in v.values())
+    df = spark.createDataFrame([(u,) for u, _ in labelled[:150]] + [(None,), ("é://Ünï.Com:80/1-2/",)], "url string")
+    scores = []
+    for r in url_filter.judge(df, model, ()).collect():
+        x, raw = plain_features(r.url, model.suffixes.shares, model.suffixes.prior), model.trees.base
+        for node in model.trees.trees:
+            while isinstance(node, tuple):
+                feature, cut, low, high = node
+                node = low if sum(e < x[feature] for e in model.trees.edges[feature]) <= cut else high
+            raw += node
+        scores.append(r.block_score)
+        assert r.block_score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9) and r.verdict == ("block" if r.block_score >= 0.5 else "allow")
+    assert min(scores) < 0.2 and max(scores) > 0.8
+
+
 def test_op5_unseen_hosts_are_counted_once(spark):
     rng = random.Random(2)
     rows = [(f"https://{'x' * rng.randint(20, 30) if b else 'sea'}{rng.randrange(40)}.example.org/{rng.randrange(9)}", b) for b in [0, 1] * 300]
@@ -136,6 +191,18 @@ def test_op7(spark, sf, docs):
         assert after != t or r.near_next == 1
 
 
+def test_op7_near_group_and_fingerprint(spark, sf, docs):
+    """Groups against plain Jaccard of 5-word sets, fingerprints against a plain MinHash."""
+    got = run(spark, sf, "op7_minhash")
+    assert {i: r.near_group for i, r in got.items()} == {i: c for i, (_, c) in brute_components(list(docs.items()), 5, 80).items()}
+    a, b = fingerprints.permutations(fingerprints.PERMS)
+    for i in list(docs)[::9]:
+        raw, off = textbatch.buffers(pa.array([docs[i] or ""]))
+        h, _ = textbatch.shingles(textbatch.Words(raw, off), 5)
+        least = [min(((int(x) * int(p) + int(q)) % 2**64 >> 32 for x in h[:3000]), default=2**32 - 1) for p, q in zip(a, b, strict=True)] if len(h) <= 3000 else None
+        assert least is None or got[i].fingerprint == struct.pack("<128I", *least).hex()
+
+
 def test_op8(spark, sf, docs):
     got = run(spark, sf, "op8_suffix_dedup")
     for (i, t), (spans, kept) in zip(docs.items(), brute_repeats(list(docs.values()), 400), strict=True):
