@@ -20,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. A null, empty or short text fails the base rules; equal rows are judged alike, each by itself; an empty table stays one."""
     bounded_batches(spark)
     return quality_rules.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
@@ -57,7 +57,10 @@ def _near_copies_of_repeated_ids(docs: DataFrame, again: DataFrame, n: int) -> D
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that occur twice go; a character that loses a byte goes whole. A text with nothing left goes."""
+    """Bytes of strings of 400 bytes that occur twice go; a character that loses a byte goes whole. A text with nothing left goes, null and empty ones too.
+
+    Rows with equal texts lose all of them where these are long enough; null and repeated ids do not matter.
+    """
     bounded_batches(spark)
     out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=400)
     cut = out.select("doc_id", F.when(F.size("removed") > 0, suffix_dedup.as_text("kept")).otherwise(F.col("text")).alias("text"), "lang", "source")
@@ -65,14 +68,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one document a source takes in part is cut after its last word taken."""
+    """Documents as often as the mix takes them; the one document a source takes in part is cut after its last word taken.
+
+    A null source is a source, a text without words is never taken, and the seeded order of equal rows is that of their ids, sizes and texts: equal rows share evenly.
+    """
     bounded_batches(spark)
     mixed = mixing.materialise(mixing.mix(docs.select(*COLUMNS)))
     return mixed.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, with digests of the ids and of the bytes they decode to."""
+    """Ids of every text, with digests of the bytes they decode to. A null text is an empty one, without ids; repeated rows are encoded each; an empty table stays one."""
     bounded_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path, pattern).drop("text"), path, pattern)

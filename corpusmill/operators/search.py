@@ -94,10 +94,8 @@ def _packer(size: int):
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Queries by rows, less is better, rounded to 6 places."""
     if metric == "l2":
-        out = np.empty((len(q), len(x)))
-        for i, v in enumerate(q):
-            out[i] = ((x - v) ** 2).sum(axis=1)
-        return np.round(out + 1e-10, 6)
+        out = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * (q @ x.T)
+        return np.round(np.maximum(out, 0) + 1e-10, 6)
     size = np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
     return -np.round(np.divide(q @ x.T, size, out=np.zeros(size.shape), where=size > 0) + 1e-10, 6)
 
