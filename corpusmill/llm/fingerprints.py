@@ -11,7 +11,8 @@ common is not found; at the threshold that has the probability that `banding` bo
 
 Defined results: texts with fewer words than a shingle are one shingle; a text without words has the signature of
 the empty set (all components at their top value), equal to that of every such text and to
-no other; null is empty; repeated rows have equal fingerprints; an empty table gives an empty table.
+no other; null is empty; repeated rows have equal fingerprints; an empty table gives an empty table. A text longer than a step of about 2 MB
+is a step of its own and takes some 23 bytes a byte.
 """
 
 from __future__ import annotations

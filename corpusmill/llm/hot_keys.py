@@ -1,4 +1,8 @@
-"""Joins with one row a key, in which the rows of a large key are dealt to several tasks."""
+"""Joins with one row a key, in which the rows of a large key are dealt to several tasks.
+
+Defined results: those of the plain join. Null keys match nothing, repeated rows stay, an empty table of large keys means the plain join, and
+columns named `blocks` or `deal` must not be among the rows'.
+"""
 
 from __future__ import annotations
 

@@ -21,7 +21,7 @@ Equal sets are one class (numbered by a row of it) before anything is paired, so
 and ids may be null or repeat. Defined results: a text with fewer words than a shingle is one shingle; a text
 without words (or null) has an empty set, links with nothing and is its own component; a component's id is the
 least one in it, null if all are; rows of an empty set with a null id have a null component; an empty table gives an empty
-table; other columns are not read.
+table; other columns are not read. A text longer than a step of about 2 MB is a step of its own and takes some 23 bytes a byte.
 """
 
 from __future__ import annotations

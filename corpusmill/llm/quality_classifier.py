@@ -4,9 +4,9 @@ A document is a bag of passages of PASSAGE_WORDS words. Every passage is encoded
 word lengths, repeats) and hashed word frequencies, then a learned hidden layer z = relu(W x + b).
 Gated attention a_i = softmax_i(w . (tanh(V z_i) * sigmoid(U z_i))) weighs the passages, and the
 score is sigmoid(c . sum a_i z_i + d). The weights are learned from document labels only, by
-Adam on the cross entropy, on a bounded seeded sample of labelled documents (`TRAIN_DOCS`).
-Encoding and scoring run on the executors in Arrow batches over whole texts; only the
-sample's features and the few thousand weights pass through the driver.
+Adam on the cross entropy, on a bounded seeded sample of labelled documents (`TRAIN_DOCS`) and their passages (`TRAIN_PASSAGES`).
+Encoding and scoring run on the executors in Arrow batches over whole texts, about 2 MB of text a step; one longer text is a step of its own
+and takes some 34 bytes a byte. Only the sample's features (170 MB at most) and the few thousand weights pass through the driver.
 
 Defined results: a null or empty text is a bag with one passage of zeros and gets a score like any other;
 ids, sources, languages and labels are no inputs; labels of unknown documents or with null quality are not used;
@@ -27,8 +27,8 @@ from corpusmill.llm.bpe import slices
 from corpusmill.llm.textbatch import Words, buffers, mix, shingles, steps, tidy
 
 PASSAGE_WORDS = 64
-#: Most labelled documents that a model is fitted on, taken in the order of a hash of their id.
-TRAIN_DOCS = 6000
+#: Most labelled documents that a model is fitted on, taken in the order of a hash of their id, and passages of each, evenly spaced over the text.
+TRAIN_DOCS, TRAIN_PASSAGES = 6000, 128
 HASHED = 32
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", "|", "#", "*", "$", "%", "&", "<>", "!", ".,;:", "?", "'\"()-/", ""]
 _LUT = np.full(256, len(_CLASSES) - 1, np.int64)
@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "text"):
                 x, first = encode(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], names=["id", "y", "x"])
+                bags = [x[np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(np.int64))].tobytes() for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), pa.array(bags, pa.binary())], names=["id", "y", "x"])
 
     got = sorted(rows.select("__id", "__y", "text").mapInArrow(tidy(run), "id long, y double, x binary").collect(), key=lambda r: (r.id, bytes(r.x)))
     y = np.asarray([r.y for r in got])
