@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators.search import QUERY_BLOCK, ROW_BLOCK, _best_of, _packer, batch_top_k
-from corpusmill.session import sized_join, written
+from corpusmill.session import sized_join, saved
 
 #: Most vectors that the centres are fitted on, and rounds of k-means.
 SAMPLE, ROUNDS = 20_000, 12
@@ -99,13 +99,13 @@ class CellIndex:
         """(qid, rank, id, score) as the exact batch search gives them, of the rows in the `probes` cells nearest to each query."""
         if k <= 0 or probes <= 0:
             raise ValueError("k and probes must be over 0")
-        asked = written(self.probed(queries, probes, query_id, query_vec), "ann-asked")
+        asked = saved(self.probed(queries, probes, query_id, query_vec), "ann-asked")
         # The cells that are read at all: a list of at most `cells` numbers, pushed into the scan as a partition filter.
         read = sorted(r.cell for r in asked.select("cell").distinct().collect())
         rows = self.rows().where(F.col("cell").isin(read)) if read else self.rows().limit(0)
         qid, rid = asked.schema["qid"].dataType, rows.schema["id"].dataType
         q_blocks = asked.select("cell", F.col("qid").alias("id"), "v").repartitionByRange("cell", "id").sortWithinPartitions("cell").mapInArrow(_cell_packer(QUERY_BLOCK), f"cell int, ids array<{qid.simpleString()}>, m binary")
-        q_blocks = written(q_blocks.select("cell", F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "ann-queries")
+        q_blocks = saved(q_blocks.select("cell", F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "ann-queries")
         size = q_blocks.agg(F.coalesce(F.sum(F.octet_length("qm")), F.lit(0))).first()[0]
         # Files hold one cell each, so rows of a cell come together without a shuffle.
         blocks = rows.select("cell", "id", "v").mapInArrow(_cell_packer(ROW_BLOCK), f"cell int, ids array<{rid.simpleString()}>, m binary")
@@ -119,7 +119,7 @@ class CellIndex:
     def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9, most: int = 200, query_id: str = "qid", query_vec: str = "embedding") -> int:
         """The least number of probes that finds at least that share of the exact k best, measured by an exact search of at most `most` of the queries, in the order of a hash."""
         asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("embedding")).where("qid IS NOT NULL AND embedding IS NOT NULL")
-        asked = written(asked.orderBy(F.xxhash64(F.lit("tune"), F.col("qid")), "qid").limit(most), "ann-tuning")
+        asked = saved(asked.orderBy(F.xxhash64(F.lit("tune"), F.col("qid")), "qid").limit(most), "ann-tuning")
         exact = batch_top_k(self.rows(), asked, k, self.metric, vec_col="v").select("qid", "id")
         order = asked.select("qid", _cells(self.centres, self.metric, self.cells)(F.col("embedding")).alias("cells"))
         placed = exact.join(self.rows().select("id", "cell"), "id").join(order, "qid")

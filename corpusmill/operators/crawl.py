@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import is_http, same_domain
 from corpusmill.schema import CrawlConfig
-from corpusmill.session import sized_join, written_rows
+from corpusmill.session import sized_join, saved_rows
 
 
 class Crawler(Protocol):
@@ -70,14 +70,14 @@ def walk(start: str, config: CrawlConfig, fetch: Callable[[DataFrame, int, int],
     for depth in range(config.max_depth + 1):
         # A level's order number: sorted by range partitions, so no single task holds the level; of a long level only the first pages can count.
         got = fetch(front, met, config.max_pages - total).select("url", "ord", "pos").orderBy("ord", "pos").limit(config.max_pages - total)
-        level, n = written_rows(got.select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")), "crawl-level")
+        level, n = saved_rows(got.select("url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")), "crawl-level")
         found = level if found is None else found.union(level)
         total += n
         if not n or total >= config.max_pages or depth == config.max_depth:
             break
         links = expand(level, n).where(same_domain(F.col("url"), F.lit(start)) & is_http(F.col("url")))
         first = links.groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("at")).select("url", F.lit(depth + 1).alias("depth"), "at.ord", "at.pos")
-        front, met = written_rows(first.join(visited, "url", "left_anti"), "crawl-front")
+        front, met = saved_rows(first.join(visited, "url", "left_anti"), "crawl-front")
         visited = visited.union(front.select("url"))
     best = found.orderBy("depth", "ord").limit(config.max_pages)
     return best.select("url", "depth", F.row_number().over(Window.orderBy("depth", "ord")).cast("int").alias("rank"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vector
 from corpusmill.operators.filters import MetadataFilter, apply
-from corpusmill.session import written
+from corpusmill.session import saved
 
 #: Vectors of one packed block: a pair of blocks is one matrix product of QUERY_BLOCK x ROW_BLOCK doubles.
 QUERY_BLOCK = 1024
@@ -55,11 +55,11 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
         raise ValueError("k must be over 0")
     qid, rid = queries.schema[query_id].dataType.simpleString(), df.schema[id_col].dataType.simpleString()
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked = written(asked.mapInArrow(_packer(QUERY_BLOCK), f"ids array<{qid}>, m binary").select(F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "query-blocks")
+    asked = saved(asked.mapInArrow(_packer(QUERY_BLOCK), f"ids array<{qid}>, m binary").select(F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "query-blocks")
     size = asked.agg(F.coalesce(F.sum(F.octet_length("qm")), F.lit(0))).first()[0]
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(_packer(ROW_BLOCK), f"ids array<{rid}>, m binary")
     # Pairs of blocks, not of rows: the queries are a stated set, and each has to meet all rows.
-    pairs = rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BLOCKS else written(rows, "row-blocks").crossJoin(asked)
+    pairs = rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BLOCKS else saved(rows, "row-blocks").crossJoin(asked)
     found = pairs.mapInArrow(_best_of(k, metric), f"qid {qid}, id {rid}, score double")
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")))

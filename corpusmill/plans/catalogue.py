@@ -17,7 +17,7 @@ from corpusmill.operators.filters import MetadataFilter, apply
 from corpusmill.plans import chat, pipeline
 from corpusmill.schema import ChunkConfig, CrawlConfig, IndexConfig
 from corpusmill.session import scratch, table
-from corpusmill.sources import store
+from corpusmill.sources import batched, store
 from corpusmill.streaming import ingest, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,6 +356,15 @@ def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
+# Titles that pages come with, by the remainder of the id: a null and an empty one give way to that of the HTML, which every eleventh page has lost.
+@query("title_coalesce", f"""SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'given ' || page_id ELSE CASE WHEN page_id % 11 = 0 THEN 'Untitled Page' ELSE {_SQL_TITLE} END END AS title FROM pages""")
+def title_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    given = F.when(F.col("page_id") % 3 == 1, "").when(F.col("page_id") % 3 == 2, F.concat(F.lit("given "), F.col("page_id").cast("string")))
+    lost = F.when(F.col("page_id") % 11 == 0, F.regexp_replace("html", "(?s)<title>.*</title>", "<title> </title>")).otherwise(F.col("html"))
+    return p.select("page_id", html.title_or_default(given, html.title(lost)).alias("title"))
+
+
 _SQL_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' \n', chr(10), 'g'), '\n ', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_SQL_WHITE})"
 
 
@@ -518,6 +527,23 @@ def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.count(), len(s.versions()), s.applied("stream"))], "n long, versions int, last int")
 
 
+class _Refusing:
+    """Stands for an outside store that refuses calls with an id divisible by 50."""
+
+    def upsert(self, rows: list[dict]) -> None:
+        if len(rows) > batched.CALL_ROWS or any(r["id"] % 50 == 0 for r in rows):
+            raise ValueError("refused")
+
+
+# Calls hold rows of one task in the order of their ids; which rows share a call is up to the partitions, so calls are counted by what must hold for any.
+@query("batched_upserts", """SELECT count(*) AS "rows", (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) > 0 AS refused, true AS small FROM (SELECT DISTINCT vec_id FROM embeddings)""")
+def batched_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    twice = e.withColumn("o", F.lit(0)).union(e.withColumn("o", F.lit(1)))
+    calls = batched.upsert_batches(twice, _Refusing(), ordinal="o")
+    return calls.agg(F.sum("rows").alias("rows"), (F.count_if(F.col("error").isNotNull()) > 0).alias("refused"), (F.max("rows") <= batched.CALL_ROWS).alias("small"))
+
+
 # -- indexing ------------------------------------------------------------------------
 _BATCH = 50
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corpusmill.operators import search
 from corpusmill.operators.embed import EmbeddingProvider, embed, with_backoff
-from corpusmill.session import written
+from corpusmill.session import saved
 
 OUT_OF_SCOPE = "The indexed pages do not answer this question."
 INSTRUCTIONS = "\n".join([
@@ -68,7 +68,7 @@ def prompt(question: Column, sources: Column) -> Column:
 def retrieve(questions: DataFrame, chunks: DataFrame, provider: EmbeddingProvider, top_k: int = 3, metric: str = "cosine") -> DataFrame:
     """(qid, rank, score) and the columns of the chunk, for questions (qid, text) over chunks with id and embedding."""
     asked = questions.select("qid", embed(F.col("text"), provider).alias("embedding"))
-    chunks = written(chunks, "chunks")  # cut and embedded once, read by the search and by the join back
+    chunks = saved(chunks, "chunks")  # cut and embedded once, read by the search and by the join back
     found = search.batch_top_k(chunks, asked, top_k, metric)
     return found.join(chunks.drop("embedding"), "id").select("qid", F.col("rank").cast("int").alias("rank"), "score", "id", "title", "url", "content", "chunkIndex", "totalChunks")
 

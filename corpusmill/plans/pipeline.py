@@ -23,13 +23,13 @@ from corpusmill.operators.chunking import chunks
 from corpusmill.operators.crawl import Crawler
 from corpusmill.operators.embed import EmbeddingProvider
 from corpusmill.schema import EVENT_STAGES, PROGRESS_EVENT, CrawlConfig, IndexConfig
-from corpusmill.session import written
+from corpusmill.session import saved
 from corpusmill.sources.store import VectorStore
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Add `row`, the 0-based place in the order, without sorting in one task: places inside range partitions, plus the rows before each."""
-    placed = written(df.orderBy(*order).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")), "numbered")
+    placed = saved(df.orderBy(*order).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")), "numbered")
     sizes = placed.groupBy("__p").agg(F.count("*").alias("n"))
     before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     inside = F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33)
@@ -62,7 +62,7 @@ def summarize(results: DataFrame, stored: DataFrame) -> DataFrame:
 def written_and_counted(results: DataFrame, stored: int, label: str) -> tuple[DataFrame, dict[str, int]]:
     """The results, written, and their counters, observed while they are written."""
     seen = Observation(label)
-    out = written(results.observe(seen, *_counters()), label)
+    out = saved(results.observe(seen, *_counters()), label)
     counts = seen.get
     return out, {**counts, "chunksStored": stored, "skippedPages": counts["pagesVisited"] - counts["pagesIndexed"]}
 
@@ -166,7 +166,7 @@ def index_site(start: str, crawler: Crawler, store: VectorStore, provider: Embed
     """(results, summary) of crawling a site from its start URL, within max_pages and max_depth, and indexing what is found."""
     c = config or IndexConfig()
     at = CrawlConfig(c.max_pages, c.max_depth)
-    return _run(lambda: written(crawler.crawl(start, at), "crawled"), start, store, provider, c, progress or Progress())
+    return _run(lambda: saved(crawler.crawl(start, at), "crawled"), start, store, provider, c, progress or Progress())
 
 
 #: Columns of the summary that hold the milliseconds of stages, and the events that begin them.
@@ -197,20 +197,20 @@ def _run(find: Callable[[], DataFrame], start: str, store: VectorStore, provider
         found = extract_pages(pages, c.min_chars)
         order = ["rank"] if "rank" in found.columns else ["url", "title", "content"]
         # A number for every page, ascending in that order: places inside range partitions.
-        texts = written(found.orderBy(*order).withColumn("page", F.monotonically_increasing_id()), "texts")
+        texts = saved(found.orderBy(*order).withColumn("page", F.monotonically_increasing_id()), "texts")
         step("chunk", "cutting chunks")
-        cut = written(chunks(texts.where("long_enough"), c.chunk, key_cols=("page", "url", "title")), "chunks")
+        cut = saved(chunks(texts.where("long_enough"), c.chunk, key_cols=("page", "url", "title")), "chunks")
         per_page = cut.groupBy("page").agg(F.count("*").cast("int").alias("chunks"))
         stage = F.when(~F.col("long_enough"), "extract").when(F.col("chunks").isNull(), "chunk")
         reason = F.coalesce("error", F.when(stage == "extract", "too little text").when(stage == "chunk", "no chunks"))
         results = texts.join(per_page, "page", "left").select("page", "url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
         step("embed", "embedding chunks")
-        vectors = written(embed_batches(with_batches(cut, c.batch_size, "page", "chunkIndex"), provider), "vectors")
+        vectors = saved(embed_batches(with_batches(cut, c.batch_size, "page", "chunkIndex"), provider), "vectors")
         step("store", "storing vectors")
         # A vector that the store would refuse fails its batch, not the others.
         misfit = F.when(~vector.has_dimension(F.col("embedding"), store.dimension), F.concat(F.lit("vectors of "), F.size("embedding").cast("string"), F.lit(" components")))
         problem = F.when(F.col("error").isNotNull(), F.struct(F.lit("embed").alias("stage"), F.col("error").alias("reason"))).when(misfit.isNotNull(), F.struct(F.lit("store").alias("stage"), misfit.alias("reason")))
-        failed = written(vectors.select("batch", problem.alias("f")).where("f IS NOT NULL").groupBy("batch").agg(F.min("f").alias("f")).select("batch", "f.*"), "failed-batches")
+        failed = saved(vectors.select("batch", problem.alias("f")).where("f IS NOT NULL").groupBy("batch").agg(F.min("f").alias("f")).select("batch", "f.*"), "failed-batches")
         good = vectors.join(failed.select("batch"), "batch", "left_anti")
         rows, stored = good.drop("page", "row", "batch", "error"), 0
         try:

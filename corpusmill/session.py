@@ -53,25 +53,29 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str) -> DataFrame:
     """Write `df` under the shared folder and read it back: the lineage ends at files every executor sees."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def written_rows(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """`written` and the number of rows, observed while they are written. For steps that shuffle little: nothing is released."""
-    seen, path = Observation(label), scratch(df.sparkSession, label)
-    df.observe(seen, F.count("*").alias("rows")).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_path = path
+def saved_rows(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """`saved`, and the number of rows, observed while they are written."""
+    seen = Observation(label)
+    out = saved(df.observe(seen, F.count("*").alias("rows")), label)
     return out, seen.get["rows"]
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`saved` for a step that has shuffled much of the input: what it shuffled is released, so that a run of many such steps keeps to its share of the disks."""
+    out = saved(df, label)
+    release(df.sparkSession)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written intermediate tables once everything made from them is itself written."""
     for t in tables:
@@ -81,7 +85,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM drop what it no longer refers to; executors then delete the shuffle files of finished steps."""
+    """Let the driver's JVM drop what it no longer refers to; executors then delete the shuffle files of finished steps.
+
+    Spark deletes a shuffle's files once the driver has collected its handle, by itself every half hour; a plan of many shuffles would hold all of them until then.
+    """
     spark.sparkContext._jvm.System.gc()
 
 

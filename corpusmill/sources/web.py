@@ -30,7 +30,7 @@ from corpusmill.functions.robots import allowed_one
 from corpusmill.functions.urls import host
 from corpusmill.operators.crawl import edges_of, fetch_failure, walk
 from corpusmill.schema import CrawlConfig
-from corpusmill.session import sized_join, written_rows
+from corpusmill.session import sized_join, saved_rows
 
 FETCHED = T.StructType([T.StructField(n, t) for n, t in (("url", T.StringType()), ("html", T.StringType()), ("status", T.IntegerType()), ("contentType", T.StringType()), ("fetchError", T.StringType()), ("allowed", T.BooleanType()))])
 #: URLs that the data source takes as an option; longer lists are tables for `fetched`.
@@ -208,8 +208,8 @@ class WebCrawler:
             nonlocal pages
             left, found = front, None
             while True:
-                wave, n = written_rows(left.orderBy("ord", "pos").limit(wanted), "fetch-wave")
-                got, _ = written_rows(fetched(wave, asked), "fetched")
+                wave, n = saved_rows(left.orderBy("ord", "pos").limit(wanted), "fetch-wave")
+                got, _ = saved_rows(fetched(wave, asked), "fetched")
                 got = got.where(F.col("allowed") & fetch_failure(got).isNull())
                 pages = got if pages is None else pages.union(got)
                 hits = got.select("url").join(wave, "url")

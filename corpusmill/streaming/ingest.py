@@ -15,7 +15,7 @@ from corpusmill.operators.chunking import chunks
 from corpusmill.operators.embed import EmbeddingProvider, embed
 from corpusmill.plans.pipeline import extract_pages
 from corpusmill.schema import ChunkConfig
-from corpusmill.session import discard, written
+from corpusmill.session import discard, saved
 from corpusmill.sources.store import VectorStore
 from corpusmill.streaming.progress import StreamProgress
 
@@ -37,7 +37,7 @@ def ingest(stream: DataFrame, store: VectorStore, provider: EmbeddingProvider, c
             return
         names = [c for c in ("url", "title", "html") if c in batch.columns]
         # Written once, as rows and keys are read from it: reading the batch twice would read its source twice.
-        pages = written(batch.groupBy("url").agg(F.max(F.struct(*[c for c in names if c != "url"])).alias("p")).select("url", "p.*"), "stream-batch")
+        pages = saved(batch.groupBy("url").agg(F.max(F.struct(*[c for c in names if c != "url"])).alias("p")).select("url", "p.*"), "stream-batch")
         store.replace(to_vectors(pages, provider, cfg), pages.select("url"), batch=(ledger, batch_id))
         discard(pages)
 
