@@ -108,7 +108,7 @@ class JsonTokenizer:
         return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words, and where each text's begin."""
