@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import WHITE
 from corpusmill.schema import ChunkConfig
+from corpusmill.session import bounded_batches
 
 _SENTENCE_END = re.compile(rf"[.!?](?=[{re.escape(WHITE)}]|\Z)")
 
@@ -75,6 +76,7 @@ def chunks(df: DataFrame, config: ChunkConfig | None = None, text_col: str = "co
     if units not in ("code_points", "utf16"):
         raise ValueError(f"unknown units {units!r}")
     c = config or ChunkConfig()
+    bounded_batches(df.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("t", T.StringType())])))
     def cut(texts: pa.Array) -> pa.Array:

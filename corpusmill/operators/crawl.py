@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import is_http, same_domain
 from corpusmill.schema import CrawlConfig
-from corpusmill.session import sized_join, saved_rows
+from corpusmill.session import bounded_batches, saved_rows, sized_join
 
 
 class Crawler(Protocol):
@@ -52,6 +52,7 @@ def edges_of(pages: DataFrame, src: Column | None = None) -> DataFrame:
     from corpusmill.functions import html, urls
 
     name = F.col("url") if src is None else src
+    bounded_batches(pages.sparkSession)
     raw = pages.select(name.alias("src"), "url", F.posexplode(html.links(F.col("html"))).alias("pos", "link"))
     return raw.select("src", urls.resolve(F.col("link"), F.col("url")).alias("dst"), "pos").where("dst IS NOT NULL")
 

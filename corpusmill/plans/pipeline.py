@@ -23,7 +23,7 @@ from corpusmill.operators.chunking import chunks
 from corpusmill.operators.crawl import Crawler
 from corpusmill.operators.embed import EmbeddingProvider
 from corpusmill.schema import EVENT_STAGES, PROGRESS_EVENT, CrawlConfig, IndexConfig
-from corpusmill.session import saved
+from corpusmill.session import bounded_batches, saved
 from corpusmill.sources.store import VectorStore
 
 
@@ -132,6 +132,7 @@ def cancellable(spark: SparkSession, progress: Progress, tick: float = 1.0):
 
 def extract_pages(pages: DataFrame, min_chars: int = 100, mode: str = "full_page") -> DataFrame:
     """(url, title, content, long_enough, error, and the pages' rank where they have one) of pages (url, html, perhaps title), each parsed once."""
+    bounded_batches(pages.sparkSession)
     got = pages.withColumn("__p", html.page(F.col("url"), F.col("html"), mode))
     titles = [F.col(c) for c in ("title", "__p.title") if c != "title" or c in pages.columns]
     return got.select("url", *[c for c in ("rank",) if c in pages.columns], html.title_or_default(*titles).alias("title"), F.col("__p.content").alias("content"), F.coalesce(F.char_length("__p.content") >= min_chars, F.lit(False)).alias("long_enough"), F.col("__p.error").alias("error"))

@@ -25,6 +25,18 @@ def build_session(app: str = "corpusmill", cores: int | str = "*", shuffle_parti
     return spark
 
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker, in place of the session's defaults of 10000 rows and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and by bytes, so that a worker's memory is that of a batch however many or long a task's rows are. A session that has chosen its own number of rows keeps its settings."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table. Only Spark's reader touches the path, so any Hadoop filesystem works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,7 +15,7 @@ from corpusmill.operators.chunking import chunks
 from corpusmill.operators.embed import EmbeddingProvider, embed
 from corpusmill.plans.pipeline import extract_pages
 from corpusmill.schema import ChunkConfig
-from corpusmill.session import discard, saved
+from corpusmill.session import bounded_batches, discard, saved
 from corpusmill.sources.store import VectorStore
 from corpusmill.streaming.progress import StreamProgress
 
@@ -29,6 +29,7 @@ def to_vectors(pages: DataFrame, provider: EmbeddingProvider, chunk: ChunkConfig
 def ingest(stream: DataFrame, store: VectorStore, provider: EmbeddingProvider, checkpoint: str, chunk: ChunkConfig | None = None, available_now: bool = True, progress: StreamProgress | None = None) -> StreamingQuery:
     """Start the query. stream: pages with url and html (title is read from the html where absent). Of pages with one url in a batch one is kept, the greatest by title and html."""
     store.initialize()
+    bounded_batches(stream.sparkSession)  # a query's batches have the settings that its session had at the start
     cfg = chunk or ChunkConfig(800, 150)
     ledger = f"stream {checkpoint}"
 

@@ -162,3 +162,32 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
 def test_schemas_agree(spark):
     assert [f.name for f in CHUNK] == ["id", "url", "title", "content", "chunkIndex", "totalChunks", "startOffset", "endOffset"]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_batches_to_python_are_bounded_by_rows_and_bytes(spark):
+    from pyspark.sql import types as T
+
+    from corpusmill.operators.chunking import chunks
+    from corpusmill.schema import ChunkConfig
+    from corpusmill.session import BATCH_BYTES, BATCH_ROWS
+
+    conf = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    for k in conf:
+        spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+    try:
+        chunks(spark.createDataFrame([("u", "t", "x")], "url string, title string, content string"), ChunkConfig(40, 10))
+
+        @F.arrow_udf(T.IntegerType())
+        def size(x):
+            import pyarrow as pa
+
+            return pa.array([len(x)] * len(x), pa.int32())
+
+        rows = lambda n, chars: spark.range(0, n, 1, 1).select(size(F.repeat(F.lit("x"), chars)).alias("n")).agg(F.max("n")).first()[0]
+        assert rows(3000, 10) == BATCH_ROWS and rows(600, 20_000) <= BATCH_BYTES // 20_000 + 1
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        chunks(spark.createDataFrame([("u", "t", "x")], "url string, title string, content string"), ChunkConfig(40, 10))
+        assert rows(3000, 10) == 2000  # a session's own choice stays
+    finally:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
