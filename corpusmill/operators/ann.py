@@ -19,18 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.operators.search import QUERY_BLOCK, ROW_BLOCK, _best_of, _packer, batch_top_k
-from corpusmill.session import sized_join, saved
+from corpusmill.operators.search import QUERY_BLOCK, ROW_BLOCK, _packer, _unit, _width, batch_top_k, met
+from corpusmill.session import bounded_batches, saved
 
 #: Most vectors that the centres are fitted on, and rounds of k-means.
 SAMPLE, ROUNDS = 20_000, 12
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.sqrt((x**2).sum(axis=1, keepdims=True))
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-
 def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of every vector, nearest first; ties by number."""
     if len(centres) == 1:  # that of an empty table has no length
@@ -73,6 +68,7 @@ class CellIndex:
             raise ValueError(f"unknown metric {metric!r}")
         if cells <= 0:
             raise ValueError("cells must be over 0")
+        bounded_batches(df.sparkSession)
         spark = df.sparkSession
         rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
         taken = rows.orderBy(F.xxhash64(F.lit("cells"), F.col("id")), "id").limit(sample).collect()
@@ -90,31 +86,26 @@ class CellIndex:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
-    def probed(self, queries: DataFrame, probes: int, query_id: str = "qid", query_vec: str = "embedding") -> DataFrame:
-        """(cell, qid, v): every query once for each cell that it reads."""
-        asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("v")).where("qid IS NOT NULL AND v IS NOT NULL")
-        return asked.select(F.explode(_cells(self.centres, self.metric, min(probes, self.cells))(F.col("v"))).alias("cell"), "qid", "v")
-
     def batch_top_k(self, queries: DataFrame, k: int, probes: int, query_id: str = "qid", query_vec: str = "embedding") -> DataFrame:
-        """(qid, rank, id, score) as the exact batch search gives them, of the rows in the `probes` cells nearest to each query."""
+        """(qid, rank, id, score) as the exact batch search gives them, of the rows in the `probes` cells nearest to each query.
+
+        A query is written once, with a bit for each cell that it reads, among queries of the same nearest cell; a block of queries meets the cells that any of them reads.
+        """
         if k <= 0 or probes <= 0:
             raise ValueError("k and probes must be over 0")
-        asked = saved(self.probed(queries, probes, query_id, query_vec), "ann-asked")
+        bounded_batches(self.spark)
+        asked = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+        rows = self.rows()
+        qid, rid = asked.schema["id"].dataType, rows.schema["id"].dataType
+        placed = asked.withColumn("cell", _cells(self.centres, self.metric, 1)(F.col("v"))[0]).repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell").select("id", "v")
+        packed = placed.mapInArrow(_probing(self.centres, self.metric, min(probes, self.cells), _width(asked)), f"ids array<{qid.simpleString()}>, m binary, near binary, cells array<int>")
+        packed = saved(packed.select(F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm"), "near", "cells"), "ann-queries")
         # The cells that are read at all: a list of at most `cells` numbers, pushed into the scan as a partition filter.
-        read = sorted(r.cell for r in asked.select("cell").distinct().collect())
-        rows = self.rows().where(F.col("cell").isin(read)) if read else self.rows().limit(0)
-        qid, rid = asked.schema["qid"].dataType, rows.schema["id"].dataType
-        q_blocks = asked.select("cell", F.col("qid").alias("id"), "v").repartitionByRange("cell", "id").sortWithinPartitions("cell").mapInArrow(_cell_packer(QUERY_BLOCK), f"cell int, ids array<{qid.simpleString()}>, m binary")
-        q_blocks = saved(q_blocks.select("cell", F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "ann-queries")
-        size = q_blocks.agg(F.coalesce(F.sum(F.octet_length("qm")), F.lit(0))).first()[0]
+        read = sorted(r.cell for r in packed.select(F.explode("cells").alias("cell")).distinct().collect())
+        rows = rows.where(F.col("cell").isin(read)) if read else rows.limit(0)
         # Files hold one cell each, so rows of a cell come together without a shuffle.
-        blocks = rows.select("cell", "id", "v").mapInArrow(_cell_packer(ROW_BLOCK), f"cell int, ids array<{rid.simpleString()}>, m binary")
-        met = sized_join(blocks, q_blocks, ["cell"], "inner", size)
-        found = met.mapInArrow(_best_of(k, self.metric), f"qid {qid.simpleString()}, id {rid.simpleString()}, score double")
-        order = F.col("score").asc() if self.metric == "l2" else F.col("score").desc()
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")))
-        return ranked.where(F.col("rank") <= k).select("qid", "rank", "id", "score")
-
+        blocks = rows.select("cell", "id", "v").mapInArrow(_cell_packer(ROW_BLOCK, _width(rows.select("v"))), f"cell int, ids array<{rid.simpleString()}>, m binary")
+        return met(packed, saved(blocks, "ann-rows"), F.array_contains("cells", F.col("cell")), k, self.metric, f"qid {qid.simpleString()}, id {rid.simpleString()}, score double", (_width(asked), _width(rows.select("v"))))
 
     def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9, most: int = 200, query_id: str = "qid", query_vec: str = "embedding") -> int:
         """The least number of probes that finds at least that share of the exact k best, measured by an exact search of at most `most` of the queries, in the order of a hash."""
@@ -145,9 +136,26 @@ def _cells(centres: np.ndarray, metric: str, n: int):
     return run
 
 
-def _cell_packer(size: int):
+def _probing(centres: np.ndarray, metric: str, probes: int, width: str):
+    """Rows (id, v) to query blocks (ids, m, near, cells): `near` has a bit a cell for every query, `cells` those that any query of the block reads."""
+    pack = _packer(QUERY_BLOCK, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pack(batches):
+            n = len(b.column("ids")[0].values)
+            x = np.frombuffer(b.column("m")[0].as_buffer(), width).reshape(n, -1).astype(np.float64)
+            bits = np.zeros((n, len(centres)), np.uint8)
+            np.put_along_axis(bits, _nearest(_unit(x) if metric == "cosine" else x, centres, probes), 1, axis=1)
+            cells = np.flatnonzero(bits.any(axis=0)).astype(np.int32)
+            near = np.packbits(bits, axis=1, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([near], pa.binary()), pa.array([cells], pa.list_(pa.int32()))], names=["ids", "m", "near", "cells"])
+
+    return run
+
+
+def _cell_packer(size: int, width: str = "f8"):
     """Rows (cell, id, v) to blocks (cell, ids, m) of up to `size` vectors of one cell; a cell that comes in pieces is several blocks."""
-    pack = _packer(size)
+    pack = _packer(size, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -10,17 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vector
 from corpusmill.operators.filters import MetadataFilter, apply
-from corpusmill.session import saved
+from corpusmill.session import bounded_batches, saved
 
 #: Vectors of one packed block: a pair of blocks is one matrix product of QUERY_BLOCK x ROW_BLOCK doubles.
 QUERY_BLOCK = 1024
 ROW_BLOCK = 4096
-#: Packed query blocks up to this many bytes in all, as measured, are broadcast; beyond it the blocks are paired by tasks.
+#: Packed blocks of rows up to this many bytes in all, as measured, are broadcast; beyond it parts of both sides are paired by tasks.
 BROADCAST_BLOCKS = 64 << 20
 
 
@@ -46,32 +47,49 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     """(qid, rank, id, score) for every query against all rows.
 
     Both sides are packed into blocks of vectors inside their partitions, and every query block meets every row
-    block once; nothing passes through the driver. A task keeps the k best scores of each query it has seen, so
-    of the later blocks only rows that can still be among the k best are emitted. Null ids and vectors are left out.
+    block once; nothing passes through the driver. A task holds the k best rows of one query block at a time and
+    emits them when the next begins. Null ids and vectors are left out.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     if k <= 0:
         raise ValueError("k must be over 0")
+    bounded_batches(df.sparkSession)
     qid, rid = queries.schema[query_id].dataType.simpleString(), df.schema[id_col].dataType.simpleString()
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked = saved(asked.mapInArrow(_packer(QUERY_BLOCK), f"ids array<{qid}>, m binary").select(F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "query-blocks")
-    size = asked.agg(F.coalesce(F.sum(F.octet_length("qm")), F.lit(0))).first()[0]
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(_packer(ROW_BLOCK), f"ids array<{rid}>, m binary")
-    # Pairs of blocks, not of rows: the queries are a stated set, and each has to meet all rows.
-    pairs = rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BLOCKS else saved(rows, "row-blocks").crossJoin(asked)
-    found = pairs.mapInArrow(_best_of(k, metric), f"qid {qid}, id {rid}, score double")
+    asked = saved(asked.mapInArrow(_packer(QUERY_BLOCK, _width(asked)), f"ids array<{qid}>, m binary").select(F.expr("uuid()").alias("block"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "query-blocks")
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = saved(rows.mapInArrow(_packer(ROW_BLOCK, _width(rows)), f"ids array<{rid}>, m binary"), "row-blocks")
+    return met(asked, rows, None, k, metric, f"qid {qid}, id {rid}, score double", (_width(queries.select(query_vec)), _width(df.select(vec_col))))
+
+
+def _width(vectors: DataFrame) -> str:
+    """The numpy type that holds the last column's numbers as they are."""
+    return "f4" if vectors.dtypes[-1][1] == "array<float>" else "f8"
+
+
+def met(asked: DataFrame, rows: DataFrame, on: Column | None, k: int, metric: str, schema: str, widths: tuple[str, str]) -> DataFrame:
+    """(qid, rank, id, score) of query blocks (block, qids, qm, perhaps near) against row blocks (ids, m, perhaps cell), written both; `on` says which pairs meet.
+
+    The rows are the inner side: a task works through one query block after the other, so what it holds and emits is k rows a query.
+    """
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("m")), F.lit(0))).first()[0]
+    inner = F.broadcast(rows) if size <= BROADCAST_BLOCKS else rows.hint("shuffle_replicate_nl")
+    # Pairs of blocks, not of rows: the queries are a stated set, and each has to meet all rows. Shares of queries, as blocks are few but each is much work.
+    asked = asked.repartition(max(1, min(asked.count(), 4 * asked.sparkSession.sparkContext.defaultParallelism))) if size <= BROADCAST_BLOCKS else asked
+    pairs = asked.crossJoin(inner) if on is None else asked.join(inner, on, "inner")
+    found = pairs.mapInArrow(_best_of(k, metric, widths), schema)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")))
     return ranked.where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 
 
-def _packer(size: int):
-    """Rows (id, v) to blocks (ids, m): up to `size` vectors as one matrix of doubles, ids in ascending order."""
+def _packer(size: int, width: str = "f8"):
+    """Rows (id, v) to blocks (ids, m): up to `size` vectors as one matrix of numbers of that type, ids in ascending order."""
 
     def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).sort_by("id")
-        m = np.asarray(t.column("v").to_pylist(), np.float64)
+        m = np.asarray(t.column("v").to_pylist(), width)
         ids = t.column("id").combine_chunks()
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
 
@@ -91,35 +109,76 @@ def _packer(size: int):
     return run
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Queries by rows, less is better, rounded to 6 places."""
-    if metric == "l2":
-        out = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * (q @ x.T)
-        return np.round(np.maximum(out, 0) + 1e-10, 6)
-    size = np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
-    return -np.round(np.divide(q @ x.T, size, out=np.zeros(size.shape), where=size > 0) + 1e-10, 6)
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x**2).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _best_of(k: int, metric: str):
+#: What rounding to 6 places may move a score by.
+_SLACK = 1e-6
+
+
+def _best_of(k: int, metric: str, widths: tuple[str, str]):
+    """Pairs of blocks, those of a query block together, to the k best rows of its queries; near: a bit a cell for each query, set where it reads the cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}  # per query block the k best scores so far: k doubles a query
+        now, q, qids, near, bound, best = None, None, None, None, None, None
+
+        def matrix(raw: pa.Scalar, n: int, width: str) -> np.ndarray:
+            x = np.frombuffer(raw.as_buffer(), width).reshape(n, -1).astype(np.float64)
+            return _unit(x) if metric == "cosine" else x
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            if best is not None and len(best):
+                t = best.combine_chunks()
+                score = t.column("s").to_numpy()
+                ids = t.column("id").combine_chunks()
+                out = [qids.take(pa.array(t.column("i").to_numpy())), ids, pa.array((score if metric == "l2" else -score) + 0.0)]
+                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=["qid", "id", "score"])
+
         for batch in batches:
             for at in range(len(batch)):
-                row = {n: batch.column(n)[at] for n in ("ids", "m", "block", "qids", "qm")}
-                qids, ids, name = row["qids"].values, row["ids"].values, row["block"].as_py()
-                q = np.frombuffer(row["qm"].as_buffer(), np.float64).reshape(len(qids), -1)
-                s = _scores(q, np.frombuffer(row["m"].as_buffer(), np.float64).reshape(len(ids), -1), metric)
-                own = np.partition(s, k - 1, axis=1)[:, :k] if s.shape[1] > k else s
-                best = np.concatenate([seen[name], own], axis=1) if name in seen else own
-                seen[name] = best = np.partition(best, k - 1, axis=1)[:, :k] if best.shape[1] > k else best
-                bound = best.max(axis=1) if best.shape[1] == k else np.full(len(q), np.inf)
-                i, j = np.nonzero(s <= bound[:, None])
-                order = np.lexsort((j, s[i, j], i))
-                i, j = i[order], j[order]
-                first = np.searchsorted(i, i, "left")
-                keep = np.arange(len(i)) - first < k
-                i, j = i[keep], j[keep]
-                score = (s[i, j] if metric == "l2" else -s[i, j]) + 0.0
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)], names=["qid", "id", "score"])
+                name = batch.column("block")[at].as_py()
+                if name != now:
+                    yield from emitted()
+                    now, best = name, None
+                    qids = batch.column("qids")[at].values
+                    q = matrix(batch.column("qm")[at], len(qids), widths[0])
+                    bound = np.full(len(qids), np.inf)
+                    near = np.frombuffer(batch.column("near")[at].as_buffer(), np.uint8).reshape(len(qids), -1) if "near" in batch.schema.names else None
+                ids, who = batch.column("ids")[at].values, np.arange(len(qids))
+                if near is not None:
+                    cell = batch.column("cell")[at].as_py()
+                    who = np.flatnonzero(near[:, cell >> 3] >> (cell & 7) & 1)
+                if not len(who):
+                    continue
+                x, own = matrix(batch.column("m")[at], len(ids), widths[1]), q[who]
+                s = own @ x.T  # less is better from here on
+                np.negative(s, out=s)
+                if metric == "l2":
+                    s *= 2
+                    s += (own**2).sum(axis=1)[:, None]
+                    s += (x**2).sum(axis=1)[None, :]
+                most = bound[who]
+                if len(ids) > k and np.isinf(most).any():
+                    most = np.minimum(most, np.partition(s, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(s <= (most + _SLACK)[:, None])
+                score = np.round(np.maximum(s[i, j], 0) + 1e-10, 6) if metric == "l2" else -np.round(1e-10 - s[i, j], 6)
+                # Ids ascend in a block, so of equal scores the first k can count only.
+                order = np.lexsort((j, score, i))
+                i, j, score = i[order], j[order], score[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+                i, j, score = i[keep], j[keep], score[keep]
+                new = pa.table({"i": who[i], "s": score, "id": ids.take(pa.array(j))})
+                if best is not None:
+                    new = pa.concat_tables([best, new])
+                    new = new.take(pc.sort_indices(new, sort_keys=[("i", "ascending"), ("s", "ascending"), ("id", "ascending")]))
+                    i = new.column("i").to_numpy()
+                    new = new.filter(pa.array(np.arange(len(i)) - np.searchsorted(i, i, "left") < k))
+                best = new.combine_chunks()
+                i, score = best.column("i").to_numpy(), best.column("s").to_numpy()
+                last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i, "left") == k - 1)
+                bound[i[last]] = score[last]
+        yield from emitted()
 
     return run
