@@ -57,14 +57,13 @@ def _near_copies_of_repeated_ids(docs: DataFrame, again: DataFrame, n: int) -> D
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that occur twice go; a character that loses a byte goes whole. A text with nothing left goes, null and empty ones too.
+    """Bytes of strings of 400 bytes or of 50 words that occur twice go; a character that loses a byte goes whole. A text with nothing left goes, null and empty ones too.
 
     Rows with equal texts lose all of them where these are long enough; null and repeated ids do not matter.
     """
     bounded_batches(spark)
-    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=400)
-    cut = out.select("doc_id", F.when(F.size("removed") > 0, suffix_dedup.as_text("kept")).otherwise(F.col("text")).alias("text"), "lang", "source")
-    return cut.where("text != ''").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=400, words=50).select("doc_id", F.col("clean_text").alias("text"), "lang", "source")
+    return out.where("text != ''").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,14 +34,15 @@ def counted(keys: DataFrame, by: list[str], times: str) -> DataFrame:
     return written(large.select(*by, F.ceil(F.col(times) / BLOCK_ROWS).cast("int").alias("blocks")), "large-keys")
 
 
-def dealt_join(rows: DataFrame, keys: DataFrame, by: list[str], how: str, large: DataFrame, spot: Column) -> DataFrame:
+def dealt_join(rows: DataFrame, keys: DataFrame, by: list[str], how: str, large: DataFrame, spot: Column, alike: bool = False) -> DataFrame:
     """rows.join(keys, by, how), where keys has one row a key at most and none of its columns is null.
 
     Rows of the keys in `large` (by, blocks; written) go to a block by the hash `spot`, and these keys' rows to every block. The join
     that looks up the blocks broadcasts them behind a check of their size; beyond it both its sides are plain shuffles that AQE can split.
+    alike: the plan has the same form where no key is large, so that its figures can be compared between inputs.
     """
     n = large.count()
-    if not n:
+    if not n and not alike:
         return rows.join(keys, by, how)
     size = 40 * n
     rows = sized_join(rows, large, by, "left", size)

@@ -18,13 +18,16 @@ chooses, and positions between are settled from it exactly:
    inner string (unique: so are all eight) and lie in an outer one (repeated: so are all eight).
    Only starts between the two are compared one by one, by two 64-bit rolling hashes of all their bytes.
    Windows with one anchor always take part; those without any (periodic or odd text) are compared one by one.
+5. If asked for, passages of `words` words go as well, however few bytes they have: each string from the first byte of a word to the last byte of the
+   word `words` - 1 further that also stands anywhere else, between white space or ends of texts. It has no phrase (with the bytes that name it) without a
+   rank, so only stretches between two such phrases are looked at, and of those within a run over the threshold only the representatives.
 
 Equal whole texts are one text throughout (with its number of copies), so the largest groups of
 copies cost one copy. Ranks met by very many positions pass through aggregations with partial results and joins
 that deal their rows to blocks. Every step is a table in the shared folder.
 
-Defined results: null text is empty, has no bytes and loses none; texts under `length` bytes lose none; rows repeated in
-whole count as copies; other columns pass through; an empty table gives an empty table.
+Defined results: null text is empty, has no bytes and loses none; texts under `length` bytes (and under `words` words, where these are given) lose none; rows repeated in
+whole count as copies, and go whole where they are long enough; other columns pass through; an empty table gives an empty table.
 Names are hashes: 64 bits for a phrase, where an error needs equal neighbours too (or two phrases of `length`
 bytes, which are rare), 127 bits for the groups of eight and 128 bits for windows and texts.
 """
@@ -37,13 +40,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.hot_keys import dealt_join, sampled
-from corpusmill.llm.textbatch import buffers, mix, steps, tidy
+from corpusmill.llm.textbatch import buffers, mix, steps, tidy, word_ends
 from corpusmill.session import discard, sized_join, written
 
 #: Mean distance of anchors.
@@ -75,14 +78,15 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
 
 
-def phrases(src: DataFrame, length: int) -> DataFrame:
-    """Per row of a long enough text: n, index of the first true anchor, phrase starts, phrase names."""
+def phrases(src: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """Per row of a long enough text: n, index of the first true anchor, phrase starts, phrase names; before: words that start before each phrase and in all (empty without `words`)."""
+    least = length if words is None else min(length, 2 * words - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, off = buffers(part.column("text"))
-                starts, names, first = [], [], []
+                starts, names, first, before = [], [], [], []
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                     data = raw[a:b]
                     at = anchors(data)
@@ -93,13 +97,14 @@ def phrases(src: DataFrame, length: int) -> DataFrame:
                     names.append(np.fromiter((xxhash.xxh3_64_intdigest(body[s : e + _CONTEXT]) for s, e in zip(at.tolist(), ends, strict=True)), np.uint64, len(at)))
                     starts.append(at)
                     first.append(true)
-                cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32))
+                    before.append(np.searchsorted(word_ends(data)[0], [*at.tolist(), b - a]) if words else at[:0])
+                cut, cut_w = (pa.array(np.concatenate([[0], np.cumsum([len(x) for x in y])]).astype(np.int32)) for y in (starts, before))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("id", *_KEYS)), pa.array(np.diff(off).astype(np.int32)), pa.array(first, pa.int32()), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(starts).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(names).view(np.int64)))],
-                    names=["id", *_KEYS, "n", "first", "starts", "names"],
+                    [*(part.column(c) for c in ("id", *_KEYS)), pa.array(np.diff(off).astype(np.int32)), pa.array(first, pa.int32()), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(starts).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(names).view(np.int64))), pa.ListArray.from_arrays(cut_w, pa.array(np.concatenate(before).astype(np.int32)))],
+                    names=["id", *_KEYS, "n", "first", "starts", "names", "before"],
                 )
 
-    return src.where(F.octet_length("text") >= length).mapInArrow(tidy(run), "id long, k1 long, k2 long, n int, first int, starts array<int>, names array<bigint>")
+    return src.where(F.octet_length("text") >= least).mapInArrow(tidy(run), "id long, k1 long, k2 long, n int, first int, starts array<int>, names array<bigint>, before array<int>")
 
 
 def rerank(rows: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -110,7 +115,7 @@ def rerank(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     pos = F.xxhash64(*_KEYS, "j")
     named = rows.groupBy(*by).agg(F.min(pos).alias("r"), F.max(pos).alias("last")).where("r < last").drop("last")
     large = sampled(rows, by, F.col("k1"))
-    out = written(dealt_join(rows, named, by, "inner", large, pos).select(*_KEYS, "j", "b", "e", "r"), label)
+    out = written(dealt_join(rows, named, by, "inner", large, pos, alike=True).select(*_KEYS, "j", "b", "e", "r"), label)
     discard(large)
     return out
 
@@ -144,6 +149,9 @@ def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray,
     ends = np.append(starts, n)
     true = starts[first:]
     last = n - length
+    if last < 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(bool), none.astype(np.uint64), none
     cuts = np.concatenate([[0], true, true + 1, true - (length - _CONTEXT), ends - (length - 1)])
     lo = np.unique(cuts[(cuts >= 0) & (cuts <= last)])
     hi = np.append(lo[1:] - 1, last)
@@ -175,6 +183,38 @@ def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray,
     return lo[sure], hi[sure], lo[compare], hi[compare], ~sure[compare], key[compare], first_anchor[compare]
 
 
+#: Kinds of byte ranges that a search of passages gets: to look at, or a run over the threshold that is (not) a representative.
+_LOOK, _COPY, _REP = 0, 1, 2
+
+
+def _stretches(n: int, first: int, starts: np.ndarray, before: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int, words: int):
+    """Byte ranges of one text (lo, hi, kind): those where passages can be repeated, and the runs over the threshold."""
+    ends = np.append(starts, n)
+    alone = np.ones(len(starts), bool)
+    if levels:
+        alone[levels[0][0]] = False
+    # The first phrase may start, and the last one ends, where other texts have no anchor.
+    alone[:first], alone[-1] = False, False
+    at = np.flatnonzero(alone)
+    lo = np.concatenate([[0], ends[at] + 1])
+    hi = np.concatenate([np.minimum(ends[at + 1] + _CONTEXT - 1, n), [n]])
+    # A word starts at most at every other byte of the context.
+    most = np.concatenate([before[at + 1] + _CONTEXT // 2, [before[-1]]]) - np.concatenate([[0], before[at]])
+    out = [np.stack([lo, hi, np.full(len(lo), _LOOK)])[:, most >= words]]
+    if not out[0].shape[1]:
+        return out[0]
+    found = [(ends[j], ends[j + (1 << k)], rep) for k, (j, _, rep) in enumerate(levels)]
+    for kind in (_COPY, _REP):
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i][(x[1] - x[0] >= length) & (x[2] == (kind == _REP))] for x in found)]) for i in (0, 1))
+        # Of runs that lie in another one, the other suffices.
+        order = np.lexsort((-b, a))
+        a, b = a[order], b[order]
+        outer = np.ones(len(a), bool)
+        outer[1:] = b[1:] > np.maximum.accumulate(b)[:-1]
+        out.append(np.stack([a[outer], b[outer], np.full(outer.sum(), kind)]))
+    return np.concatenate(out, axis=1)
+
+
 #: Entries of nested lists that one numpy step works on.
 _ENTRIES = 1 << 17
 
@@ -186,21 +226,24 @@ def _nested(batch: pa.RecordBatch, *cols: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
-    """Per text: intervals of window starts surely repeated (sure), and runs of starts to compare (runs)."""
+def settle(texts: DataFrame, ranks: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """Per text: intervals of window starts surely repeated (sure), and runs of starts to compare (runs); byte ranges for passages of `words` words (look) and whether there are so many (enough)."""
     per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.struct("level", "j", "r", "rep")).alias("ranks"))
-    rows = texts.select("id", "copies", *_KEYS, "n", "first", "starts").join(per_text, list(_KEYS), "left")
+    rows = texts.select("id", "copies", *_KEYS, "n", "first", "starts", "before").join(per_text, list(_KEYS), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _nested(whole, "starts", "ranks")):
-            starts, ranks_col = batch.column("starts"), batch.column("ranks")
+            starts, ranks_col, before_col = batch.column("starts"), batch.column("ranks"), batch.column("before")
+            w_off, w_val = before_col.offsets.to_numpy(), before_col.flatten().to_numpy().astype(np.int64)
+            w_off = w_off - w_off[0]
             s_off, s_val = starts.offsets.to_numpy(), starts.flatten().to_numpy().astype(np.int64)
             s_off = s_off - s_off[0]
             r_off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ranks_col), 0).to_numpy())])
             entries = ranks_col.flatten()
             level, j, r, rep = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("level", "j", "r", "rep"))
             ns, firsts = batch.column("n").to_numpy(), batch.column("first").to_numpy()
-            sure, runs = [], []
+            sure, runs, look = [], [], []
+            enough = np.zeros(len(batch), bool)
             for i in range(len(batch)):
                 at = slice(r_off[i], r_off[i + 1])
                 lv, order = level[at], np.argsort(level[at], kind="stable")
@@ -211,6 +254,9 @@ def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
                 got = _runs(int(ns[i]), int(firsts[i]), s_val[s_off[i] : s_off[i + 1]], levels, length)
                 sure.append(got[:2])
                 runs.append(got[2:])
+                before = w_val[w_off[i] : w_off[i + 1]]
+                enough[i] = words is not None and before[-1] >= words
+                look.append(_stretches(int(ns[i]), int(firsts[i]), s_val[s_off[i] : s_off[i + 1]], before, levels, length, words) if enough[i] else np.zeros((3, 0), np.int64))
 
             def lists(parts: list, kinds: list, names: list[str]) -> pa.Array:
                 off = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in parts])]).astype(np.int32))
@@ -218,9 +264,9 @@ def settle(texts: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
                 return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(cols, names=names))
 
             if len(batch):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", *_KEYS)), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64, np.int32], ["lo", "hi", "open", "key", "p"])], names=["id", "copies", *_KEYS, "sure", "runs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", *_KEYS, "n")), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64, np.int32], ["lo", "hi", "open", "key", "p"]), lists(look, [np.int32] * 3, ["lo", "hi", "p"]), pa.array(enough)], names=["id", "copies", *_KEYS, "n", "sure", "runs", "look", "enough"])
 
-    return rows.mapInArrow(tidy(run), "id long, copies long, k1 long, k2 long, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint,p:int>>")
+    return rows.mapInArrow(tidy(run), "id long, copies long, k1 long, k2 long, n int, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint,p:int>>, look array<struct<lo:int,hi:int,p:int>>, enough boolean")
 
 
 class Roller:
@@ -261,6 +307,23 @@ class Roller:
         return out[0], out[1]
 
 
+    def strings(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the strings from starts to stops, both sorted."""
+        h1, h2 = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            base = int(starts[a])
+            b = int(np.searchsorted(starts, base + _STEP))
+            part = data[base : int(stops[b - 1])]
+            self._grow(len(part) + 1)
+            x, y = starts[a:b] - base, stops[a:b] - base
+            for out, (up, down), table in zip((h1, h2), self.powers, _ROLL, strict=True):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[part] * up[: len(part)], dtype=np.uint64)])
+                out[a:b] = mix(mix((total[y] - total[x]) * down[x]) + (y - x).astype(np.uint64))
+            a = b
+        return h1, h2
+
+
 #: Starts that are settled together.
 _GROUP = 8
 
@@ -339,6 +402,29 @@ def single(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) ->
     return _per_text(src, wanted, wanted_bytes, ["lo", "hi", "open"], "lo int, hi int, h1 long, h2 long, open boolean, hashed boolean", of)
 
 
+def passages(src: DataFrame, wanted: DataFrame, wanted_bytes: int, words: int) -> DataFrame:
+    """Hashes of the strings of `words` words in the stretches to look at: lo, stop, h1, h2."""
+    roller = Roller()
+
+    def of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray):
+        first, end = word_ends(data)
+        i = np.searchsorted(first, lo[kind == _LOOK])
+        count = np.maximum(np.searchsorted(end, hi[kind == _LOOK], "right") - words + 1 - i, 0)
+        at = np.unique(np.repeat(i, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        start, stop = first[at], end[at + words - 1]
+        within = {}
+        for of_kind in (_COPY, _REP):
+            a, b = lo[kind == of_kind], hi[kind == of_kind]
+            reach = np.concatenate([[0], np.maximum.accumulate(b)])
+            within[of_kind] = stop <= reach[np.searchsorted(a, start, "right")]
+        # What lies in a run stands in that run's representative too, and goes with the run.
+        there = ~within[_COPY] | within[_REP]
+        h1, h2 = roller.strings(data, start[there], stop[there])
+        return start[there].astype(np.int32), stop[there].astype(np.int32), h1.view(np.int64), h2.view(np.int64)
+
+    return _per_text(src, wanted, wanted_bytes, ["lo", "hi", "p"], "lo int, stop int, h1 long, h2 long", of)
+
+
 def _intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of consecutive numbers in a sorted array."""
     if not len(at):
@@ -347,12 +433,12 @@ def _intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])]
 
 
-def repeated_starts(src: DataFrame, length: int) -> DataFrame:
-    """Per distinct text with something to remove: k1, k2, copies, and the byte ranges (null where the whole text goes)."""
-    found = phrases(src, length)
-    texts = written(found.groupBy(*_KEYS).agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "starts", "names")]), "phrases")
+def repeated_starts(src: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """Per distinct text with something to remove: k1, k2, whole and clean_whole (all of it goes by the bytes, by bytes and words), and the byte ranges that go by the bytes (spans) and by bytes and words (both)."""
+    found = phrases(src, length, words)
+    texts = written(found.groupBy(*_KEYS).agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "starts", "names", "before")]), "phrases")
     ranks, tables = double(texts, length)
-    settled = written(settle(texts, ranks, length), "settled")
+    settled = written(settle(texts, ranks, length, words), "settled")
     discard(texts, *tables)
     spot = F.xxhash64(*_KEYS, "lo")
     run = F.struct("lo", "hi", "open", "p")
@@ -384,11 +470,21 @@ def repeated_starts(src: DataFrame, length: int) -> DataFrame:
     inside = hashed.where("NOT hashed").select(*_KEYS, "lo", "hi")
     sure = settled.select(*_KEYS, F.explode("sure").alias("x")).select(*_KEYS, "x.*")
     whole = outer.select(*_KEYS, (last - (_GROUP - 1)).alias("lo"), last.alias("hi"))
-    packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-    marks = sure.union(elsewhere).union(inside).union(whole).groupBy(*_KEYS).agg(F.collect_list(packed).alias("marks"))
-    out = settled.select(*_KEYS, "copies").join(marks, list(_KEYS), "left").where("copies > 1 OR marks IS NOT NULL")
-    result = written(_spans(out.select(*_KEYS, "copies", F.when(F.col("copies") < 2, F.col("marks")).alias("marks")), length), "spans")
-    discard(settled, wanted, groups, outer, left, wanted_one, hashed)
+    ranges = sure.union(elsewhere).union(inside).union(whole).select(*_KEYS, "lo", (F.col("hi") + length).alias("stop"), F.lit(False).alias("worded"))
+    tables = [settled, wanted, groups, outer, left, wanted_one, hashed]
+    if words is not None:
+        looks = settled.select("id", *_KEYS, F.explode("look").alias("x")).select("id", *_KEYS, F.struct("x.lo", "x.hi", F.lit(False).alias("open"), "x.p").alias("run"))
+        wanted_words, weigh_words = _gathered(looks, "to-read")
+        strings = written(passages(src, wanted_words, weigh_words, words), "passages")
+        twice_there = strings.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first < last").select("h1", "h2")
+        ranges = ranges.union(strings.join(twice_there, ["h1", "h2"], "left_semi").select(*_KEYS, "lo", "stop", F.lit(True)))
+        tables += [wanted_words, strings]
+    packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
+    marks = ranges.groupBy(*_KEYS).agg(F.collect_list(F.when(~F.col("worded"), packed)).alias("marks"), F.collect_list(F.when(F.col("worded"), packed)).alias("worded"))
+    long = (F.col("copies") > 1) & (F.col("n") >= length)
+    out = settled.select(*_KEYS, long.alias("whole"), ((F.col("copies") > 1) & (F.col("enough") | long)).alias("clean_whole")).join(marks, list(_KEYS), "left").where("clean_whole OR marks IS NOT NULL")
+    result = written(_spans(out), "spans")
+    discard(*tables)
     return result
 
 
@@ -400,65 +496,73 @@ def _gathered(runs: DataFrame, label: str) -> tuple[DataFrame, int]:
     return out, out.agg(F.sum(F.size("runs") * 16 + 96).alias("b")).first()["b"] or 0
 
 
-def _spans(marks: DataFrame, length: int) -> DataFrame:
-    """marks (starts lo..hi of repeated windows) merged into maximal byte ranges, packed as start and stop in one long."""
+def _merged(x: np.ndarray) -> np.ndarray:
+    """Byte ranges, packed as start and stop in one long, merged into maximal ones."""
+    x = np.sort(x)
+    if not len(x):
+        return x
+    lo, stop = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
+    new = np.flatnonzero(lo[1:] > stop[:-1]) + 1
+    return (lo[np.concatenate([[0], new])] << 32) | stop[np.concatenate([new - 1, [len(lo) - 1]])]
+
+
+def _spans(marks: DataFrame) -> DataFrame:
+    """marks (ranges of repeated windows) merged into maximal byte ranges (spans), and together with those of words (both); empty where the whole text goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _nested(whole, "marks")):
-            col = batch.column("marks")
-            off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())])
-            packed, none = col.flatten().to_numpy(zero_copy_only=False), col.is_null().to_numpy(zero_copy_only=False)
-            out = []
+        for batch in (part for whole in batches for part in _nested(whole, "marks", "worded")):
+            lists = []
+            for name in ("marks", "worded"):
+                col = batch.column(name)
+                off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())])
+                lists.append((off, col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
+            (off, packed), (w_off, worded) = lists
+            whole, clean_whole = (batch.column(c).to_pylist() for c in ("whole", "clean_whole"))
+            spans, both = [], []
             for i in range(len(batch)):
-                x = np.sort(packed[off[i] : off[i + 1]])
-                if none[i] or not len(x):
-                    out.append(None)
-                    continue
-                lo, stop = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF) + length
-                new = np.flatnonzero(lo[1:] > stop[:-1]) + 1
-                out.append((lo[np.concatenate([[0], new])] << 32) | stop[np.concatenate([new - 1, [len(lo) - 1]])])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_KEYS, "copies")), pa.array(out, pa.list_(pa.int64()))], names=[*_KEYS, "copies", "spans"])
-
-    return marks.select(*_KEYS, "copies", "marks").mapInArrow(tidy(run), "k1 long, k2 long, copies long, spans array<bigint>")
-
-
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", kept_col: str = "kept") -> DataFrame:
-    """The table with `spans_col`, the maximal removed byte ranges [start, stop), and `kept_col`, the remaining bytes."""
-    marks = repeated_starts(_source(df, id_col, text_col), length)
-    weigh = marks.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 8 + 64).alias("b")).first()["b"] or 0
-    keep = [c for c in df.columns if c not in (spans_col, kept_col)]
+                own, other = packed[off[i] : off[i + 1]], worded[w_off[i] : w_off[i + 1]]
+                spans.append(_merged(own[:0] if whole[i] else own))
+                both.append(own[:0] if clean_whole[i] else _merged(np.concatenate([own, other])) if len(other) else spans[-1])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_KEYS, "whole", "clean_whole")), pa.array(spans, kind), pa.array(both, kind)], names=[*_KEYS, "whole", "clean_whole", "spans", "both"])
+
+    return marks.select(*_KEYS, "whole", "clean_whole", "marks", "worded").mapInArrow(tidy(run), "k1 long, k2 long, whole boolean, clean_whole boolean, spans array<bigint>, both array<bigint>")
+
+
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed", kept_col: str = "kept", words: int | None = None, clean_col: str = "clean_text") -> DataFrame:
+    """The table with `spans_col`, the maximal removed byte ranges [start, stop), and `kept_col`, the remaining bytes.
+
+    With `words`, also `clean_col`: the text without these ranges and without the passages of `words` words that are repeated; a character that loses a byte goes whole.
+    """
+    marks = repeated_starts(_source(df, id_col, text_col), length, words)
+    weigh = marks.agg(F.sum((F.size("spans") + F.size("both")) * 8 + 64).alias("b")).first()["b"] or 0
+    keep = [c for c in df.columns if c not in (spans_col, kept_col, *([] if words is None else [clean_col]))]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Only struct fields, so that no column of the table can clash with ours.
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    rows = sized_join(rows, marks, list(_KEYS), "left", weigh).select("row", "text", "copies", "spans")
+    rows = sized_join(rows, marks, list(_KEYS), "left", weigh).select("row", "text", "whole", "clean_whole", "spans", "both")
+
+    def left(data: bytes, cut: list[tuple[int, int]]) -> bytes:
+        edges = [0, *[x for s in cut for x in s], len(data)]
+        return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                copies, ranges = part.column("copies").to_pylist(), part.column("spans").to_pylist()
-                spans, kept = [], []
+                whole, clean_whole, ranges, both = (part.column(c).to_pylist() for c in ("whole", "clean_whole", "spans", "both"))
+                spans, kept, clean = [], [], []
                 for i, text in enumerate(part.column("text")):
                     data = text.as_py().encode()
-                    if (copies[i] or 0) > 1:
-                        cut = [(0, len(data))]
-                    else:
-                        cut = [(x >> 32, x & 0xFFFFFFFF) for x in ranges[i] or []]
+                    cut, cut_both = ([(0, len(data))] if all_of else [(x >> 32, x & 0xFFFFFFFF) for x in some or []] for all_of, some in ((whole[i], ranges[i]), (clean_whole[i], both[i])))
                     spans.append([{"start": a, "stop": b} for a, b in cut])
-                    edges = [0, *[x for s in cut for x in s], len(data)]
-                    kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                    kept.append(left(data, cut))
+                    clean.append(text.as_py() if not cut_both else left(data, cut_both).decode("utf-8", "ignore"))
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
-
-    schema = T.StructType([rows.schema["row"], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    out = rows.mapInArrow(tidy(run), schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("spans").alias(spans_col), F.col("kept").alias(kept_col))
-
-
-def as_text(kept: str) -> Column:
-    """The bytes of a binary column as a string; what an incomplete character has left goes."""
-
-    @F.arrow_udf(T.StringType())
-    def text_of(column: pa.Array) -> pa.Array:
-        return pa.array((None if x is None else x.decode("utf-8", "ignore") for x in (y.as_py() for y in column)), pa.string())
-
-    return text_of(F.col(f"`{kept}`"))
+                out = [part.column("row"), pa.array(spans, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(clean, pa.string())][: len(fields)], names=[f.name for f in fields])
+
+    fields = [rows.schema["row"], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())]
+    fields += [] if words is None else [T.StructField("clean", T.StringType())]
+    out = rows.mapInArrow(tidy(run), T.StructType(fields))
+    extra = [] if words is None else [F.col("clean").alias(clean_col)]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("spans").alias(spans_col), F.col("kept").alias(kept_col), *extra)

@@ -83,6 +83,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def word_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words `[^\\x20\\x09-\\x0D]+` of one text."""
+    space = np.ones(len(data) + 2, dtype=bool)
+    space[1:-1] = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts: hash of each word and the first word of each text."""
 

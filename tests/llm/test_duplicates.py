@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.llm import awkward
 
 from corpusmill.llm import components, fingerprints, hot_keys, ngram_join, suffix_dedup
+from corpusmill.session import written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -206,6 +207,73 @@ def test_results_do_not_depend_on_the_dealing(spark, every_key_large):
     assert got == brute_components(copies)
 
 
+def brute_clean(texts, length, words):
+    """Texts without repeated strings of `length` bytes or of `words` words."""
+    data = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    windows = [[(x[0], y[1]) for x, y in zip(w, w[words - 1 :], strict=False)] for w in at]
+    seen = Counter(b[s:e] for b, w in zip(data, windows, strict=True) for s, e in w)
+    whole, out = Counter(texts), []
+    for t, b, w, (spans, _) in zip(texts, data, windows, brute_repeats(texts, length), strict=True):
+        gone = bytearray(len(b))
+        for s, e in [*spans, *((s, e) for s, e in w if seen[b[s:e]] > 1), *([(0, len(b))] if whole[t] > 1 and w else [])]:
+            gone[s:e] = b"\1" * (e - s)
+        out.append(bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def short_passages():
+    """Passages of over 50 words and under 400 bytes, in texts of their own and inside longer repeats, with odd neighbours."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshré") for _ in range(rng.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    short, long, tiny = [text(n) for n in (51, 55, 60)], text(160), " ".join(rng.choice("abc") for _ in range(52))
+    assert all(len(p.encode()) < 400 for p in (*short, tiny))
+    inner = " ".join(long.split(" ")[40:93])
+    texts = [f"{text(rng.randint(0, 90))} {p}{gap}{text(rng.randint(0, 90))}" for p in (*short, inner, tiny) for gap in ("\n", " ") for _ in range(2)]
+    texts += [f"{text(30)} {long} {text(20)}", f"{text(9)}\t{long}", f"{long} {text(50)}", f"{text(70)} {short[0]} {text(5)} {short[0]}", f"{text(40)} {text(51)}", f"{short[1]}x {text(60)}"]
+    return [*texts, text(60), text(49), tiny, short[2], texts[3], "a " * 300, "b " * 60 + "c", text(52)[:-1], " " * 500, None, "", "", long, "q" * 399]
+
+
+def clean_texts(spark, texts, words=50):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix_dedup.remove_repeats(df, words=words).collect()
+    assert {r.doc_id: ([(s.start, s.stop) for s in r.removed], bytes(r.kept)) for r in rows} == dict(enumerate(brute_repeats(texts, 400)))
+    return {r.doc_id: r.clean_text for r in rows}
+
+
+def test_repeated_passages_of_fifty_words(spark):
+    """Passages of over 50 words stayed where they had less than 400 bytes."""
+    texts = short_passages()
+    want = brute_clean(texts, 400, 50)
+    assert sum(w != b.decode("utf-8", "ignore") for w, (_, b) in zip(want, brute_repeats(texts, 400), strict=True)) > 20
+    assert clean_texts(spark, texts) == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("words", [1, 7, 90])
+def test_repeated_passages_of_other_lengths(spark, words):
+    texts = [*short_passages(), *repeat_texts()]
+    assert clean_texts(spark, texts, words) == dict(enumerate(brute_clean(texts, 400, words)))
+
+
+def test_repeated_passages_do_not_depend_on_the_dealing(spark, every_key_large):
+    texts = short_passages()
+    assert clean_texts(spark, texts) == dict(enumerate(brute_clean(texts, 400, 50)))
+
+
+def test_ranks_are_joined_in_one_form(spark, monkeypatch):
+    """A position has one row at most after the ranks' join, and the join has the same keys whether or not a pair is large."""
+    pairs = spark.createDataFrame([(k, k, j, 0, 1, j % 3, j % 2) for k in range(9) for j in range(12)], "k1 long, k2 long, j int, b int, e int, r1 long, r2 long")
+    forms = set()
+    for least in (3, 10**6):
+        for name, value in (("SAMPLE", 1), ("LARGE", least), ("BLOCK_ROWS", 2)):
+            monkeypatch.setattr(hot_keys, name, value)
+        monkeypatch.setattr(suffix_dedup, "written", lambda df, label: (forms.add(df._jdf.queryExecution().optimizedPlan().toString().count("deal#") > 0), written(df, label))[1])
+        out = suffix_dedup.rerank(pairs, ["r1", "r2"], "ranks")
+        assert out.count() == pairs.count() == out.select("k1", "k2", "j").distinct().count()
+    assert forms == {True}
+
+
 def test_next_document_and_likeness(spark):
     df = awkward.frame(spark)
     rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))

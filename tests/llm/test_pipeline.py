@@ -95,3 +95,14 @@ def test_run_equals_brute_force(spark, tmp_path):
     coder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     want = [(i, s, len(ids := coder.encode_ordinary(t)), ids, hashlib.sha256(t.encode()).hexdigest()) for i, s, t in brute_mix([r for r in cut if r[2]])]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_repeated_passages_of_fifty_words_go(spark):
+    """A passage of over 50 words and under 400 bytes in two documents stayed in both."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**4)}" for _ in range(n))
+    passage, around = text(55), [text(60) for _ in range(5)]
+    assert len(passage) < 400
+    docs = frame(spark, [(0, f"{around[0]} {passage} {around[1]}"), (1, f"{around[2]}\n{passage}"), (2, around[3]), (3, passage[:200] + around[4]), (4, None)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got == {0: f"{around[0]}  {around[1]}", 1: f"{around[2]}\n", 2: around[3], 3: passage[:200] + around[4]}
