@@ -20,7 +20,8 @@ chooses, and positions between are settled from it exactly:
    Windows with one anchor always take part; those without any (periodic or odd text) are compared one by one.
 5. If asked for, passages of `words` words go as well, however few bytes they have: each string from the first byte of a word to the last byte of the
    word `words` - 1 further that also stands anywhere else, between white space or ends of texts. It has no phrase (with the bytes that name it) without a
-   rank, so only stretches between two such phrases are looked at, and of those within a run over the threshold only the representatives.
+   rank, so only stretches between two such phrases are looked at. What lies in a run with a rank is repeated; all else is compared by two 64-bit hashes,
+   with those strings of runs' representatives whose phrases stand at three places or more, as one outside of runs is a third.
 
 Equal whole texts are one text throughout (with its number of copies), so the largest groups of
 copies cost one copy. Ranks met by very many positions pass through aggregations with partial results and joins
@@ -108,27 +109,27 @@ def phrases(src: DataFrame, length: int, words: int | None = None) -> DataFrame:
 
 
 def rerank(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    """Rows whose `by` values occur at two positions or more, with their common rank r: the least position; written.
+    """Rows whose `by` values occur at two positions or more, with their common rank r: the least position; many: at three or more; written.
 
     Values met in very many texts are dealt by position, so that no task gets all rows of a common passage.
     """
     pos = F.xxhash64(*_KEYS, "j")
-    named = rows.groupBy(*by).agg(F.min(pos).alias("r"), F.max(pos).alias("last")).where("r < last").drop("last")
+    named = rows.groupBy(*by).agg(F.min(pos).alias("r"), F.max(pos).alias("last"), (F.count("*") > 2).alias("many")).where("r < last").drop("last")
     large = sampled(rows, by, F.col("k1"))
-    out = written(dealt_join(rows, named, by, "inner", large, pos, alike=True).select(*_KEYS, "j", "b", "e", "r"), label)
+    out = written(dealt_join(rows, named, by, "inner", large, pos, alike=True).select(*_KEYS, "j", "b", "e", "r", "many"), label)
     discard(large)
     return out
 
 
 def double(texts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Ranks of all levels: k1, k2, level, j, r, and rep (the position is the one its rank is named by); and the tables behind them."""
+    """Ranks of all levels: k1, k2, level, j, r, many, and rep (the position is the one its rank is named by); and the tables behind them."""
     zipped = F.posexplode(F.arrays_zip("starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array("n")).alias("ends"), "names"))
     start = texts.select(*_KEYS, zipped.alias("j", "z")).select(*_KEYS, "j", F.col("z.starts").alias("b"), F.col("z.ends").alias("e"), F.col("z.names").alias("name"))
     level, out, tables = 0, None, []
     ranked = rerank(start, ["name"], "ranks-0")
     while True:
         tables.append(ranked)
-        here = ranked.select(*_KEYS, F.lit(level).alias("level"), "j", "r", (F.col("r") == F.xxhash64(*_KEYS, "j")).alias("rep"))
+        here = ranked.select(*_KEYS, F.lit(level).alias("level"), "j", "r", (F.col("r") == F.xxhash64(*_KEYS, "j")).alias("rep"), "many")
         out = here if out is None else out.union(here)
         whole, ahead = Window.partitionBy(*_KEYS), Window.partitionBy(*_KEYS).orderBy("j").rangeBetween(1 << level, 1 << level)
         # Texts all of whose runs are past the threshold are done.
@@ -183,29 +184,32 @@ def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray,
     return lo[sure], hi[sure], lo[compare], hi[compare], ~sure[compare], key[compare], first_anchor[compare]
 
 
-#: Kinds of byte ranges that a search of passages gets: to look at, or a run over the threshold that is (not) a representative.
-_LOOK, _COPY, _REP = 0, 1, 2
+#: Kinds of byte ranges that a search of passages gets: stretches without a phrase that stands once (twice at most), and runs with a rank that are (not) its representative.
+_LOOK, _COMMON, _COPY, _REP = range(4)
 
 
-def _stretches(n: int, first: int, starts: np.ndarray, before: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int, words: int):
-    """Byte ranges of one text (lo, hi, kind): those where passages can be repeated, and the runs over the threshold."""
+def _stretches(n: int, first: int, starts: np.ndarray, before: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], many: np.ndarray, words: int):
+    """Byte ranges of one text (lo, hi, kind) that can hold `words` words. many: of the positions of level 0."""
     ends = np.append(starts, n)
-    alone = np.ones(len(starts), bool)
-    if levels:
-        alone[levels[0][0]] = False
+    inner = np.ones(len(starts), bool)
     # The first phrase may start, and the last one ends, where other texts have no anchor.
-    alone[:first], alone[-1] = False, False
-    at = np.flatnonzero(alone)
-    lo = np.concatenate([[0], ends[at] + 1])
-    hi = np.concatenate([np.minimum(ends[at + 1] + _CONTEXT - 1, n), [n]])
-    # A word starts at most at every other byte of the context.
-    most = np.concatenate([before[at + 1] + _CONTEXT // 2, [before[-1]]]) - np.concatenate([[0], before[at]])
-    out = [np.stack([lo, hi, np.full(len(lo), _LOOK)])[:, most >= words]]
+    inner[:first], inner[-1] = False, False
+    out = []
+    for kind in (_LOOK, _COMMON):
+        rare = inner.copy()
+        if levels:
+            rare[levels[0][0] if kind == _LOOK else levels[0][0][many.astype(bool)]] = False
+        at = np.flatnonzero(rare)
+        lo = np.concatenate([[0], ends[at] + 1])
+        hi = np.concatenate([np.minimum(ends[at + 1] + _CONTEXT - 1, n), [n]])
+        # A word starts at most at every other byte of the context.
+        most = np.concatenate([before[at + 1] + _CONTEXT // 2, [before[-1]]]) - np.concatenate([[0], before[at]])
+        out.append(np.stack([lo, hi, np.full(len(lo), kind)])[:, most >= words])
     if not out[0].shape[1]:
         return out[0]
-    found = [(ends[j], ends[j + (1 << k)], rep) for k, (j, _, rep) in enumerate(levels)]
     for kind in (_COPY, _REP):
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i][(x[1] - x[0] >= length) & (x[2] == (kind == _REP))] for x in found)]) for i in (0, 1))
+        found = [(ends[j], ends[j + (1 << k)], (rep == (kind == _REP)) & (before[j + (1 << k)] - before[j] >= words)) for k, (j, _, rep) in enumerate(levels)]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i][x[2]] for x in found)]) for i in (0, 1))
         # Of runs that lie in another one, the other suffices.
         order = np.lexsort((-b, a))
         a, b = a[order], b[order]
@@ -228,7 +232,7 @@ def _nested(batch: pa.RecordBatch, *cols: str) -> Iterator[pa.RecordBatch]:
 
 def settle(texts: DataFrame, ranks: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """Per text: intervals of window starts surely repeated (sure), and runs of starts to compare (runs); byte ranges for passages of `words` words (look) and whether there are so many (enough)."""
-    per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.struct("level", "j", "r", "rep")).alias("ranks"))
+    per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.struct("level", "j", "r", "rep", "many")).alias("ranks"))
     rows = texts.select("id", "copies", *_KEYS, "n", "first", "starts", "before").join(per_text, list(_KEYS), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +244,7 @@ def settle(texts: DataFrame, ranks: DataFrame, length: int, words: int | None =
             s_off = s_off - s_off[0]
             r_off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ranks_col), 0).to_numpy())])
             entries = ranks_col.flatten()
-            level, j, r, rep = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("level", "j", "r", "rep"))
+            level, j, r, rep, many = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("level", "j", "r", "rep", "many"))
             ns, firsts = batch.column("n").to_numpy(), batch.column("first").to_numpy()
             sure, runs, look = [], [], []
             enough = np.zeros(len(batch), bool)
@@ -256,7 +260,7 @@ def settle(texts: DataFrame, ranks: DataFrame, length: int, words: int | None =
                 runs.append(got[2:])
                 before = w_val[w_off[i] : w_off[i + 1]]
                 enough[i] = words is not None and before[-1] >= words
-                look.append(_stretches(int(ns[i]), int(firsts[i]), s_val[s_off[i] : s_off[i + 1]], before, levels, length, words) if enough[i] else np.zeros((3, 0), np.int64))
+                look.append(_stretches(int(ns[i]), int(firsts[i]), s_val[s_off[i] : s_off[i + 1]], before, levels, many[at][order][: len(levels[0][0])] if levels else many[:0], words) if enough[i] else np.zeros((3, 0), np.int64))
 
             def lists(parts: list, kinds: list, names: list[str]) -> pa.Array:
                 off = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in parts])]).astype(np.int32))
@@ -403,7 +407,7 @@ def single(src: DataFrame, wanted: DataFrame, wanted_bytes: int, length: int) ->
 
 
 def passages(src: DataFrame, wanted: DataFrame, wanted_bytes: int, words: int) -> DataFrame:
-    """Hashes of the strings of `words` words in the stretches to look at: lo, stop, h1, h2."""
+    """Strings of `words` words in the stretches to look at: lo, stop, h1, h2; without hashes (hashed = false) ranges of such as are surely repeated."""
     roller = Roller()
 
     def of(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray):
@@ -412,17 +416,27 @@ def passages(src: DataFrame, wanted: DataFrame, wanted_bytes: int, words: int) -
         count = np.maximum(np.searchsorted(end, hi[kind == _LOOK], "right") - words + 1 - i, 0)
         at = np.unique(np.repeat(i, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
         start, stop = first[at], end[at + words - 1]
-        within = {}
-        for of_kind in (_COPY, _REP):
+
+        def within(of_kind: int, more: int) -> np.ndarray:
+            """Strings in a range of a kind, with `more` bytes on both sides: in a run, the white space that makes their words whole."""
             a, b = lo[kind == of_kind], hi[kind == of_kind]
-            reach = np.concatenate([[0], np.maximum.accumulate(b)])
-            within[of_kind] = stop <= reach[np.searchsorted(a, start, "right")]
-        # What lies in a run stands in that run's representative too, and goes with the run.
-        there = ~within[_COPY] | within[_REP]
-        h1, h2 = roller.strings(data, start[there], stop[there])
-        return start[there].astype(np.int32), stop[there].astype(np.int32), h1.view(np.int64), h2.view(np.int64)
+            reach = np.concatenate([[-1], np.maximum.accumulate(b)])
+            return stop + more <= reach[np.searchsorted(a, start - more, "right")]
+
+        in_rep = within(_REP, 1)
+        sure = in_rep | within(_COPY, 1)
+        # What lies in a run is repeated. Where it can equal a string outside of runs, which is then its third place, its run's representative answers.
+        ask = ~sure | in_rep & within(_COMMON, 0)
+        h1, h2 = roller.strings(data, start[ask], stop[ask])
+        # Neighbours overlap, but for single words.
+        s, e = _intervals(at[sure]) if words > 1 else (at[sure], at[sure])
+        none = np.zeros(len(s), np.int64)
+        return (
+            np.concatenate([start[ask], first[s]]).astype(np.int32), np.concatenate([stop[ask], end[e + words - 1]]).astype(np.int32),
+            np.concatenate([h1.view(np.int64), none]), np.concatenate([h2.view(np.int64), none]), np.concatenate([np.ones(len(h1), bool), none.astype(bool)]),
+        )
 
-    return _per_text(src, wanted, wanted_bytes, ["lo", "hi", "p"], "lo int, stop int, h1 long, h2 long", of)
+    return _per_text(src, wanted, wanted_bytes, ["lo", "hi", "p"], "lo int, stop int, h1 long, h2 long, hashed boolean", of)
 
 
 def _intervals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -476,8 +490,10 @@ def repeated_starts(src: DataFrame, length: int, words: int | None = None) -> Da
         looks = settled.select("id", *_KEYS, F.explode("look").alias("x")).select("id", *_KEYS, F.struct("x.lo", "x.hi", F.lit(False).alias("open"), "x.p").alias("run"))
         wanted_words, weigh_words = _gathered(looks, "to-read")
         strings = written(passages(src, wanted_words, weigh_words, words), "passages")
-        twice_there = strings.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first < last").select("h1", "h2")
-        ranges = ranges.union(strings.join(twice_there, ["h1", "h2"], "left_semi").select(*_KEYS, "lo", "stop", F.lit(True)))
+        ranges = ranges.union(strings.where("NOT hashed").select(*_KEYS, "lo", "stop", F.lit(True)))
+        strings_of = strings.where("hashed")
+        twice_there = strings_of.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first < last").select("h1", "h2")
+        ranges = ranges.union(strings_of.join(twice_there, ["h1", "h2"], "left_semi").select(*_KEYS, "lo", "stop", F.lit(True)))
         tables += [wanted_words, strings]
     packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
     marks = ranges.groupBy(*_KEYS).agg(F.collect_list(F.when(~F.col("worded"), packed)).alias("marks"), F.collect_list(F.when(F.col("worded"), packed)).alias("worded"))
