@@ -68,11 +68,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, words=50)
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     digest = ((F.octet_length("kept") + lost).cast("long").alias("n_bytes"), lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    # Beyond the digests: bytes kept, and the text that is left (a character that loses a byte goes whole).
-    return out.select("doc_id", *digest, F.octet_length("kept").cast("long").alias("n_kept"), F.when(lost > 0, suffix_dedup.as_text("kept")).otherwise(F.coalesce("text", F.lit(""))).alias("kept_text"))
+    # Beyond the digests: bytes kept, and the text that is left once repeated passages of 50 words go too, which may have less than 400 bytes (a character that loses a byte goes whole).
+    return out.select("doc_id", *digest, F.octet_length("kept").cast("long").alias("n_kept"), "clean_text", F.octet_length("clean_text").cast("long").alias("n_clean"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from tests.llm import awkward
-from tests.llm.test_duplicates import brute_components, brute_repeats, near_rows, repeat_texts
+from tests.llm.test_duplicates import brute_clean, brute_components, brute_repeats, near_rows, repeat_texts
 from tokenizers import Tokenizer
 
 from corpusmill.llm import fingerprints, queries, quality_classifier, textbatch, url_filter
@@ -210,6 +210,13 @@ def test_op8(spark, sf, docs):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256, got[i].n_kept) == (n, n - len(kept), len(spans), sha(kept), len(kept))
 
 
+def test_op8_passages_of_fifty_words(spark, sf, docs):
+    """The text that is left has no repeated passage of 50 words, those under 400 bytes included."""
+    got = run(spark, sf, "op8_suffix_dedup")
+    for i, clean in zip(docs, brute_clean(list(docs.values()), 400, 50), strict=True):
+        assert (got[i].clean_text, got[i].n_clean) == (clean, len(clean.encode()))
+
+
 def test_op9_and_op10(spark, sf, docs):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     tok.no_truncation()
