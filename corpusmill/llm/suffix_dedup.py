@@ -1,18 +1,17 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling.
+"""Exact removal of repeated byte strings by ranks of the prefixes of suffixes.
 
 Every byte covered by a string of `length` bytes that also starts anywhere else (in another
 document or at another place of the same one) goes. Naming every byte position would sort the corpus
-many times over, so the doubling runs on a sample of positions that the text itself
+many times over, so ranks are made for a sample of positions that the text itself
 chooses, and positions between are settled from it exactly:
 
 1. An anchor is a position whose next 16 bytes hash under a bound (one in GAP). Equal strings have equal
    anchors. Anchors (and the ends of the text) cut a text into phrases, named by their bytes and the 16 that follow.
-2. Prefix doubling: position j has the rank of its first 2^k phrases. Spark brings equal pairs
-   (rank of j, rank of j + 2^k) together, gives each repeated pair one new rank (the
-   least position that has it) and drops positions whose pair is unique; the offset
-   doubles until all ranks are unique or stand for strings past the threshold.
+2. Ranks in two rounds: first of phrases, then of runs of phrases that stand twice each, just long enough to hold a window.
+   Spark brings equal names together, gives each repeated one a rank (the least position that has it) and drops
+   positions whose name is unique. A run is named by 128 bits of hash of its phrases' names.
 3. A window of `length` bytes inside a run with a rank over the threshold is repeated. A window
-   whose inner anchors span a run without a rank is unique. What remains are windows near the
+   whose inner anchors span a phrase without a rank is unique. What remains are windows near the
    ends of repeated stretches. Those, and one representative of each rank that could equal them, are settled eight
    at a time: windows that start at most seven bytes before a place aligned to their first anchor share an
    inner string (unique: so are all eight) and lie in an outer one (repeated: so are all eight).
@@ -41,13 +40,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.hot_keys import dealt_join, sampled
-from corpusmill.llm.textbatch import buffers, mix, steps, tidy, word_ends
+from corpusmill.llm.textbatch import buffers, mix, steps, tidy, word_ends, word_starts
 from corpusmill.session import discard, sized_join, written
 
 #: Mean distance of anchors.
@@ -80,28 +79,36 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def phrases(src: DataFrame, length: int, words: int | None = None) -> DataFrame:
-    """Per row of a long enough text: n, index of the first true anchor, phrase starts, phrase names; before: words that start before each phrase and in all (empty without `words`)."""
+    """Per row of a long enough text: n, index of the first true anchor, phrase starts, phrase names; before: words that start up to each phrase's first byte and in all (empty without `words`)."""
     least = length if words is None else min(length, 2 * words - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, off = buffers(part.column("text"))
-                starts, names, first, before = [], [], [], []
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    data = raw[a:b]
-                    at = anchors(data)
-                    true = 0 if len(at) and at[0] == 0 else 1
-                    at = np.concatenate([np.zeros(true, np.int64), at])
-                    body = data.tobytes()
-                    ends = [*at[1:].tolist(), b - a]
-                    names.append(np.fromiter((xxhash.xxh3_64_intdigest(body[s : e + _CONTEXT]) for s, e in zip(at.tolist(), ends, strict=True)), np.uint64, len(at)))
-                    starts.append(at)
-                    first.append(true)
-                    before.append(np.searchsorted(word_ends(data)[0], [*at.tolist(), b - a]) if words else at[:0])
-                cut, cut_w = (pa.array(np.concatenate([[0], np.cumsum([len(x) for x in y])]).astype(np.int32)) for y in (starts, before))
+                at = anchors(raw)
+                of = np.searchsorted(off, at, "right") - 1
+                inside = at + _CONTEXT <= off[of + 1]
+                at, of = at[inside], of[inside]
+                first = np.ones(len(part), np.int32)
+                first[of[at == off[of]]] = 0
+                starts = np.sort(np.concatenate([off[:-1][first == 1], at]))
+                of = np.searchsorted(off, starts, "right") - 1
+                ends = np.minimum(np.append(starts[1:], off[-1]) + _CONTEXT, off[of + 1])
+                body = raw.tobytes()
+                names = np.fromiter((xxhash.xxh3_64_intdigest(body[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+                cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part)))])
+                cut_w, before = np.zeros(len(cut), np.int64), np.zeros(0, np.int32)
+                if words:
+                    first_byte = word_starts(raw, off)
+                    base = np.searchsorted(first_byte, off)
+                    before = np.empty(len(starts) + len(part), np.int32)
+                    before[np.arange(len(starts)) + of] = np.searchsorted(first_byte, starts, "right") - base[of]
+                    before[cut[1:] + np.arange(len(part))] = np.diff(base)
+                    cut_w = cut + np.arange(len(cut))
+                cut, cut_w = (pa.array(x.astype(np.int32)) for x in (cut, cut_w))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("id", *_KEYS)), pa.array(np.diff(off).astype(np.int32)), pa.array(first, pa.int32()), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(starts).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(names).view(np.int64))), pa.ListArray.from_arrays(cut_w, pa.array(np.concatenate(before).astype(np.int32)))],
+                    [*(part.column(c) for c in ("id", *_KEYS)), pa.array(np.diff(off).astype(np.int32)), pa.array(first), pa.ListArray.from_arrays(cut, pa.array((starts - off[of]).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(names.view(np.int64))), pa.ListArray.from_arrays(cut_w, pa.array(before))],
                     names=["id", *_KEYS, "n", "first", "starts", "names", "before"],
                 )
 
@@ -116,107 +123,189 @@ def rerank(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     pos = F.xxhash64(*_KEYS, "j")
     named = rows.groupBy(*by).agg(F.min(pos).alias("r"), F.max(pos).alias("last"), (F.count("*") > 2).alias("many")).where("r < last").drop("last")
     large = sampled(rows, by, F.col("k1"))
-    out = written(dealt_join(rows, named, by, "inner", large, pos, alike=True).select(*_KEYS, "j", "b", "e", "r", "many"), label)
+    out = written(dealt_join(rows, named, by, "inner", large, pos, alike=True).select(*_KEYS, "j", "e", "r", "many"), label)
     discard(large)
     return out
 
 
-def double(texts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Ranks of all levels: k1, k2, level, j, r, many, and rep (the position is the one its rank is named by); and the tables behind them."""
-    zipped = F.posexplode(F.arrays_zip("starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array("n")).alias("ends"), "names"))
-    start = texts.select(*_KEYS, zipped.alias("j", "z")).select(*_KEYS, "j", F.col("z.starts").alias("b"), F.col("z.ends").alias("e"), F.col("z.names").alias("name"))
-    level, out, tables = 0, None, []
-    ranked = rerank(start, ["name"], "ranks-0")
-    while True:
-        tables.append(ranked)
-        here = ranked.select(*_KEYS, F.lit(level).alias("level"), "j", "r", (F.col("r") == F.xxhash64(*_KEYS, "j")).alias("rep"), "many")
-        out = here if out is None else out.union(here)
-        whole, ahead = Window.partitionBy(*_KEYS), Window.partitionBy(*_KEYS).orderBy("j").rangeBetween(1 << level, 1 << level)
-        # Texts all of whose runs are past the threshold are done.
-        pairs = ranked.select(*_KEYS, "j", "b", F.max("e").over(ahead).alias("e"), "r", F.max("r").over(ahead).alias("r2"), F.min(F.col("e") - F.col("b")).over(whole).alias("least"))
-        pairs = pairs.where((F.col("least") < length) & F.col("r2").isNotNull()).drop("least")
-        level += 1
-        ranked = rerank(pairs.withColumnRenamed("r", "r1"), ["r1", "r2"], f"ranks-{level}")
-        if ranked.limit(1).count() == 0:
-            return out, [*tables, ranked]
-
-
-def _runs(n: int, first: int, starts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int):
-    """Window starts of one text, in runs with the same anchors: (certain intervals, runs to compare).
-
-    levels: per level the j, r and rep of its ranked positions.
+class Phrases:
+    """The phrases of a batch's texts in one sequence, in which each text ends with an entry for its end.
+
+    at: place in the batch's bytes, where texts lie apart; of: the text; word: words of the batch that start up to there.
+    """
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        starts, before = batch.column("starts"), batch.column("before")
+        self.n = batch.column("n").to_numpy().astype(np.int64)
+        count = pc.list_value_length(starts).to_numpy().astype(np.int64)
+        self.texts = np.arange(len(batch))
+        self.head = np.concatenate([[0], np.cumsum(count + 1)])
+        self.base = np.concatenate([[0], np.cumsum(self.n + 1)])
+        self.of = np.repeat(self.texts, count + 1)
+        self.end = self.head[1:] - 1
+        self.inner = np.ones(len(self.of), bool)
+        self.inner[self.end] = False
+        self.place = np.empty(len(self.of), np.int64)
+        self.place[self.inner] = starts.flatten().to_numpy()
+        self.place[self.end] = self.n
+        self.at = self.place + self.base[self.of]
+        self.first = batch.column("first").to_numpy().astype(np.int64)
+        self.before = before.flatten().to_numpy().astype(np.int64)
+        self.words = self.before[self.end] if len(self.before) else np.zeros(len(batch), np.int64)
+        if len(self.before):
+            self.word = self.before + np.concatenate([[0], np.cumsum(self.words + 1)])[self.of]
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the phrases, and 0 at ends of texts."""
+        out = np.zeros(len(self.of), values.dtype)
+        out[self.inner] = values
+        return out
+
+
+def _list_of(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def marked(texts: DataFrame, ranks: DataFrame, length: int, words: int | None) -> DataFrame:
+    """Per text: times (0: the phrase stands once; 2: at three places or more), names (0 where it stands once), and runs of phrases j..e-1 that stand twice each, with two hashes of their names.
+
+    From every phrase start the runs that hold its windows: those from `length` bytes up to where every window that starts in the phrase lies inside, and the one that holds
+    every string of `words` words that starts in it. Both follow from the run's own bytes, so equal runs are taken everywhere. Each phrase ends two runs' ranges on average.
+    """
+    per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.shiftleft(F.col("j").cast("long"), 1).bitwiseOR(F.col("many").cast("long"))).alias("ranks"))
+    rows = texts.join(per_text, list(_KEYS), "left")
+    roller = Roller()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _nested(whole, "starts", "ranks")):
+            if not len(batch):
+                continue
+            seq, ranked = Phrases(batch), batch.column("ranks")
+            entries = ranked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(seq.texts, pc.fill_null(pc.list_value_length(ranked), 0).to_numpy())
+            times = np.zeros(len(seq.of), np.int8)
+            times[seq.head[of] + (entries >> 1)] = 1 + (entries & 1)
+            names = np.where(times > 0, seq.spread(batch.column("names").flatten().to_numpy().view(np.uint64)), np.uint64(0))
+            rare, j = np.flatnonzero(times == 0), np.flatnonzero(times)
+            most = rare[np.searchsorted(rare, j)]
+            near = np.searchsorted(seq.at, seq.at[j] + length)
+            far = np.searchsorted(seq.at, seq.at[j + 1] - 1 + length)
+            count = np.maximum(np.minimum(far, most) - near + 1, 0)
+            b = np.repeat(j, count)
+            e = np.repeat(near, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            if words is not None:
+                ends = np.searchsorted(seq.word, seq.word[j + 1] + words)
+                own = (ends <= most) & ((ends < near) | (ends > far))
+                b, e = np.concatenate([b, j[own]]), np.concatenate([e, ends[own]])
+                order = np.argsort(b, kind="stable")
+                b, e = b[order], e[order]
+            h1, h2 = roller.runs(names, b, e)
+            head = seq.head[seq.of[b]]
+            counts, inner = np.bincount(seq.of[b], minlength=len(batch)), np.diff(seq.head) - 1
+            lists = [_list_of(inner, pa.array(times[seq.inner])), _list_of(inner, pa.array(names[seq.inner].view(np.int64))), *(_list_of(counts, pa.array(x)) for x in ((b - head).astype(np.int32), (e - head).astype(np.int32), h1.view(np.int64), h2.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *lists], names=[*kept, "times", "names", "j", "e", "h1", "h2"])
+
+    kept = ["id", "copies", *_KEYS, "n", "first", "starts", "before"]
+    return rows.select(*kept, "names", "ranks").mapInArrow(tidy(run), "id long, copies long, k1 long, k2 long, n int, first int, starts array<int>, before array<int>, times array<tinyint>, names array<bigint>, j array<int>, e array<int>, h1 array<bigint>, h2 array<bigint>")
+
+
+def ranked_runs(texts: DataFrame, length: int, words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """`marked` texts, and the repeated ones of their runs with their ranks; both written."""
+    start = texts.select(*_KEYS, F.posexplode("names").alias("j", "name")).withColumn("e", F.col("j") + 1)
+    single_ranks = rerank(start, ["name"], "ranks")
+    found = written(marked(texts, single_ranks, length, words), "marked")
+    runs = found.select(*_KEYS, F.explode(F.arrays_zip("j", "e", "h1", "h2")).alias("x")).select(*_KEYS, "x.*")
+    ranks = rerank(runs, ["h1", "h2"], "run-ranks")
+    discard(single_ranks)
+    return found, ranks
+
+
+def _runs(seq: Phrases, times: np.ndarray, hashed, long: tuple[np.ndarray, np.ndarray, np.ndarray], length: int):
+    """Window starts of a batch's texts, in intervals with the same anchors: (sure: text, lo, hi), (to compare: text, lo, hi, open, key, first anchor).
+
+    long: phrases j, e and rep of the repeated runs. hashed: names the phrases from j to e.
     """
-    m = len(starts)
-    ends = np.append(starts, n)
-    true = starts[first:]
-    last = n - length
-    if last < 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(bool), none.astype(np.uint64), none
-    cuts = np.concatenate([[0], true, true + 1, true - (length - _CONTEXT), ends - (length - 1)])
-    lo = np.unique(cuts[(cuts >= 0) & (cuts <= last)])
-    hi = np.append(lo[1:] - 1, last)
-    i1 = np.searchsorted(true, lo, "left") + first
-    i2 = np.searchsorted(true, lo + (length - _CONTEXT), "right") - 1 + first
-    n_phr = i2 - i1
-    certain, rep = np.zeros(len(lo) + 1, np.int64), np.zeros(len(lo) + 1, np.int64)
+    last = seq.n - length
+    true = np.flatnonzero(seq.inner & (np.arange(len(seq.of)) - seq.head[seq.of] >= seq.first[seq.of]))
+    anchor, of = seq.at[true], seq.of[true]
+    fits = np.flatnonzero(last >= 0)
+    cuts = [seq.base[fits]]
+    for place, t in ((anchor, of), (anchor + 1, of), (anchor - (length - _CONTEXT), of), (seq.at - (length - 1), seq.of)):
+        own = place - seq.base[t]
+        cuts.append(place[(own >= 0) & (own <= last[t])])
+    lo = np.unique(np.concatenate(cuts))
+    t = np.searchsorted(seq.base, lo, "right") - 1
+    hi = np.minimum(np.append(lo[1:] - 1, np.iinfo(np.int64).max), seq.base[t] + last[t])
+    i1 = np.searchsorted(anchor, lo)
+    n_phr = np.searchsorted(anchor, lo + (length - _CONTEXT), "right") - 1 - i1
+    some = n_phr >= 1
+    q = np.concatenate([true, [0]])[i1]
+    known = np.concatenate([[0], np.cumsum(times > 0)])
+    ahead = np.where(some, q + n_phr, q)
+    ranked = some & (known[ahead] - known[q] == n_phr)
     key = np.zeros(len(lo), np.uint64)
-    possible = n_phr < 1
-    level_of = np.where(n_phr >= 1, np.log2(np.maximum(n_phr, 1)).astype(np.int64), -1)
-    for k, (j, r, is_rep) in enumerate(levels):
-        width = 1 << k
-        rank, have = np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
-        rank[j], have[j] = r, True
-        a, b = ends[j], ends[j + width]
-        long = b - a >= length
-        for mark, pick in ((certain, long), (rep, long & is_rep)):
-            np.add.at(mark, np.searchsorted(lo, a[pick]), 1)
-            np.add.at(mark, np.searchsorted(lo, b[pick] - length, "right"), -1)
-        at = np.flatnonzero(level_of == k)
-        x, y = i1[at], i2[at] - width
-        both = have[x] & have[y]
-        at, x, y = at[both], x[both], y[both]
-        possible[at] = True
-        key[at] = mix(mix(rank[x].view(np.uint64) + n_phr[at].astype(np.uint64)) ^ rank[y].view(np.uint64)) | np.uint64(1)
-    sure, by_rep = np.cumsum(certain[:-1]) > 0, np.cumsum(rep[:-1]) > 0
-    compare = possible & (~sure | by_rep)
-    first_anchor = np.where(n_phr >= 0, ends[np.minimum(i1, m)], -1)
-    return lo[sure], hi[sure], lo[compare], hi[compare], ~sure[compare], key[compare], first_anchor[compare]
+    key[ranked] = hashed(q[ranked], ahead[ranked])[0] | np.uint64(1)
+    j, e, is_rep = long
+    a, b = seq.at[j], seq.at[e]
+    wide = b - a >= length
+    cover = []
+    for pick in (wide, wide & is_rep):
+        x, y = np.searchsorted(lo, a[pick]), np.searchsorted(lo, b[pick] - length, "right")
+        cover.append(np.cumsum(np.bincount(x, minlength=len(lo) + 1) - np.bincount(y, minlength=len(lo) + 1))[:-1] > 0)
+    sure, by_rep = cover
+    compare = (ranked | ~some) & (~sure | by_rep)
+    p = np.where(n_phr >= 0, seq.place[q], -1)
+    # Neighbouring sure intervals are one.
+    s = np.flatnonzero(sure)
+    new = np.ones(len(s), bool)
+    new[1:] = (lo[s[1:]] != hi[s[:-1]] + 1) | (t[s[1:]] != t[s[:-1]])
+    heads, tails = s[new], s[np.append(new[1:], True)] if len(s) else s
+    base = seq.base[t]
+    return (t[heads], (lo - base)[heads], (hi - base)[tails]), (t[compare], (lo - base)[compare], (hi - base)[compare], ~sure[compare], key[compare], p[compare])
 
 
 #: Kinds of byte ranges that a search of passages gets: stretches without a phrase that stands once (twice at most), and runs with a rank that are (not) its representative.
 _LOOK, _COMMON, _COPY, _REP = range(4)
 
 
-def _stretches(n: int, first: int, starts: np.ndarray, before: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], many: np.ndarray, words: int):
-    """Byte ranges of one text (lo, hi, kind) that can hold `words` words. many: of the positions of level 0."""
-    ends = np.append(starts, n)
-    inner = np.ones(len(starts), bool)
+def _stretches(seq: Phrases, times: np.ndarray, long: tuple[np.ndarray, np.ndarray, np.ndarray], words: int):
+    """Byte ranges of a batch's texts (text, lo, hi, kind) that can hold `words` words."""
+    enough = seq.words >= words
     # The first phrase may start, and the last one ends, where other texts have no anchor.
-    inner[:first], inner[-1] = False, False
-    out = []
+    inner = seq.inner & (np.arange(len(seq.of)) - seq.head[seq.of] >= seq.first[seq.of])
+    inner[seq.end - 1] = False
+    out, looked = [], enough
     for kind in (_LOOK, _COMMON):
-        rare = inner.copy()
-        if levels:
-            rare[levels[0][0] if kind == _LOOK else levels[0][0][many.astype(bool)]] = False
-        at = np.flatnonzero(rare)
-        lo = np.concatenate([[0], ends[at] + 1])
-        hi = np.concatenate([np.minimum(ends[at + 1] + _CONTEXT - 1, n), [n]])
+        at = np.flatnonzero(inner & (times <= kind) & looked[seq.of])
+        of = seq.of[at]
+        texts = np.flatnonzero(looked)
+        # Of every text a stretch before its first rare phrase and one after each.
+        t, lo, low = (np.concatenate(x) for x in zip((texts, np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)), (of, seq.place[at] + 1, seq.before[at]), strict=True))
+        u, hi, high = (np.concatenate(x) for x in zip((of, np.minimum(seq.place[at + 1] + _CONTEXT - 1, seq.n[of]), seq.before[at + 1] + _CONTEXT // 2), (texts, seq.n[texts], seq.words[texts]), strict=True))
+        front, back = np.argsort(t, kind="stable"), np.argsort(u, kind="stable")
+        t, lo, hi = t[front], lo[front], hi[back]
         # A word starts at most at every other byte of the context.
-        most = np.concatenate([before[at + 1] + _CONTEXT // 2, [before[-1]]]) - np.concatenate([[0], before[at]])
-        out.append(np.stack([lo, hi, np.full(len(lo), kind)])[:, most >= words])
-    if not out[0].shape[1]:
-        return out[0]
+        most = high[back] - low[front] >= words
+        out.append((t[most], lo[most], hi[most], np.full(most.sum(), kind)))
+        if kind == _LOOK:
+            looked = np.zeros(len(enough), bool)
+            looked[t[most]] = True
+    j, e, is_rep = long
+    some = looked[seq.of[j]] & (seq.before[e] - seq.before[j] >= words) if len(j) else np.zeros(0, bool)
     for kind in (_COPY, _REP):
-        found = [(ends[j], ends[j + (1 << k)], (rep == (kind == _REP)) & (before[j + (1 << k)] - before[j] >= words)) for k, (j, _, rep) in enumerate(levels)]
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i][x[2]] for x in found)]) for i in (0, 1))
+        pick = some & (is_rep == (kind == _REP))
+        a, b = seq.at[j[pick]], seq.at[e[pick]]
+        t = seq.of[j[pick]]
         # Of runs that lie in another one, the other suffices.
         order = np.lexsort((-b, a))
-        a, b = a[order], b[order]
+        t, a, b = t[order], a[order], b[order]
         outer = np.ones(len(a), bool)
         outer[1:] = b[1:] > np.maximum.accumulate(b)[:-1]
-        out.append(np.stack([a[outer], b[outer], np.full(outer.sum(), kind)]))
-    return np.concatenate(out, axis=1)
+        t = t[outer]
+        out.append((t, a[outer] - seq.base[t], b[outer] - seq.base[t], np.full(len(t), kind)))
+    t, lo, hi, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(t, kind="stable")
+    return t[order], lo[order], hi[order], kind[order]
 
 
 #: Entries of nested lists that one numpy step works on.
@@ -230,45 +319,34 @@ def _nested(batch: pa.RecordBatch, *cols: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def settle(texts: DataFrame, ranks: DataFrame, length: int, words: int | None = None) -> DataFrame:
+def settle(found: DataFrame, ranks: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """Per text: intervals of window starts surely repeated (sure), and runs of starts to compare (runs); byte ranges for passages of `words` words (look) and whether there are so many (enough)."""
-    per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(F.struct("level", "j", "r", "rep", "many")).alias("ranks"))
-    rows = texts.select("id", "copies", *_KEYS, "n", "first", "starts", "before").join(per_text, list(_KEYS), "left")
+    rep = (F.col("r") == F.xxhash64(*_KEYS, "j")).cast("long")
+    place = F.shiftleft(F.col("j").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("e").cast("long"), 1)).bitwiseOR(rep)
+    per_text = ranks.groupBy(*_KEYS).agg(F.collect_list(place).alias("ranks"))
+    rows = found.select("id", "copies", *_KEYS, "n", "first", "starts", "before", "times", "names").join(per_text, list(_KEYS), "left")
+    roller = Roller()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _nested(whole, "starts", "ranks")):
-            starts, ranks_col, before_col = batch.column("starts"), batch.column("ranks"), batch.column("before")
-            w_off, w_val = before_col.offsets.to_numpy(), before_col.flatten().to_numpy().astype(np.int64)
-            w_off = w_off - w_off[0]
-            s_off, s_val = starts.offsets.to_numpy(), starts.flatten().to_numpy().astype(np.int64)
-            s_off = s_off - s_off[0]
-            r_off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ranks_col), 0).to_numpy())])
-            entries = ranks_col.flatten()
-            level, j, r, rep, many = (entries.field(x).to_numpy(zero_copy_only=False) for x in ("level", "j", "r", "rep", "many"))
-            ns, firsts = batch.column("n").to_numpy(), batch.column("first").to_numpy()
-            sure, runs, look = [], [], []
-            enough = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                at = slice(r_off[i], r_off[i + 1])
-                lv, order = level[at], np.argsort(level[at], kind="stable")
-                top = int(lv.max()) + 1 if len(lv) else 0
-                cut = np.searchsorted(lv[order], np.arange(top + 1))
-                jj, rr, pp = j[at][order].astype(np.int64), r[at][order], rep[at][order].astype(bool)
-                levels = [(jj[a:b], rr[a:b], pp[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                got = _runs(int(ns[i]), int(firsts[i]), s_val[s_off[i] : s_off[i + 1]], levels, length)
-                sure.append(got[:2])
-                runs.append(got[2:])
-                before = w_val[w_off[i] : w_off[i + 1]]
-                enough[i] = words is not None and before[-1] >= words
-                look.append(_stretches(int(ns[i]), int(firsts[i]), s_val[s_off[i] : s_off[i + 1]], before, levels, many[at][order][: len(levels[0][0])] if levels else many[:0], words) if enough[i] else np.zeros((3, 0), np.int64))
-
-            def lists(parts: list, kinds: list, names: list[str]) -> pa.Array:
-                off = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in parts])]).astype(np.int32))
-                cols = [pa.array(np.concatenate([x[c] for x in parts]).astype(t) if t is not np.int64 else np.concatenate([x[c] for x in parts]).view(np.int64)) for c, t in enumerate(kinds)]
-                return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(cols, names=names))
-
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", *_KEYS, "n")), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64, np.int32], ["lo", "hi", "open", "key", "p"]), lists(look, [np.int32] * 3, ["lo", "hi", "p"]), pa.array(enough)], names=["id", "copies", *_KEYS, "n", "sure", "runs", "look", "enough"])
+            if not len(batch):
+                continue
+            seq, ranked = Phrases(batch), batch.column("ranks")
+            times = seq.spread(batch.column("times").flatten().to_numpy())
+            names = seq.spread(batch.column("names").flatten().to_numpy().view(np.uint64))
+            entries = ranked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            head = seq.head[np.repeat(seq.texts, pc.fill_null(pc.list_value_length(ranked), 0).to_numpy())]
+            long = head + (entries >> 32), head + ((entries & 0xFFFFFFFF) >> 1), (entries & 1).astype(bool)
+            sure, runs = _runs(seq, times, lambda j, e, names=names: roller.runs(names, j, e), long, length)
+            enough = np.full(len(batch), words is not None) & (seq.words >= (words or 0))
+            none = np.zeros(0, np.int64)
+            look = _stretches(seq, times, long, words) if words is not None else (none,) * 4
+
+            def lists(parts: tuple, kinds: list, names: list[str], size: int = len(batch)) -> pa.Array:
+                cols = [pa.array(x.astype(k) if k is not np.int64 else x.view(np.int64)) for x, k in zip(parts[1:], kinds, strict=True)]
+                return _list_of(np.bincount(parts[0], minlength=size), pa.StructArray.from_arrays(cols, names=names))
+
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", *_KEYS, "n")), lists(sure, [np.int32, np.int32], ["lo", "hi"]), lists(runs, [np.int32, np.int32, bool, np.int64, np.int32], ["lo", "hi", "open", "key", "p"]), lists(look, [np.int32] * 3, ["lo", "hi", "p"]), pa.array(enough)], names=["id", "copies", *_KEYS, "n", "sure", "runs", "look", "enough"])
 
     return rows.mapInArrow(tidy(run), "id long, copies long, k1 long, k2 long, n int, sure array<struct<lo:int,hi:int>>, runs array<struct<lo:int,hi:int,open:boolean,key:bigint,p:int>>, look array<struct<lo:int,hi:int,p:int>>, enough boolean")
 
@@ -310,6 +388,14 @@ class Roller:
             out.append(mix((total[length:] - total[:-length]) * down[: hi - lo + 1]))
         return out[0], out[1]
 
+    def runs(self, names: np.ndarray, j: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the names from j to e."""
+        self._grow(len(names) + 1)
+        out = []
+        for up, down in self.powers:
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * up[: len(names)], dtype=np.uint64)])
+            out.append(mix((total[e] - total[j]) * down[j] + (e - j).astype(np.uint64)))
+        return out[0], out[1]
 
     def strings(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the strings from starts to stops, both sorted."""
@@ -451,9 +537,9 @@ def repeated_starts(src: DataFrame, length: int, words: int | None = None) -> Da
     """Per distinct text with something to remove: k1, k2, whole and clean_whole (all of it goes by the bytes, by bytes and words), and the byte ranges that go by the bytes (spans) and by bytes and words (both)."""
     found = phrases(src, length, words)
     texts = written(found.groupBy(*_KEYS).agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "starts", "names", "before")]), "phrases")
-    ranks, tables = double(texts, length)
-    settled = written(settle(texts, ranks, length, words), "settled")
-    discard(texts, *tables)
+    runs_of, ranks = ranked_runs(texts, length, words)
+    settled = written(settle(runs_of, ranks, length, words), "settled")
+    discard(texts, runs_of, ranks)
     spot = F.xxhash64(*_KEYS, "lo")
     run = F.struct("lo", "hi", "open", "p")
     runs = settled.select("id", *_KEYS, F.explode("runs").alias("x")).select("id", *_KEYS, "x.*")

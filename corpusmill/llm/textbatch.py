@@ -91,6 +91,16 @@ def word_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def word_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places at which the words of consecutive texts start."""
+    word = ~_SPACE[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    heads = off[:-1][off[:-1] < off[1:]]
+    first[heads] = word[heads]
+    return np.flatnonzero(first)
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts: hash of each word and the first word of each text."""
 

@@ -274,6 +274,19 @@ def test_ranks_are_joined_in_one_form(spark, monkeypatch):
     assert forms == {True}
 
 
+def test_ranks_take_two_rounds_however_long_the_repeats(spark, monkeypatch):
+    """Ranks were made in a round for every doubling of the longest repeat."""
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(1500))
+    texts = [f"one {long} two", f"three {long}", "four"]
+    labels = []
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, label: (labels.append(label), written(df, label))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {i: kept for i, (_, kept) in enumerate(brute_repeats(texts, 400))}
+    assert sum("ranks" in x for x in labels) == 2
+
+
 def test_next_document_and_likeness(spark):
     df = awkward.frame(spark)
     rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
