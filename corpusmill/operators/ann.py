@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.operators.search import QUERY_BLOCK, ROW_BLOCK, _packer, _unit, _width, batch_top_k, met
+from corpusmill.operators.search import ROW_BLOCK, _packer, _unit, _width, batch_top_k, met
 from corpusmill.session import bounded_batches, saved
 
 #: Most vectors that the centres are fitted on, and rounds of k-means.
 SAMPLE, ROUNDS = 20_000, 12
+#: Queries of one block: fewer than in a search of all rows, as a block meets the cells that any of its queries reads.
+QUERY_BLOCK = 1024
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:

@@ -93,7 +93,9 @@ def chunks(df: DataFrame, config: ChunkConfig | None = None, text_col: str = "co
             out.append(rows)
         return pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("t", pa.string())])))
 
-    keys = [F.col(k) for k in key_cols]
-    cut_rows = df.select(*keys, cut(F.col(text_col)).alias("w")).select(*keys, F.size("w").alias("totalChunks"), F.posexplode("w").alias("chunkIndex", "c"))
+    # Not deterministic as far as the optimizer knows, or it cuts every text a second time to drop those without a chunk.
+    keys, cut = [F.col(k) for k in key_cols], cut.asNondeterministic()
+    # The number of chunks is taken before rows are made, or every row would carry all the chunks of its text.
+    cut_rows = df.select(*keys, cut(F.col(text_col)).alias("w")).select(*keys, F.size("w").alias("totalChunks"), "w").select(*keys, "totalChunks", F.posexplode("w").alias("chunkIndex", "c"))
     ident = F.sha2(F.concat_ws("|", F.col(id_from).cast("string"), F.col("chunkIndex").cast("string"), F.col("c.t")).cast("binary"), 256)
     return cut_rows.select(ident.alias("id"), *keys, F.col("c.t").alias("content"), "chunkIndex", "totalChunks", F.col("c.s").alias("startOffset"), F.col("c.e").alias("endOffset"))

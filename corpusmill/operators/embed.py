@@ -29,10 +29,27 @@ class EmbeddingProvider(Protocol):
     def dimensions(self) -> int: ...
 
 
-@lru_cache(maxsize=200_000)
-def _feature(word: str, dim: int) -> tuple[int, float]:
-    h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-    return int(h[:8], 16) % dim, 1.0 if int(h[8], 16) < 8 else -1.0
+class _Features(dict):
+    """Words to their places, ~place for those of negative sign; emptied when it holds more than MOST words."""
+
+    MOST = 200_000
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+        at = int.from_bytes(h[:4], "big") % self.dim
+        self[word] = at = at if h[4] < 128 else ~at
+        return at
+
+    def trim(self) -> None:
+        if len(self) > self.MOST:
+            self.clear()
+
+
+_features = lru_cache(maxsize=8)(_Features)
 
 
 class HashEmbedding:
@@ -42,15 +59,21 @@ class HashEmbedding:
         self.dim, self.normalize = dim, normalize
 
     def embed(self, text: str) -> list[float]:
-        v = np.zeros(self.dim)
-        for w in text.lower().split():
-            at, sign = _feature(w, self.dim)
-            v[at] += sign
-        n = np.sqrt((v**2).sum())
-        return (v / n if self.normalize and n else v).tolist()
+        return self.embed_batch([text])[0]
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        return [self.embed(t) for t in texts]
+        seen, signed, sizes = _features(self.dim), [], []
+        for t in texts:
+            words = t.lower().split()
+            signed += map(seen.__getitem__, words)
+            sizes.append(len(words))
+        seen.trim()
+        at = np.array(signed, np.int64)
+        # A word is its place, or ~place where its sign is negative.
+        place = np.where(at < 0, ~at, at) + np.repeat(np.arange(len(texts)) * self.dim, sizes)
+        v = np.bincount(place, np.where(at < 0, -1.0, 1.0), len(texts) * self.dim).reshape(len(texts), self.dim)
+        n = np.sqrt((v**2).sum(axis=1, keepdims=True))
+        return (np.divide(v, n, out=v, where=n > 0) if self.normalize else v).tolist()
 
     def model_name(self) -> str:
         return f"feature-hash-{self.dim}"
@@ -144,14 +167,18 @@ def embed(text: Column, provider: EmbeddingProvider, batch_size: int = 100, kind
     def run(texts: pa.Array) -> pa.Array:
         dim = provider.dimensions()
         values = [t or "" for t in texts.to_pylist()]
-        out = [[0.0] * dim for _ in values]
+        out = np.zeros((len(values), dim), np.float64 if kind == "double" else np.float32)
         full = [i for i, t in enumerate(values) if t.strip(WHITE)]
         for a in range(0, len(full), batch_size):
             part = full[a : a + batch_size]
-            for i, v in zip(part, provider.embed_batch([values[i] for i in part]), strict=True):
-                if len(v) != dim:
-                    raise ValueError(f"provider gave {len(v)} components, not {dim}")
-                out[i] = v
-        return pa.array(out, pa.list_(pa.float64() if kind == "double" else pa.float32()))
+            got = provider.embed_batch([values[i] for i in part])
+            if len(got) != len(part):
+                raise ValueError(f"provider gave {len(got)} vectors for {len(part)} texts")
+            wrong = [len(v) for v in got if len(v) != dim]
+            if wrong:
+                raise ValueError(f"provider gave {wrong[0]} components, not {dim}")
+            out[part] = got
+        offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
     return run(text)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import ann, search
+from corpusmill.operators.chunking import chunks
+from corpusmill.schema import ChunkConfig
 
 
 def vectors(n, seed):
@@ -55,3 +58,57 @@ def test_a_search_of_all_cells_writes_each_query_once(spark, tmp_path, monkeypat
     want = search.batch_top_k(e, asked, 3)
     key = lambda df: sorted((r.qid, r.rank, r.id, r.score) for r in df.collect())
     assert key(got) == key(want)
+
+
+def brute(q, x, k, metric):
+    """(query, row) of the k best, ties by row, rows without a score left out."""
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            unit = lambda m: np.where((n := np.sqrt((m**2).sum(axis=1, keepdims=True))) > 0, m / n, 0.0)
+            s = -np.round(np.einsum("ik,jk->ij", unit(q), unit(x)) + 1e-10, 6)
+        else:
+            s = np.round(((q[:, None] - x[None]) ** 2).sum(axis=2) + 1e-10, 6)
+    return [(i, j) for i in range(len(q)) for j in [j for j in np.argsort(s[i], kind="stable") if not np.isnan(s[i, j])][:k]]
+
+
+def block(ids, m):
+    return {"ids": pa.array([ids], pa.list_(pa.int64())), "m": pa.array([m.tobytes()], pa.binary())}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e-12, 1e20])
+def test_few_pairs_are_scored_exactly_and_none_is_missed(monkeypatch, metric, scale):
+    r = np.random.default_rng(3)
+    q, x = r.normal(size=(300, 16)) * scale, r.normal(size=(2000, 16)) * scale
+    if scale == 1.0:
+        x[7, 2], x[9, 3], q[5, 1] = np.nan, np.inf, np.nan
+    scored, keep = [], search._exact
+    monkeypatch.setattr(search, "_exact", lambda q, x, i, *a: scored.append(len(i)) or keep(q, x, i, *a))
+    feed = []
+    for a in range(0, 2000, 500):
+        rows, asked = block(list(range(a, a + 500)), x[a : a + 500]), block(list(range(300)), q)
+        feed.append(pa.record_batch({"block": pa.array(["b"]), "qids": asked["ids"], "qm": asked["m"], **rows}))
+    with np.errstate(all="ignore"):
+        out = pa.Table.from_batches(search._best_of(4, metric, ("f8", "f8"))(iter(feed))).sort_by([("qid", "ascending"), ("score", "ascending" if metric == "l2" else "descending"), ("id", "ascending")])
+    assert list(zip(out["qid"].to_pylist(), out["id"].to_pylist(), strict=True)) == brute(q, x, 4, metric)
+    if scale != 1e-12 or metric == "cosine":  # else all distances are equal as rounded
+        assert sum(scored) < 0.05 * 300 * 2000
+
+
+def test_of_equal_vectors_a_block_keeps_what_a_search_can_find():
+    v = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]
+    rows = pa.record_batch({"id": [5, 4, 3, 2, 1], "v": pa.array(v, pa.list_(pa.float64()))})
+    (out,) = search._packer(10, "f8", 2)(iter([rows]))
+    assert out["ids"].to_pylist() == [[1, 2, 3, 4]]
+    assert np.frombuffer(out["m"][0].as_py()).reshape(4, 2).tolist() == [v[4], v[3], v[2], v[1]]
+    ragged = pa.record_batch({"id": [1, 2], "v": pa.array([[1.0], [1.0, 2.0]], pa.list_(pa.float64()))})
+    with pytest.raises(ValueError):
+        list(search._packer(10)(iter([ragged])))
+
+
+def test_texts_are_cut_once_and_rows_do_not_carry_all_chunks(spark):
+    d = spark.createDataFrame([("u", "t", "one two three. " * 40)], "url string, title string, content string").where("length(content) > 3")
+    plan = chunks(d, ChunkConfig(100, 10))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 1
+    (line,) = [x for x in plan.splitlines() if "Generate posexplode" in x]
+    assert "w#" not in line.split("), [", 1)[1].split("]")[0]
