@@ -68,7 +68,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write `df` under the shared folder and read it back: the lineage ends at files every executor sees."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -25,6 +25,7 @@ from corpusmill.functions import vector
 from corpusmill.operators import search
 from corpusmill.operators.filters import MetadataFilter, compile_filters
 from corpusmill.schema import VECTOR_ROW
+from corpusmill.session import discard, saved_rows, sized_join
 
 #: Parts that may follow a part before they are merged, and how much larger than all of them a part is that stays out of it.
 FAN, LARGER = 8, 4
@@ -108,7 +109,7 @@ class VectorStore:
     def _write(self, rows: DataFrame, gone: bool = False) -> dict:
         """A new part: rows of the table, or ids that go."""
         name = f"p-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return {"name": name, "gone": gone, "rows": self.spark.read.parquet(f"{self.path}/{name}").count()}  # of footers alone
 
     def _open(self, part: dict) -> DataFrame:
@@ -195,24 +196,47 @@ class VectorStore:
             raise RuntimeError(f"version {version} is not complete")
         return self._view(found["parts"])
 
-    def _fit(self, rows: DataFrame, ordinal: str | None) -> DataFrame:
-        """Rows as the table holds them: the last of each id, vectors of the right length (others are an error)."""
-        good = last_wins(rows.withColumn("embedding", vector.require_dimension(F.col("embedding"), self.dimension)), "id", ordinal)
-        return good.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+    def _write_rows(self, rows: DataFrame, ordinal: str | None, written: bool) -> dict:
+        """A new part with the last row of each id, vectors of the right length (others are an error).
 
-    def upsert(self, rows: DataFrame, ordinal: str | None = None, batch: tuple[str, int] | None = None) -> int:
-        """Replace by id or insert; of rows with one id in the call the last by `ordinal` (or input order) wins. All or nothing. The number of rows written."""
-        return self._commit(lambda _: [self._write(self._fit(rows, ordinal))], batch)
+        Whole rows move only where their ids may be given twice: those are found by hashes of ids alone. Rows that are not `written` are written
+        as they come, which is the part itself if no id is given twice.
+        """
+        own = [F.col(f.name).cast(f.dataType) for f in self.schema]
+        fit = rows.withColumn("embedding", vector.require_dimension(F.col("embedding"), self.dimension))
+        fit = fit.select(*own, (F.col(ordinal) if ordinal else F.monotonically_increasing_id()).alias("__ord"))
+        part = None if written else self._write(fit)
+        if part:
+            fit = self.spark.read.schema(fit.schema).parquet(f"{self.path}/{part['name']}")
+        twice = fit.select(F.xxhash64("id").alias("__h")).groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1").select("__h")
+        twice, n = saved_rows(twice, "ids-twice")
+        if n:
+            every = sized_join(fit.withColumn("__h", F.xxhash64("id")), twice.withColumn("__twice", F.lit(True)), ["__h"], "left", 16 * n).drop("__h")
+            again = last_wins(every.where("__twice"), "id", "__ord")
+            out = self._write(every.where("__twice IS NULL").select(*self.schema.fieldNames()).unionByName(again.select(*self.schema.fieldNames())))
+            if part:
+                jvm, fs, _ = self._fs()
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part['name']}"), True)
+            part = out
+        discard(twice)
+        return part or self._write(fit.select(*self.schema.fieldNames()))
+
+    def upsert(self, rows: DataFrame, ordinal: str | None = None, batch: tuple[str, int] | None = None, written: bool = False) -> int:
+        """Replace by id or insert; of rows with one id in the call the last by `ordinal` (or input order) wins. All or nothing. The number of rows written.
+
+        written: the rows come from a written table and are cheap to read more than once.
+        """
+        return self._commit(lambda _: [self._write_rows(rows, ordinal, written)], batch)
 
-    def replace(self, rows: DataFrame, keys: DataFrame, ordinal: str | None = None, batch: tuple[str, int] | None = None, spread: bool = True) -> int:
-        """Rows take the place of all stored rows of their keys, in one version. The number of rows written.
+    def replace(self, rows: DataFrame, keys: DataFrame, ordinal: str | None = None, batch: tuple[str, int] | None = None, spread: bool = True, written: bool = False) -> int:
+        """Rows take the place of all stored rows of their keys, in one version. The number of rows written. written: as in `upsert`.
 
         keys: one column of the table (as url); stored rows with one of its values go, those without new rows too, and with `spread` those of the new rows' values.
         """
         (name,) = keys.columns
 
         def make(parts: list[dict]) -> list[dict]:
-            new = self._write(self._fit(rows, ordinal))
+            new = self._write_rows(rows, ordinal, written)
             held = self._open(new)
             changed = (keys.union(held.select(name)) if spread else keys).distinct().withColumnRenamed(name, "__key")
             # Only ids and keys of the stored rows are read; a null key is a key.

@@ -15,6 +15,7 @@ from corpusmill.operators.embed import HashEmbedding
 from corpusmill.plans import pipeline
 from corpusmill.schema import ChunkConfig, IndexConfig
 from corpusmill.session import table
+from corpusmill.sources import store as store_module
 from corpusmill.sources.store import Conflict, VectorStore
 from corpusmill.streaming import ingest
 from corpusmill.streaming.progress import StreamProgress
@@ -244,3 +245,25 @@ def test_few_cells_are_read(spark, tmp_path):
     for bad in (lambda: index.batch_top_k(one, 0, 1), lambda: ann.CellIndex.build(df, "x", 0), lambda: ann.CellIndex.build(df, "x", 1, "dot")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_only_rows_whose_ids_are_given_twice_are_moved_to_find_the_last(spark, tmp_path, monkeypatch):
+    moved = []
+    keep = store_module.last_wins
+    monkeypatch.setattr(store_module, "last_wins", lambda rows, *a: moved.append(rows.count()) or keep(rows, *a))
+    for written in (False, True):
+        s = VectorStore(spark, str(tmp_path / f"s{written}"), 1, T.StructType.fromDDL("id long, n int, embedding array<float>"))
+        s.initialize()
+        rows = spark.range(1000).selectExpr("id", "0 AS n", "array(1f) AS embedding")
+        assert s.upsert(rows, written=written) == 1000 and moved == []
+        twice = rows.union(rows.where("id % 100 = 0").withColumn("n", F.lit(1)))
+        assert s.upsert(twice, ordinal="n", written=written) == 1000 and moved == [20]
+        assert s.read().where("n = 1").count() == 10 and s.count() == 1000
+        assert len(s._names("p-")) == 2  # a part that was written only to be looked at is gone
+        moved.clear()
+
+
+def test_a_filter_by_what_was_read_does_not_parse_pages_twice(spark):
+    pages = spark.createDataFrame([("u", "<p>" + "words of a page. " * 20 + "</p>")], "url string, html string")
+    plan = ingest.to_vectors(pages, HashEmbedding(8), ChunkConfig(100, 10))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 3  # parsed, cut, embedded
