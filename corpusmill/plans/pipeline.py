@@ -23,7 +23,7 @@ from corpusmill.operators.chunking import chunks
 from corpusmill.operators.crawl import Crawler
 from corpusmill.operators.embed import EmbeddingProvider
 from corpusmill.schema import EVENT_STAGES, PROGRESS_EVENT, CrawlConfig, IndexConfig
-from corpusmill.session import bounded_batches, saved
+from corpusmill.session import bounded_batches, discard, saved, saved_rows, sized_join, written
 from corpusmill.sources.store import VectorStore
 
 
@@ -41,6 +41,20 @@ def with_batches(chunk_rows: DataFrame, size: int, *order: str) -> DataFrame:
     return numbered(chunk_rows, *order).withColumn("batch", (F.floor(F.col("row") / size) + 1).cast("int"))
 
 
+def page_batches(cut: DataFrame, per_page: DataFrame, size: int) -> DataFrame:
+    """`with_batches` of all chunks of pages in the order of page and chunkIndex, told from the numbers of chunks (page, chunks; written): no chunk is sorted or written for it.
+
+    Pages are numbered as `monotonically_increasing_id` does, so their upper bits name a range of pages.
+    """
+    ranged = per_page.select("page", "chunks", F.shiftright("page", 33).alias("__p"))
+    sizes = ranged.groupBy("__p").agg(F.sum("chunks").alias("n"))  # one row a range
+    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    inside = F.coalesce(F.sum("chunks").over(Window.partitionBy("__p").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first, pages = saved_rows(ranged.join(F.broadcast(before), "__p").select("page", (inside + F.col("__b")).alias("__first")), "page-first")
+    placed = sized_join(cut, first, ["page"], "inner", 16 * pages)
+    return placed.withColumn("batch", (F.floor((F.col("__first") + F.col("chunkIndex")) / size) + 1).cast("int")).drop("__first")
+
+
 def mark_failures(results: DataFrame, chunk_rows: DataFrame, failed: DataFrame, page: str = "url") -> DataFrame:
     """Results after batches failed. failed: (batch, stage, reason); of a page's failed batches the first counts; earlier failures stay. `page` names a page in both tables; null names one."""
     hit = chunk_rows.select(F.col(page).alias("__page"), "batch").distinct().join(failed, "batch").groupBy("__page").agg(F.min(F.struct("batch", "stage", "reason")).alias("f"))
@@ -198,27 +212,32 @@ def _run(find: Callable[[], DataFrame], start: str, store: VectorStore, provider
         found = extract_pages(pages, c.min_chars)
         order = ["rank"] if "rank" in found.columns else ["url", "title", "content"]
         # A number for every page, ascending in that order: places inside range partitions.
-        texts = saved(found.orderBy(*order).withColumn("page", F.monotonically_increasing_id()), "texts")
+        texts = written(found.orderBy(*order).withColumn("page", F.monotonically_increasing_id()), "texts")
         step("chunk", "cutting chunks")
         cut = saved(chunks(texts.where("long_enough"), c.chunk, key_cols=("page", "url", "title")), "chunks")
-        per_page = cut.groupBy("page").agg(F.count("*").cast("int").alias("chunks"))
+        # From here on pages are what their results need; every table goes once the next is written, so that the disk holds a text in one form or two.
+        listed = saved(texts.drop("title", "content"), "pages")
+        discard(texts)
+        per_page = saved(cut.groupBy("page").agg(F.count("*").cast("int").alias("chunks")), "page-chunks")
         stage = F.when(~F.col("long_enough"), "extract").when(F.col("chunks").isNull(), "chunk")
         reason = F.coalesce("error", F.when(stage == "extract", "too little text").when(stage == "chunk", "no chunks"))
-        results = texts.join(per_page, "page", "left").select("page", "url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
+        results = listed.join(per_page, "page", "left").select("page", "url", stage.isNull().alias("success"), stage.alias("stage"), F.coalesce("chunks", F.lit(0)).alias("chunks"), reason.alias("failureReason"))
         step("embed", "embedding chunks")
-        vectors = saved(embed_batches(with_batches(cut, c.batch_size, "page", "chunkIndex"), provider), "vectors")
+        vectors = written(embed_batches(page_batches(cut, per_page, c.batch_size), provider), "vectors")
+        discard(cut)
         step("store", "storing vectors")
         # A vector that the store would refuse fails its batch, not the others.
         misfit = F.when(~vector.has_dimension(F.col("embedding"), store.dimension), F.concat(F.lit("vectors of "), F.size("embedding").cast("string"), F.lit(" components")))
         problem = F.when(F.col("error").isNotNull(), F.struct(F.lit("embed").alias("stage"), F.col("error").alias("reason"))).when(misfit.isNotNull(), F.struct(F.lit("store").alias("stage"), misfit.alias("reason")))
         failed = saved(vectors.select("batch", problem.alias("f")).where("f IS NOT NULL").groupBy("batch").agg(F.min("f").alias("f")).select("batch", "f.*"), "failed-batches")
         good = vectors.join(failed.select("batch"), "batch", "left_anti")
-        rows, stored = good.drop("page", "row", "batch", "error"), 0
+        rows, stored = good.drop("batch", "error"), 0
         try:
             # Pages that lost a batch keep what they had; the others' old chunks go in the version that brings the new ones.
             lost = vectors.join(failed.select("batch"), "batch", "left_semi").select("url").distinct().withColumnRenamed("url", "__lost")
-            keys = texts.where("long_enough").select("url").distinct().join(lost, F.col("url").eqNullSafe(F.col("__lost")), "left_anti")
-            stored = store.replace(rows, keys, spread=False) if c.replace_pages else store.upsert(rows)
+            keys = listed.where("long_enough").select("url").distinct().join(lost, F.col("url").eqNullSafe(F.col("__lost")), "left_anti")
+            # Of equal chunks of a URL that of the last page stays.
+            stored = store.replace(rows, keys, "page", spread=False, written=True) if c.replace_pages else store.upsert(rows, "page", written=True)
         except Exception as e:  # the upsert is all or nothing: every batch that was left fails in this stage
             if p.stopped():
                 raise

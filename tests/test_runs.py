@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.functions import html
 from corpusmill.operators import search
@@ -16,6 +17,7 @@ from corpusmill.operators.embed import BackingOff, HashEmbedding, ProviderError,
 from corpusmill.operators.filters import MetadataFilter
 from corpusmill.plans import chat, pipeline
 from corpusmill.schema import IndexConfig
+from corpusmill.session import saved, shared_root
 from corpusmill.sources import config
 from corpusmill.sources.batched import upsert_batches
 from corpusmill.sources.store import VectorStore
@@ -190,3 +192,23 @@ def test_cancel_interrupts_running_jobs(spark, tmp_path):
     with pytest.raises(pipeline.Cancelled):
         pipeline.index(site(spark), VectorStore(spark, str(tmp_path / "s"), 8), Slow(8), progress=p)
     assert time.monotonic() - began < 50 and p.events[-1][1] == "cancel"
+
+
+def test_batches_told_from_page_sizes_are_those_of_the_sorted_chunks(spark):
+    pages = spark.range(0, 90, numPartitions=3).withColumn("page", F.monotonically_increasing_id()).where("id % 7 != 3")
+    cut = saved(pages.select("page", F.explode(F.sequence(F.lit(0), (F.col("id") % 5).cast("int"))).alias("chunkIndex")), "test-cut")
+    per_page = saved(cut.groupBy("page").agg(F.count("*").cast("int").alias("chunks")), "test-sizes")
+    rows = lambda df: sorted((r.page, r.chunkIndex, r.batch) for r in df.collect())
+    got = pipeline.page_batches(cut, per_page, 4)
+    assert rows(got) == rows(pipeline.with_batches(cut, 4, "page", "chunkIndex"))
+    assert "Sort" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_run_leaves_no_table_of_texts_or_chunks(spark, tmp_path):
+    before = set(glob.glob(f"{shared_root(spark).removeprefix('file:')}/corpusmill/*"))
+    s = VectorStore(spark, str(tmp_path / "s"), 8)
+    pages = spark.createDataFrame([(f"http://x/{i}", "<p>" + f"words of page {i}. " * 20 + "</p>") for i in range(5)], "url string, html string")
+    results, _ = pipeline.index(pages, s, HashEmbedding(8))
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{shared_root(spark).removeprefix('file:')}/corpusmill/*")) - before}
+    assert left and not left & {"texts", "chunks", "numbered"}
+    assert results.where("success").count() == 5 and s.count() == results.agg(F.sum("chunks")).first()[0]
